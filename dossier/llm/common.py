@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,3 +174,36 @@ def connected_components(steps: Steps, edges: DataFrame, name: str) -> DataFrame
             break
         before = after
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def bitmap(df: DataFrame, column: str, least: int = 1 << 20, most: int = 1 << 28) -> np.ndarray:
+    """A set of 64-bit hashes as bits, 16 for each hash but `most` at most (32 MB): that bounds what is sent to tasks.
+
+    It says yes to every member. Fuller than planned it only says yes more often; an exact join has to follow.
+    """
+    bits = least
+    n = df.count()
+    while bits < min(16 * n, most):
+        bits *= 2
+    at = F.pmod(F.col(column), F.lit(bits))
+    words = df.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {bits}) % 64 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def maybe_in(spark: SparkSession, bits: np.ndarray):
+    """A column function: whether a hash may be in the bitmap; null is not."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def found(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, hashes.fillna(0).to_numpy(np.int64)) & hashes.notna().to_numpy())
+
+    return found
