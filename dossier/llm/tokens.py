@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Known pieces kept by a task; beyond it they are forgotten and encoded anew.
-KEPT = 300_000
+KEPT = 800_000
 
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
@@ -37,44 +38,53 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            sizes[i] = len(token)  # in byte-level vocabularies a character stands for a byte
+        _encoders[path] = tokenizer, sizes, {}
     return _encoders[path]
 
 
-def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of each text without the end id; null is empty."""
-    tokenizer, known = _encoder(path)
+def _learn(new: list[str], path: str) -> None:
+    """Ids of new pieces. Pieces that begin with white space and end without are encoded in a row, which parts where they do."""
+    tokenizer, sizes, known = _encoder(path)
+    alone = [p for p in new if p[0] not in " \n" or p[-1] in " \n"]
+    for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        known[p] = np.array(e.ids, "<i4").tobytes()
+    rows = [p for p in new if p[0] in " \n" and p[-1] not in " \n"]
+    chunks = [rows[k : k + 1000] for k in range(0, len(rows), 1000)]
+    for pieces, e in zip(chunks, tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False)):
+        ids = np.array(e.ids, "<i4")
+        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+        whole = ids.tobytes()
+        known.update(zip(pieces, (whole[4 * i : 4 * j] for i, j in zip([0, *ends.tolist()], ends.tolist()))))
+
+
+def encode(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit integers, without the end id; null is empty."""
+    tokenizer, _, known = _encoder(path)
     whole = [i for i, t in enumerate(texts) if t and OTHER_SPACE.search(t)]
     aside = dict(zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))
-    out = []
-    for i, text in enumerate(texts):
-        if i in aside:
-            out.append(np.array(aside[i].ids, np.int32))
-            continue
-        pieces = PIECE.findall(text or "")
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) > KEPT:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, (tuple(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        ids: list[int] = []
-        for p in pieces:
-            ids += known[p]
-        out.append(np.array(ids, np.int32))
-    return out
+    pieces = [PIECE.findall(t) if t and i not in aside else [] for i, t in enumerate(texts)]
+    if len(known) > KEPT:
+        known.clear()
+    _learn([p for p in set(chain.from_iterable(pieces)) if p not in known], path)
+    return [np.array(aside[i].ids, "<i4").tobytes() if i in aside else b"".join(map(known.__getitem__, p)) for i, p in enumerate(pieces)]
 
 
 def encode_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(doc_id, ids) for each row of docs (doc_id, text); ids end with the end id."""
 
+    last = np.array([end], "<i4").tobytes()
+
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
-                ids = [np.append(x, np.int32(end)) for x in encode(rows.column("text").to_pylist(), tokenizer)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.array(np.concatenate(ids).astype(np.int32))
+                ids = [x + last for x in encode(rows.column("text").to_pylist(), tokenizer)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
