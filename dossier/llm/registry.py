@@ -1,14 +1,15 @@
 """Queries and SQL of the training-data operators, as __spark_entry__ registers them."""
 
-from dossier.llm import chat, langid, minhash, mixing, tokens, urls
+from dossier.llm import chat, embeddings, langid, minhash, mixing, repeats, tokens, urls
 
 QUERIES = {
     f.__name__: f
-    for f in (langid.op1_language_id, tokens.op2_orc_tokens, minhash.op4_minmax_near_dedup, chat.op7_chat_format, urls.op8_url_rules, mixing.op10_systematic_mix)
+    for f in (langid.op1_language_id, tokens.op2_orc_tokens, minhash.op4_minmax_near_dedup, embeddings.op5_cross_polytope, chat.op7_chat_format, urls.op8_url_rules, repeats.op9_bwt_repeats, mixing.op10_systematic_mix)
 }
 
 ORACLES = {
     "op4_minmax_near_dedup": minhash.ORACLE_SQL,
+    "op5_cross_polytope": embeddings.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op8_url_rules": urls.ORACLE_SQL,
     "op10_systematic_mix": mixing.ORACLE_SQL,
