@@ -155,16 +155,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, offsets)
 
 
-def connected_components(steps: Steps, edges: DataFrame, name: str) -> DataFrame:
+def connected_components(steps: Steps, edges: DataFrame, name: str, most: int = 1 << 30) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node reachable.
 
+    After `most` rounds it stops: nodes with one component are then connected, but not always the reverse.
+
     Alternates large-star and small-star: each round hangs neighbours on the smallest one seen, so paths halve. Each
     round is a written table of at most as many edges as there were; only their number and checksum reach the driver.
     """
     seal = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     e = steps.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before, k = seal(e), 0
-    while before[0]:
+    while before[0] and k < most:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

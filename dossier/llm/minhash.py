@@ -90,28 +90,49 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with `linked`: whether 100 * intersection >= percent * union on full sets."""
+def sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles): each row's set as ascending signed hashes."""
 
     def run(batches):
-        last, own = None, None
         for batch in batches:
-            ids = batch.column("a").to_pylist()
-            data, offsets = text_buffer(batch.column("text_a"))
-            other, ends = text_buffer(batch.column("text_b"))
-            linked = []
-            for r, a in enumerate(ids):
-                if a != last:
-                    last, own = a, shingle_sets(data, offsets[r : r + 2], k)[0]
-                its = shingle_sets(other, ends[r : r + 2], k)[0]
-                least, most = sorted((len(own), len(its)))
-                shared = len(np.intersect1d(own, its, assume_unique=True)) if 100 * least >= percent * most else 0
-                linked.append(100 * shared >= percent * (len(own) + len(its) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+            data, offsets = text_buffer(batch.column("text"))
+            for i, j in slices(offsets, BLOCK):
+                found, at = shingle_sets(data, offsets[i : j + 1], k)
+                found = found.view(np.int64)
+                half = [np.sort(found[a:b]) for a, b in zip(at[:-1], at[1:])]
+                lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate(half) if half else found)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(), at
+
+
+def _shared(batches):
+    """Pairs with the size of the intersection of their sets. Pairs with one `a` stand together and are counted at once."""
+    for batch in batches:
+        a, b = batch.column("a").to_numpy(), batch.column("b")
+        (own, own_at), (its, its_at) = _flat(batch.column("set_a")), _flat(batch.column("set_b"))
+        shared = np.zeros(len(a), np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+        for lo, hi in zip(starts, [*starts[1:], len(a)]):
+            one, all_ = own[own_at[lo] : own_at[lo + 1]], its[its_at[lo] : its_at[hi]]
+            hit = one[np.minimum(np.searchsorted(one, all_), len(one) - 1)] == all_
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            shared[lo:hi] = np.diff(sums[its_at[lo : hi + 1] - its_at[lo]])
+        n = np.diff(own_at), np.diff(its_at)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), b, pa.array(shared), pa.array(n[0] + n[1] - shared)], names=["a", "b", "both", "either"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with `linked`: whether 100 * intersection >= percent * union on full sets."""
+    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    counted = full.select("a", "b", "set_a", "set_b").mapInArrow(_shared, "a long, b long, both long, either long")
+    return counted.select("a", "b", (F.col("both") * 100 >= F.col("either") * percent).alias("linked"))
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -134,26 +155,25 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     maybe = maybe_in(spark, bitmap(candidates, "doc_id"))
     texts = docs.select("doc_id", "text").where(maybe("doc_id")).join(candidates, "doc_id", "left_semi")
-    texts = steps.write(texts.dropDuplicates(["doc_id"]), "texts")
+    full = steps.write(sets(texts.dropDuplicates(["doc_id"]), k), "sets")
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = ordered(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    met = steps.write(_verified(pairs, texts, k, percent), "met-0")
+    met = steps.write(_verified(pairs, full, percent), "met-0")
     for round_ in range(1, PIVOTS + 1):
-        found = connected_components(steps, met.where("linked"), f"joined-{round_}")
-        of = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        # Two rounds join most; what they leave apart only meets once more than it had to.
+        found = connected_components(steps, met.where("linked"), f"joined-{round_}", most=2)
+        of = members.where("n > 2").join(found.groupBy("node").agg(F.min("component").alias("component")).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(round_))).alias("other"))
         open_ = of.select("bucket", "rep", "component").join(mixed.where("low <> high").select("bucket", "other"), "bucket")
         if round_ < PIVOTS:
             pairs = open_.where("component <> other.component").select(F.col("other.rep").alias("a"), F.col("rep").alias("b"))
         else:
-            open_ = steps.write(open_.select("bucket", "rep", "component"), "open")
-            left, right = open_.alias("l"), open_.alias("r")
-            pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component"))).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+            pairs = _all_that_can_link(steps, open_.select("bucket", "rep", "component"), full, percent)
         pairs = ordered(pairs).join(met.select("a", "b"), ["a", "b"], "left_anti")
-        met = met.union(steps.write(_verified(pairs, texts, k, percent), f"met-{round_}"))
+        met = met.union(steps.write(_verified(pairs, full, percent), f"met-{round_}"))
     found = connected_components(steps, met.where("linked"), "joined")
-    steps.drop("texts", "members", "open")
+    steps.drop("sets", "members", "open")
     named = reps.drop("buckets").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = signed.where("n > 0 and doc_id is not null").join(named, ["n", "s1", "s2"])
@@ -162,6 +182,23 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _all_that_can_link(steps: Steps, open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, but those that their own shingles rule out.
+
+    A shingle that no other open document has is in no intersection. So of two sets with n shingles, m of them in other
+    documents too, at most the lesser m can be shared, and a link needs percent / (100 + percent) of both n together.
+    Such a document alone in a large group of copies then meets none of them.
+    """
+    rows = steps.write(open_.distinct(), "open")
+    listed = full.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("x"))
+    alone = listed.groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    sizes = full.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    sized = rows.join(sizes.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "rep").where(f"100 * m >= {percent} * n")
+    left, right = sized.alias("l"), sized.alias("r")
+    enough = f"{100 + percent} * least(l.m, r.m) >= {percent} * (l.n + r.n) and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    return left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & F.expr(enough)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), k=4)
 
