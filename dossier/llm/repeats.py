@@ -1,34 +1,30 @@
-"""Removal of repeated byte strings by merging the Burrows-Wheeler transforms of shards.
+"""Removal of repeated byte strings by merging Burrows-Wheeler transforms within shards of the corpus.
 
 1. Each document is cut into segments by minimisers: of the K-byte grams in a WINDOW-byte window the one of least hash is
    the window's anchor; neighbouring windows with one anchor form a segment. The anchor depends on the window's bytes
    alone, so equal windows, wherever they stand, share it. Windows whose anchor occurs once are unique: nothing is lost.
 2. Segments that occur twice or more, by a 128-bit name of anchor and bytes, are repeated in whole.
-3. Segments that share an anchor with other ones go, by anchor, to one bucket. There the bytes are cut into shards; each
-   shard gets its own transform, and the shards' transforms are merged: the interleave of all suffixes by their first k
-   bytes gives, by one stable distribution on the preceding symbols, that by k + STEP bytes. The bounds at which blocks
-   of the interleave part are the common prefixes; blocks that still hold at WINDOW bytes are the repeated intervals.
-   Suffixes are sorted within shards only.
+3. Segments that share an anchor with other ones go, by anchor, to one bucket: a shard of the corpus. There the
+   Burrows-Wheeler transforms of its strings are merged by iterative interleave refinement, without sorting suffixes;
+   see `repeated`. Only places within windows are carried, and settled ones drop out.
 
-Buckets get some 4 MB each, so more data makes more buckets; all segments of one anchor share a bucket.
+Buckets get some 2 MB each, so more data makes more buckets; all segments of one anchor share a bucket.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import P, Steps, bitmap, constants, maybe_in, mix, partitions, powers, slices, table, text_buffer
+from dossier.llm.common import P, Steps, bitmap, maybe_in, mix, partitions, powers, slices, table, text_buffer
 
 WINDOW, K = 200, 64
 SPAN = WINDOW - K + 1
 #: Bytes of a symbol in the merge.
 STEP = 4
-BUCKET, SHARD = 4 << 20, 1 << 20
+BUCKET = 2 << 20
 BLOCK = 1 << 19
 
 RUNS = "id long, h int, first int, last int, anchor long, name long"
@@ -104,109 +100,41 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-class Shard:
-    """The transform of some segments: suffixes in order, and for each the symbol STEP bytes before it (-1: none)."""
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray, symbols: np.ndarray):
-        n = len(data)
-        left = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n)
-        rank, depth = symbols.astype(np.int64), STEP
-        while depth < left.max():  # to the end: an order cut short would not agree with that of the successors
-            after = np.zeros(n, np.int64)
-            more = np.flatnonzero(left > depth)
-            after[more] = rank[more + depth] + 1
-            key = rank * (int(rank.max()) + 2) + after
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            depth *= 2
-            if new[-1] == n - 1:
-                break
-        self.order = np.argsort(rank, kind="stable")
-        begins = np.concatenate([[0], ends[:-1]])
-        at = np.arange(n) - begins[np.searchsorted(ends, np.arange(n), side="right")]
-        self.has = at[self.order] >= STEP
-        self.before = symbols[self.order[self.has] - STEP]
-        tail = self.order[left[self.order] <= STEP]
-        self.last, self.last_full = symbols[tail], left[tail] == STEP
-
-
-def merged(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' suffixes by WINDOW bytes (shard of each) and the common prefix at which each parts
-    from the one before it, in bytes, rounded down to symbols; WINDOW and more: they don't part.
-
-    A suffix x = c y is placed by its symbol c and the place of y. Reading the y in their present order and distributing
-    the symbols before them stably gives the order by one symbol more. Suffixes without a y come first.
-    """
-    sizes = [len(s.order) for s in shards]
-    n = sum(sizes)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    tail = np.concatenate([s.last for s in shards])
-    tail_full = np.concatenate([s.last_full for s in shards])
-    tail_z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.last) for s in shards])
-    has = np.concatenate([s.has for s in shards])
-    before = np.concatenate([s.before for s in shards])
-    has_at = np.concatenate([[0], np.cumsum(sizes)])
-    before_at = np.concatenate([[0], np.cumsum([len(s.before) for s in shards])])
-    prefix = np.full(n, WINDOW, np.int16)
-    block = np.zeros(n, np.int32)
-    for depth in range(0, WINDOW, STEP):
-        keep = np.empty(n, bool)
-        for k in range(len(shards)):
-            keep[z == k] = has[has_at[k] : has_at[k + 1]]
-        stream_z = z[keep]
-        symbols = np.empty(len(stream_z), before.dtype)
-        for k in range(len(shards)):
-            symbols[stream_z == k] = before[before_at[k] : before_at[k + 1]]
-        symbols, stream_z = np.concatenate([tail, symbols]), np.concatenate([tail_z, stream_z])
-        nothing = tail_full if depth == 0 else np.zeros(len(tail), bool)  # what follows a whole last symbol: alike by 0 bytes only
-        blocks = np.concatenate([nothing, block[keep] + 1])
-        order = np.argsort(symbols, kind="stable")
-        symbols, blocks, new_z = symbols[order], blocks[order], stream_z[order]
-        parts = np.ones(n, bool)
-        parts[1:] = (symbols[1:] != symbols[:-1]) | (blocks[1:] != blocks[:-1])
-        fresh = parts & (prefix == WINDOW)
-        same = not fresh.any() and np.array_equal(z, new_z)
-        prefix[fresh] = depth
-        block, z = np.cumsum(parts, dtype=np.int32) - 1, new_z
-        if same and depth:
-            break
-    return z, prefix
-
-
-def repeated(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Whether the WINDOW bytes at each position start at two places or more; a segment counts as often as its weight.
+def repeated(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the WINDOW bytes at each position of the strings (joined in data, up to ends) start at two places or more.
 
-    Positions with fewer bytes left in their segment don't count.
+    The strings' transforms are merged all at once. The places after all windows, one string's after another's, are the
+    interleave by 0 bytes: a single block. From the interleave by the first d bytes of the places WINDOW - d into their
+    windows, the symbols before them, distributed stably, give that by d + STEP bytes of the places STEP earlier. A block
+    parts where symbols differ or the blocks that follow did; common prefixes are the depths at which places part. A
+    place that is alone in its block is settled, for whatever stands before it will be alone too. Blocks that are left
+    at WINDOW bytes are the repeated intervals.
     """
     n = len(data)
-    own = np.searchsorted(ends, np.arange(n), side="right")
-    left = ends[own] - np.arange(n)
-    wide = np.zeros(n + STEP, np.uint64)
-    wide[:n] = data
-    grams = np.zeros(n, np.uint64)
-    for k in range(STEP):  # 0 stands for nothing
-        grams = grams * np.uint64(257) + np.where(left > k, wide[k : n + k] + np.uint64(1), np.uint64(0))
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    grams = np.zeros(n, np.uint32)
+    wide = np.concatenate([data, np.zeros(STEP, np.uint8)])
+    for k in range(STEP):
+        grams = (grams << np.uint32(8)) | wide[k : n + k]
     kinds, symbols = np.unique(grams, return_inverse=True)
     symbols = symbols.astype(np.uint16 if len(kinds) < 1 << 16 else np.uint32)
-    cuts = ends[np.unique(np.searchsorted(ends, np.arange(SHARD, n + SHARD, SHARD)).clip(max=len(ends) - 1))]
-    bounds = np.unique(np.concatenate([[0], cuts, [n]]))
-    shards = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        inside = ends[(ends > lo) & (ends <= hi)]
-        shards.append(Shard(data[lo:hi], inside - lo, symbols[lo:hi]))
-    z, prefix = merged(shards)
-    suffix = np.empty(n, np.int64)
-    for k, shard in enumerate(shards):
-        suffix[z == k] = shard.order + bounds[k]
-    block = np.cumsum(prefix < WINDOW) - 1
-    counted = np.where(left[suffix] >= WINDOW, weights[own[suffix]], 0)
-    twice = np.bincount(block, counted) >= 2
+    del grams, kinds, wide
+    place = np.flatnonzero(left >= WINDOW).astype(np.int32) + np.int32(WINDOW)
+    block = np.zeros(len(place), np.int32)
+    for _ in range(0, WINDOW, STEP):
+        place -= np.int32(STEP)
+        before = symbols[place]
+        order = np.argsort(before, kind="stable")
+        before, block, place = before[order], block[order], place[order]
+        parts = np.ones(len(place) + 1, bool)
+        parts[1:-1] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
+        held = ~(parts[:-1] & parts[1:])
+        place, block = place[held], np.cumsum(parts[:-1][held], dtype=np.int32)
+        if not len(place):
+            break
     out = np.zeros(n, bool)
-    out[suffix] = twice[block]
-    return out & (left >= WINDOW)
+    out[place] = True
+    return out
 
 
 def _marks(batches):
@@ -216,7 +144,7 @@ def _marks(batches):
     def flush():
         sizes = np.array([len(r[4]) for r in held], np.int64)
         data, ends = np.frombuffer(b"".join(r[4] for r in held), np.uint8), np.cumsum(sizes)
-        hits = repeated(data, ends, np.array([r[5] for r in held], np.float64))
+        hits = repeated(data, ends)
         out = []
         for (i, h, first, _, _, n, _), lo, hi in zip(held, ends - sizes, ends):
             if n > 1:
