@@ -7,6 +7,7 @@ documents; the last one returns the digests read back from the token files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dossier.llm import decontaminate, langid, minhash, mixing, tokens
 from dossier.llm.common import bitmap, maybe_in, new_path, table
@@ -24,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "near")
     minhash.components(docs, k=5, percent=80).where("not kept").select("doc_id").distinct().write.parquet(path)
     gone = spark.read.schema("doc_id long").parquet(path)
-    rows = docs.withColumn("__maybe", maybe_in(spark, bitmap(gone, "doc_id"))("doc_id"))
+    rows = docs.withColumn("__maybe", maybe_in(spark, bitmap(gone.select(F.xxhash64("doc_id").alias("h")), "h"))(F.xxhash64("doc_id")))
     kept = rows.where("__maybe").join(gone, "doc_id", "left_anti").select(COLUMNS)
     return kept.union(rows.where("not __maybe").select(COLUMNS))
 

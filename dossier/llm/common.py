@@ -182,17 +182,20 @@ def connected_components(steps: Steps, edges: DataFrame, name: str, most: int =
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def bitmap(df: DataFrame, column: str, least: int = 1 << 20, most: int = 1 << 28) -> np.ndarray:
-    """A set of 64-bit hashes as bits, 16 for each hash but `most` at most (32 MB): that bounds what is sent to tasks.
+#: A hash sets the bits named by its bits from these places on.
+PROBES = (0, 20, 40)
 
-    It says yes to every member. Fuller than planned it only says yes more often; an exact join has to follow.
+
+def bitmap(df: DataFrame, column: str, per_hash: int = 16, most: int = 1 << 28) -> np.ndarray:
+    """A Bloom filter of 64-bit hashes with `per_hash` bits for each, but `most` at most (32 MB): that bounds what is
+    sent to tasks. It says yes to every member. Fuller than planned it only says yes more often; an exact join follows.
     """
-    bits = least
+    bits = 1 << 20
     n = df.count()
-    while bits < min(16 * n, most):
+    while bits < min(per_hash * n, most):
         bits *= 2
-    at = F.pmod(F.col(column), F.lit(bits))
-    words = df.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {bits}) % 64 as int))").alias("b"))
+    at = df.select(F.explode(F.array(*[F.shiftrightunsigned(F.col(column), p) for p in PROBES])).alias("h")).select(F.pmod("h", F.lit(bits)).alias("at"))
+    words = at.select((F.col("at") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy()
@@ -200,8 +203,14 @@ def bitmap(df: DataFrame, column: str, least: int = 1 << 20, most: int = 1 << 28
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.astype(np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    """Places of the hashes that may be in it."""
+    hashes, mask = hashes.astype(np.int64, copy=False).view(np.uint64), np.uint64(64 * len(bits) - 1)
+    left = None
+    for p in PROBES:
+        at = ((hashes if left is None else hashes[left]) >> np.uint64(p)) & mask
+        yes = np.flatnonzero((bits[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+        left = yes if left is None else left[yes]
+    return left
 
 
 def maybe_in(spark: SparkSession, bits: np.ndarray):
@@ -210,6 +219,8 @@ def maybe_in(spark: SparkSession, bits: np.ndarray):
 
     @F.pandas_udf("boolean")
     def found(hashes: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(shared.value, hashes.fillna(0).to_numpy(np.int64)) & hashes.notna().to_numpy())
+        out = np.zeros(len(hashes), bool)
+        out[in_bitmap(shared.value, hashes.fillna(0).to_numpy(np.int64))] = True
+        return pd.Series(out & hashes.notna().to_numpy())
 
     return found

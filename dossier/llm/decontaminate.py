@@ -94,7 +94,7 @@ def _scan(bits, lengths):
             for i, j in slices(offsets, BLOCK):
                 words, at = word_hashes(data, offsets[i : j + 1], PUNCTUATION)
                 hashes, places = seeds(words, at, lengths)
-                hit = np.flatnonzero(in_bitmap(bits.value, hashes.view(np.int64))) if len(hashes) else np.zeros(0, np.int64)
+                hit = in_bitmap(bits.value, hashes.view(np.int64))
                 hashes, places = hashes[hit], places[hit]
                 row = np.searchsorted(at, places, side="right") - 1
                 order = np.argsort(row, kind="stable")
@@ -144,7 +144,7 @@ def contaminated(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = steps.write(benchmark.select("item_id", "text").where("text is not null").mapInArrow(_items, "item_id long, words array<long>, hashes array<long>, places array<int>"), "items")
     lengths = [r[0] for r in items.select(F.size("words")).where(F.size("words") < WIDTH).distinct().collect()]
     known = items.select("item_id", "words", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("item_id", "words", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_at"))
-    bits = spark.sparkContext.broadcast(bitmap(known.select("hash").distinct(), "hash"))
+    bits = spark.sparkContext.broadcast(bitmap(known.select("hash").distinct(), "hash", per_hash=256))
     scanned = texts.where("text is not null").select("text", F.md5("text").alias("content"))
     scanned = scanned.mapInArrow(_scan(bits, tuple(lengths)), "content string, words array<long>, hashes array<long>, places array<int>")
     scanned = steps.write(scanned, "scanned").dropDuplicates(["content"])

@@ -126,13 +126,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     steps.drop("listed", "shared", "lines")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     whole = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
-    whole = whole.withColumn("maybe", maybe_in(spark, bitmap(gone, "id"))("id"))
+    whole = whole.withColumn("maybe", maybe_in(spark, bitmap(gone.select(F.xxhash64("id").alias("x")), "x"))(F.xxhash64("id")))
     kept = F.filter(split(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
     told = lambda removed, text: F.struct(F.size(split(F.col("text"))).cast("long").alias("n"), removed.alias("removed"), text.alias("text"))
     none = F.array().cast("array<int>")
     joined = whole.where("maybe").join(gone, ["id", "h"], "left").withColumn("gone", F.coalesce("gone", none))
     hit = joined.select("row", told(F.col("gone"), F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))).alias("lines"))
-    rest = whole.where("maybe is null or not maybe").select("row", told(none, F.coalesce("text", F.lit(""))).alias("lines"))
+    rest = whole.where("not maybe").select("row", told(none, F.coalesce("text", F.lit(""))).alias("lines"))
     return hit.union(rest).select("row.*", "lines")
 
 

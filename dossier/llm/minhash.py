@@ -153,8 +153,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = steps.write(in_bucket.join(shared.select("bucket", "pivot", "n"), "bucket"), "members")
 
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    maybe = maybe_in(spark, bitmap(candidates, "doc_id"))
-    texts = docs.select("doc_id", "text").where(maybe("doc_id")).join(candidates, "doc_id", "left_semi")
+    maybe = maybe_in(spark, bitmap(candidates.select(F.xxhash64("doc_id").alias("h")), "h"))
+    texts = docs.select("doc_id", "text").where(maybe(F.xxhash64("doc_id"))).join(candidates, "doc_id", "left_semi")
     full = steps.write(sets(texts.dropDuplicates(["doc_id"]), k), "sets")
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

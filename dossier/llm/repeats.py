@@ -214,7 +214,7 @@ def remove(docs: DataFrame) -> DataFrame:
     open_ = shared.where("all > n").groupBy("anchor", "name").agg(F.min(F.struct("id", "h", "first", "last")).alias("at"), F.first("n").alias("n"))
     wanted = open_.groupBy("at.id", "at.h").agg(F.collect_list(F.struct("at.first", "at.last", "anchor", "n")).alias("wanted"))
     wanted = steps.write(wanted, "wanted")
-    texts = rows.where(maybe_in(spark, bitmap(wanted, "id"))("id")).select("id", "h", "text")
+    texts = rows.where(maybe_in(spark, bitmap(wanted.select(F.xxhash64("id").alias("x")), "x"))(F.xxhash64("id"))).select("id", "h", "text")
     pieces = wanted.join(texts, ["id", "h"]).dropDuplicates(["id", "h"]).mapInArrow(_cut, "id long, h int, first int, anchor long, bytes binary, n long")
     pieces = steps.write(pieces, "pieces")
     total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -222,8 +222,8 @@ def remove(docs: DataFrame) -> DataFrame:
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")).repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "anchor")
     marks = dealt.mapInArrow(_marks, "id long, h int, first int, last int").union(shared.where("n > 1").select("id", "h", "first", "last"))
     spans = steps.write(marks.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    maybe = maybe_in(spark, bitmap(spans, "id"))
-    hit = rows.withColumn("maybe", maybe("id"))
+    maybe = maybe_in(spark, bitmap(spans.select(F.xxhash64("id").alias("x")), "x"))
+    hit = rows.withColumn("maybe", maybe(F.xxhash64("id")))
     joined = hit.where("maybe").join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
     alone = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
     steps.drop("shared", "wanted", "pieces")
