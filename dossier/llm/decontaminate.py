@@ -23,7 +23,7 @@ WIDTH, SUBSTITUTED = 13, 2
 LINE = (0, 1, 3, 9)
 #: Items with fewer words than this say too little to be found.
 FEWEST = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def seeds(words: np.ndarray, at: np.ndarray, lengths=()) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ LEARNT = 600
 #: A text that codes at more bits a byte than this in its best language is in none of them.
 MOST_BITS = 7.5
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

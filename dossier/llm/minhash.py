@@ -26,7 +26,7 @@ BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 #: Rounds in which a bucket's members meet a pivot before the rest meet one another.
 PIVOTS = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 SIGNATURE = "doc_id long, n int, s1 long, s2 long, buckets array<long>"
 

@@ -25,7 +25,7 @@ SPAN = WINDOW - K + 1
 #: Bytes of a symbol in the merge.
 STEP = 4
 BUCKET = 2 << 20
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 RUNS = "id long, h int, first int, last int, anchor long, name long"
 
