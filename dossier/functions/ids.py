@@ -62,7 +62,7 @@ def detect_version(c: Column, number: Column) -> Column:
     text = norm_text(c)
     end = r"(?![A-Za-z0-9_])(?![.\-/]?\d)"
     own = F.concat(F.lit(r"(?i)\Q"), s(number), F.lit(rf"\E[{WS}]*[_/ ][{WS}]*(?:V|Ver\.?|Version|Rev\.?|Revision)?[{WS}]*(\d{{1,3}}){end}"))
-    after = F.when(s(number) != "", F.regexp_extract(text, own, 1)).otherwise(F.lit(""))
+    after = F.when(s(number) != "", F.call_function("regexp_extract", text, own, F.lit(1))).otherwise(F.lit(""))
     named = F.regexp_extract(text, rf"(?i)(?<![A-Za-z0-9_])(?:Version|Revision|Rev\.?|Stand|Ausgabe)[{WS}]*[:.]?[{WS}]*(\d{{1,3}}){end}", 1)
     return F.when(after != "", after).otherwise(named)
 
