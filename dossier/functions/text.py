@@ -203,7 +203,7 @@ def clip_name(c: Column, most: int = 140) -> Column:
 def format_bytes(c: Column) -> Column:
     """1023 B, 1.5 KB, 12 MB: one decimal under ten units."""
     n = F.coalesce(c.cast("double"), F.lit(0.0))
-    shown = lambda v, unit: F.concat(F.when(v < 10, F.format_number(v, "#0.0")).otherwise(F.format_number(v, "#0")), F.lit(f" {unit}"))
+    shown = lambda v, unit: F.concat(F.when(v < 10, F.format_number(v, 1)).otherwise(F.round(v).cast("long").cast("string")), F.lit(f" {unit}"))
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(n / 1024, "KB")).when(n < 1 << 30, shown(n / (1 << 20), "MB")).otherwise(shown(n / (1 << 30), "GB"))
 
 

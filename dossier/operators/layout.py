@@ -81,7 +81,7 @@ def records(found: DataFrame, most: int = 60_000) -> DataFrame:
     first = F.filter("lines", lambda x: x["page"] == F.col("lines")[0]["page"])
     docs = docs.withColumns({"text": text, "flat": flat, "p1": first}).withColumn("li", detect_number(F.col("flat")))
     cut = F.substring("text", 1, most)
-    whole = F.when(F.length("text") > most, F.substring_index(cut, "\n", F.size(F.split(cut, "\n")) - 1)).otherwise(F.col("text"))
+    whole = F.when(F.length("text") > most, F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)^(.*)\n", 1), F.lit("")), cut)).otherwise(F.col("text"))
     group = rf"(?i)^(?:function|design)[{WS}]*group[{WS}]*"
     return docs.select(
         "doc",

@@ -143,7 +143,7 @@ def order_trash_plan(links: DataFrame, ros: DataFrame, order_id: str, mode: str)
     if mode != "trash":
         return mine.withColumn("action", F.lit(mode))
     other = links.where((F.col("fromType") == "ro") & (F.col("toType") == "file") & (F.col("fromId") != order_id))
-    other = other.join(live(ros).select("id"), F.col("fromId") == F.col("id"), "left_semi").select(F.col("toId").alias("fileId")).distinct().withColumn("__o", F.lit(1))
+    other = other.join(live(ros).select(F.col("id").alias("__r")), F.col("fromId") == F.col("__r"), "left_semi").select(F.col("toId").alias("fileId")).distinct().withColumn("__o", F.lit(1))
     return mine.join(other, "fileId", "left").select("fileId", F.when(F.col("__o").isNull(), "trash").otherwise("keep").alias("action"))
 
 
