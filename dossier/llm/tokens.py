@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import new_path, partitions, table
+from dossier.llm.common import Steps, new_path, partitions, table
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -120,7 +120,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("pos"), batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read(spark, path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.monotonically_increasing_id().alias("pos"), "doc_id", "ids")
-    rows = rows.mapInArrow(sums, "file string, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = Steps(spark).write(rows.mapInArrow(sums, "file string, pos long, doc_id long, n_tokens long, ids_crc32 long"), "digests")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n")).select("file", "before")
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "pos")) - F.col("n_tokens")
