@@ -7,7 +7,7 @@ alike; their expected copies are prefix-summed, one random offset per source is
 per integer boundary that its stretch crosses. The words taken then miss the target by about one document's size.
 
 Prefix sums never bring a source into one task: counts per (source, size, salt) are summed first, and only within such
-a cell are documents ranked.
+a cell are documents ranked. The counts are a written table, so texts are read twice: to count and to draw.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, table
+from dossier.llm.common import WORD, Steps, table
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (3, 1, 2)
@@ -65,6 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, most: int =
     # A key without nulls lets the ranks and the join use one shuffle.
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("salt", F.coalesce(F.pmod("id", F.lit(SALTS)), F.lit(-1)).cast("int"))
     cells = rows.groupBy("key", "size", "salt").agg(F.first("source").alias("source"), F.count("*").alias("n"))
+    cells = Steps(docs.sparkSession).write(cells, "cells")
     goals = targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share_percent, most, seed)
     goals = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target", "u")
     sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n_size"))
