@@ -323,13 +323,13 @@ def unit_convert(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, round(p_retailprice * (p_size % 30) / 100, 4) AS save, round((p_retailprice - p_retailprice * (p_size % 30) / 100) * 1.07, 4) AS with_tax,
-  round((p_retailprice - p_size) / nullif(p_size, 0) * 100, 4) AS change FROM part
+SELECT p_partkey, p_retailprice * (p_size % 30) / 100 AS save, (p_retailprice - p_retailprice * (p_size % 30) / 100) * (1 + 7::DOUBLE / 100) AS with_tax,
+  (p_retailprice - p_size::DOUBLE) / nullif(p_size, 0)::DOUBLE * 100 AS change FROM part
 """)
 def price_arithmetic(spark, sf_dir):
     d = calc.discount(F.col("p_retailprice"), F.col("p_size") % 30, F.lit(7))
     change = calc.percent_change(F.col("p_size").cast("double"), F.col("p_retailprice"))
-    return t(spark, sf_dir, "part").select("p_partkey", d.alias("d"), F.round(change, 4).alias("change")).select("p_partkey", F.round("d.save", 4).alias("save"), F.round("d.with_tax", 4).alias("with_tax"), "change")
+    return t(spark, sf_dir, "part").select("p_partkey", d["save"].alias("save"), d["with_tax"].alias("with_tax"), change.alias("change"))
 
 
 @query("""
