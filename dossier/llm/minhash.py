@@ -90,8 +90,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
+#: Words of the bitmap that stands for a set in a first comparison.
+WORDS = 16
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): each row's set as ascending signed hashes."""
+    """(doc_id, shingles, bits): each row's set as ascending signed hashes, and a bitmap with one bit for each hash."""
 
     def run(batches):
         for batch in batches:
@@ -101,9 +105,13 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 found = found.view(np.int64)
                 half = [np.sort(found[a:b]) for a, b in zip(at[:-1], at[1:])]
                 lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate(half) if half else found)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "shingles"])
+                bits = np.zeros((j - i, 64 * WORDS), bool)
+                bits[np.repeat(np.arange(j - i), np.diff(at)), (found.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * WORDS)] = True
+                packed = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * WORDS), pa.array(packed))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, maps], names=["doc_id", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +169,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = ordered(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     met = steps.write(_verified(pairs, full, percent), "met-0")
     for round_ in range(1, PIVOTS + 1):
-        # Two rounds join most; what they leave apart only meets once more than it had to.
-        found = connected_components(steps, met.where("linked"), f"joined-{round_}", most=2)
+        # Before the last step components are whole; until then two rounds join enough.
+        found = connected_components(steps, met.where("linked"), f"joined-{round_}", most=2 if round_ < PIVOTS else 1 << 30)
         of = members.where("n > 2").join(found.groupBy("node").agg(F.min("component").alias("component")).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(round_))).alias("other"))
         open_ = of.select("bucket", "rep", "component").join(mixed.where("low <> high").select("bucket", "other"), "bucket")
@@ -183,20 +191,33 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _all_that_can_link(steps: Steps, open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket, but those that their own shingles rule out.
+    """Pairs (a, b) of different components in one bucket, but those whose sets cannot share enough.
 
-    A shingle that no other open document has is in no intersection. So of two sets with n shingles, m of them in other
-    documents too, at most the lesser m can be shared, and a link needs percent / (100 + percent) of both n together.
-    Such a document alone in a large group of copies then meets none of them.
+    A link needs percent / (100 + percent) of both sizes n together to be shared. A shingle that no other open document
+    has is in no intersection; so of two sets with m shingles in other documents too, at most the lesser m is shared. And
+    each bit in which two bitmaps differ stands for a shingle of one set that the other lacks; so at most half of what is
+    left of both n is shared. Both bounds are exact: no link is lost. A pair counts in the first of the buckets that both
+    stand in, so it comes out once.
     """
     rows = steps.write(open_.distinct(), "open")
     listed = full.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("x"))
     alone = listed.groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = full.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    sized = rows.join(sizes.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "rep").where(f"100 * m >= {percent} * n")
+    sizes = full.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), "bits").join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    own = rows.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    sizes = sizes.join(own, "rep").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bits", "buckets").where(f"100 * m >= {percent} * n")
+    sized = rows.join(sizes, "rep")
     left, right = sized.alias("l"), sized.alias("r")
-    enough = f"{100 + percent} * least(l.m, r.m) >= {percent} * (l.n + r.n) and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
-    return left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & F.expr(enough)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    differ = " + ".join(f"bit_count(l.bits[{w}] ^ r.bits[{w}])" for w in range(WORDS))
+    can = " and ".join(
+        [
+            "l.bucket = r.bucket and l.component < r.component",
+            f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)",
+            f"{100 + percent} * least(l.m, r.m) >= {percent} * (l.n + r.n)",
+            f"{100 + percent} * (l.n + r.n - ({differ})) >= {2 * percent} * (l.n + r.n)",
+            "array_min(array_intersect(l.buckets, r.buckets)) = l.bucket",
+        ]
+    )
+    return left.join(right, F.expr(can)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
