@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch. By rows alone (10,000), a batch of long texts takes hundreds of MB in the JVM and in Python.
+BATCH = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches sent to Python end after BATCH bytes (or one longer row), so a task's memory does not follow text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach: spark.checkpoint.dir, or (unset, as in tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +60,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        bounded_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import slices, table, text_buffer
+from dossier.llm.common import bounded_batches, slices, table, text_buffer
 
 ORDER = 4
 #: At most so many texts of each language are learnt from: those with the smallest hash of their text.
@@ -166,15 +166,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     without a model, gives `und`, score 0 and null bits. Equal code lengths go to the first language by code point.
     """
     names = docs.columns
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
-    scored = docs.select("*", F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    scored = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
 
     def score(batches):
         m = shared.value if shared else None
         for batch in batches:
             keep = batch.select(names)
             letter = np.asarray(batch.column("__letter").to_pylist(), bool)
-            data, offsets = text_buffer(batch.column("__text"))
+            data, offsets = text_buffer(batch.column("text"))
             if m is None or not len(letter):
                 best, sure, bits = np.full(len(letter), "und", object), np.zeros(len(letter)), np.full(len(letter), np.nan)
             else:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import Steps, new_path, partitions, table
+from dossier.llm.common import Steps, bounded_batches, new_path, partitions, table
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,6 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     Rows are dealt by range of doc_id, so a long run of one doc_id is the one thing that stays together.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = encode_rows(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")), tokenizer, end)
     rows.write.options(**ORC).orc(path)
