@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch. By rows alone (10,000), a batch of long texts takes hundreds of MB in the JVM and in Python.
-BATCH = "8m"
+BATCH = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -116,17 +116,22 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 P = 0x9E3779B97F4A7C15
 P_INVERSE = pow(P, -1, 1 << 64)
+KEEP = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i below n or more, kept for the next call."""
-    if len(_powers.get(0, ((), ()))[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up, down = np.full(size, P, np.uint64), np.full(size, P_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[0]
+    """P^i and P^-i modulo 2^64 for i below n or more. Up to KEEP of each stay for the next call, so that one very long
+    text does not cost a worker its memory for good."""
+    if len(_powers.get(0, ((), ()))[0]) >= n:
+        return _powers[0]
+    size = 1 << max(16, int(n - 1).bit_length())
+    up, down = np.full(size, P, np.uint64), np.full(size, P_INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    found = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= KEEP:
+        _powers[0] = found
+    return found
 
 
 _SPACE = np.zeros(256, bool)
