@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Known pieces kept by a worker, some 200 bytes each; beyond it they are forgotten and encoded anew.
-KEPT = 500_000
+KEPT = 800_000
 
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
