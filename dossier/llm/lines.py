@@ -1,10 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap if they share a line. A rare line (at most RARE documents) pairs each of its documents with every
-earlier one; a more common line pairs each of its documents with the first one, so no line is left out and pairs grow
-with the lines. Each pair is aligned by patience diff: lines that stand once in both, in the longest common order, are
-anchors; anchors grow over equal neighbours, and the gaps between them are aligned in turn. Aligned blocks of FEWEST words
-or more are deleted from the later document.
+Each document is compared with every earlier one that shares a line, by patience diff: lines that stand once in both, in
+the longest common order, are anchors; anchors grow over equal neighbours, and the gaps between them are aligned in turn.
+Aligned blocks of FEWEST words or more are deleted from the later document.
+
+Pairs that can delete nothing are not aligned, and no others are left out. A block that deletes a line holds one of the
+line's tags: the shortest runs of lines around it, without a blank one, that have FEWEST words. So only documents with a
+common tag are pairs. Of a rare tag (at most RARE documents) all pairs are aligned. A more common tag first pairs its
+documents with pivots, the first document and then the first one that still keeps a line with this tag, as long as that
+settles lines; those that still keep such a line then meet every earlier document of the tag.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, Steps, bitmap, maybe_in, table
+from dossier.llm.common import WORD, Steps, bitmap, constants, maybe_in, mix, table
 
 RARE = 8
 FEWEST = 5
+#: Rounds of pivots end when fewer than one in SETTLED of what was left is settled.
+SETTLED = 10
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -88,6 +94,47 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "h", "gone"])
 
 
+def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the tags of all kept places; lines of all rows stand one after another, blank ones have no words."""
+    n = len(keys)
+    sums = np.concatenate([[0], np.cumsum(words)])
+    blank = np.concatenate([[0], np.cumsum(words == 0)])
+    order = constants(FEWEST, 61)
+    rows, found = [], []
+    for before in range(FEWEST):
+        for size in range(before + 1, FEWEST + 1):
+            p = np.flatnonzero(kept[before : n - size + before + 1]) + before if n >= size else np.zeros(0, np.int64)
+            s, e = p - before, p - before + size
+            total = sums[e] - sums[s]
+            good = (row[s] == row[e - 1]) & (blank[s] == blank[e]) & (total >= FEWEST)
+            if before:
+                good &= total - words[s] < FEWEST
+            if size > before + 1:
+                good &= total - words[e - 1] < FEWEST
+            s = s[good]
+            whole = np.full(len(s), size, np.uint64)
+            for k in range(size):
+                whole += mix(keys[s + k] * order[k])
+            rows.append(row[s])
+            found.append(mix(whole))
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _tags(batches):
+    for batch in batches:
+        n = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        keys = batch.column("lines").flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        gone = batch.column("gone")
+        kept = np.ones(len(row), bool)
+        begins = np.concatenate([[0], np.cumsum(n)])
+        kept[np.repeat(begins[:-1], gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + gone.flatten().to_numpy(zero_copy_only=False)] = False
+        at, found = tags(keys, words, row, kept)
+        at, found = np.unique(np.stack([at, found.view(np.int64)]), axis=1) if len(at) else (at, found.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("h").take(pa.array(at)), pa.array(found, pa.int64())], names=["id", "h", "tag"])
+
+
 def split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -107,29 +154,56 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     listed = listed.select("id", "h", F.transform("x", lambda x: F.when(x != "", F.xxhash64(x))).alias("lines"), F.transform("x", lambda x: F.regexp_count(x, F.lit(WORD)).cast("int")).alias("words"))
     listed = steps.write(listed, "listed")
     doc = F.struct("id", "h")
-    seen = listed.select(doc.alias("doc"), F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line")).distinct()
-    common = seen.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last")
-    shared = steps.write(seen.join(common.select("line", "first", "n"), "line"), "shared")
-    star = shared.where(f"n > {RARE} and doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    rare = shared.where(f"n <= {RARE}").groupBy("line").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    every = rare.select(F.posexplode("docs").alias("k", "b"), "docs").select(F.explode(F.slice("docs", F.lit(1), F.col("k"))).alias("a"), "b")
-    pairs = star.union(every).distinct()
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    none = F.array().cast("array<int>")
+    tagged = lambda df: df.mapInArrow(_tags, "id long, h long, tag long").select(doc.alias("doc"), "tag")
+    seen = tagged(listed.select("id", "h", "lines", "words", none.alias("gone"))).distinct()
+    common = seen.groupBy("tag").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last")
+    shared = steps.write(seen.join(common.select("tag", "first", "n"), "tag"), "shared")
+    wanted = shared.select("doc").distinct()
     lines = steps.write(listed.withColumn("doc", doc).join(wanted, "doc", "left_semi").dropDuplicates(["id", "h"]).select("doc", "lines", "words"), "lines")
     # A blank line is unlike any other, so it gets a number of its own in each document of a pair.
     apart = lambda c, salt: F.transform(c, lambda x, i: F.coalesce(x, F.xxhash64(F.lit(salt), i)))
-    both = pairs.join(lines.select(F.col("doc").alias("b"), apart("lines", "b").alias("lines_b"), F.col("words").alias("words_b")), "b")
-    both = both.join(lines.select(F.col("doc").alias("a"), apart("lines", "a").alias("lines_a")), "a")
-    gone = both.select(F.col("b.id").alias("id"), F.col("b.h").alias("h"), "lines_a", "lines_b", "words_b").mapInArrow(_align, "id long, h long, gone array<int>")
-    gone = gone.where("size(gone) > 0").select("id", "h", F.explode("gone").alias("g")).groupBy("id", "h").agg(F.sort_array(F.collect_set("g")).alias("gone"))
-    gone = steps.write(gone, "gone")
-    steps.drop("listed", "shared", "lines")
+
+    def align(pairs: DataFrame, k: int) -> DataFrame:
+        both = pairs.join(lines.select(F.col("doc").alias("b"), apart("lines", "b").alias("lines_b"), F.col("words").alias("words_b")), "b")
+        both = both.join(lines.select(F.col("doc").alias("a"), apart("lines", "a").alias("lines_a")), "a")
+        found = both.select(F.col("b.id").alias("id"), F.col("b.h").alias("h"), "lines_a", "lines_b", "words_b").mapInArrow(_align, "id long, h long, gone array<int>")
+        return steps.write(found.where("size(gone) > 0"), f"gone-{k}")
+
+    def together(found: DataFrame) -> DataFrame:
+        return found.select("id", "h", F.explode("gone").alias("g")).groupBy("id", "h").agg(F.sort_array(F.collect_set("g")).alias("gone"))
+
+    rare = shared.where(f"n <= {RARE}").groupBy("tag").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    every = rare.select(F.posexplode("docs").alias("k", "b"), "docs").select(F.explode(F.slice("docs", F.lit(1), F.col("k"))).alias("a"), "b")
+    hot = shared.where(f"n > {RARE}")
+    left = hot.where("doc <> first").select("tag", "doc", "first")
+    done = steps.write(left.select(F.col("first").alias("a"), F.col("doc").alias("b")).union(every).distinct(), "pairs-0")
+    found, before, k = align(done, 0), left.count(), 0
+    while before:
+        # What is left: documents with a common tag at a line that they still keep.
+        rest = lines.join(left.select("doc").distinct(), "doc", "left_semi").select("doc.*", "lines", "words").join(together(found), ["id", "h"], "left")
+        kept = tagged(rest.select("id", "h", "lines", "words", F.coalesce("gone", none).alias("gone")))
+        left = steps.write(left.select("tag", "doc").join(kept, ["tag", "doc"], "left_semi"), f"left-{k}")
+        now = left.count()
+        last = SETTLED * (before - now) < before
+        before, k = now, k + 1
+        if last:
+            others = hot.select("tag", F.col("doc").alias("a"))
+        else:
+            others = left.groupBy("tag").agg(F.min("doc").alias("a"))
+        pairs = left.withColumnRenamed("doc", "b").join(others, "tag").where("a < b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        pairs = steps.write(pairs, f"pairs-{k}")
+        done = done.union(pairs)
+        found = found.union(align(pairs, k))
+        if last:
+            break
+    gone = steps.write(together(found), "gone")
+    steps.drop(*[name for name in steps.paths if name != "gone"])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     whole = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
     whole = whole.withColumn("maybe", maybe_in(spark, bitmap(gone.select(F.xxhash64("id").alias("x")), "x"))(F.xxhash64("id")))
     kept = F.filter(split(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
     told = lambda removed, text: F.struct(F.size(split(F.col("text"))).cast("long").alias("n"), removed.alias("removed"), text.alias("text"))
-    none = F.array().cast("array<int>")
     joined = whole.where("maybe").join(gone, ["id", "h"], "left").withColumn("gone", F.coalesce("gone", none))
     hit = joined.select("row", told(F.col("gone"), F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))).alias("lines"))
     rest = whole.where("not maybe").select("row", told(none, F.coalesce("text", F.lit(""))).alias("lines"))

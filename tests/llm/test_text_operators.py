@@ -255,6 +255,37 @@ def test_lines_against_brute_force(spark, docs):
         assert r.lines.text == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in r.lines.removed)
 
 
+def all_pairs_lines(rows):
+    """The definition without any choice of pairs: every document against every earlier one."""
+    docs = sorted((i, t) for i, t in rows)
+    keys = [[x.strip() or None for x in t.split("\n")] for _, t in docs]
+    gone = [set() for _ in docs]
+    for b in range(len(docs)):
+        for a in range(b):
+            la, lb = ([x if x is not None else (s, k) for k, x in enumerate(keys[d])] for s, d in (("a", a), ("b", b)))
+            gone[b] |= set(lines.blocks(lines.patience(la, lb), [len(words_of(x)) if x else 0 for x in keys[b]]))
+    return {docs[d][0]: sorted(g) for d, g in enumerate(gone)}
+
+
+def test_common_lines_meet_every_earlier_holder(spark):
+    x, y = "the first line of five words", "another line of at least five"
+    short = ["a b", "c", "d e", "f"]
+    rows = [(k, "\n".join(v)) for k, v in enumerate([[x, y]] * 3 + [[y, x]] * 12)]  # other order than the first holder's
+    rows += [(100 + k, f"head {k}\n{x}\nmiddle {k}\n{x}\ntail {k}") for k in range(12)]  # no anchor: it stands twice
+    rows += [(200 + k, "\n".join([f"own {k}", *short[k % 2 :], f"end {k}"])) for k in range(30)]  # blocks of short lines
+    rng = np.random.default_rng(8)
+    bag = [x, y, *short, "", "g h i", "one two three four five six", "  c "]
+    rows += [(300 + k, "\n".join(rng.choice(bag, rng.integers(1, 9)))) for k in range(150)]
+    want = all_pairs_lines(rows)
+    got = {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and all(want[d] == [0, 1] for d in range(4, 15))
+
+
+def test_lines_against_all_pairs(spark, docs):
+    want = all_pairs_lines([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(docs).collect()} == want
+
+
 def test_lines_odd_rows(odd, none):
     got = lines.dedup_lines(odd.withColumnRenamed("source", "gone")).collect()
     assert len(got) == len(ODD) and "gone" in got[0].asDict()
