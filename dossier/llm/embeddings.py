@@ -9,11 +9,13 @@ Vectors alike in every component are one vector from the start. Large buckets ar
 vectors, block against block. A pair that meets in several buckets counts in the first one, which every task works out
 from the two vectors alone; so pairs are never written out: tasks return each vector's links and a spanning forest.
 
-Measured for pairs at cosine 0.95 in 64 dimensions: one table misses 40 of 100, all 16 about 1 in 2,000,000.
+Measured for pairs at cosine 0.95 in 64 dimensions: one table misses 40 of 100, all 16 about 1 in 2,000,000. Longer keys
+(from 2,097,152 vectors on) and more dimensions miss more in one table, so there are more tables then (`tables_for`).
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -26,6 +28,10 @@ from dossier.llm.common import Steps, connected_components, constants, mix, part
 TABLES, DEPTH, PROBES, BLOCK = 16, 3, 3, 512
 #: Runner-up axes looked at in each hash for the probes.
 RUNNERS = 3
+#: A pair at the least cosine meets in no table with this chance at most, whatever the depth and the dimensions.
+MISSED = 7e-7
+#: Random pairs, and tables for each, from which one table's misses are measured.
+TRIED = 4096, 8
 
 
 def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -40,15 +46,15 @@ def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def keys(x: np.ndarray, depth: int) -> np.ndarray:
+def keys(x: np.ndarray, depth: int, tables: int = TABLES) -> np.ndarray:
     """Bucket ids (vector, table, own key and then its probes) of unit vectors of one dimension."""
     d = 1 << max(1, int(x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
     rng = np.random.default_rng(20_05)
     combos = [c for c in itertools.product(range(min(RUNNERS + 1, d)), repeat=depth) if 0 < sum(map(bool, c)) <= 2]
     own = constants(depth, 41)
-    out = np.empty((len(x), TABLES, PROBES + 1), np.uint64)
-    for t in range(TABLES):
+    out = np.empty((len(x), tables, PROBES + 1), np.uint64)
+    for t in range(tables):
         axes, gaps = [], []
         for _ in range(depth):
             y = _turned(x, rng.choice([-1.0, 1.0], (3, d)))
@@ -63,10 +69,32 @@ def keys(x: np.ndarray, depth: int) -> np.ndarray:
         out[:, t, 0] = base
         every = np.stack([sum(a[:, k] * w for a, k, w in zip(axes, c, own)) for c in combos], 1)
         out[:, t, 1:] = np.take_along_axis(every, best, 1)
-        out[:, t] = mix(out[:, t] * np.uint64(TABLES) + np.uint64(t) + constants(1, 42 + x.shape[1]))
+        out[:, t] = mix(out[:, t] * np.uint64(tables) + np.uint64(t) + constants(1, 42 + x.shape[1]))
     return out
 
 
+def missed(depth: int, d: int, least: float, seed: int = 20_06) -> float:
+    """Share of one table's misses among random pairs at cosine `least` in d dimensions."""
+    rng = np.random.default_rng(seed)
+    lost, (pairs, tables) = 0, TRIED
+    for _ in range(0, pairs, 512):
+        x, y = rng.normal(size=(2, 512, d))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        y -= x * (x * y).sum(axis=1, keepdims=True)
+        y = least * x + np.sqrt(1 - least * least) * y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+        a, b = keys(x, depth, tables), keys(y, depth, tables)
+        lost += int((~((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2))).sum())
+    return max(lost, 1) / (pairs * tables)
+
+
+@functools.lru_cache(maxsize=None)
+def tables_for(depth: int, d: int, least: float) -> int:
+    """Tables, TABLES at least, that keep the chance of missing a pair under MISSED; d dimensions or fewer."""
+    if depth <= DEPTH and d <= 64 and least >= 0.95:
+        return TABLES
+    return max(TABLES, int(np.ceil(np.log(MISSED) / np.log(missed(depth, d, least)))))
+
+
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of a list column as doubles, padded with zeros to the longest, and their lengths; unit length each."""
     flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), column.value_lengths().to_numpy(zero_copy_only=False)
@@ -82,15 +110,15 @@ def _by_size(x, sizes):
         yield at, x[at, :d]
 
 
-def _place(depth: int):
+def _place(depth: int, tables: int):
     def run(batches):
         for batch in batches:
             x, sizes = _unit(batch.column("embedding"))
             reps = batch.column("rep").to_numpy()
             for at, own in _by_size(x, sizes):
                 for k in range(0, len(at), 1024):
-                    found = keys(own[k : k + 1024], depth).reshape(-1, TABLES * (PROBES + 1))
-                    main = np.tile(np.arange(PROBES + 1) == 0, TABLES * len(found))
+                    found = keys(own[k : k + 1024], depth, tables).reshape(-1, tables * (PROBES + 1))
+                    main = np.tile(np.arange(PROBES + 1) == 0, tables * len(found))
                     yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), pa.array(np.repeat(reps[at[k : k + 1024]], found.shape[1])), pa.array(main)], names=["bucket", "rep", "main"])
 
     return run
@@ -100,7 +128,7 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The bucket that counts for each pair: of the first table where they meet, the lesser one."""
     none = np.uint64((1 << 64) - 1)
     out = np.full(len(a), none, np.uint64)
-    for t in range(TABLES - 1, -1, -1):
+    for t in range(a.shape[1] - 1, -1, -1):
         x, y = a[:, t], b[:, t]
         one = np.where((y == x[:, :1]).any(axis=1), x[:, 0], none)
         two = np.where((x == y[:, :1]).any(axis=1), y[:, 0], none)
@@ -109,7 +137,7 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _link(depth: int, least: float):
+def _link(depth: int, tables: int, least: float):
     def links(group, bucket, block_a, block_b, own, rep, mult, x, sizes):
         left, right = [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -126,9 +154,9 @@ def _link(depth: int, least: float):
         i, j = i[near >= least], j[near >= least]
         if len(i):
             used = np.unique(np.concatenate([i, j]))
-            codes = np.zeros((len(used), TABLES, PROBES + 1), np.uint64)
+            codes = np.zeros((len(used), tables, PROBES + 1), np.uint64)
             for at, own_x in _by_size(x[used], sizes[used]):
-                codes[at] = keys(own_x, depth)
+                codes[at] = keys(own_x, depth, tables)
             meet = _first_meeting(codes[np.searchsorted(used, i)], codes[np.searchsorted(used, j)])
             now = meet == bucket[i].view(np.uint64)
             i, j = i[now], j[now]
@@ -171,7 +199,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id: str = "vec_id",
     with null or non-finite components, and rows with a null id link with nothing: their component is their own id (null
     if that is null) and they are kept. Rows of one id count as one vector if alike; else each has its links, and they
     share a component. An empty table gives an empty one. Keys get longer with the number of vectors, so that buckets of
-    unrelated vectors stay small.
+    unrelated vectors stay small, and tables more, so that no more pairs are missed.
     """
     spark = vectors.sparkSession
     steps = Steps(spark)
@@ -180,16 +208,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id: str = "vec_id",
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     sound = rows.where("fit")
     classes = steps.write(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
-    n = classes.count()
+    n, d = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     depth = max(DEPTH, int(np.ceil(np.log(max(n, 2)) / np.log(128))))
-    placed = steps.write(classes.select("rep", "embedding").mapInArrow(_place(depth), "bucket long, rep long, main boolean"), "placed")
+    tables = tables_for(depth, d or 2, least)
+    placed = steps.write(classes.select("rep", "embedding").mapInArrow(_place(depth, tables), "bucket long, rep long, main boolean"), "placed")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("main").alias("any")).where("n > 1 and any")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = placed.join(shared, "bucket").select("bucket", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
     met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep")
     full = met.join(classes, "rep").repartition(partitions(spark), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    linked = steps.write(full.select("bucket", "a", "b", "own", "rep", "mult", "embedding").mapInArrow(_link(depth, least), "rep long, links long, root long"), "linked")
+    linked = steps.write(full.select("bucket", "a", "b", "own", "rep", "mult", "embedding").mapInArrow(_link(depth, tables, least), "rep long, links long, root long"), "linked")
     joined = connected_components(steps, linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), "joined")
     steps.drop("placed")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))

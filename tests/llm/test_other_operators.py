@@ -133,3 +133,17 @@ def test_registered(name):
     from dossier.llm import registry
 
     assert name in registry.QUERIES
+
+
+def test_longer_keys_get_more_tables(spark, monkeypatch):
+    assert embeddings.tables_for(3, 64, 0.95) == embeddings.TABLES and embeddings.missed(3, 32, 0.95) < embeddings.missed(3, 64, 0.95)
+    for depth, d in ((3, 64), (4, 64), (3, 128)):
+        n = embeddings.tables_for(depth, d, 0.95)
+        assert embeddings.missed(depth, d, 0.95, seed=3) ** n < 1e-6
+    # The whole operator with the keys of a large table.
+    monkeypatch.setattr(embeddings, "DEPTH", 4)
+    used = []
+    keys = embeddings.keys
+    monkeypatch.setattr(embeddings, "tables_for", lambda *a: used.append(a) or 28)
+    assert embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")).where("n_links = 1").count() == 2
+    assert used == [(4, 2, 0.95)] and keys(np.eye(4), 4, 28).shape == (4, 28, embeddings.PROBES + 1)
