@@ -282,10 +282,10 @@ def vin_checks(spark, sf_dir):
 
 @query()
 def vin_scan(spark, sf_dir):
-    """Vehicle numbers put into texts, with labels and gaps, and found again."""
+    """Vehicle numbers of whole texts, with one put behind each, with labels and gaps."""
     k = F.col("doc_id")
     label = F.when(k % 3 == 0, "VIN: ").when(k % 3 == 1, "Datenkarte ").otherwise("")
-    said = F.concat(F.substring("text", 1, 40), F.lit(" "), label, F.lit("W1N KM4GB9SF"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit(" end"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), label, F.lit("W1N KM4GB9SF"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit(" end"))
     return t(spark, sf_dir, "documents").select("doc_id", vin.find_vins(said).alias("f")).select("doc_id", F.array_join("f.vins", ",").alias("vins"), F.array_join("f.fins", ",").alias("fins"))
 
 

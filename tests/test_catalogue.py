@@ -1,5 +1,7 @@
 """Every registered query of the core against DuckDB, at the small scale."""
 
+import re
+
 import pytest
 
 from dossier.plans import catalogue
@@ -16,3 +18,14 @@ def test_query_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_vin_scan_reads_whole_texts(spark, tmp_path):
+    texts = {1: "x " * 40 + "VIN: WDB1240301A123456, end", 2: "WDB 1240301A12345 6" + " word" * 3000 + " Datenkarte W1K2140471A068698.", 3: "none", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: sorted(f"{r.vins},{r.fins}".strip(",").split(",")) for r in catalogue.QUERIES["vin_scan"](spark, str(tmp_path)).collect()}
+    number = re.compile(r"(?<![A-Z0-9])W(?:DB|1K|1N)(?:[ ]?[A-Z0-9]){14}(?![A-Z0-9])")
+    for k, text in texts.items():
+        said = f"{text or ''} W1N KM4GB9SF{k:06d} end"
+        assert got[k] == sorted(m.replace(" ", "") for m in number.findall(said))
+    assert [len(got[k]) for k in (1, 2, 3, 4)] == [2, 3, 1, 1]
