@@ -1,16 +1,18 @@
 """Line and token differences of pairs of texts, with moved blocks. Pairs are rows; each is worked out by itself.
 
-The table of a longest common subsequence is quadratic, so it is bounded: what is alike at both ends is taken off first,
-and longer middles are cut at lines or words that stand once in both.
+What is alike at both ends is taken off first; the middle is a longest common subsequence, whatever its length. Of a table
+over CELLS only every so many rows are kept, and the rows between are worked out again on the way: its steps are those of
+the whole table, in the memory of a few hundred rows. Time is quadratic.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of one table; also the bound of its memory.
+#: Cells of a table that is kept whole.
 CELLS = 4_000_000
 RUNS = "op string, a int, b int, n int"
 
@@ -38,37 +40,54 @@ def _table(a: list, b: list) -> list[tuple[str, int, int]]:
     return out
 
 
-def _unique_split(a: list, b: list) -> tuple[int, int] | None:
-    """The common item nearest to the middle that stands once in both."""
-    from collections import Counter
+def _rows(a: np.ndarray, b: np.ndarray, below: np.ndarray):
+    """Rows of the table for the items of a from the last to the first, above the row `below`."""
+    for x in a[::-1]:
+        best = np.maximum(below[:-1], np.where(b == x, below[1:] + 1, 0))
+        below = np.append(np.maximum.accumulate(best[::-1])[::-1], below[-1:])
+        yield below
 
-    ca, cb = Counter(a), Counter(b)
-    at = {x: j for j, x in enumerate(b)}
-    once = [(abs(i - len(a) // 2) + abs(at[x] - len(b) // 2), i, at[x]) for i, x in enumerate(a) if ca[x] == 1 and cb.get(x) == 1]
-    return min(once)[1:] if once else None
+
+def _long_table(a: list, b: list) -> list[tuple[str, int, int]]:
+    """The same steps as _table's, from every `every`-th row and one piece of rows at a time."""
+    numbers: dict = {}
+    x, y = (np.array([numbers.setdefault(v, len(numbers)) for v in side], np.int32) for side in (a, b))
+    n, m = len(a), len(b)
+    every = max(1, int(n**0.5))
+    held = {n: np.zeros(m + 1, np.int32)}
+    for i, row in zip(range(n - 1, -1, -1), _rows(x, y, held[n])):
+        if i % every == 0:
+            held[i] = row
+    i = j = 0
+    out = []
+    while i < n:
+        last = min(n, i + every)
+        piece = [held[last], *_rows(x[i:last], y, held[last])][::-1]
+        first = i
+        while i < last:
+            if j < m and x[i] == y[j]:
+                out.append(("=", i, j))
+                i, j = i + 1, j + 1
+            elif j == m or piece[i + 1 - first][j] >= piece[i - first][j + 1]:
+                out.append(("-", i, j))
+                i += 1
+            else:
+                out.append(("+", i, j))
+                j += 1
+    return out + [("+", n, k) for k in range(j, m)]
 
 
 def steps(a: list, b: list) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i0, i1, j0, j1 = todo.pop()
-        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
-            out.append(("=", i0, j0))
-            i0, j0 = i0 + 1, j0 + 1
-        tail = 0
-        while i0 < i1 - tail and j0 < j1 - tail and a[i1 - 1 - tail] == b[j1 - 1 - tail]:
-            tail += 1
-        out += [("=", i1 - k, j1 - k) for k in range(1, tail + 1)]
-        i1, j1 = i1 - tail, j1 - tail
-        if (i1 - i0) * (j1 - j0) <= CELLS:
-            out += [(op, i0 + i, j0 + j) for op, i, j in _table(a[i0:i1], b[j0:j1])]
-            continue
-        cut = _unique_split(a[i0:i1], b[j0:j1])
-        if cut:
-            todo += [(i0, i0 + cut[0], j0, j0 + cut[1]), (i0 + cut[0], i1, j0 + cut[1], j1)]
-        else:  # nothing to hold on to: all old lines go, all new ones come
-            out += [("-", i, j0) for i in range(i0, i1)] + [("+", i1, j) for j in range(j0, j1)]
+    i0, i1, j0, j1 = 0, len(a), 0, len(b)
+    while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+        out.append(("=", i0, j0))
+        i0, j0 = i0 + 1, j0 + 1
+    while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+        i1, j1 = i1 - 1, j1 - 1
+        out.append(("=", i1, j1))
+    table = _table if (i1 - i0) * (j1 - j0) <= CELLS else _long_table
+    out += [(op, i0 + i, j0 + j) for op, i, j in table(a[i0:i1], b[j0:j1])]
     return sorted(out, key=lambda s: (s[1], s[2], s[0] == "=", s[0] == "+"))
 
 
