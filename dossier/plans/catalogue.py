@@ -436,10 +436,14 @@ def date_diff(spark, sf_dir):
 
 @query()
 def document_diff(spark, sf_dir):
-    """Each document against the next one of its source and length class, line by line."""
-    w = Window.partitionBy("source", F.substring("text", 1, 20)).orderBy("doc_id")
-    pairs = t(spark, sf_dir, "documents").withColumn("b", F.lead("text").over(w)).where("b is not null")
-    return diff.totals(diff.diff(pairs, "text", "b")).select("doc_id", "removed", "added", "moved", "same")
+    """Each near copy of a whole text (five-word shingles, similarity 0.8) against the first document of its class, line by line."""
+    from dossier.llm import minhash  # only here: the other queries do without the training-data operators
+
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    copies = minhash.components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    first = docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("a"))
+    pairs = copies.join(first, "component_id").join(docs.withColumnRenamed("text", "b"), "doc_id")
+    return diff.totals(diff.diff(pairs, "a", "b")).select("doc_id", "removed", "added", "moved", "same")
 
 
 @query(r"""

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from dossier.operators import diff
 from dossier.plans import catalogue
 from tests.helpers import same_rows
 
@@ -29,3 +30,25 @@ def test_vin_scan_reads_whole_texts(spark, tmp_path):
         said = f"{text or ''} W1N KM4GB9SF{k:06d} end"
         assert got[k] == sorted(m.replace(" ", "") for m in number.findall(said))
     assert [len(got[k]) for k in (1, 2, 3, 4)] == [2, 3, 1, 1]
+
+
+def test_document_diff_takes_near_copies_of_whole_texts(spark, tmp_path):
+    base = [[f"line {n} of text {t} says {n * 7 + t} things" for n in range(40)] for t in range(4)]
+    texts = {}
+    for t, lines in enumerate(base):
+        texts[10 * t] = lines
+        texts[10 * t + 1] = [f"another opening {t}", *lines[1:]]
+        texts[10 * t + 2] = [*lines[:20], "put between", *lines[20:]]
+        texts[10 * t + 3] = ["one boilerplate opening line"] + [f"unlike {t} {n * n} {n}" for n in range(30)]
+    rows = [(k, "\n".join(x), f"s{k % 3}") for k, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = {k: {tuple(w[i : i + 5]) for w in [text.split()] for i in range(len(w) - 4)} for k, text, _ in rows}
+    first = {k: k for k in texts}
+    for _ in texts:  # the smallest id that chains of near copies reach
+        first = {k: min(first[j] for j in texts if len(grams[k] & grams[j]) >= 0.8 * len(grams[k] | grams[j])) for k in texts}
+    want = set()
+    for k, f in first.items():
+        ops = [op for op, *_ in diff.steps(texts[f], texts[k])]
+        want |= {(k, ops.count("-"), ops.count("+"), 0, ops.count("="))} if f != k else set()
+    got = {tuple(r) for r in catalogue.QUERIES["document_diff"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 8
