@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import ids
 from dossier.functions.text import line_signature, natural_key, s
@@ -72,18 +74,28 @@ def parts_by_count(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
 def parts_by_size(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """(group, items of (order, size, part)): next-fit parts that stay within `most` unless one item alone exceeds it.
 
-    A fold over each group's items in order; it carries the part and its size.
+    Rows of a group come sorted and in batches; only the part and its size are carried on, so a group may be of any
+    length. One task still takes a whole group.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(size).cast("long").alias("size"))))
-    zero = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc, x):
-        full = (acc["held"] > 0) & (acc["held"] + x["size"] > most)
-        part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(part.alias("part"), F.when(full, x["size"]).otherwise(acc["held"] + x["size"]).alias("held"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    packed = df.groupBy(group).agg(items.alias("items")).withColumn("parts", F.aggregate("items", zero, step)["parts"])
-    return packed.select(group, F.explode(F.arrays_zip("items", "parts")).alias("x")).select(group, "x.items.order", "x.items.size", F.col("x.parts").alias("part"))
+    rows = df.select(F.col(group), F.col(order).alias("order"), F.col(size).cast("long").alias("size"))
+
+    def pack(batches):
+        group_, part, held = (), 0, 0
+        for batch in batches:
+            parts = []
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if g != group_:
+                    group_, part, held = g, 0, 0
+                total = None if held is None or x is None else held + x
+                if total is not None and held > 0 and total > most:
+                    part, held = part + 1, x
+                else:
+                    held = total
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=[*batch.schema.names, "part"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+    return rows.repartition(group).sortWithinPartitions(group, "order").mapInArrow(pack, schema)
 
 
 def furniture(lines: DataFrame, doc: str, page: str, text: str) -> DataFrame:

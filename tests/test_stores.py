@@ -327,3 +327,17 @@ def test_diff_of_long_middles_is_a_longest_common_subsequence(monkeypatch):
     # Over CELLS and nothing stands once in both: the equal lines are still found.
     a, b = ["x", *["p", "q"] * 1100, "y"], ["u", *["p", "q"] * 1050, "v"]
     assert sum(op == "=" for op, _, _ in diff.steps(a, b)) == 2100
+
+
+def test_parts_by_size_carries_only_part_and_size(spark, capsys):
+    rng = np.random.default_rng(9)
+    rows = [(g, k, int(x)) for g in ("a", "b", None) for k, x in enumerate(rng.integers(0, 60, 12_000 if g == "a" else 50))]
+    want, now = [], {}
+    for g, k, x in rows:
+        part, held = now.get(g, (0, 0))
+        now[g] = (part + 1, x) if held > 0 and held + x > 100 else (part, held + x)
+        want.append((g, k, x, now[g][0]))
+    packed = facets.parts_by_size(spark.createDataFrame(rows, "g string, k long, n long"), "g", "k", "n", 100)
+    assert sorted(map(tuple, packed.collect()), key=str) == sorted(want, key=str)
+    packed.explain()
+    assert "collect_list" not in capsys.readouterr().out
