@@ -53,8 +53,12 @@ def customer_360(spark, sf_dir):
         F.count("*").alias("n_orders"),
         F.sum(F.coalesce("n", F.lit(0))).alias("n_lines"),
         F.sum(F.coalesce("qty", F.lit(0.0))).cast("long").alias("quantity"),
-        F.slice(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")), asc=False), 1, TOP).alias("latest"),
     )
+    # Map tasks keep TOP orders of a customer before anything is collected.
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    top = t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey").withColumn("k", F.row_number().over(w)).where(F.col("k") <= TOP)
+    latest = top.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")), asc=False).alias("latest"))
+    per = per.join(latest.withColumnRenamed("o_custkey", "latest_of"), F.col("o_custkey").eqNullSafe(F.col("latest_of")))
     who = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return who.join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         "c_custkey",

@@ -52,3 +52,9 @@ def test_document_diff_takes_near_copies_of_whole_texts(spark, tmp_path):
         want |= {(k, ops.count("-"), ops.count("+"), 0, ops.count("="))} if f != k else set()
     got = {tuple(r) for r in catalogue.QUERIES["document_diff"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 8
+
+
+def test_customer_360_keeps_the_latest_orders_early(spark, capsys):
+    catalogue.QUERIES["customer_360"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "WindowGroupLimit" in plan and "Partial" in plan
