@@ -1,103 +1,199 @@
 """Token ids as ORC files: integer run-length encoding, row indexes and Bloom filters on document ids.
 
 Documents are range-partitioned by id, so files, stripes and row groups hold disjoint id ranges: their statistics and
-Bloom filters prune what a lookup reads, and any stripe can be read by a task of its own. A text is cut where a space or
-line feed follows another character, which never changes the ids; each distinct piece is encoded once per task.
+Bloom filters prune what a lookup reads, and any stripe can be read by a task of its own.
+
+A text is cut where the tokenizer parts it anyway: where a space or line feed follows another character, and before
+punctuation after an ASCII letter or digit. Pieces are found, named by a 64-bit hash and replaced by their ids in whole
+arrays; only pieces that a worker has not met go through the tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import Steps, bounded_batches, new_path, partitions, table
+from dossier.llm.common import Steps, bounded_batches, mix, new_path, partitions, powers, slices, table, text_buffer
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Other white space: beside it the cuts below could change the ids, so such a text is encoded whole.
-OTHER_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Known pieces kept by a worker, some 200 bytes each; beyond it they are forgotten and encoded anew.
-KEPT = 800_000
+#: Known pieces kept by a worker, some 40 bytes each; beyond it they are forgotten and encoded anew.
+KEPT = 2_000_000
+#: Bytes of text whose pieces are looked up at once, and bytes of text for each file.
+BLOCK, FILE = 2 << 20, 128 << 20
 
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
-_encoders: dict[str, tuple] = {}
-
-
-def _encoder(path: str):
-    if path not in _encoders:
+_bytes = np.arange(256)
+_SPACE = np.isin(_bytes, [10, 32])
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in _bytes])
+#: Not the apostrophe, which contractions begin with, nor the bar, which stands within names of special tokens.
+_PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in "'|" for b in _bytes])
+#: White space but for space and line feed: beside it the cuts could change the ids, so such a text is encoded whole.
+_CONTROL = np.isin(_bytes, [9, 11, 12, 13, 28, 29, 30, 31])
+_LEADS = np.isin(_bytes, [0xC2, 0xE1, 0xE2, 0xE3])
+_WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def _other_space(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than space and line feed."""
+    found = [np.flatnonzero(_CONTROL[data])]
+    lead = np.flatnonzero(_LEADS[data])
+    for c in _WIDE:
+        at = lead[lead + len(c) <= len(data)]
+        for k, b in enumerate(c):
+            at = at[data[at + k] == b]
+        found.append(at)
+    return np.concatenate(found)
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each byte of the rows, which stand one after another."""
+    space = _SPACE[data]
+    out = space.copy()
+    out[1:] &= ~space[:-1]
+    out[1:] |= _PUNCTUATION[data[1:]] & _ALNUM[data[:-1]]
+    out[offsets[:-1][np.diff(offsets) > 0]] = True
+    return out
+
+
+class Encoder:
+    """A tokenizer with the ids of the pieces met so far. Pieces are told apart by a 64-bit hash of their bytes."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
-        for token, i in tokenizer.get_vocab().items():
-            sizes[i] = len(token)  # in byte-level vocabularies a character stands for a byte
-        _encoders[path] = tokenizer, sizes, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)  # in byte-level vocabularies a character stands for a byte
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        by = told.get("pre_tokenizer") or {}
+        special = [np.frombuffer(t["content"].encode(), np.uint8) for t in told.get("added_tokens") or ()]
+        #: Whether the cuts are the tokenizer's own; texts are encoded whole if not.
+        self.cuts = by.get("type") == "ByteLevel" and by.get("use_regex", True) and not by.get("add_prefix_space") and not told.get("normalizer") and all(_starts(t, np.array([0, len(t)])).sum() == 1 for t in special)
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, names: np.ndarray, pieces: list[bytes], in_row: np.ndarray) -> None:
+        """Ids of new pieces; those in_row begin with white space and end without, so a row of them parts where they do."""
+        first, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        parts, size = [self.pool], len(self.pool)
+        alone, rows = np.flatnonzero(~in_row).tolist(), np.flatnonzero(in_row).tolist()
+        own = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in alone], add_special_tokens=False)]
+        count[alone] = [len(x) for x in own]
+        first[alone] = size + np.cumsum(count[alone]) - count[alone]
+        parts += own
+        size += int(count.sum())
+        chunks = [rows[k : k + 1000] for k in range(0, len(rows), 1000)]
+        for some, e in zip(chunks, self.tokenizer.encode_batch_fast([b"".join([pieces[k] for k in c]).decode() for c in chunks], add_special_tokens=False)):
+            found = np.array(e.ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self.sizes[found]), np.cumsum([len(pieces[k]) for k in some])) + 1
+            count[some] = np.diff(ends, prepend=0)
+            first[some] = size + ends - count[some]
+            parts.append(found)
+            size += len(found)
+        self.pool = np.concatenate(parts)
+        at = np.searchsorted(self.names, names)
+        self.names, self.first, self.count = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.count, at, count)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows in data, each row's followed by `end`, and the offsets of each row's ids."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        rows, last = len(offsets) - 1, np.array([] if end is None else [end], np.int32)
+        aside = np.searchsorted(offsets, _other_space(data), side="right") - 1 if self.cuts else np.flatnonzero(np.diff(offsets))
+        aside = np.unique(aside)
+        at = np.flatnonzero(_starts(data, offsets)) if len(data) else np.zeros(0, np.int64)
+        if len(aside):
+            out = np.zeros(rows, bool)
+            out[aside] = True
+            at = at[~out[np.searchsorted(offsets, at, side="right") - 1]]
+        of = np.searchsorted(offsets, at, side="right") - 1
+        until = np.minimum(np.append(at[1:], len(data)), offsets[of + 1]) if len(at) else at
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        names, which = np.unique(mix((sums[until] - sums[at]) * down[at]), return_inverse=True)
+        del sums
+        if len(self.names) > KEPT:
+            self.forget()
+        place = np.searchsorted(self.names, names)
+        new = np.ones(len(names), bool)
+        inside = place < len(self.names)
+        new[inside] = self.names[place[inside]] != names[inside]
+        if new.any():
+            one = np.zeros(len(names), np.int64)
+            one[which] = np.arange(len(which))
+            one = one[new]
+            begin, stop = at[one], until[one]
+            self._learn(names[new], [data[i:j].tobytes() for i, j in zip(begin.tolist(), stop.tolist())], _SPACE[data[begin]] & ~_SPACE[data[stop - 1]])
+            place = np.searchsorted(self.names, names)
+        more = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in aside], add_special_tokens=False)]
+        # Runs in the pool, row by row: the pieces, or all of a row that was encoded whole, and an end after each row.
+        pool = np.concatenate([self.pool, *more, last])
+        sizes = np.array([len(x) for x in more], np.int64)
+        row = np.concatenate([aside, np.arange(rows)])
+        order = np.argsort(row, kind="stable")
+        after = np.searchsorted(of, row[order], side="right")
+        first = np.insert(self.first[place][which], after, np.concatenate([len(self.pool) + np.cumsum(sizes) - sizes, np.full(rows, len(pool) - len(last))])[order])
+        count = np.insert(self.count[place][which], after, np.concatenate([sizes, np.full(rows, len(last))])[order])
+        until = np.cumsum(count)
+        ids = pool[np.arange(until[-1] if len(until) else 0) + np.repeat(first - until + count, count)]
+        # A row's end is the last of its runs.
+        ends = (after + np.arange(len(row)))[np.append(row[order][1:] != row[order][:-1], True)] if rows else np.zeros(0, np.int64)
+        return ids, np.concatenate([[0], until[ends]])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def _learn(new: list[str], path: str) -> None:
-    """Ids of new pieces. Pieces that begin with white space and end without are encoded in a row, which parts where they do."""
-    tokenizer, sizes, known = _encoder(path)
-    alone = [p for p in new if p[0] not in " \n" or p[-1] in " \n"]
-    for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-        known[p] = np.array(e.ids, "<i4").tobytes()
-    rows = [p for p in new if p[0] in " \n" and p[-1] not in " \n"]
-    chunks = [rows[k : k + 1000] for k in range(0, len(rows), 1000)]
-    for pieces, e in zip(chunks, tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False)):
-        ids = np.array(e.ids, "<i4")
-        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-        whole = ids.tobytes()
-        known.update(zip(pieces, (whole[4 * i : 4 * j] for i, j in zip([0, *ends.tolist()], ends.tolist()))))
-
-
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, without the end id; null is empty."""
-    tokenizer, _, known = _encoder(path)
-    whole = [i for i, t in enumerate(texts) if t and OTHER_SPACE.search(t)]
-    aside = dict(zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))
-    pieces = [PIECE.findall(t) if t and i not in aside else [] for i, t in enumerate(texts)]
-    if len(known) > KEPT:
-        known.clear()
-    _learn([p for p in set(chain.from_iterable(pieces)) if p not in known], path)
-    return [np.array(aside[i].ids, "<i4").tobytes() if i in aside else b"".join(map(known.__getitem__, p)) for i, p in enumerate(pieces)]
+    data, offsets = text_buffer(pa.array(texts, pa.string()))
+    ids, at = encoder(path).encode(data, offsets, None)
+    return [ids[i:j].astype("<i4").tobytes() for i, j in zip(at[:-1], at[1:])]
 
 
 def encode_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(doc_id, ids) for each row of docs (doc_id, text); ids end with the end id."""
 
-    last = np.array([end], "<i4").tobytes()
-
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256)
-                ids = [x + last for x in encode(rows.column("text").to_pylist(), tokenizer)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+            data, offsets = text_buffer(batch.column("text"))
+            for i, j in slices(offsets, BLOCK):
+                ids, at = encoder(tokenizer).encode(data, offsets[i : j + 1], end)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
-    """Writes ids in ascending doc_id order (nulls first); files are numbered in that order, and ordered within.
+    """Writes ids in ascending doc_id order (nulls first); files are numbered in that order, and ordered within. There
+    are as many as shuffle partitions, more where one would hold over FILE bytes of text.
 
     Rows are dealt by range of doc_id, so a long run of one doc_id is the one thing that stays together.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.select("doc_id", "text").repartitionByRange(max(partitions(spark), -(-size // FILE)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = encode_rows(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")), tokenizer, end)
     rows.write.options(**ORC).orc(path)
 
@@ -120,8 +216,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[i:j]) for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("pos"), batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.monotonically_increasing_id().alias("pos"), "doc_id", "ids")
-    rows = Steps(spark).write(rows.mapInArrow(sums, "file string, pos long, doc_id long, n_tokens long, ids_crc32 long"), "digests")
+    rows = read(spark, path).select(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("file"), F.monotonically_increasing_id().alias("pos"), "doc_id", "ids")
+    rows = Steps(spark).write(rows.mapInArrow(sums, "file long, pos long, doc_id long, n_tokens long, ids_crc32 long"), "digests")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n")).select("file", "before")
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "pos")) - F.col("n_tokens")
