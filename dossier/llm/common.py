@@ -170,18 +170,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, offsets)
 
 
-def connected_components(steps: Steps, edges: DataFrame, name: str, most: int = 1 << 30) -> DataFrame:
+def connected_components(steps: Steps, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node reachable.
 
-    After `most` rounds it stops: nodes with one component are then connected, but not always the reverse.
-
     Alternates large-star and small-star: each round hangs neighbours on the smallest one seen, so paths halve. Each
     round is a written table of at most as many edges as there were; only their number and checksum reach the driver.
     """
     seal = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    e = steps.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, k = seal(e), 0
-    while before[0] and k < most:
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    before, k = None, 0
+    while True:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -190,8 +188,9 @@ def connected_components(steps: Steps, edges: DataFrame, name: str, most: int =
         k += 1
         e = steps.write(small.where("a <> b").distinct(), f"{name}-{k}")
         after = seal(e)
-        steps.drop(f"{name}-{k - 1}")
-        if after == before:
+        if k > 1:
+            steps.drop(f"{name}-{k - 1}")
+        if after == before or not after[0]:
             break
         before = after
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
@@ -228,14 +227,25 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return left
 
 
-def maybe_in(spark: SparkSession, bits: np.ndarray):
-    """A column function: whether a hash may be in the bitmap; null is not."""
-    shared = spark.sparkContext.broadcast(bits)
+class Maybe:
+    """A bitmap in the tasks. `holds` is a column function: whether a hash may be in it; null is not. `end` frees it once
+    what asked for it is written: it can be sent anew until then, should an executor be lost."""
 
-    @F.pandas_udf("boolean")
-    def found(hashes: pd.Series) -> pd.Series:
-        out = np.zeros(len(hashes), bool)
-        out[in_bitmap(shared.value, hashes.fillna(0).to_numpy(np.int64))] = True
-        return pd.Series(out & hashes.notna().to_numpy())
+    def __init__(self, spark: SparkSession, bits: np.ndarray):
+        self.shared = shared = spark.sparkContext.broadcast(bits)
 
-    return found
+        @F.pandas_udf("boolean")
+        def found(hashes: pd.Series) -> pd.Series:
+            out = np.zeros(len(hashes), bool)
+            out[in_bitmap(shared.value, hashes.fillna(0).to_numpy(np.int64))] = True
+            return pd.Series(out & hashes.notna().to_numpy())
+
+        self.holds = found
+
+    def end(self) -> None:
+        self.shared.destroy()
+
+
+def maybe_in(spark: SparkSession, bits: np.ndarray):
+    """The same column function, for plans that the caller runs later; the bitmap goes when it is no longer referred to."""
+    return Maybe(spark, bits).holds

@@ -5,10 +5,11 @@ yields two values of the signature, the minimum and the maximum, so SIZE values
 ROWS values put documents into buckets; of documents with one and the same set only the first goes on. Pairs that share
 a bucket are verified on their full sets.
 
-Within a bucket, pairs are not all written out. First each member meets the bucket's first one; links that hold join
-documents into components. Only where a bucket still holds several components, its members meet another pivot, and at
-last all members of different components that have not met. Pairs within one component could not change it. So every
-link between candidates takes effect, while a large group of copies costs about one pair for each copy.
+Within a bucket, pairs are not all written out. First each member meets the bucket's first one, and those that do not
+link with it meet another pivot; links that hold join documents into components. Only where a bucket still holds several
+components, members of different ones meet, and of these only those that share a shingle rare enough for a link. Pairs
+within one component could not change it. So every link between candidates takes effect, while a large group of copies
+costs about one pair for each copy.
 
 Odds that a pair at the threshold 0.8 shares no bucket: (1 - 0.8^6)^40, under 1 in 100,000.
 """
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import Steps, bitmap, connected_components, constants, maybe_in, mix, slices, table, text_buffer, word_hashes
+from dossier.llm.common import Maybe, Steps, bitmap, connected_components, constants, mix, slices, table, text_buffer, word_hashes
 
 BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
-#: Rounds in which a bucket's members meet a pivot before the rest meet one another.
+#: Pivots that a bucket's members meet before the rest meet one another.
 PIVOTS = 2
 BLOCK = 1 << 18
 
@@ -90,12 +91,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-#: Words of the bitmap that stands for a set in a first comparison.
-WORDS = 16
-
-
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles, bits): each row's set as ascending signed hashes, and a bitmap with one bit for each hash."""
+    """(doc_id, shingles): each row's set as ascending signed hashes."""
 
     def run(batches):
         for batch in batches:
@@ -105,13 +102,9 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 found = found.view(np.int64)
                 half = [np.sort(found[a:b]) for a, b in zip(at[:-1], at[1:])]
                 lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate(half) if half else found)).cast(pa.list_(pa.int64()))
-                bits = np.zeros((j - i, 64 * WORDS), bool)
-                bits[np.repeat(np.arange(j - i), np.diff(at)), (found.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * WORDS)] = True
-                packed = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * WORDS), pa.array(packed))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, maps], names=["doc_id", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +136,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.select("a", "b", (F.col("both") * 100 >= F.col("either") * percent).alias("linked"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; other columns are left out).
 
     Null or blank texts have an empty set and link with nothing. Rows with a null doc_id link with nothing, keep a null
-    component_id and are kept. Rows of one doc_id count as one document; all of them stand in one component. Ties are
-    settled by the smallest doc_id. An empty table gives an empty one.
+    component_id and are kept. Rows of one doc_id are one document, which links wherever one of its texts does; all of
+    them that have words stand in one component. Ties are settled by the smallest doc_id. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     steps = Steps(spark)
@@ -161,63 +158,68 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = steps.write(in_bucket.join(shared.select("bucket", "pivot", "n"), "bucket"), "members")
 
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    maybe = maybe_in(spark, bitmap(candidates.select(F.xxhash64("doc_id").alias("h")), "h"))
-    texts = docs.select("doc_id", "text").where(maybe(F.xxhash64("doc_id"))).join(candidates, "doc_id", "left_semi")
-    full = steps.write(sets(texts.dropDuplicates(["doc_id"]), k), "sets")
-
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    pairs = ordered(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    met = steps.write(_verified(pairs, full, percent), "met-0")
-    for round_ in range(1, PIVOTS + 1):
-        # Before the last step components are whole; until then two rounds join enough.
-        found = connected_components(steps, met.where("linked"), f"joined-{round_}", most=2 if round_ < PIVOTS else 1 << 30)
-        of = members.where("n > 2").join(found.groupBy("node").agg(F.min("component").alias("component")).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(round_))).alias("other"))
-        open_ = of.select("bucket", "rep", "component").join(mixed.where("low <> high").select("bucket", "other"), "bucket")
-        if round_ < PIVOTS:
-            pairs = open_.where("component <> other.component").select(F.col("other.rep").alias("a"), F.col("rep").alias("b"))
-        else:
-            pairs = _all_that_can_link(steps, open_.select("bucket", "rep", "component"), full, percent)
-        pairs = ordered(pairs).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    maybe = Maybe(spark, bitmap(candidates.select(F.xxhash64("doc_id").alias("h")), "h"))
+    texts = docs.select("doc_id", "text").where(maybe.holds(F.xxhash64("doc_id"))).join(candidates, "doc_id", "left_semi")
+    full = steps.write(sets(texts.dropDuplicates(["doc_id", "text"]), k).where("size(shingles) > 0"), "sets")
+    maybe.end()
+
+    met = steps.write(_verified(_ordered(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), full, percent), "met-0")
+    for round_ in range(1, PIVOTS):
+        direct = met.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+        apart = members.where("n > 2 and rep <> pivot").join(direct, ["pivot", "rep"], "left_anti")
+        other = apart.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("rep", F.lit(round_))).alias("other"), F.count("*").alias("c")).where("c > 1")
+        pairs = apart.join(other.select("bucket", "other"), "bucket").select(F.col("other").alias("a"), F.col("rep").alias("b"))
+        pairs = _ordered(pairs).join(met.select("a", "b"), ["a", "b"], "left_anti")
         met = met.union(steps.write(_verified(pairs, full, percent), f"met-{round_}"))
-    found = connected_components(steps, met.where("linked"), "joined")
+    links = met.where("linked").select("a", "b").union(_one_id(steps, real, reps))
+    joined = steps.write(connected_components(steps, links, "joined").groupBy("node").agg(F.min("component").alias("component")), "components")
+    of = members.where("n > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_ = of.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("rep").agg(F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))
+    open_ = steps.write(open_, "open")
+    pairs = _all_that_can_link(open_, full, percent).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    late = steps.write(_verified(pairs, full, percent).where("linked"), "late")
+    if late.isEmpty():
+        found = joined
+    else:  # only components that a late link joins change
+        named = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        between = late.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        over = connected_components(steps, between, "over").groupBy("node").agg(F.min("component").alias("over"))
+        found = joined.join(over.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+        found = found.union(over.join(joined, "node", "left_anti").select("node", "over"))
     steps.drop("sets", "members", "open")
     named = reps.drop("buckets").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = signed.where("n > 0 and doc_id is not null").join(named, ["n", "s1", "s2"])
+    out = real.join(named, ["n", "s1", "s2"])
     rest = signed.where("n = 0 or doc_id is null").withColumn("component", F.col("doc_id"))
     out = out.select("doc_id", "n", "component").union(rest.select("doc_id", "n", "component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _all_that_can_link(steps: Steps, open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket, but those whose sets cannot share enough.
+def _one_id(steps: Steps, real: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id that stands before several texts and the first documents of these texts' classes."""
+    name = F.struct("n", "s1", "s2")
+    several = real.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("doc_id")
+    several = steps.write(several, "several")
+    return real.join(several, "doc_id").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def _all_that_can_link(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open documents (rep, component, buckets) in one bucket and of different components that can link.
 
-    A link needs percent / (100 + percent) of both sizes n together to be shared. A shingle that no other open document
-    has is in no intersection; so of two sets with m shingles in other documents too, at most the lesser m is shared. And
-    each bit in which two bitmaps differ stands for a shingle of one set that the other lacks; so at most half of what is
-    left of both n is shared. Both bounds are exact: no link is lost. A pair counts in the first of the buckets that both
-    stand in, so it comes out once.
+    Shingles are ordered, those in the fewest open documents first. Two sets that share percent of their union share one
+    of the first n - ceil(n * percent / 100) + 1 shingles of each, n its size: whoever lacks all of the other's first ones
+    lacks too many. So documents meet by these shingles alone, the rarest they have; no link is lost.
     """
-    rows = steps.write(open_.distinct(), "open")
-    listed = full.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("x"))
-    alone = listed.groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = full.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), "bits").join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    own = rows.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    sizes = sizes.join(own, "rep").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bits", "buckets").where(f"100 * m >= {percent} * n")
-    sized = rows.join(sizes, "rep")
-    left, right = sized.alias("l"), sized.alias("r")
-    differ = " + ".join(f"bit_count(l.bits[{w}] ^ r.bits[{w}])" for w in range(WORDS))
-    can = " and ".join(
-        [
-            "l.bucket = r.bucket and l.component < r.component",
-            f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)",
-            f"{100 + percent} * least(l.m, r.m) >= {percent} * (l.n + r.n)",
-            f"{100 + percent} * (l.n + r.n - ({differ})) >= {2 * percent} * (l.n + r.n)",
-            "array_min(array_intersect(l.buckets, r.buckets)) = l.bucket",
-        ]
-    )
-    return left.join(right, F.expr(can)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    n = F.size("shingles").alias("n")
+    held = full.withColumnRenamed("doc_id", "rep").join(open_.select("rep"), "rep", "left_semi").select("rep", n, F.explode("shingles").alias("x"))
+    often = held.groupBy("x").agg(F.count("*").alias("c"))
+    ranked = held.join(often, "x").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    first = ranked.select("rep", "n", F.explode(F.slice("order", F.lit(1), reach)).alias("s")).where("s.c > 1").select("rep", "n", F.col("s.x").alias("x"))
+    first = first.join(open_, "rep")
+    can = f"l.x = r.x and l.component < r.component and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and arrays_overlap(l.buckets, r.buckets)"
+    return _ordered(first.alias("l").join(first.alias("r"), F.expr(can)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
