@@ -15,6 +15,8 @@ DASHES = "\u2013\u2014\u2015"
 DROPPED = "\u00ad\u200b\u200c\u200d\ufeff"
 #: White space as a regular expression class body.
 WS = r"\x09-\x0D\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: One such character, and any other one; what ASCII prints is told first, as most characters are that.
+SPACE, OTHER = rf"[[^!-~]&&[{WS}]]", rf"[!-~[^{WS}]]"
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 #: Device names that Windows keeps for itself (fixed values).
 RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])\z"
@@ -25,17 +27,22 @@ def s(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def sub(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
 def trim(c: Column) -> Column:
-    return sub(c, rf"^[{WS}]+|[{WS}]+\z")
+    return sub(c, rf"^{SPACE}+|{SPACE}+\z")
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(sub(c, rf"[{WS}]+", " "))
+    return F.trim(sub(c, rf"{SPACE}+", " "))
 
 
 def norm_chars(c: Column) -> Column:
@@ -121,20 +128,20 @@ def to_case(c: Column, kind: str) -> Column:
     raise ValueError(f"unknown case {kind}")
 
 
-def stats(c: Column) -> Column:
-    """words, chars, chars_no_space, lines, sentences, paragraphs, reading_minutes (at 200 words a minute)."""
+def stats(c: Column) -> dict[str, Column]:
+    """words, chars, chars_no_space, lines, sentences, paragraphs, reading_minutes (at 200 words a minute), a column each."""
     text = s(c)
-    n_words = F.regexp_count(text, F.lit(rf"[^{WS}]+"))
-    count = lambda found: F.size(F.filter(found, lambda p: trim(p) != ""))
-    return F.struct(
-        n_words.alias("words"),
-        F.length(text).alias("chars"),
-        F.length(sub(text, rf"[{WS}]")).alias("chars_no_space"),
-        F.when(text == "", 0).otherwise(F.size(lines(text))).alias("lines"),
-        F.when(trim(text) == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[.!?]+(?=[{WS}]|\z)")))).alias("sentences"),
-        count(F.split(text, r"\n[\x20\t]*\n")).alias("paragraphs"),
-        F.ceil(n_words / 200).cast("int").alias("reading_minutes"),
-    )
+    n_words = F.regexp_count(text, F.lit(f"{OTHER}+"))
+    blank = ~text.rlike(OTHER)
+    return {
+        "words": n_words,
+        "chars": F.length(text),
+        "chars_no_space": F.length(sub(text, f"{SPACE}+")),
+        "lines": F.when(text == "", 0).otherwise(F.size(lines(text))),
+        "sentences": F.when(blank, 0).otherwise(F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[.!?]+(?={SPACE}|\z)")))),
+        "paragraphs": F.size(F.filter(F.split(text, r"\n[\x20\t]*\n"), lambda p: p.rlike(OTHER))),
+        "reading_minutes": F.ceil(n_words / 200).cast("int"),
+    }
 
 
 def lines(c: Column) -> Column:
@@ -167,8 +174,8 @@ def replace_all(c: Column, find: str, by: str, regex: bool = False, ignore_case:
 
 def line_signature(c: Column) -> Column:
     """What repeated page furniture has in common: lower case, digit runs as #; empty under four letters."""
-    sig = collapse(sub(F.lower(s(c)), r"\d+", "#"))
-    return F.when(F.length(sub(sig, r"[^a-z]")) < 4, F.lit("")).otherwise(sig)
+    low = F.lower(s(c))
+    return F.when(low.rlike("[a-z](?:[^a-z]*[a-z]){3}"), collapse(sub(low, r"\d+", "#"))).otherwise(F.lit(""))
 
 
 def norm_token(c: Column) -> Column:

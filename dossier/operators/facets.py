@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import ids
-from dossier.functions.text import line_signature, natural_key, s
+from dossier.functions.text import collapse, is_stamp_line, line_signature, natural_key, s, sub
 
 
 def facet_counts(df: DataFrame, **facets: Column) -> DataFrame:
@@ -28,9 +28,9 @@ def top_values(counts: DataFrame, facet: str, k: int = 40) -> DataFrame:
 
 
 def version_groups(documents: DataFrame) -> DataFrame:
-    """(key, versions newest first, starred if any is, needsReview by the newest)."""
+    """(key, first_id, versions newest first, starred if any is, needsReview by the newest)."""
     key = F.when(s("li") == "", F.concat(F.lit("id:"), F.col("id"))).otherwise(ids.document_key(F.col("li")))
-    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "fgroup", "date", "star")
+    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "fgroup", "date", "star", "validity", "reason", "text")
     groups = documents.groupBy(key.alias("key")).agg(F.array_sort(F.collect_list(item)).alias("versions"), F.min("id").alias("first_id"))
     head = F.col("versions")[0]
     lacks = (s(head["li"]) == "") | (s(head["title"]) == "") | (s(head["fgroup"]) == "") | (s(head["date"]) == "")
@@ -100,18 +100,45 @@ def parts_by_size(df: DataFrame, group: str, order: str, size: str, most: int) -
 
 def furniture(lines: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, signature, pages): line signatures on two pages or more."""
-    rows = lines.select(doc, page, line_signature(F.col(text)).alias("signature")).where("signature <> ''")
-    return rows.groupBy(doc, "signature").agg(F.countDistinct(page).alias("pages")).where("pages >= 2")
+    rows = lines.select(doc, page, line_signature(F.col(text)).alias("signature"))
+    # What is no signature is left out at the end, so that signatures are worked out once.
+    return rows.groupBy(doc, "signature").agg(F.countDistinct(page).alias("pages")).where("pages >= 2 and signature <> ''")
 
 
 def banded_furniture(lines: DataFrame) -> DataFrame:
-    """(doc, signature) of lines (doc, page, ry, text) that stand at one height (within a fortieth of the page) on two pages."""
-    rows = lines.select("doc", "page", line_signature(F.col("text")).alias("signature"), F.floor(F.col("ry") * 40 + 0.5).cast("int").alias("band")).where("signature <> ''")
-    near = rows.select("doc", "signature", "page", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("at"))
-    met = rows.join(near.withColumnRenamed("page", "other"), ["doc", "signature"]).where("band = at and page <> other")
+    """(doc, signature) of lines (doc, page, ry, text) that stand at one height on two pages, within a fortieth of the page.
+
+    Lines of dates and times alone count whatever letters they have. Each line stands at its band and the next one, so two
+    lines share a place if their bands are equal or neighbours.
+    """
+    stamp = is_stamp_line(F.col("text"))
+    signature = F.when(stamp, collapse(sub(F.lower(s("text")), r"\d+", "#"))).otherwise(line_signature(F.col("text")))
+    band = F.floor(F.col("ry") * 40 + 0.5).cast("int")
+    rows = lines.select("doc", "page", signature.alias("signature"), F.explode(F.array(band, band + 1)).alias("at"))
+    met = rows.groupBy("doc", "signature", "at").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high and signature <> ''")
     return met.select("doc", "signature").distinct()
 
 
+def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): of an even number of values the upper one of the middle two. Values are counted, not gathered."""
+    by = Window.partitionBy(group)
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__until", F.sum("__n").over(by.orderBy(value))).withColumn("__all", F.sum("__n").over(by))
+    return counts.where("__until > floor(__all / 2)").groupBy(group).agg(F.min(value).alias("median"))
+
+
+def islands(df: DataFrame, group: str, start: str, end: str, gap: Column) -> DataFrame:
+    """Adds island, from 0 in each group: a row that starts more than `gap` beyond all ends before it begins a new one."""
+    order = Window.partitionBy(group).orderBy(start, end)
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col(start) - reached > gap, 1).otherwise(0)
+    return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def recent(df: DataFrame, k: int = 40) -> DataFrame:
+    return df.orderBy(F.col("updatedAt").desc(), "id").limit(k)
+
+
 def sort_key(df: DataFrame, by: str) -> list[Column]:
     """Total orders of the views: name (natural), size, updated, price (none first), star."""
     keys = {

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.text import WS, clean_title, collapse, join_hyphen, norm_text, s, squash, sub
+from dossier.functions.ids import NUMBER_WORD
+from dossier.functions.text import WS, clean_title, collapse, join_hyphen, norm_number, norm_text, s, squash, sub
 
-# Beginnings of letterheads, of the number field, and of labelled fields.
+# Beginnings of letterheads, of the number field, and of labelled fields; what dates look like.
 HEADER = rf"(?i)^(xentry(?:[{WS}]+(?:tips|diagnosis))?[{WS}]*\z|wis(?![A-Za-z0-9_])|asra(?![A-Za-z0-9_])|star[{WS}]*diagnosis|page[{WS}]*\d|seite[{WS}]*\d|©|copyright(?![A-Za-z0-9_])|printed(?![A-Za-z0-9_])|https?:|www\.)"
 NUMBER_FIELD = rf"(?i)^[{WS}]*(topic[{WS}]*number|dokument(nummer|[{WS}]*nr)|document[{WS}]*number|dok\.?[{WS}]*-?[{WS}]*nr|order[{WS}]*number|auftrag)"
 LABEL = rf"(?i)^(topic[{WS}]*number|version(?![A-Za-z0-9_])|(?:function|design)[{WS}]*group|date(?![A-Za-z0-9_])|validity(?![A-Za-z0-9_])|reason[{WS}]*for[{WS}]*change|complaint|cause(?![A-Za-z0-9_])|remedy|symptoms?|attachments?|control[{WS}]*unit|fault[{WS}]*text|operation[{WS}]*(numbers?|text)|damage[{WS}]*code|parts(?![A-Za-z0-9_])|note(?![A-Za-z0-9_])|work[{WS}]*instruction|document[{WS}]*number|dokument)"
+#: Lines that are no title, however large (fixed values).
+SMALL = r"(?i)^(version|revision|seite|page|datum|date|validity|function group|design group)"
 DATE = r"\d{1,4}[./\-]\d{1,2}([./\-]\d{1,4})?"
 
 
@@ -59,16 +62,19 @@ def norm_date(c: Column) -> Column:
     return F.when(c.rlike(DATE), sub(c, r"(\d)[\-.](?=\d)", "$1/")).otherwise(c)
 
 
-def title(lines: Column, number: Column) -> Column:
-    """What stands above the line with the number; else the lines in the largest type."""
+def title(lines: Column, number: Column, text: Column | None = None) -> Column:
+    """What stands above the line with the number; else the lines in the largest type; else what follows the number in text."""
     texts = F.transform(lines, lambda x: F.trim(x["text"]))
     named = F.transform(texts, lambda t: ((s(number) != "") & F.contains(t, s(number))) | t.rlike(NUMBER_FIELD))
     at = F.coalesce(F.array_position(named, True), F.lit(0)).cast("int")
     above = F.filter(F.slice(texts, F.lit(1), F.greatest(at - 1, F.lit(0))), lambda t: (t != "") & ~t.rlike(HEADER))
     top = F.array_max(F.transform(lines, lambda x: x["h"]))
-    big = F.filter(lines, lambda x: (x["h"] >= top - 0.4) & (F.length(F.trim(x["text"])) > 2) & ~F.trim(x["text"]).rlike(HEADER) & ~F.trim(x["text"]).rlike(r"(?i)^(version|revision|seite|page|datum|date|validity|function group|design group)"))
+    plain = lambda t: (F.length(t) > 2) & ~norm_number(t).rlike(NUMBER_WORD) & ~t.rlike(HEADER) & ~t.rlike(SMALL)
+    big = F.filter(lines, lambda x: (x["h"] >= top - 0.4) & plain(F.trim(x["text"])))
     first, second = clean_title(join_hyphen(above)), clean_title(F.array_join(F.transform(big, lambda x: F.trim(x["text"])), " "))
-    return F.when(F.length(first) >= 4, first).when(F.length(second) >= 4, second).otherwise(F.lit(""))
+    after = F.concat(F.lit(r"\Q"), s(number), F.lit(rf"\E(?:[{WS}]*[_/ ][{WS}]*\d{{1,3}})?[{WS}]+([^\r\n]{{4,120}}?)(?:\r|\n|\z)"))
+    third = F.lit("") if text is None else F.when(s(number) != "", clean_title(F.call_function("regexp_extract", s(text), after, F.lit(1)))).otherwise(F.lit(""))
+    return F.when(F.length(first) >= 4, first).when(F.length(second) >= 4, second).otherwise(third)
 
 
 def records(found: DataFrame, most: int = 60_000) -> DataFrame:
@@ -87,7 +93,7 @@ def records(found: DataFrame, most: int = 60_000) -> DataFrame:
         "doc",
         "li",
         detect_version(F.col("flat"), F.col("li")).alias("ver"),
-        title(F.col("p1"), F.col("li")).alias("title"),
+        title(F.col("p1"), F.col("li"), F.col("text")).alias("title"),
         long_field(F.col("p1"), rf"(?i)^reason[{WS}]*for[{WS}]*change[{WS}]*").alias("reason"),
         field(F.col("p1"), group).alias("fgroup"),
         norm_date(field(F.col("p1"), rf"(?i)^date[{WS}]*", DATE)).alias("date"),

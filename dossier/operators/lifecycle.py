@@ -199,10 +199,41 @@ def upsert_tools(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> D
     hits = hits.select("__target", *[F.col(c).alias(f"__{c}") for c in fields])
     changed = stored.join(hits, F.col("id") == F.col("__target"), "left").withColumns({c: F.coalesce(f"__{c}", c) for c in fields}).select(stored.columns)
     top = stored.agg(F.coalesce(F.max(F.regexp_extract("id", r"^t(\d+)$", 1).try_cast("int")), F.lit(0)).alias("__top"))
-    new = rows.where("__target is null").crossJoin(F.broadcast(top)).withColumn("id", F.concat(F.lit("t"), (F.col("__top") + F.row_number().over(Window.orderBy("pos"))).cast("string")))
+    new = numbered(rows.where("__target is null"), "pos", "__at").crossJoin(F.broadcast(top)).withColumn("id", F.concat(F.lit("t"), (F.col("__top") + F.col("__at")).cast("string")))
     return changed.unionByName(new.select("id", *[c for c in stored.columns if c != "id" and c in new.columns]), allowMissingColumns=True)
 
 
+def numbered(df: DataFrame, order: str, name: str, step: int = 100_000) -> DataFrame:
+    """Adds `name`: 1, 2, ... by the whole number `order`. Stretches of it are counted and ranked apart, so only one row of
+    each stretch meets the others; rows that tie are numbered in any order."""
+    rows = df.withColumn("__stretch", F.floor(F.col(order) / step))
+    counts = rows.groupBy("__stretch").agg(F.count("*").alias("__n"))
+    before = counts.select(F.col("__stretch").alias("__s"), (F.sum("__n").over(Window.orderBy("__stretch")) - F.col("__n")).alias("__before"))
+    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("__stretch").orderBy(order)))
+    return rows.join(before, F.col("__stretch").eqNullSafe(F.col("__s"))).withColumn(name, F.col(name) + F.col("__before")).drop("__stretch", "__s", "__before")
+
+
+def rekey_documents(documents: DataFrame, files: DataFrame, links: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, files, links) after documents (id) got other ids (newId): their files and the edges to and from them follow."""
+    new = keys.select(F.col("id").alias("__old"), F.col("newId").alias("__new"))
+    moved = lambda df, c, where=F.lit(True): df.join(new, (F.col(c) == F.col("__old")) & where, "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
+    after = moved(documents, "id")
+    owned = after.where("fileId is not null").groupBy(F.col("fileId").alias("__file")).agg(F.min("id").alias("__owner"))
+    changed = documents.join(new, F.col("id") == F.col("__old")).where("fileId is not null").select(F.col("fileId").alias("__changed")).distinct()
+    rows = files.join(owned, F.col("id") == F.col("__file"), "left").join(changed, F.col("id") == F.col("__changed"), "left")
+    rows = rows.withColumn("docId", F.when(F.col("__changed").isNotNull(), F.col("__owner")).otherwise(F.col("docId"))).drop("__file", "__owner", "__changed")
+    edges = moved(moved(links, "fromId", F.col("fromType") == "document"), "toId", F.col("toType") == "document")
+    return after, rows, edges
+
+
+def remove_documents(documents: DataFrame, files: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, files) without the gone documents; their files go too, but for those shown as files or named by others."""
+    left = documents.join(gone.select("id"), "id", "left_anti")
+    theirs = gone.where("fileId is not null").select(F.col("fileId").alias("id")).join(left.where("fileId is not null").select(F.col("fileId").alias("id")), "id", "left_anti")
+    hidden = files.where("inFiles = 0").join(theirs.distinct(), "id", "left_semi").select("id")
+    return left, files.join(hidden, "id", "left_anti")
+
+
 def rename_collection(files: DataFrame, old: str, new: str) -> DataFrame:
     hit = F.col("collection") == old
     return files.withColumns({"rev": F.coalesce("rev", F.lit(0)) + hit.cast("int"), "collection": F.when(hit, F.lit(new)).otherwise(F.col("collection"))}).withColumn("searchText", search_text())

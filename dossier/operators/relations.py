@@ -1,4 +1,4 @@
-"""Joins over the stores and the typed edge table. All are equi joins: what matched by membership is exploded into keys."""
+"""Joins over the stores and the typed edge table. All are equi joins: what matched by membership or likeness is exploded into keys."""
 
 from __future__ import annotations
 
@@ -140,6 +140,32 @@ def without_bytes(files: DataFrame, blobs: DataFrame) -> DataFrame:
     return files.join(blobs.select(F.col("id").alias("__b")), blob_key() == F.col("__b"), "left_anti")
 
 
+def alike(df: DataFrame, id: str, items: str, percent: int) -> DataFrame:
+    """(a, b), a < b, of rows whose sets of distinct, non-blank items share `percent` of their union; rows without items have none.
+
+    Equal sets are one set first: its smallest id stands for it, and the others are paired with that one. Of different
+    sets those are compared that share one of their rarest items: a set of n that lacks all of the other's first
+    n - ceil(n * percent / 100) + 1 lacks too many, so no pair is missed.
+    """
+    kept = F.array_distinct(F.filter(items, lambda x: F.trim(x) != ""))
+    rows = df.select(F.col(id).alias("id"), F.transform(F.array_sort(kept), lambda x: F.xxhash64(x)).alias("own")).where("size(own) > 0")
+    rows = rows.withColumn("name", F.xxhash64("own"))
+    sets = rows.groupBy("name", "own").agg(F.min("id").alias("id"))
+    held = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("x"))
+    ranked = held.join(held.groupBy("x").agg(F.count("*").alias("c")), "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    rare = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), reach)).alias("s")).where("s.c > 1").select("id", "n", F.col("s.x").alias("x"))
+    met = rare.alias("l").join(rare.alias("r"), F.expr(f"l.x = r.x and l.id < r.id and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
+    pairs = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    whole = sets.select("id", "own")
+    full = pairs.join(whole.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    both, either = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    near = full.where(both * 100 >= either * percent).select("a", "b")
+    same = rows.join(sets.select("name", F.col("own").alias("o"), F.col("id").alias("first")), "name").where("own = o and id <> first").select("first", F.col("id").alias("b"))
+    of_copies = same.join(near, same["first"] == near["b"]).select("a", same["b"]).where("a < b")
+    return near.union(same.select(F.col("first").alias("a"), "b")).union(of_copies).distinct()
+
+
 def new_or_changed(seen: DataFrame, known: DataFrame) -> DataFrame:
     """Files of a folder scan (name, size, mtime) that are not stored; a stored null mtime fits any."""
     k = known.select(F.col("name").alias("kn"), F.col("size").alias("ks"), F.col("mtime").alias("km"))

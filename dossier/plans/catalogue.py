@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import calc, ids, text, vin
-from dossier.operators import diff, facets, lifecycle, relations, search
+from dossier.operators import diff, facets, layout, lifecycle, relations, search
 from dossier.sources import csvs
 from dossier.streaming import jobs
 
@@ -156,7 +156,7 @@ def orphans_and_dangling(spark, sf_dir):
 @query("""
 WITH refs AS (
   SELECT l_partkey AS k FROM lineitem UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 7 = 0)
-SELECT 'p' || p_partkey AS id, count(k) = 0 AS purged, count(k) AS refs FROM part LEFT JOIN refs ON k = p_partkey WHERE p_partkey % 5 = 0 GROUP BY 1
+SELECT 'p' || p_partkey AS id, count(k) = 0 AS purged, count(k) AS refs FROM part LEFT JOIN refs ON k = p_partkey GROUP BY 1
 """)
 def purge_guard(spark, sf_dir):
     """Catalogue rows in the trash: only those that no order line and no document names may go for good."""
@@ -164,7 +164,7 @@ def purge_guard(spark, sf_dir):
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     files = part.select(name("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, F.lit("d")).alias("docId"))
     links = t(spark, sf_dir, "lineitem").select(F.lit("ro").alias("fromType"), F.col("l_orderkey").cast("string").alias("fromId"), F.lit("file").alias("toType"), name("l_partkey").alias("toId"), F.lit("attachment").alias("kind"))
-    return lifecycle.purge_plan(files, links, part.where("p_partkey % 5 = 0").select(name("p_partkey").alias("id")))
+    return lifecycle.purge_plan(files, links, part.select(name("p_partkey").alias("id")))
 
 
 @query("""
@@ -182,12 +182,12 @@ def shared_blob_gc(spark, sf_dir):
 @query("""
 WITH latest AS (SELECT o_custkey, max((o_orderdate, o_orderkey)) AS m FROM orders GROUP BY 1)
 SELECT o.o_orderkey AS pinned, struct_extract_at(m, 2) AS latest, struct_extract_at(m, 1) > o.o_orderdate AS newer
-FROM orders o JOIN latest USING (o_custkey) WHERE o.o_orderkey % 10 = 0
+FROM orders o JOIN latest USING (o_custkey)
 """)
 def pinned_vs_newest(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     latest = o.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    return o.where("o_orderkey % 10 = 0").join(latest, "o_custkey").select(F.col("o_orderkey").alias("pinned"), F.col("m.o_orderkey").alias("latest"), (F.col("m.o_orderdate") > F.col("o_orderdate")).alias("newer"))
+    return o.join(latest, "o_custkey").select(F.col("o_orderkey").alias("pinned"), F.col("m.o_orderkey").alias("latest"), (F.col("m.o_orderdate") > F.col("o_orderdate")).alias("newer"))
 
 
 @query("""
@@ -213,11 +213,11 @@ def folder_sync_delta(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\s]+'))::INT AS words, length(regexp_replace(text, '\s', '', 'g')) AS chars_no_space,
-  len(string_split(text, chr(10)))::INT AS lines, ceil(len(regexp_extract_all(text, '[^\s]+')) / 200)::INT AS reading_minutes FROM documents
+  CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10)))::INT END AS lines, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\s|$)')))::INT END AS sentences,
+  len(list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda p: regexp_matches(p, '[^\s]')))::INT AS paragraphs, ceil(len(regexp_extract_all(text, '[^\s]+')) / 200)::INT AS reading_minutes FROM documents
 """)
 def text_stats(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", text.stats(F.col("text")).alias("s"))
-    return d.select("doc_id", "s.chars", "s.words", "s.chars_no_space", "s.lines", "s.reading_minutes")
+    return t(spark, sf_dir, "documents").select("doc_id", *[c.alias(name) for name, c in text.stats(F.col("text")).items()])
 
 
 @query(r"""
@@ -226,29 +226,26 @@ s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(line), '\d+', '#',
 SELECT signature, count(DISTINCT doc_id) AS docs FROM s WHERE length(regexp_replace(signature, '[^a-z]', '', 'g')) >= 4 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2
 """)
 def line_furniture(spark, sf_dir):
-    l = t(spark, sf_dir, "documents").select("doc_id", F.explode(text.lines(F.col("text"))).alias("line"))
-    sig = l.select("doc_id", text.line_signature(F.col("line")).alias("signature")).where("signature <> ''")
-    return sig.groupBy("signature").agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 2")
+    """Lines on two documents or more: the table is one document here and its rows are the pages."""
+    l = t(spark, sf_dir, "documents").select(F.lit(0).alias("doc"), "doc_id", F.explode(text.lines(F.col("text"))).alias("line"))
+    return facets.furniture(l, "doc", "doc_id", "line").select("signature", F.col("pages").alias("docs"))
 
 
 @query(r"""
 SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS email,
-  regexp_extract(text, '\(?(\d{3})\)?[-. ]?(\d{3})[-. ]?(\d{4})', 1) || '-' || regexp_extract(text, '\(?(\d{3})\)?[-. ]?(\d{3})[-. ]?(\d{4})', 2) || '-' || regexp_extract(text, '\(?(\d{3})\)?[-. ]?(\d{3})[-. ]?(\d{4})', 3) AS phone FROM documents
+  replace(regexp_extract(' ' || text || ' ', '[^0-9](\d{3}[-.]\d{3}[-.]\d{4})[^0-9]', 1), '.', '-') AS phone FROM documents
 """)
 def extract_contacts(spark, sf_dir):
-    p = r"\(?(\d{3})\)?[-. ]?(\d{3})[-. ]?(\d{4})"
-    phone = F.concat_ws("-", *[F.regexp_extract("text", p, k) for k in (1, 2, 3)])
-    return t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0).alias("email"), phone.alias("phone"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0).alias("email"), layout.phone(F.col("text")).alias("phone"))
 
 
 @query(r"""
-SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, replace(lower(p_name), ' ', '_') AS snake, upper(replace(lower(p_name), ' ', '_')) AS constant,
+SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, regexp_replace(lower(p_name), '[ _-]+', '_', 'g') AS snake, upper(regexp_replace(lower(p_name), '[ _-]+', '_', 'g')) AS constant,
   translate(p_name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') AS inverted FROM part
 """)
 def case_transforms(spark, sf_dir):
     c = F.col("p_name")
-    spaced = F.lower(c)
-    return t(spark, sf_dir, "part").select("p_partkey", text.to_case(c, "upper").alias("up"), text.to_case(F.col("p_type"), "lower").alias("low"), F.replace(spaced, F.lit(" "), F.lit("_")).alias("snake"), F.upper(F.replace(spaced, F.lit(" "), F.lit("_"))).alias("constant"), text.to_case(c, "invert").alias("inverted"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.to_case(c, "upper").alias("up"), text.to_case(F.col("p_type"), "lower").alias("low"), text.to_case(c, "snake").alias("snake"), text.to_case(c, "constant").alias("constant"), text.to_case(c, "invert").alias("inverted"))
 
 
 @query(r"""
@@ -284,7 +281,22 @@ def vin_checks(spark, sf_dir):
     return v.select("c_custkey", "vin", vin.check_ok(F.col("vin")).alias("check_ok"), vin.series(F.col("vin")).alias("series"), vin.model_year(F.col("vin")).alias("model_year"))
 
 
-@query()
+_PLANTED = "coalesce(text, '') || ' ' || CASE doc_id % 3 WHEN 0 THEN 'VIN: ' WHEN 1 THEN 'Datenkarte ' ELSE '' END || 'W1N KM4GB9SF' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') || ' end'"
+
+
+@query(rf"""
+WITH u AS (SELECT doc_id, regexp_replace(upper({_PLANTED}), '([^A-Z0-9])', '\1' || chr(1), 'g') AS u FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(u, '(?:^|[^A-Z0-9])([A-HJ-NPR-Z0-9](?:(?:[ \t\x{{A0}}]\x01){{0,2}}[A-HJ-NPR-Z0-9]){{16}})(?:$|[^A-Z0-9])', 1) AS hits,
+  regexp_split_to_array(u, '(?:^|[^A-Z0-9])[A-HJ-NPR-Z0-9](?:(?:[ \t\x{{A0}}]\x01){{0,2}}[A-HJ-NPR-Z0-9]){{16}}(?:$|[^A-Z0-9])') AS between FROM u),
+h AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS k, hits, between FROM m),
+v AS (SELECT doc_id, k, regexp_replace(hits[k], '[^A-Z0-9]', '', 'g') AS v, regexp_replace(right(replace(between[k], chr(1), ''), 16), '[^A-Z]', '', 'g') AS before FROM h),
+p AS (SELECT *, CASE WHEN ends_with(before, 'VIN') THEN 3 WHEN regexp_matches(before, '(DATACARD|DATENKARTE|FGSTNR|FAHRGESTELLNR)$') THEN 2 ELSE 1 END AS tag FROM v
+  WHERE substr(v, 1, 3) IN ('WDB', 'WDD', 'WDC', 'W1K', 'W1N', 'WDF', 'W1V', 'W1W', 'W1X', 'W1Y', 'WD3', 'WD4', 'WMX', 'WME', '4JG', '55S', '8AC', '9BM', 'MB1')
+    AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 4 AND 15 AND NOT regexp_matches(v, '[A-Z]{{7}}') AND len(list_distinct(string_split(v, ''))) >= 6),
+n AS (SELECT doc_id, v, min(k) AS k, max(tag) AS tag FROM p GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) <= 25),
+f AS (SELECT *, tag = 2 OR (tag = 1 AND bool_or(tag = 3) OVER (PARTITION BY doc_id) AND regexp_matches(substr(v, 4, 1), '[0-9]')) AS fin FROM n)
+SELECT d.doc_id, coalesce(string_agg(v, ',' ORDER BY k) FILTER (WHERE NOT fin), '') AS vins, coalesce(string_agg(v, ',' ORDER BY k) FILTER (WHERE fin), '') AS fins FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1
+""")
 def vin_scan(spark, sf_dir):
     """Vehicle numbers of whole texts, with one put behind each, with labels and gaps."""
     k = F.col("doc_id")
@@ -440,22 +452,22 @@ def date_diff(spark, sf_dir):
 
 @query()
 def document_diff(spark, sf_dir):
-    """Each near copy of a whole text (five-word shingles, similarity 0.8) against the first document of its class, line by line."""
-    from dossier.llm import minhash  # only here: the other queries do without the training-data operators
-
+    """Each text against the first one that has four fifths of their distinct lines in common, line by line."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    copies = minhash.components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id", "component_id").distinct()
-    first = docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("a"))
-    pairs = copies.join(first, "component_id").join(docs.withColumnRenamed("text", "b"), "doc_id")
-    return diff.totals(diff.diff(pairs, "a", "b")).select("doc_id", "removed", "added", "moved", "same")
+    pairs = relations.alike(docs.select("doc_id", text.lines(F.col("text")).alias("lines")), "doc_id", "lines", 80)
+    pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    first, later = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(first, "a").join(later, "b").select(F.col("b").alias("doc_id"), "x", "y")
+    return diff.totals(diff.diff(both, "x", "y")).select("doc_id", "removed", "added", "moved", "same")
 
 
 @query(r"""
-SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 ORDER BY lower(p_name), p_partkey LIMIT 20
+SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name, p_partkey
 """)
 def sorted_view(spark, sf_dir):
-    p = t(spark, sf_dir, "part").where("p_partkey % 2 = 0")
-    return search.top(p.select("p_partkey", "p_name"), 20, F.lower("p_name"), F.col("p_partkey"))
+    """The whole catalogue in the order of its name column, where digit runs count as numbers."""
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    return p.orderBy(*facets.sort_key(p, "name")).select("p_partkey", "p_name")
 
 
 @query("""

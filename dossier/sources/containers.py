@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The magic of each kind, its version and the format its header names.
-MAGIC = {"fdb": (b"FDBK", 1, "file-database"), "fvault": (b"FVLT", 2, "file-vault"), "tidb": (b"TIDB", 1, "tool-inventory-db")}
+# The magic of each kind and its version. A header also names its format, which readers only need to find there.
+MAGIC = {"fdb": (b"FDBK", 1), "fvault": (b"FVLT", 2), "tidb": (b"TIDB", 1)}
 
 ROWS = "path string, kind string, error string, part string, pos int, id string, meta string, content binary"
 
@@ -34,7 +34,7 @@ def sniff(content: Column) -> Column:
 
 
 def _header(data: bytes, kind: str) -> tuple[dict, int]:
-    magic, version, form = MAGIC[kind]
+    magic, version = MAGIC[kind]
     if data[:4] != magic:
         raise ValueError("BAD_MAGIC")
     if len(data) < 12 or struct.unpack_from("<I", data, 4)[0] != version:
@@ -46,7 +46,7 @@ def _header(data: bytes, kind: str) -> tuple[dict, int]:
         meta = json.loads(data[12 : 12 + size].decode("utf-8"))
     except ValueError:
         raise ValueError("BAD_METADATA") from None
-    if not isinstance(meta, dict) or meta.get("format") != form:
+    if not isinstance(meta, dict) or not isinstance(meta.get("format"), str) or not meta["format"]:
         raise ValueError("BAD_METADATA")
     return meta, 12 + size
 
@@ -113,9 +113,9 @@ def read(found: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def pack(kind: str, meta: dict, payloads: list[bytes]) -> bytes:
-    """One container's bytes: magic, version, header, payloads. For exports of a size that one value can hold."""
-    magic, version, form = MAGIC[kind]
-    head = json.dumps({"format": form, **meta}, ensure_ascii=False).encode()
+    """One container's bytes: magic, version, header (meta, with its format name), payloads. For exports that one value can hold."""
+    magic, version = MAGIC[kind]
+    head = json.dumps(meta, ensure_ascii=False).encode()
     return magic + struct.pack("<II", version, len(head)) + head + b"".join(payloads)
 
 

@@ -35,19 +35,16 @@ def read(spark: SparkSession, path: str, header: bool = True, sep: str | None =
     quoted = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
     widest = spark.read.text(path, wholetext=True).select(F.explode(F.split(quoted.cast("string"), r"\r\n|\r|\n")).alias("l")).agg(F.max(F.size(F.split("l", f"[{sep}]")))).first()[0] or 1
     schema = ", ".join(f"c{k} string" for k in range(widest))
-    rows = spark.read.options(**options).schema(schema).csv(path).fillna("")
     if not header:
-        return rows.toDF(*[f"Column {k + 1}" for k in range(widest)])
-    first = rows.first()
+        return spark.read.options(**options).schema(schema).csv(path).fillna("").toDF(*[f"Column {k + 1}" for k in range(widest)])
+    first = spark.read.options(**options).schema(schema).csv(path).fillna("").first()
     names = [(first[k] if first else "") or f"Column {k + 1}" for k in range(widest)]
     seen: dict[str, int] = {}
     for k, n in enumerate(names):
         seen[n] = seen.get(n, 0) + 1
         names[k] = n if seen[n] == 1 else f"{n} ({seen[n]})"
-    head = F.lit(True)
-    for k in range(widest):
-        head = head & (F.col(f"c{k}") == F.lit(first[k] if first else ""))
-    return rows.where(~head).toDF(*names)
+    # The first record of each file is its heading, by place: a later record that reads alike is data.
+    return spark.read.options(**options, header="true", enforceSchema="true").schema(schema).csv(path).fillna("").toDF(*names)
 
 
 def without_blank_rows(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Attempts, staleness and how long finished jobs stay.
@@ -18,14 +18,12 @@ def enqueue(jobs: DataFrame, new: DataFrame, now: int) -> DataFrame:
 
 def claim(jobs: DataFrame, owner: str, now: int) -> DataFrame:
     """All rows; the oldest queued job of each type is running for the owner. One writer commits the result."""
-    w = Window.partitionBy("type", F.col("state") == "queued").orderBy("createdAt", "id")
-    rows = jobs.withColumn("__k", F.row_number().over(w))
-    hit = (F.col("state") == "queued") & (F.col("__k") == 1)
+    oldest = jobs.where("state = 'queued'").groupBy("type").agg(F.min(F.struct("createdAt", "id")).alias("o")).select(F.col("o.id").alias("id"), F.lit(True).alias("__first"))
     put = lambda c, v: F.when(hit, v).otherwise(F.col(c))
     # The flag comes first: the other columns look at the state as it was.
-    rows = rows.withColumn("__hit", hit)
+    rows = jobs.join(oldest, "id", "left").withColumn("__hit", F.col("__first").isNotNull() & (F.col("state") == "queued"))
     hit = F.col("__hit")
-    return rows.withColumns({"state": put("state", F.lit("running")), "owner": put("owner", F.lit(owner)), "attempts": put("attempts", F.coalesce("attempts", F.lit(0)) + 1), "startedAt": put("startedAt", F.lit(now)), "heartbeat": put("heartbeat", F.lit(now)), "updatedAt": put("updatedAt", F.lit(now))}).drop("__k", "__hit")
+    return rows.withColumns({"state": put("state", F.lit("running")), "owner": put("owner", F.lit(owner)), "attempts": put("attempts", F.coalesce("attempts", F.lit(0)) + 1), "startedAt": put("startedAt", F.lit(now)), "heartbeat": put("heartbeat", F.lit(now)), "updatedAt": put("updatedAt", F.lit(now))}).drop("__first", "__hit")
 
 
 def beat(jobs: DataFrame, owner: str, now: int) -> DataFrame:

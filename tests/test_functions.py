@@ -4,7 +4,7 @@ import datetime
 import math
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -116,19 +116,28 @@ def test_natural_order(spark):
     assert [r.x for r in df.orderBy(text.natural_key(F.col("x")), F.col("x")).collect()] == ["A1", "b2", "b02x", "b10"]
 
 
-def test_vins_are_told_apart_by_label():
-    t = "VIN: W1NKM4GB9SF382775 and Datenkarte W1K2140471A068698, W1KLF4HB1 RA068698"
-    assert vin.find(t) == (["W1NKM4GB9SF382775", "W1KLF4HB1RA068698"], ["W1K2140471A068698"])
-    assert vin.find("W1NKM4GB9SF38277S") == (["W1NKM4GB9SF38277S"], [])
-    assert vin.find("WITHOUT LIMITATION OF") == ([], []) == vin.find(None)
-    assert vin.find("WINKM4GB9SF38277O", True)[0] == ["W1NKM4GB9SF382770"]
-    assert vin.best_in("W1NKMAGB9SF382775 VIN W1NKM4GB9SF382775") == "W1NKM4GB9SF382775"
-
+def test_vins_are_told_apart_by_label(spark):
+    def find(t, fuzzy=False):
+        r = spark.createDataFrame([(t,)], "t string").select(vin.find_vins(F.col("t"), fuzzy).alias("f"), vin.best_in(F.col("t")).alias("b")).first()
+        return list(r.f.vins), list(r.f.fins), r.b
 
-@settings(max_examples=40, deadline=None)
+    t = "VIN: W1NKM4GB9SF382775 and Datenkarte W1K2140471A068698, W1KLF4HB1 RA068698"
+    assert find(t)[:2] == (["W1NKM4GB9SF382775", "W1KLF4HB1RA068698"], ["W1K2140471A068698"])
+    assert find("W1NKM4GB9SF38277S")[:2] == (["W1NKM4GB9SF38277S"], [])
+    assert find("WITHOUT LIMITATION OF") == ([], [], "") == find(None)
+    assert find("WINKM4GB9SF38277O", True)[0] == ["W1NKM4GB9SF382770"]
+    assert find("W1NKMAGB9SF382775 VIN W1NKM4GB9SF382775")[2] == "W1NKM4GB9SF382775"
+    # The strongest label counts, wherever it stands, and beside a labelled one a digit in the fourth place tells.
+    assert find("W1K2140471A068698 VIN W1K2140471A068698 W1K2140471A068699")[:2] == (["W1K2140471A068698"], ["W1K2140471A068699"])
+    many = " ".join(f"W1KLF4HB1RA0{k:05d}" for k in range(40))
+    assert len(find(many)[0]) == vin.MOST
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="ABCDEFGHJKLMNPRSTUVWXYZ0123456789", min_size=17, max_size=17))
-def test_check_digit_is_one_of_eleven(v):
-    assert sum(vin.check(v[:8] + c + v[9:]) for c in "0123456789") <= 1
+def test_check_digit_is_one_of_eleven(spark, v):
+    rows = spark.createDataFrame([(v[:8] + c + v[9:],) for c in "0123456789X"], "v string")
+    assert rows.where(vin.check_ok(F.col("v"))).count() <= 1
 
 
 def test_dates(spark):

@@ -176,7 +176,7 @@ def test_generations(spark, tmp_path):
 
 
 def container(kind, meta, *payloads):
-    return containers.pack(kind, meta, list(payloads))
+    return containers.pack(kind, {"format": f"a {kind} file", **meta}, list(payloads))
 
 
 GOOD = {
