@@ -30,9 +30,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach: spark.checkpoint.dir, or (unset, as in tests) a new one."""
+    """The folder that every executor and the driver can reach: spark.checkpoint.dir. In local mode (tests) a new one if
+    that is unset; on a cluster a folder of this machine would be no use to the others, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="dossier-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

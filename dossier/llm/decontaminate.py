@@ -4,7 +4,10 @@ A window of 13 words is hashed under 13 masks. Mask t ignores the four places t,
 of the projective plane of order 3, in which any two places lie on exactly one line. So whatever two words of a window
 were substituted, one mask ignores both and its hash still agrees. Hashes of documents and of benchmark items are joined;
 around each hit the item is laid beside the document, and every window that agrees in 11 of 13 words or more counts.
-An item of fewer than 13 words has a single window, itself, and has to agree in every word.
+
+An item of fewer than 13 words has a single window, itself. With 7 words or more it has masks that ignore one place each,
+and may differ in one word; with 5 or 6 every word has to agree. One of fewer words says too little to be found within a
+text, so only a text that consists of these words alone holds it.
 
 Only hashes that pass a bitmap of the benchmark's hashes (of bounded size) leave the first scan; the join is exact.
 """
@@ -21,16 +24,30 @@ from dossier.llm.common import PUNCTUATION, Steps, bitmap, constants, in_bitmap,
 WIDTH, SUBSTITUTED = 13, 2
 #: A difference set modulo 13 (fixed values).
 LINE = (0, 1, 3, 9)
-#: Items with fewer words than this say too little to be found.
+#: Items with fewer words than this are only found where they are the whole text.
 FEWEST = 5
 BLOCK = 1 << 18
 
 
+def allowed(width: int) -> int:
+    """Words of a window of `width` that may be substituted."""
+    return SUBSTITUTED * width // WIDTH
+
+
+def masks(width: int) -> list[tuple[int, ...]]:
+    """The places that each mask of a window ignores."""
+    if width == WIDTH:
+        return [tuple((d + t) % WIDTH for d in LINE) for t in range(WIDTH)]
+    return [(t,) for t in range(width)] if allowed(width) else [()]
+
+
 def seeds(words: np.ndarray, at: np.ndarray, lengths=()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (window, mask) of the WIDTH-word windows and the place of each window's first word; then, for each shorter
-    length given, of whole windows of that length. Windows don't cross rows."""
+    length given, of windows of that length, and of rows that have no other words if it is under FEWEST. Windows don't
+    cross rows."""
     n = len(words)
-    row_end = np.repeat(at[1:], np.diff(at))
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    begin, end = at[of], at[of + 1]
     hashes, places = [], []
     order = constants(WIDTH, 51)
     for width in (WIDTH, *sorted(lengths)):
@@ -41,28 +58,27 @@ def seeds(words: np.ndarray, at: np.ndarray, lengths=()) -> tuple[np.ndarray, np
         whole = np.zeros(m, np.uint64)
         for t in terms:
             whole += t
-        place = np.flatnonzero(np.arange(m) + width <= row_end[:m])
-        if width == WIDTH:
-            for t, salt in enumerate(constants(WIDTH, 52)):
-                seen = whole.copy()
-                for d in LINE:
-                    seen -= terms[(d + t) % WIDTH]
-                hashes.append(mix(seen[place] ^ salt))
-                places.append(place)
-        else:
-            hashes.append(mix(whole[place] ^ (constants(1, 53 + width))))
+        start = np.arange(m)
+        place = np.flatnonzero((start == begin[:m]) & (start + width == end[:m]) if width < FEWEST else start + width <= end[:m])
+        for ignored, salt in zip(masks(width), constants(WIDTH, 52 if width == WIDTH else 53 + width)):
+            seen = whole.copy()
+            for d in ignored:
+                seen -= terms[d]
+            hashes.append(mix(seen[place] ^ salt))
             places.append(place)
     return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def overlap(item: np.ndarray, text: np.ndarray, shift: int) -> int:
     """Words of the item in agreeing windows, with the item's first word laid on the text's word number `shift`."""
+    if len(item) < FEWEST and (shift or len(text) != len(item)):
+        return 0
     lo, hi = max(0, -shift), min(len(item), len(text) - shift)
     same = item[lo:hi] == text[lo + shift : hi + shift]
     width = min(WIDTH, len(item))
     if len(same) < width:
         return 0
-    need = width - SUBSTITUTED if width == WIDTH else width
+    need = width - allowed(width)
     sums = np.concatenate([[0], np.cumsum(same)])
     good = np.flatnonzero(sums[width:] - sums[:-width] >= need)
     covered = np.zeros(len(same), bool)
@@ -78,7 +94,7 @@ def _items(batches):
         out = []
         for r, i in enumerate(batch.column("item_id").to_pylist()):
             own = words[at[r] : at[r + 1]]
-            if len(own) < FEWEST:
+            if not len(own):
                 continue
             short = (len(own),) if len(own) < WIDTH else ()
             hashes, places = seeds(own, np.array([0, len(own)]), short)
@@ -116,17 +132,14 @@ def _scan(bits, lengths):
 
 
 def _verify(batches):
+    """The best place of each item in each text, from the item's words and all shifts at which a seed agrees."""
     for batch in batches:
         out = []
-        for content, words, found in zip(*(batch.column(c) for c in ("content", "words", "found"))):
-            text = np.array(words.values.to_numpy(), np.int64)
-            best: dict = {}
-            for f in found.as_py():
-                item = np.array(f["words"], np.int64)
-                n = overlap(item, text, f["shift"])
-                if n > best.get(f["item_id"], (0,))[0]:
-                    best[f["item_id"]] = n, max(0, f["shift"]), len(item)
-            out += [(content.as_py(), i, *b) for i, b in best.items()]
+        for content, i, words, item, shifts in zip(*(batch.column(c) for c in ("content", "item_id", "words", "item", "shifts"))):
+            text, own = (np.array(x.values.to_numpy(), np.int64) for x in (words, item))
+            n, back, shift = max((overlap(own, text, s), -s, s) for s in shifts.as_py())
+            if n:
+                out.append((content.as_py(), i.as_py(), n, max(0, shift), len(own)))
         columns = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["content", "item_id", "n_words", "at_word", "item_words"])
 
@@ -135,9 +148,9 @@ def contaminated(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(content, item_id, n_words, at_word, item_words): which text holds which item, over texts (text) and benchmark (item_id, text).
 
     content: md5 of the text, so equal texts are judged once. n_words: the item's words in agreeing windows, where they
-    are most; at_word: the word of the text at which the item begins there. Null or empty texts and items, and items
-    under FEWEST words, agree with nothing; the items of null id count like others; items that repeat under one id are
-    one item each. Words are runs of letters and digits, A-Z lower-cased.
+    are most (first of equals); at_word: the word of the text at which the item begins there. Null or empty texts and
+    items agree with nothing, items under FEWEST words only with whole texts; the items of null id count like others;
+    items that repeat under one id are one item each. Words are runs of letters and digits, A-Z lower-cased.
     """
     spark = texts.sparkSession
     steps = Steps(spark)
@@ -150,10 +163,12 @@ def contaminated(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     scanned = steps.write(scanned, "scanned").dropDuplicates(["content"])
     hits = scanned.select("content", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("content", F.col("s.hashes").alias("hash"), F.col("s.places").alias("text_at"))
     pairs = hits.join(known.select("item_id", "hash", "item_at", F.xxhash64("words").alias("name")), "hash").select("content", "item_id", "name", (F.col("text_at") - F.col("item_at")).alias("shift")).distinct()
-    named = items.select("item_id", F.xxhash64("words").alias("name"), "words").dropDuplicates(["item_id", "name"])
-    found = pairs.join(named, pairs["item_id"].eqNullSafe(named["item_id"]) & (pairs["name"] == named["name"])).select("content", pairs["item_id"], "shift", "words")
-    found = found.groupBy("content").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
-    return found.join(scanned.select("content", "words"), "content").select("content", "words", "found").mapInArrow(_verify, "content string, item_id long, n_words long, at_word long, item_words long")
+    pairs = pairs.groupBy("content", "item_id", "name").agg(F.collect_list("shift").alias("shifts"))
+    named = items.select(F.col("item_id").alias("i"), F.xxhash64("words").alias("w"), F.col("words").alias("item")).dropDuplicates(["i", "w"])
+    found = pairs.join(named, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("name") == F.col("w"))).join(scanned.select("content", "words"), "content")
+    found = found.select("content", "item_id", "words", "item", "shifts").mapInArrow(_verify, "content string, item_id long, n_words long, at_word long, item_words long")
+    best = F.max(F.struct("n_words", (-F.col("at_word")).alias("o"), "at_word", "item_words")).alias("b")
+    return found.groupBy("content", "item_id").agg(best).select("content", "item_id", "b.n_words", "b.at_word", "b.item_words")
 
 
 def op3_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +183,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item; null texts stay. Only rows that a bitmap of the found texts may hold are joined."""
     spark = docs.sparkSession
     leaked = Steps(spark).write(contaminated(docs.select("text"), benchmark).select("content", F.xxhash64("content").alias("hash")).distinct(), "leaked")
-    names = docs.columns
-    rows = docs.withColumn("__content", F.md5("text")).withColumn("__maybe", maybe_in(spark, bitmap(leaked, "hash"))(F.xxhash64(F.coalesce("__content", F.lit("")))))
-    checked = rows.where("__maybe").join(leaked.select(F.col("content").alias("__content")), "__content", "left_anti")
-    return checked.select(*names).union(rows.where("not __maybe").select(*names))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.md5("text").alias("content"))
+    rows = rows.withColumn("maybe", maybe_in(spark, bitmap(leaked, "hash"))(F.xxhash64(F.coalesce("content", F.lit("")))))
+    checked = rows.where("maybe").join(leaked.select("content"), "content", "left_anti")
+    return checked.select("row").union(rows.where("not maybe").select("row")).select("row.*")

@@ -144,14 +144,15 @@ class Model:
 
 
 def learn(docs: DataFrame, learnt: int = LEARNT) -> Model | None:
-    """A model from docs (text, lang); None if no row has both. At most `learnt` texts of each language are read, whole."""
+    """A model from docs (text, lang); None if no row has both. At most `learnt` different texts of each language are read,
+    whole; repeats of a text count once."""
     known = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in docs.where("text is not null and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return None
-    # Hashes are even, so twice the share needed leaves enough rows, and few are ranked.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * learnt / n))])
-    some = known.where((F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")]))
+    # Hashes of different texts are even, so twice the share needed leaves enough of them, and few are ranked.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * learnt / max(n, 1)))])
+    some = known.where((F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])).groupBy("lang", "h").agg(F.first("text").alias("text"))
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= learnt).select("text", "lang")
     grams = some.repartition(8).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(grams.column("lang").to_pylist(), dtype=object)
@@ -159,22 +160,17 @@ def learn(docs: DataFrame, learnt: int = LEARNT) -> Model | None:
     return Model({x: Tree(keys[langs == x], counts[langs == x]) for x in sorted(set(langs))}) if len(langs) else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All rows with struct column `language`: lang, score, bits (a byte), from column text alone.
-
-    score: the language's probability if all were as likely before. A null text, one without a letter, or any text
-    without a model, gives `und`, score 0 and null bits. Equal code lengths go to the first language by code point.
-    """
-    names = docs.columns
+def _judged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, language): each whole row, whatever its columns are called, and the verdict on its text."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
-    scored = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scored = docs.select(row, F.col("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def score(batches):
         m = shared.value if shared else None
         for batch in batches:
-            keep = batch.select(names)
-            letter = np.asarray(batch.column("__letter").to_pylist(), bool)
+            letter = np.asarray(batch.column("letter").to_pylist(), bool)
             data, offsets = text_buffer(batch.column("text"))
             if m is None or not len(letter):
                 best, sure, bits = np.full(len(letter), "und", object), np.zeros(len(letter)), np.full(len(letter), np.nan)
@@ -187,12 +183,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = np.where(letter, np.array(m.langs, object)[k], "und")
                 sure[~letter] = 0
             found = pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(sure), pa.array(bits, mask=~letter | np.isnan(bits))], names=["lang", "score", "bits"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, found], names=[*names, "language"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "language"])
 
-    schema = docs.select("*", F.lit(None).cast("struct<lang:string,score:double,bits:double>").alias("language")).schema
+    schema = scored.select("row", F.lit(None).cast("struct<lang:string,score:double,bits:double>").alias("language")).schema
     return scored.mapInArrow(score, schema)
 
 
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All rows with struct column `language`: lang, score, bits (a byte), from column text alone.
+
+    score: the language's probability if all were as likely before. A null text, one without a letter, or any text
+    without a model, gives `und`, score 0 and null bits. Equal code lengths go to the first language by code point.
+    A column `language` of docs is replaced.
+    """
+    return _judged(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "language"], "language")
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -206,4 +212,4 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows whose text is in one of the learnt languages: not `und`, not costlier than MOST_BITS a byte."""
-    return predict(docs, model).where(F.col("language.bits") <= MOST_BITS).drop("language")
+    return _judged(docs, model).where(F.col("language.bits") <= MOST_BITS).select("row.*")

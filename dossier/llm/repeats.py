@@ -8,14 +8,14 @@
    Burrows-Wheeler transforms of its strings are merged by iterative interleave refinement, without sorting suffixes;
    see `repeated`. Only places within windows are carried, and settled ones drop out.
 
-Buckets get some 2 MB each, so more data makes more buckets; all segments of one anchor share a bucket.
+Buckets get some 2 MB each, so more data makes more buckets; all different segments of one anchor share a bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.common import P, Steps, bitmap, maybe_in, mix, partitions, powers, slices, table, text_buffer
@@ -24,10 +24,11 @@ WINDOW, K = 200, 64
 SPAN = WINDOW - K + 1
 #: Bytes of a symbol in the merge.
 STEP = 4
-BUCKET = 2 << 20
+#: Bytes of strings that are merged at once, and that a task gets at least, one bucket after the other.
+BUCKET, TASK = 2 << 20, 64 << 20
 BLOCK = 1 << 17
 
-RUNS = "id long, h int, first int, last int, anchor long, name long"
+RUNS = "id long, h long, first int, last int, anchor long, name long"
 
 
 def _least(values: np.ndarray, w: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def _marks(batches):
             out += [(i, h, first + int(a), first + int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
         held.clear()
         columns = list(zip(*out)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "h", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "h", "first", "last"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "first", "anchor", "bytes", "n", "bucket"))):
@@ -173,7 +174,7 @@ def _cut(batches):
             text = data[offsets[r] : offsets[r + 1]]
             out += [(i, h, w["first"], w["anchor"], text[w["first"] : w["last"] + WINDOW].tobytes(), w["n"]) for w in wanted]
         columns = list(zip(*out)) if out else [[]] * 6
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "h", "first", "anchor", "bytes", "n"])
 
 
@@ -205,28 +206,32 @@ def remove(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     steps = Steps(spark)
+    # Two rows are one text if id and h agree; h tells a null doc_id from the number that stands for it.
     null = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", null).alias("id"), F.hash("text").alias("h"))
-    by_anchor, by_name = Window.partitionBy("anchor"), Window.partitionBy("anchor", "name")
-    found = segments(rows.select("id", "h", "text").where("octet_length(text) >= 200"))
-    shared = found.withColumn("n", F.count("*").over(by_name)).withColumn("all", F.count("*").over(by_anchor)).where("all > 1")
-    shared = steps.write(shared, "shared")
-    open_ = shared.where("all > n").groupBy("anchor", "name").agg(F.min(F.struct("id", "h", "first", "last")).alias("at"), F.first("n").alias("n"))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", null).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"))
+    found = steps.write(segments(rows.select("id", "h", "text").where("octet_length(text) >= 200")), "found")
+    # Counts are summed in the map tasks first, so that a frequent anchor is a few rows; the joins may split it.
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("all"), F.min("name").alias("low"), F.max("name").alias("high")).where("all > 1")
+    again = steps.write(found.join(anchors.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchor"), "again")
+    names = again.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.first("open").alias("open"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
+    names = steps.write(names, "names")
+    shared = again.join(names.where("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("id", "h", "first", "last")
+    open_ = names.where("open")
     wanted = open_.groupBy("at.id", "at.h").agg(F.collect_list(F.struct("at.first", "at.last", "anchor", "n")).alias("wanted"))
     wanted = steps.write(wanted, "wanted")
     texts = rows.where(maybe_in(spark, bitmap(wanted.select(F.xxhash64("id").alias("x")), "x"))(F.xxhash64("id"))).select("id", "h", "text")
-    pieces = wanted.join(texts, ["id", "h"]).dropDuplicates(["id", "h"]).mapInArrow(_cut, "id long, h int, first int, anchor long, bytes binary, n long")
+    pieces = wanted.join(texts, ["id", "h"]).dropDuplicates(["id", "h"]).mapInArrow(_cut, "id long, h long, first int, anchor long, bytes binary, n long")
     pieces = steps.write(pieces, "pieces")
     total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")).repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "anchor")
-    marks = dealt.mapInArrow(_marks, "id long, h int, first int, last int").union(shared.where("n > 1").select("id", "h", "first", "last"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")).repartition(int(max(partitions(spark), -(-total // TASK))), "bucket").sortWithinPartitions("bucket", "anchor")
+    marks = dealt.mapInArrow(_marks, "id long, h long, first int, last int").union(shared)
     spans = steps.write(marks.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     maybe = maybe_in(spark, bitmap(spans.select(F.xxhash64("id").alias("x")), "x"))
     hit = rows.withColumn("maybe", maybe(F.xxhash64("id")))
     joined = hit.where("maybe").join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
     alone = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
-    steps.drop("shared", "wanted", "pieces")
+    steps.drop("found", "again", "names", "wanted", "pieces")
     return joined.union(alone).mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
 
 

@@ -3,7 +3,7 @@
 A host's labels are reversed ("www.example.com" becomes "com.example.www."), so a rule's host and all its subdomains are
 one interval of keys: those with the rule's key as prefix. Addresses and rules are range-partitioned by key; each task
 sorts its rows and sweeps once, keeping a stack of the rules whose intervals are open. Intervals of hosts are nested or
-apart, so a rule leaves the stack for good once a key lies beyond it. Of the open rules whose path begins the address's
+apart, so a rule leaves the stack for good once a key lies beyond it. The rules of one host are found by their paths. Of the open rules whose path begins the address's
 path, the longest (host and path together) decides.
 """
 
@@ -46,16 +46,20 @@ def _sweep(batches):
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             if kind == 0:
-                if stack and stack[-1][0] == key:
-                    stack[-1][1].append((path, host + path, action))
-                else:
-                    stack.append((key, [(path, host + path, action)]))
+                if not stack or stack[-1][0] != key:
+                    stack.append((key, {}, []))
+                _, held, lengths = stack[-1]
+                held[path] = host + path, action
+                if len(path) not in lengths:
+                    bisect.insort(lengths, len(path))
                 continue
             best = None
-            for _, rules in stack:
-                for p, rule, verdict in rules:
-                    if path.startswith(p) and (best is None or len(rule) >= len(best[0])):
-                        best = rule, verdict
+            for _, held, lengths in stack:  # of a host's rules the longest path that fits: one look-up for each length
+                for n in reversed(lengths):
+                    if n <= len(path) and path[:n] in held:
+                        found = held[path[:n]]
+                        best = found if best is None or len(found[0]) >= len(best[0]) else best
+                        break
             if best:
                 out.append((row_key, *best))
         yield pd.DataFrame(out, columns=["row_key", "rule", "action"])

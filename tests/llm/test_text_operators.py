@@ -134,6 +134,34 @@ def test_orc_lookup_prunes(spark, docs):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
 
 
+def test_orc_files_have_row_index_and_bloom_filter(spark, tmp_path):
+    from pyarrow import orc
+
+    path = f"{tmp_path}/orc"
+    rows = spark.range(30_000).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text")
+    tokens.write(rows, path, tokens.vocabulary())
+    files = sorted(f for f in tmp_path.glob("orc/part-*"))
+    found = [orc.ORCFile(f) for f in files]
+    assert sum(f.nrows for f in found) == 30_000 and all(f.nstripes >= 1 and f.compression == "ZSTD" for f in found)
+    # Spark's own ORC library reads what the footers and indexes hold.
+    jvm = spark._jvm
+    hits, bounds = 0, []
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        ids = reader.getStatistics()[1]
+        bounds.append((ids.getMinimum(), ids.getMaximum()))
+        hits += bounds[-1][0] <= 300 <= bounds[-1][1]
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            streams = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+            assert {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8")} <= streams and stripe.getIndexLength() > 0
+            assert [str(footer.getColumns(k).getKind()) for k in (1, 3)] == ["DIRECT_V2", "DIRECT_V2"]  # run-length encoding of integers
+        assert reader.getRowIndexStride() == 10_000
+    # Ranges of files are apart, so a look-up opens one file, and one of an id that is in no document finds nothing.
+    assert hits == 1 and all(x[1] < y[0] for x, y in zip(sorted(bounds), sorted(bounds)[1:]))
+    assert tokens.read(spark, path).where("doc_id = 300").count() == 1 and tokens.read(spark, path).where("doc_id = 301").count() == 0
+
+
 def words_of(text, pattern=rb"[^\x20\x09-\x0d]+"):
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
     return re.findall(pattern, low)
@@ -226,47 +254,67 @@ def test_patience_is_a_common_order():
     assert lines.patience(list("abcde"), list("xabyde")) == [(0, 1), (1, 2), (3, 4), (4, 5)]
 
 
-def brute_lines(rows):
-    """The same definition, document by document, without Spark."""
-    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
-    ends = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-    keys = [[re.sub(ends, "", x) or None for x in t.split("\n")] for _, t in docs]
-    holders: dict = {}
-    for d, own in enumerate(keys):
-        for x in set(own) - {None}:
-            holders.setdefault(x, []).append(d)
-    pairs = set()
-    for ds in holders.values():
-        pairs |= {(a, b) for b in ds for a in ds if a < b} if len(ds) <= lines.RARE else {(ds[0], b) for b in ds[1:]}
-    gone = {d: set() for d in range(len(docs))}
-    for a, b in pairs:
-        la, lb = ([x if x is not None else (s, k) for k, x in enumerate(keys[d])] for s, d in (("a", a), ("b", b)))
-        gone[b] |= set(lines.blocks(lines.patience(la, lb), [len(words_of(x)) if x else 0 for x in keys[b]]))
-    return {docs[d]: sorted(g) for d, g in gone.items()}
-
-
-def test_lines_against_brute_force(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    # Equal ids don't occur here, so the order by hash of the text doesn't matter.
-    want = brute_lines(rows)
-    got = {(r.doc_id, r.text): list(r.lines.removed) for r in lines.dedup_lines(docs).collect()}
-    assert got == want and any(want.values())
-    for r in lines.dedup_lines(docs.select("doc_id", "text")).collect():
-        assert r.lines.text == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in r.lines.removed)
+def plain_patience(a, b):
+    """Patience diff by its definition, in recursion: equal ends, then the longest ascending run of items unique in both, by a
+    table over all pairs of anchors (of equal choices the one that stands first in b), then the gaps between anchors."""
+
+    def walk(i0, i1, j0, j1):
+        if i0 >= i1 or j0 >= j1:
+            return []
+        if a[i0] == b[j0]:
+            return [(i0, j0), *walk(i0 + 1, i1, j0 + 1, j1)]
+        if a[i1 - 1] == b[j1 - 1]:
+            return [*walk(i0, i1 - 1, j0, j1 - 1), (i1 - 1, j1 - 1)]
+        left, right = a[i0:i1], b[j0:j1]
+        anchors = [(i0 + i, j0 + right.index(x)) for i, x in enumerate(left) if left.count(x) == 1 and right.count(x) == 1]
+        if not anchors:
+            return []
+        size, back = [], []
+        for k, (_, j) in enumerate(anchors):
+            before = [e for e in range(k) if anchors[e][1] < j]
+            longest = max((size[e] for e in before), default=0)
+            size.append(longest + 1)
+            back.append(min((e for e in before if size[e] == longest), key=lambda e: anchors[e][1], default=None))
+        k, chain = min((e for e in range(len(anchors)) if size[e] == max(size)), key=lambda e: anchors[e][1]), []
+        while k is not None:
+            chain.insert(0, anchors[k])
+            k = back[k]
+        out, i, j = [], i0, j0
+        for x, y in [*chain, (i1, j1)]:
+            out += walk(i, x, j, y) + ([(x, y)] if x < i1 else [])
+            i, j = x + 1, y + 1
+        return out
+
+    return walk(0, len(a), 0, len(b))
 
 
 def all_pairs_lines(rows):
-    """The definition without any choice of pairs: every document against every earlier one."""
-    docs = sorted((i, t) for i, t in rows)
-    keys = [[x.strip() or None for x in t.split("\n")] for _, t in docs]
+    """The whole definition without Spark or the operator's code: every document against every earlier one."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+    edge = " \t\n\v\f\r"
+    keys = [[x.strip(edge) or None for x in t.split("\n")] for _, t in docs]
+    held = [set(k) - {None} for k in keys]
     gone = [set() for _ in docs]
     for b in range(len(docs)):
+        words = [len(x.split()) if x else 0 for x in keys[b]]
         for a in range(b):
+            if not held[a] & held[b]:
+                continue
             la, lb = ([x if x is not None else (s, k) for k, x in enumerate(keys[d])] for s, d in (("a", a), ("b", b)))
-            gone[b] |= set(lines.blocks(lines.patience(la, lb), [len(words_of(x)) if x else 0 for x in keys[b]]))
+            run = []
+            for p in [*plain_patience(la, lb), None]:
+                if run and (p is None or (p[0] - run[-1][0], p[1] - run[-1][1]) != (1, 1)):
+                    gone[b] |= {j for _, j in run} if sum(words[j] for _, j in run) >= 5 else set()
+                    run = []
+                run += [p] if p else []
     return {docs[d][0]: sorted(g) for d, g in enumerate(gone)}
 
 
+def test_lines_keep_the_other_text(spark, docs):
+    for r in lines.dedup_lines(docs.select("doc_id", "text")).collect():
+        assert r.lines.text == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in r.lines.removed)
+
+
 def test_common_lines_meet_every_earlier_holder(spark):
     x, y = "the first line of five words", "another line of at least five"
     short = ["a b", "c", "d e", "f"]
