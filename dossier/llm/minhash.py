@@ -91,8 +91,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
+#: Words of the bitmap that stands for a set in a first comparison.
+WORDS = 16
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): each row's set as ascending signed hashes."""
+    """(doc_id, shingles, bits): each row's set as ascending signed hashes, and a bitmap with one bit for each hash."""
 
     def run(batches):
         for batch in batches:
@@ -102,9 +106,12 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 found = found.view(np.int64)
                 half = [np.sort(found[a:b]) for a, b in zip(at[:-1], at[1:])]
                 lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate(half) if half else found)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "shingles"])
+                bits = np.zeros((j - i, 64 * WORDS), bool)
+                bits[np.repeat(np.arange(j - i), np.diff(at)), (found.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * WORDS)] = True
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * WORDS), pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, maps], names=["doc_id", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +120,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches):
-    """Pairs with the size of the intersection of their sets. Pairs with one `a` stand together and are counted at once."""
+    """Pairs with the size of the intersection of their sets. Pairs with one set of `a` that stand together are counted at once."""
     for batch in batches:
         a, b = batch.column("a").to_numpy(), batch.column("b")
         (own, own_at), (its, its_at) = _flat(batch.column("set_a")), _flat(batch.column("set_b"))
         shared = np.zeros(len(a), np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+        name = batch.column("name_a").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(a) else []
         for lo, hi in zip(starts, [*starts[1:], len(a)]):
             one, all_ = own[own_at[lo] : own_at[lo + 1]], its[its_at[lo] : its_at[hi]]
             hit = one[np.minimum(np.searchsorted(one, all_), len(one) - 1)] == all_
@@ -132,7 +140,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with `linked`: whether 100 * intersection >= percent * union on full sets."""
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    counted = full.select("a", "b", "set_a", "set_b").mapInArrow(_shared, "a long, b long, both long, either long")
+    counted = full.select("a", "b", F.xxhash64("set_a").alias("name_a"), "set_a", "set_b").mapInArrow(_shared, "a long, b long, both long, either long")
     return counted.select("a", "b", (F.col("both") * 100 >= F.col("either") * percent).alias("linked"))
 
 
@@ -171,7 +179,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         pairs = apart.join(other.select("bucket", "other"), "bucket").select(F.col("other").alias("a"), F.col("rep").alias("b"))
         pairs = _ordered(pairs).join(met.select("a", "b"), ["a", "b"], "left_anti")
         met = met.union(steps.write(_verified(pairs, full, percent), f"met-{round_}"))
-    links = met.where("linked").select("a", "b").union(_one_id(steps, real, reps))
+    links, one_id = met.where("linked").select("a", "b"), _one_id(steps, real, reps)
+    links = links if one_id is None else links.union(one_id)
     joined = steps.write(connected_components(steps, links, "joined").groupBy("node").agg(F.min("component").alias("component")), "components")
     of = members.where("n > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
@@ -196,11 +205,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _one_id(steps: Steps, real: DataFrame, reps: DataFrame) -> DataFrame:
+def _one_id(steps: Steps, real: DataFrame, reps: DataFrame) -> DataFrame | None:
     """Links (a, b) between a doc_id that stands before several texts and the first documents of these texts' classes."""
     name = F.struct("n", "s1", "s2")
     several = real.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("doc_id")
     several = steps.write(several, "several")
+    if several.isEmpty():
+        return None
     return real.join(several, "doc_id").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
@@ -209,17 +220,31 @@ def _all_that_can_link(open_: DataFrame, full: DataFrame, percent: int) -> DataF
 
     Shingles are ordered, those in the fewest open documents first. Two sets that share percent of their union share one
     of the first n - ceil(n * percent / 100) + 1 shingles of each, n its size: whoever lacks all of the other's first ones
-    lacks too many. So documents meet by these shingles alone, the rarest they have; no link is lost.
+    lacks too many. So documents meet by these shingles alone, the rarest they have. Two more bounds hold for a pair: what
+    stands before the place of the shingle at which it meets first is not shared, and each bit in which two bitmaps differ
+    stands for a shingle of one set that the other lacks. A pair comes out of the first such shingle only if it has room
+    for enough shared ones; none of the bounds loses a link.
     """
     n = F.size("shingles").alias("n")
-    held = full.withColumnRenamed("doc_id", "rep").join(open_.select("rep"), "rep", "left_semi").select("rep", n, F.explode("shingles").alias("x"))
+    held = full.withColumnRenamed("doc_id", "rep").join(open_.select("rep"), "rep", "left_semi").select("rep", n, "bits", F.explode("shingles").alias("x"))
     often = held.groupBy("x").agg(F.count("*").alias("c"))
-    ranked = held.join(often, "x").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
+    ranked = held.join(often, "x").groupBy("rep", "n", "bits").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    first = ranked.select("rep", "n", F.explode(F.slice("order", F.lit(1), reach)).alias("s")).where("s.c > 1").select("rep", "n", F.col("s.x").alias("x"))
+    head = F.transform(F.slice("order", F.lit(1), reach), lambda s: s["x"])
+    first = ranked.select("rep", "n", "bits", head.alias("head"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s")).where("s.c > 1").select("rep", "n", "bits", "head", "at", F.col("s.x").alias("x"))
     first = first.join(open_, "rep")
-    can = f"l.x = r.x and l.component < r.component and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and arrays_overlap(l.buckets, r.buckets)"
-    return _ordered(first.alias("l").join(first.alias("r"), F.expr(can)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
+    differ = " + ".join(f"bit_count(l.bits[{w}] ^ r.bits[{w}])" for w in range(WORDS))
+    can = " and ".join(
+        [
+            "l.x = r.x and l.component < r.component",
+            f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)",
+            f"{100 + percent} * least(l.n - l.at, r.n - r.at) >= {percent} * (l.n + r.n)",
+            f"{100 + percent} * (l.n + r.n - ({differ})) >= {2 * percent} * (l.n + r.n)",
+            "arrays_overlap(l.buckets, r.buckets)",
+            "array_intersect(l.head, r.head)[0] = l.x",
+        ]
+    )
+    return first.alias("l").join(first.alias("r"), F.expr(can)).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,65 @@ def test_language_odd_rows(odd, none, docs):
     assert langid.predict(clash, model).columns == [*clash.columns, "language"]
 
 
+class PlainCoder:
+    """Prediction by partial matching, method C with exclusion, from a dictionary of contexts: one byte after the other."""
+
+    def __init__(self, texts, order=4):
+        self.order, self.seen = order, {}
+        for t in texts:
+            padded = bytes(order) + t
+            for k in range(order, len(padded)):
+                for n in range(order + 1):
+                    context = self.seen.setdefault(padded[k - n : k], {})
+                    context[padded[k]] = context.get(padded[k], 0) + 1
+
+    def bits(self, text):
+        padded, total = bytes(self.order) + text, 0.0
+        for k in range(self.order, len(padded)):
+            excluded = set()
+            for n in range(self.order, -1, -1):
+                counts = {b: c for b, c in self.seen.get(padded[k - n : k], {}).items() if b not in excluded}
+                whole = sum(counts.values()) + len(counts)
+                if padded[k] in counts:
+                    total -= np.log2(counts[padded[k]] / whole)
+                    break
+                if counts:
+                    total -= np.log2(len(counts) / whole)
+                excluded |= set(counts)
+            else:
+                total += np.log2(256 - len(excluded))
+        return total
+
+
+def test_language_against_a_plain_coder(spark):
+    learnt = {"de": ["der die das und nicht", "auch die Bahn ist da", "Öl und Übel"], "en": ["the and of that", "this is not that", "oil and the rest"], "fr": ["le la les et", "une île et la mer"]}
+    texts = ["that is the thing", "die und der Rest", "la mer et le port", "Übel", "x", "zzz 12 qqq", "the", None, "12", "île"]
+    rows = [(i, t, lang) for lang, own in learnt.items() for i, t in enumerate(own)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    coders = {lang: PlainCoder([t.encode() for t in own]) for lang, own in learnt.items()}
+    got = {r.text: r.language for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    for t in texts:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            assert got[t].lang == "und"
+            continue
+        bits = {lang: c.bits(t.encode()) for lang, c in coders.items()}
+        assert got[t].lang == min(bits, key=bits.get) and abs(got[t].bits * len(t.encode()) - min(bits.values())) < 1e-2
+        assert abs(got[t].score - 1 / sum(2 ** (min(bits.values()) - b) for b in bits.values())) < 1e-2
+
+
+def test_a_language_of_one_repeated_text_is_learnt(spark):
+    rows = [("one sentence of english that comes again and again", "en")] * 5000 + [(f"ein deutscher Satz mit der Nummer {k}", "de") for k in range(50)]
+    assert langid.learn(spark.createDataFrame(rows, "text string, lang string")).langs == ["de", "en"]
+
+
+def test_language_columns_may_clash(spark, docs):
+    model = langid.learn(docs)
+    df = docs.selectExpr("doc_id", "text", "lang AS language", "source AS `__letter`", "n_chars AS row")
+    got = langid.predict(df, model)
+    assert got.columns == ["doc_id", "text", "__letter", "row", "language"] and got.where("language.lang is null").count() == 0
+    assert langid.keep_known(df, model).columns == df.columns
+
+
 def test_tokens_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -208,6 +267,37 @@ def test_near_duplicates_odd_rows(odd, none):
     assert minhash.components(none).count() == 0
 
 
+def test_rows_of_one_id_stand_in_one_component(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, None), (11, b), (12, "alone here")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 26): 3, (7, 26): 3, (9, 26): 3, (11, 0): 11, (11, 26): 3, (12, 1): 12}
+    # Two texts that both stand first under one id: each keeps its own links.
+    near = a + " tail"
+    rows = [(5, a), (5, b), (8, near), (9, b + " tail")]
+    assert {r.component_id for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {5}
+
+
+def test_open_documents_meet_by_rare_shingles(spark, monkeypatch):
+    """Every bucket holds all documents, so only the last step keeps unlike ones apart."""
+    monkeypatch.setattr(minhash, "bands", lambda shingles, at, **_: np.ones((len(at) - 1, minhash.BANDS), np.uint64))
+    rng = np.random.default_rng(12)
+    texts = []
+    for g in range(12):
+        base = [f"g{g % 4}w{k}" for k in range(60)] + [f"own{g}w{k}" for k in range(40)]
+        for _ in range(5):
+            t = list(base)
+            for p in rng.choice(100, rng.integers(0, 4), replace=False):
+                t[p] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(t))
+    sets_ = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for w in map(str.split, texts)]
+    first = list(range(len(texts)))
+    for _ in texts:
+        first = [min(first[j] for j in range(len(texts)) if 100 * len(sets_[i] & sets_[j]) >= 80 * len(sets_[i] | sets_[j])) for i in range(len(texts))]
+    got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4).collect()}
+    assert [got[i] for i in range(len(texts))] == first
+
+
 def test_spaced_seeds_find_every_two_substitutions():
     order = [f"t{i}" for i in range(13)]
     data = lambda ws: (np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))
@@ -244,6 +334,22 @@ def test_leaks_odd_rows(spark, odd, none):
     assert decontaminate.clean(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_short_items(spark):
+    items = [(1, "what is the largest inland lake"), (2, "name the seven seas of old"), (3, "two words"), (4, "how many legs has a common garden spider got")]
+    texts = ["So: what is the largest inland lake? X.", "what is the largest inland sea", "Two, words!", "with two words in it", "see: how many legs has a common house spider got?", "how many arms has a common house spider got", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.item_id, r.content, r.n_words) for r in found.collect()}
+    md5 = lambda k: hashlib.md5(texts[k].encode()).hexdigest()
+    assert got == {(1, md5(0), 6), (3, md5(2), 2), (4, md5(4), 9)}
+    for width in range(7, 13):
+        order = [f"t{k}" for k in range(width)]
+        data = lambda ws: (np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))
+        base = set(decontaminate.seeds(*word_hashes(*data(order), PUNCTUATION), (width,))[0].tolist())
+        for i in range(width):
+            assert base & set(decontaminate.seeds(*word_hashes(*data([("z" if k == i else w) for k, w in enumerate(order)]), PUNCTUATION), (width,))[0].tolist())
+
+
 def test_patience_is_a_common_order():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -374,6 +480,15 @@ def test_repeats_odd_rows(spark, none, monkeypatch):
     assert repeats.remove(none).count() == 0
 
 
+def test_repeats_tell_null_ids_apart(spark):
+    rng = np.random.default_rng(7)
+    noise = ["".join(map(chr, rng.integers(97, 123, 400))) for _ in range(3)]
+    rows = [(None, noise[0] + noise[1]), (-(1 << 63), noise[1] + noise[2]), (None, noise[2]), (-(1 << 63), noise[2]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove(df).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
 def test_long_rows_are_cut_alike(monkeypatch):
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 4000).astype(np.uint8)
