@@ -29,6 +29,8 @@ WATTS = (0.125, 0.25, 0.5, 1.0, 2.0, 5.0)
 COLOURS = ("Black", "Brown", "Red", "Orange", "Yellow", "Green", "Blue", "Violet", "Grey", "White")
 TOLERANCES = {"Brown": 1.0, "Red": 2.0, "Green": 0.5, "Blue": 0.25, "Violet": 0.1, "Grey": 0.05, "Gold": 5.0, "Silver": 10.0}
 SMD_FACTORS = {"Z": 0.001, "Y": 0.01, "R": 0.01, "X": 0.1, "S": 0.1, "A": 1.0, "B": 10.0, "H": 10.0, "C": 100.0, "D": 1000.0, "E": 10000.0, "F": 100000.0}
+#: Amperes that a wire of each gauge carries in bundles.
+AMPERES = {"0000": 302.0, "000": 239.0, "00": 190.0, "0": 150.0, "1": 119.0, "2": 94.0, "4": 60.0, "6": 37.0, "8": 24.0, "10": 15.0, "12": 9.3, "14": 5.9, "16": 3.7, "18": 2.3, "20": 1.5, "22": 0.92, "24": 0.577, "26": 0.361, "28": 0.226, "30": 0.142}
 #: The E96 series by its rule.
 E96 = [round(100 * 10 ** (k / 96)) for k in range(96)]
 
@@ -195,11 +197,11 @@ def mw_to_dbm(m: Column) -> Column:
 
 
 def wire(gauge: Column) -> Column:
-    """struct(mm, mm2, ohm_km) of an AWG gauge ("0000" to "40")."""
+    """struct(mm, mm2, ohm_km, kcmil, amperes) of an AWG gauge ("0000" to "40"); amperes is null where no value is known."""
     n = F.when(gauge.rlike("^0+\\z"), 1 - F.length(gauge)).otherwise(gauge.try_cast("int"))
     mm = 0.127 * F.pow(F.lit(92.0), (36 - n) / 39)
     area = math.pi / 4 * mm * mm
-    return F.struct(mm.alias("mm"), area.alias("mm2"), (1.724e-8 / (area * 1e-6) * 1000).alias("ohm_km"))
+    return F.struct(mm.alias("mm"), area.alias("mm2"), (1.724e-8 / (area * 1e-6) * 1000).alias("ohm_km"), (area * 1.97353).alias("kcmil"), _look_up(AMPERES, gauge).alias("amperes"))
 
 
 def battery_hours(capacity: Column, load: Column, derate: Column) -> Column:

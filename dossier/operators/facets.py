@@ -53,12 +53,33 @@ def number_conflicts(orders: DataFrame, key: str, created: str, id: str) -> Data
     return rows.withColumn("holder", F.first(id).over(w)).withColumn("__r", F.row_number().over(w)).where("__r > 1").drop("__k", "__r")
 
 
+#: Numbers of an order column that are ranked together.
+STRETCH = 100_000
+
+
+def ranked(df: DataFrame, key: Column, order: str, name: str) -> DataFrame:
+    """Adds `name`: 1, 2, ... in each key by `order`; null is a key.
+
+    By a column of whole numbers, stretches of it are counted and ranked apart, and only one row for each key and stretch
+    meets the others: a key with a third of all rows is spread over many tasks. By other columns a key is one task.
+    """
+    rows = df.withColumn("__key", key)
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy("__key").orderBy(order))).drop("__key")
+    rows = rows.withColumn("__stretch", F.floor(F.col(order) / STRETCH))
+    counts = rows.groupBy("__key", "__stretch").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy(F.col("__stretch").asc_nulls_first())) - F.col("__n")
+    counts = counts.select(F.col("__key").alias("__k"), F.col("__stretch").alias("__s"), before.alias("__before"))
+    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("__key", "__stretch").orderBy(order)))
+    rows = rows.join(counts, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__stretch").eqNullSafe(F.col("__s")))
+    return rows.withColumn(name, F.col(name) + F.col("__before")).drop("__key", "__stretch", "__k", "__s", "__before")
+
+
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Adds unique_name: the second row of a name gets " (2)" before its extension, and so on; case makes no difference."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
     ext = F.regexp_extract(F.col(name), r"(\.[A-Za-z0-9]{1,8})$", 1)
     base = F.expr(f"substring(`{name}`, 1, length(`{name}`) - length(regexp_extract(`{name}`, '([.][A-Za-z0-9]{{1,8}})$', 1)))")
-    return df.withColumn("__n", n).withColumn("unique_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(base, F.lit(" ("), F.col("__n"), F.lit(")"), ext))).drop("__n")
+    return ranked(df, F.lower(name), order, "__n").withColumn("unique_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(base, F.lit(" ("), F.col("__n"), F.lit(")"), ext))).drop("__n")
 
 
 def running_offsets(df: DataFrame, group: str, pos: str, length: str) -> DataFrame:
@@ -68,7 +89,7 @@ def running_offsets(df: DataFrame, group: str, pos: str, length: str) -> DataFra
 
 
 def parts_by_count(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    return df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / n))
+    return ranked(df, F.col(group), order, "part").withColumn("part", F.floor((F.col("part") - 1) / n))
 
 
 def parts_by_size(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dossier.functions.ids import canon_order
 from dossier.functions.text import s, squash
 from dossier.functions.vin import check_ok, is_shape, series
+from dossier.operators.facets import ranked
 from dossier.operators.relations import blob_key, live
 from dossier.operators.search import classify_kind
 
@@ -52,6 +53,29 @@ def prepare_orders(df: DataFrame) -> DataFrame:
     return df.withColumn("roKey", F.nullif(canon_order(F.col("ro")), F.lit("")))
 
 
+def prepare_tools(df: DataFrame) -> DataFrame:
+    """Defaults of a tool record; texts that are compared are trimmed, an unreadable price is none."""
+    empty = F.array().cast("array<string>")
+    trimmed = {c: F.trim(s(c)) for c in ("toolNo", "svcGrp", "note", "note2")}
+    plain = {c: s(c) for c in ("no", "qty", "desc", "location", "year", "comment", "photo", "wis", "version", "catalogName", "catalogDesc")}
+    rest = {"ct": F.upper(F.trim(s("ct"))), "price": F.col("price").cast("string").try_cast("double"), "validities": F.coalesce("validities", empty), "edited": F.coalesce("edited", F.create_map().cast("map<string,int>"))}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("star", "offered")}
+    return df.withColumns({c: v for c, v in {**trimmed, **plain, **rest, **flags}.items() if c in df.columns})
+
+
+def is_plain(c: Column, deepest: int = 32) -> Column:
+    """Whether a setting is JSON that a backup can hold: it parses, and is nested at most so deep."""
+    marks = F.filter(F.split(F.regexp_replace(s(c), r'"(?:[^"\\]|\\.)*"|[^\[\]{}"]', ""), ""), lambda x: x != "")
+    step = lambda acc, x: F.when(x.isin("{", "["), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["top"], acc["now"] + 1).alias("top"))).otherwise(F.struct((acc["now"] - 1).alias("now"), acc["top"].alias("top")))
+    depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step)["top"]
+    return F.coalesce(F.try_parse_json(c).isNotNull() & (depth <= deepest), F.lit(False))
+
+
+def backup_settings(settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settings that go into a backup, keys of those that cannot)."""
+    return settings.where(is_plain(F.col("value"))), settings.where(~is_plain(F.col("value"))).select("key")
+
+
 def vehicle_status() -> Column:
     return F.when(F.col("confirmedAt").isNotNull(), "confirmed").when(check_ok(F.col("vin")), "check-digit-ok").otherwise("extracted")
 
@@ -199,20 +223,10 @@ def upsert_tools(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> D
     hits = hits.select("__target", *[F.col(c).alias(f"__{c}") for c in fields])
     changed = stored.join(hits, F.col("id") == F.col("__target"), "left").withColumns({c: F.coalesce(f"__{c}", c) for c in fields}).select(stored.columns)
     top = stored.agg(F.coalesce(F.max(F.regexp_extract("id", r"^t(\d+)$", 1).try_cast("int")), F.lit(0)).alias("__top"))
-    new = numbered(rows.where("__target is null"), "pos", "__at").crossJoin(F.broadcast(top)).withColumn("id", F.concat(F.lit("t"), (F.col("__top") + F.col("__at")).cast("string")))
+    new = ranked(rows.where("__target is null"), F.lit(0), "pos", "__at").crossJoin(F.broadcast(top)).withColumn("id", F.concat(F.lit("t"), (F.col("__top") + F.col("__at")).cast("string")))
     return changed.unionByName(new.select("id", *[c for c in stored.columns if c != "id" and c in new.columns]), allowMissingColumns=True)
 
 
-def numbered(df: DataFrame, order: str, name: str, step: int = 100_000) -> DataFrame:
-    """Adds `name`: 1, 2, ... by the whole number `order`. Stretches of it are counted and ranked apart, so only one row of
-    each stretch meets the others; rows that tie are numbered in any order."""
-    rows = df.withColumn("__stretch", F.floor(F.col(order) / step))
-    counts = rows.groupBy("__stretch").agg(F.count("*").alias("__n"))
-    before = counts.select(F.col("__stretch").alias("__s"), (F.sum("__n").over(Window.orderBy("__stretch")) - F.col("__n")).alias("__before"))
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("__stretch").orderBy(order)))
-    return rows.join(before, F.col("__stretch").eqNullSafe(F.col("__s"))).withColumn(name, F.col(name) + F.col("__before")).drop("__stretch", "__s", "__before")
-
-
 def rekey_documents(documents: DataFrame, files: DataFrame, links: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, files, links) after documents (id) got other ids (newId): their files and the edges to and from them follow."""
     new = keys.select(F.col("id").alias("__old"), F.col("newId").alias("__new"))

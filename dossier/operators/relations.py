@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import ids, vin
-from dossier.functions.text import s
+from dossier.functions.text import clip_name, s
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -166,6 +166,18 @@ def alike(df: DataFrame, id: str, items: str, percent: int) -> DataFrame:
     return near.union(same.select(F.col("first").alias("a"), "b")).union(of_copies).distinct()
 
 
+def extract_paths(files: DataFrame, documents: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(id, path, content) of the files of a backup that has their bytes: documents by number and version, the others by
+    trash and collection. Repeated paths are told apart by sources.containers.export_paths' rule."""
+    owner = documents.where("fileId is not null").groupBy(F.col("fileId").alias("__file")).agg(F.max_by(F.struct("li", "ver", "title"), "id").alias("d"))
+    rows = files.withColumn("__k", blob_key()).join(payloads.select(F.col("id").alias("__b"), "content"), F.col("__k") == F.col("__b"))
+    rows = rows.join(owner, F.col("id") == F.col("__file"), "left")
+    named = F.concat(F.lit("LI Documents/"), ids.file_name(F.col("d.li"), F.col("d.ver"), F.col("d.title")))
+    shelf = F.when(s("collection") == "", F.lit("")).otherwise(F.concat(clip_name(F.col("collection")), F.lit("/")))
+    plain = F.concat(F.when(F.col("deletedAt").isNotNull(), "Trash/").otherwise("Files/"), shelf, clip_name(F.col("name")))
+    return rows.select("id", F.when(F.col("d").isNotNull(), named).otherwise(plain).alias("path"), "content")
+
+
 def new_or_changed(seen: DataFrame, known: DataFrame) -> DataFrame:
     """Files of a folder scan (name, size, mtime) that are not stored; a stored null mtime fits any."""
     k = known.select(F.col("name").alias("kn"), F.col("size").alias("ks"), F.col("mtime").alias("km"))

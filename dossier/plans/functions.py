@@ -252,13 +252,13 @@ def reactances(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", *[F.round(c, 6).alias(name) for name, c in {"xc": x["xc"], "xl": x["xl"], "resonance": x["resonance"], "month": calc.energy_cost(s, F.lit(2.0), F.lit(0.3))["month"], "mw": calc.dbm_to_mw(s), "dbm": calc.mw_to_dbm(s)}.items()])
 
 
-@query(rounded("mm mm2 ohm_km hours ohms", """WITH g AS (SELECT p_partkey, p_size % 41 AS n, p_size::DOUBLE AS s FROM part), d AS (SELECT *, 0.127::DOUBLE * power(92.0, (36 - n) / 39::DOUBLE) AS mm FROM g)
-SELECT p_partkey, mm, pi() / 4 * mm * mm AS mm2, 0.01724::DOUBLE / (pi() / 4 * mm * mm) * 1000 AS ohm_km, 60 / s * 80 / 100 AS hours, (s * 1000 + 700)::DOUBLE AS ohms FROM d""", 6))
+@query(rounded("mm mm2 ohm_km hours ohms kcmil amperes", """WITH g AS (SELECT p_partkey, p_size % 41 AS n, p_size::DOUBLE AS s FROM part), d AS (SELECT *, 0.127::DOUBLE * power(92.0, (36 - n) / 39::DOUBLE) AS mm FROM g)
+SELECT p_partkey, mm, pi() / 4 * mm * mm AS mm2, 0.01724::DOUBLE / (pi() / 4 * mm * mm) * 1000 AS ohm_km, 60 / s * 80 / 100 AS hours, (s * 1000 + 700)::DOUBLE AS ohms, pi() / 4 * mm * mm * 1.97353::DOUBLE AS kcmil, (CASE n WHEN 0 THEN 150 WHEN 1 THEN 119 WHEN 2 THEN 94 WHEN 4 THEN 60 WHEN 6 THEN 37 WHEN 8 THEN 24 WHEN 10 THEN 15 WHEN 12 THEN 9.3 WHEN 14 THEN 5.9 WHEN 16 THEN 3.7 WHEN 18 THEN 2.3 WHEN 20 THEN 1.5 WHEN 22 THEN 0.92 WHEN 24 THEN 0.577 WHEN 26 THEN 0.361 WHEN 28 THEN 0.226 WHEN 30 THEN 0.142 END)::DOUBLE AS amperes FROM d""", 6))
 def wires(spark, sf_dir):
     s = F.col("p_size").cast("double")
     w = calc.wire(n(F.col("p_size") % 41))
     ohms = calc.parse_ohms(txt(n(F.col("p_size")), ".7 kΩ"))
-    return part(spark, sf_dir).select("p_partkey", *[F.round(c, 6).alias(name) for name, c in {"mm": w["mm"], "mm2": w["mm2"], "ohm_km": w["ohm_km"], "hours": calc.battery_hours(F.lit(60.0), s, F.lit(80)), "ohms": ohms}.items()])
+    return part(spark, sf_dir).select("p_partkey", *[F.round(c, 6).alias(name) for name, c in {"mm": w["mm"], "mm2": w["mm2"], "ohm_km": w["ohm_km"], "kcmil": w["kcmil"], "amperes": w["amperes"], "hours": calc.battery_hours(F.lit(60.0), s, F.lit(80)), "ohms": ohms}.items()])
 
 
 @query(rounded("four", """SELECT p_partkey, round(p_retailprice / power(10.0, floor(log10(p_retailprice)) - 3)) * power(10.0, floor(log10(p_retailprice)) - 3) AS four FROM part""", 6))

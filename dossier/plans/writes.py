@@ -167,6 +167,70 @@ def documents_with_files_removed(spark, sf_dir):
     return had.select("id", F.when(F.col("m").isNull(), "other").when(F.col("l").isNull(), "removed").otherwise("kept").alias("outcome"))
 
 
+# --- imports, backups and extracts
+
+
+@query("""SELECT p_partkey AS pos, 't' || p_partkey AS id, p_name AS "toolNo", p_type AS location, '' AS comment FROM part""")
+def imported_tool_rows(spark, sf_dir):
+    """Rows of a table whose heading stands third, with other names for some columns."""
+    p = t(spark, sf_dir, "part").select((F.col("p_partkey") + 10).alias("pos"), F.array(F.concat(F.lit("t"), F.col("p_partkey").cast("string")), "p_name", "p_type").alias("cells"))
+    head = spark.createDataFrame([(0, ["Catalogue"]), (1, []), (2, [" ID ", "Tool Number", "Bin", "X"])], "pos long, cells array<string>")
+    from dossier.sources import csvs
+
+    return csvs.tool_rows(head.union(p)).select((F.col("pos") - 10).alias("pos"), "id", "toolNo", "location", "comment")
+
+
+@query("""SELECT p_partkey, trim(p_name) AS "toolNo", upper(p_type) AS ct, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS price, p_partkey % 3 = 0 AS star FROM part""")
+def prepared_tools(spark, sf_dir):
+    k = F.col("p_partkey")
+    raw = t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("toolNo"), F.lower("p_type").alias("ct"), F.when(k % 2 == 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("price"), F.when(k % 3 == 0, True).alias("star"))
+    return lifecycle.prepare_tools(raw).select("p_partkey", "toolNo", "ct", "price", "star")
+
+
+@query("""SELECT 'k' || o_orderkey AS key, o_orderkey % 4 <> 3 AND o_orderkey % 40 <= 32 AS kept FROM orders""")
+def backed_up_settings(spark, sf_dir):
+    """Settings that are JSON and not nested too deep go into a backup; the others are listed."""
+    k = F.col("o_orderkey")
+    deep = (k % 40).cast("int")
+    value = F.concat(F.repeat(F.lit("["), deep), F.lit('"[[{\\" x"'), F.repeat(F.lit("]"), deep))
+    rows = t(spark, sf_dir, "orders").select(_id("k", k).alias("key"), F.when(k % 4 == 3, F.lit("{not json")).otherwise(value).alias("value"))
+    kept, skipped = lifecycle.backup_settings(rows)
+    return kept.select("key", F.lit(True).alias("kept")).union(skipped.select("key", F.lit(False)))
+
+
+@query(f"""WITH {FILES}, {BLOBS}, {PAPERS}, o AS (SELECT fileId, max(id) AS id FROM papers WHERE fileId IS NOT NULL GROUP BY 1)
+SELECT f.id, CASE WHEN p.id IS NOT NULL THEN 'LI Documents/' || p.li || '_' || (p.k % 7) || '.pdf' ELSE CASE WHEN f.deletedAt IS NULL THEN 'Files/' ELSE 'Trash/' END || CASE WHEN f.collection = '' THEN '' ELSE f.collection || '/' END || f.name END AS path, octet_length(encode(b.text))::BIGINT AS n
+FROM files f JOIN blobs b ON b.id = coalesce(f.blobId, f.id) LEFT JOIN o ON o.fileId = f.id LEFT JOIN papers p ON p.id = o.id""")
+def extracted_paths(spark, sf_dir):
+    d = views.papers(spark, sf_dir).withColumn("title", F.lit(""))
+    out = relations.extract_paths(views.files(spark, sf_dir), d, views.blobs(spark, sf_dir).select("id", F.col("blob").alias("content")))
+    return out.select("id", "path", F.octet_length("content").cast("long").alias("n"))
+
+
+@query("""SELECT page_id, 'f' || page_id AS id, url AS text FROM pages WHERE page_id % 3 <> 0""")
+def legacy_vaults(spark, sf_dir):
+    """JSON vaults with base64 bytes, one for each page; every third has none."""
+    from dossier.sources import containers
+
+    k = F.col("page_id")
+    record = F.struct(_id("f", k).alias("id"), F.lit("x").alias("name"), F.when(k % 3 != 0, F.base64(F.encode("url", "utf-8"))).alias("blob"))
+    text = F.to_json(F.struct(F.lit("any").alias("format"), F.array(record).alias("files")))
+    found = t(spark, sf_dir, "pages").select(k.cast("string").alias("path"), F.encode(text, "utf-8").alias("content"))
+    return containers.legacy_vault(found).select(F.col("path").cast("long").alias("page_id"), "id", F.decode("content", "utf-8").alias("text"))
+
+
+@query("""SELECT page_id, pos::INT AS pos, CASE WHEN pos = 0 THEN url ELSE 'second' END AS text FROM pages, (SELECT unnest([0, 1]) AS pos)""")
+def loose_vaults(spark, sf_dir):
+    """Binary vaults read by their lengths alone, with a thumbnail after the first file."""
+    from dossier.sources import containers
+
+    meta = F.to_json(F.struct(F.array(F.struct(F.lit("a").alias("id"), F.lit("n").alias("name"), F.octet_length("url").cast("long").alias("blobLen"), F.lit(5).cast("long").alias("thumbLen")), F.struct(F.lit("b").alias("id"), F.lit("n").alias("name"), F.lit(6).cast("long").alias("blobLen"), F.lit(None).cast("long").alias("thumbLen"))).alias("files")))
+    size = F.lpad(F.hex(F.octet_length("meta")), 8, "0")
+    content = F.concat(F.lit(b"FVLT\x02\x00\x00\x00"), F.reverse(F.unhex(size)), F.encode("meta", "utf-8"), F.encode("url", "utf-8"), F.lit(b"thumb"), F.lit(b"second"))
+    found = t(spark, sf_dir, "pages").select("page_id", "url", meta.alias("meta")).select(F.col("page_id").cast("string").alias("path"), content.alias("content"))
+    return containers.loose(found).select(F.col("path").cast("long").alias("page_id"), "pos", F.decode("content", "utf-8").alias("text"))
+
+
 # --- jobs
 
 

@@ -12,7 +12,7 @@ import struct
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The magic of each kind and its version. A header also names its format, which readers only need to find there.
@@ -112,6 +112,32 @@ def read(found: DataFrame, kind: str | None = None) -> DataFrame:
     return rows.mapInPandas(run, ROWS)
 
 
+def legacy_vault(found: DataFrame) -> DataFrame:
+    """(path, error, pos, id, name, content) of JSON vaults of a binaryFile table, whose bytes are base64 within. Records
+    without bytes are skipped; a file that is no such vault gives one row with its error."""
+    shape = "format string, files array<struct<id:string,name:string,blob:string>>"
+    meta = F.from_json(F.decode("content", "utf-8"), shape)
+    rows = found.select("path", meta.alias("m")).withColumn("ok", F.coalesce((F.col("m.format") != "") & F.col("m.files").isNotNull(), F.lit(False)))
+    good = rows.where("ok").select("path", F.posexplode("m.files").alias("pos", "f")).where("f.blob <> ''")
+    good = good.select("path", F.lit(None).cast("string").alias("error"), "pos", "f.id", "f.name", F.try_to_binary("f.blob", F.lit("base64")).alias("content"))
+    none = F.lit(None)
+    bad = rows.where("not ok").select("path", F.lit("BAD_METADATA"), none.cast("int"), none.cast("string"), none.cast("string"), none.cast("binary"))
+    return good.union(bad)
+
+
+def loose(found: DataFrame) -> DataFrame:
+    """(path, pos, id, name, content) of binary vaults: lengths are trusted, thumbnails skipped, nothing is checked. Bytes are
+    cut where running sums of the lengths say."""
+    size = F.conv(F.hex(F.reverse(F.substring("content", 9, 4))), 16, 10).cast("int")
+    shape = "files array<struct<id:string,name:string,blobLen:long,thumbLen:long>>"
+    rows = found.select("path", "content", size.alias("n")).withColumn("m", F.from_json(F.decode(F.expr("substring(content, 13, n)"), "utf-8"), shape))
+    files = rows.select("path", "content", "n", F.posexplode("m.files").alias("pos", "f"))
+    held = lambda c: F.coalesce(F.col(c), F.lit(0))
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("n") + 13 + F.coalesce(F.sum(held("f.blobLen") + held("f.thumbLen")).over(before), F.lit(0))
+    return files.withColumn("at", at.cast("int")).select("path", "pos", "f.id", "f.name", F.expr("substring(content, at, cast(coalesce(f.blobLen, 0) as int))").alias("content"))
+
+
 def pack(kind: str, meta: dict, payloads: list[bytes]) -> bytes:
     """One container's bytes: magic, version, header (meta, with its format name), payloads. For exports that one value can hold."""
     magic, version = MAGIC[kind]

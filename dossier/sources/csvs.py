@@ -47,6 +47,33 @@ def read(spark: SparkSession, path: str, header: bool = True, sep: str | None =
     return spark.read.options(**options, header="true", enforceSchema="true").schema(schema).csv(path).fillna("").toDF(*names)
 
 
+#: Headings of the tool table by column (fixed values).
+HEADINGS = {
+    "id": ("id",),
+    "no": ("no.", "no"),
+    "qty": ("qty",),
+    "toolNo": ("tool number",),
+    "svcGrp": ("svc grp", "service group"),
+    "ct": ("ct",),
+    "desc": ("description",),
+    "location": ("location", "bin"),
+    "year": ("year",),
+    "price": ("dlr net($)", "dlr net", "price"),
+    "note": ("note",),
+    "comment": ("comment",),
+}
+
+
+def tool_rows(rows: DataFrame) -> DataFrame:
+    """(pos and the columns of HEADINGS) from rows (pos, cells): the heading is the first of the first five rows that names
+    the tool number, else the first; of a column's headings the first that is there counts. No tool number: no rows."""
+    head = rows.where("pos < 5").select("pos", "cells", (~F.contains(F.lower(F.array_join("cells", " ")), F.lit("tool number"))).alias("other"))
+    head = head.orderBy("other", "pos").limit(1).select(F.col("pos").alias("at"), F.transform("cells", lambda c: F.lower(F.trim(c))).alias("head"))
+    found = rows.crossJoin(F.broadcast(head)).where("pos > at and array_contains(head, 'tool number')")
+    place = lambda names: F.coalesce(*[F.nullif(F.array_position("head", name), F.lit(0)) for name in names]).cast("int")
+    return found.select("pos", *[F.coalesce(F.get("cells", place(names) - 1), F.lit("")).alias(c) for c, names in HEADINGS.items()])
+
+
 def without_blank_rows(df: DataFrame) -> DataFrame:
     filled = F.lit(False)
     for c in df.columns:

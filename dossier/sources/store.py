@@ -1,7 +1,7 @@
 """Generations of the stores: a folder per generation, and one pointer that names the live one.
 
-A write makes generation n + 1 beside the live one, verifies it, and only then moves the pointer. Readers resolve the
-pointer once, so they see one snapshot. One writer at a time: Parquet has no transactions, and two writers would both
+A write puts the changed stores into a folder of generation n + 1, verifies them, and only then moves the pointer, which
+names for each store the generation whose folder holds its rows. Readers resolve the pointer once, so they see one snapshot. One writer at a time: Parquet has no transactions, and two writers would both
 make the same generation. Paths are Hadoop paths; nothing is written to a local folder of the driver.
 """
 
@@ -35,52 +35,66 @@ class Store:
             raise ValueError(f"the store has schema version {row.version}; this code knows {VERSION}")
         return row.generation
 
+    def _held(self, n: int) -> dict[str, int]:
+        """For each store the generation whose folder holds its rows as of generation n."""
+        if n < 1:
+            return {}
+        row = self.spark.read.schema("generation int, stores map<string,int>").json(f"{self.path}/pointers/{n:08d}").first()
+        return dict(row.stores) if row and row.stores else {name: n for name in STORES}
+
+    def _at(self, name: str, held: dict[str, int]) -> DataFrame:
+        path = f"{self.path}/gen={held.get(name, 0)}/{name}"
+        fs, at = self._fs(path)
+        return self.spark.read.schema(STORES[name]).parquet(path) if fs.exists(at) else self.spark.createDataFrame([], STORES[name])
+
     def read(self, name: str, generation: int | None = None) -> DataFrame:
-        n = self.generation() if generation is None else generation
-        fs, at = self._fs(f"{self.path}/gen={n}/{name}")
-        if not fs.exists(at):
-            return self.spark.createDataFrame([], STORES[name])
-        return self.spark.read.schema(STORES[name]).parquet(f"{self.path}/gen={n}/{name}")
+        return self._at(name, self._held(self.generation() if generation is None else generation))
 
     def snapshot(self) -> dict[str, DataFrame]:
-        n = self.generation()
-        return {name: self.read(name, n) for name in STORES}
+        held = self._held(self.generation())
+        return {name: self._at(name, held) for name in STORES}
 
     def commit(self, changes: dict[str, DataFrame], verify: bool = True) -> int:
-        """Writes the changed stores and carries the others over; a failed check leaves the live generation untouched."""
+        """Writes the changed stores; the others stay where they are. A failed check leaves the live generation untouched."""
         live = self.generation()
         n = live + 1
         fs, at = self._fs(f"{self.path}/gen={n}")
         fs.delete(at, True)  # left over from a writer that died
-        for name in STORES:
-            df = changes.get(name)
-            rows = self.read(name, live) if df is None else df
-            missing = [c for c in self.spark.createDataFrame([], STORES[name]).columns if c not in rows.columns]
-            rows = rows.withColumns({c: F.lit(None) for c in missing})
+        held = self._held(live)
+        for name, rows in changes.items():
             shaped = self.spark.createDataFrame([], STORES[name]).schema
+            rows = rows.withColumns({f.name: F.lit(None) for f in shaped if f.name not in rows.columns})
             rows.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in shaped]).write.mode("overwrite").parquet(f"{self.path}/gen={n}/{name}")
-        if verify:
-            problems = self.problems(n)
-            if problems:
-                fs.delete(at, True)
-                raise ValueError(f"generation {n} not made live: {problems}")
-        self.spark.createDataFrame([(n, VERSION)], "generation int, version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointers/{n:08d}")
+            held[name] = n
+        problems = self.problems(held, set(changes)) if verify else []
+        if problems:
+            fs.delete(at, True)
+            raise ValueError(f"generation {n} not made live: {problems}")
+        self.spark.createDataFrame([(n, VERSION, held)], "generation int, version int, stores map<string,int>").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointers/{n:08d}")
         return n
 
-    def problems(self, n: int) -> list[str]:
-        """What a generation lacks: bytes of files, right hashes, single keys. Bytes are hashed where they lie and then dropped."""
-        files, blobs = self.read("files", n), self.read("blobs", n)
-        lost = without_bytes(files, blobs).count()
-        wrong = blobs.where("sha256 is not null and sha256 <> '' and sha2(blob, 256) <> sha256").count()
-        twice = files.groupBy("id").count().where("count > 1").count()
-        named = {"files without bytes": lost, "blobs with a wrong hash": wrong, "files with one id": twice}
+    def problems(self, held: dict[str, int], changed: set[str]) -> list[str]:
+        """What the stores would lack: bytes of files, right hashes, single keys. Only what changed is looked at: bytes that
+        were verified before are not hashed again."""
+        files, blobs = self._at("files", held), self._at("blobs", held)
+        named = {}
+        if changed & {"files", "blobs"}:
+            named["files without bytes"] = without_bytes(files, blobs).count()
+        if "blobs" in changed:
+            named["blobs with a wrong hash"] = blobs.where("sha256 is not null and sha256 <> '' and sha2(blob, 256) <> sha256").count()
+        if "files" in changed:
+            named["files with one id"] = files.groupBy("id").count().where("count > 1").count()
         return [f"{k}: {v}" for k, v in named.items() if v]
 
     def counts(self) -> DataFrame:
         return store_counts(self.snapshot())
 
     def drop(self, n: int) -> None:
-        if n == self.generation():
+        """Deletes what generation n wrote, but for the stores that the live one still reads from there."""
+        live = self.generation()
+        if n == live:
             raise ValueError("the live generation stays")
-        fs, at = self._fs(f"{self.path}/gen={n}")
-        fs.delete(at, True)
+        needed = {name for name, at in self._held(live).items() if at == n}
+        for name in set(STORES) - needed:
+            fs, at = self._fs(f"{self.path}/gen={n}/{name}")
+            fs.delete(at, True)

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from dossier.operators import diff
-from dossier.plans import catalogue
+from dossier.plans import catalogue, functions, views, writes  # noqa: F401 (each adds queries)
 from tests.helpers import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,42 @@ def test_document_diff_takes_near_copies_of_whole_texts(spark, tmp_path):
     assert got == want and len(want) == 8
 
 
+def test_alike_sets_against_all_pairs(spark):
+    import random
+
+    from dossier.operators import relations
+
+    rng = random.Random(4)
+    base = [[f"line {g} {k}" for k in range(12)] for g in range(6)]
+    rows = [(k, [x for x in base[k % 6] if rng.random() > 0.12] + [f"own {k}"] * (k % 3) + ["common", ""]) for k in range(90)]
+    rows += [(200 + k, list(rows[k][1])) for k in range(5)] + [(300, []), (301, [" "]), (302, ["common"]), (303, ["common", "common"])]
+    sets = {k: frozenset(x for x in v if x.strip()) for k, v in rows}
+    first = {}
+    for k in sorted(sets):  # of equal sets the smallest id stands for all
+        first.setdefault(sets[k], k)
+    want = {}
+    for b in sets:
+        near = [a for a in first.values() if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        want |= {b: min(near)} if near else {}
+    pairs = relations.alike(spark.createDataFrame(rows, "id long, items array<string>"), "id", "items", 80).collect()
+    got = {}
+    for r in pairs:
+        assert r.a < r.b and 100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b])
+        got[r.b] = min(r.a, got.get(r.b, r.a))
+    assert got == want and len(want) > 40
+
+
+def test_ranks_of_one_key_over_stretches(spark, monkeypatch):
+    from dossier.operators import facets
+
+    monkeypatch.setattr(facets, "STRETCH", 7)
+    rows = [(k, "a" if k % 3 else None) for k in range(100)] + [(None, "a")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    for key in ("a", None):
+        got = [r.n for r in sorted((r for r in facets.ranked(df, df["name"], "id", "n").collect() if r.name == key), key=lambda r: (r.id is not None, r.id))]
+        assert got == list(range(1, len(got) + 1))
+
+
 def test_customer_360_keeps_the_latest_orders_early(spark, capsys):
     catalogue.QUERIES["customer_360"](spark, SF).explain()
     plan = capsys.readouterr().out

@@ -91,7 +91,7 @@ def test_line_and_case_operations(spark):
     assert one(spark, text.to_case(F.col("x"), "sentence"), x="HELLO THERE. how are") == "Hello there. How are"
     got = one(spark, text.replace_all(F.col("x"), "a.b", "$1\\"), x="a.b axb")
     assert (got.text, got.n) == ("$1\\ axb", 1)
-    s = one(spark, text.stats(F.col("x")), x="One two. Three!\n\nfour")
+    s = one(spark, F.struct(*[c.alias(k) for k, c in text.stats(F.col("x")).items()]), x="One two. Three!\n\nfour")
     assert (s.words, s.chars, s.lines, s.sentences, s.paragraphs, s.reading_minutes) == (4, 21, 3, 2, 2, 1)
     assert one(spark, text.join_hyphen(F.array(F.lit("ACTI-"), F.lit("VE code N10-"), F.lit("1"))), x="") == "ACTIVE code N10- 1"
 
