@@ -184,7 +184,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     joined = steps.write(connected_components(steps, links, "joined").groupBy("node").agg(F.min("component").alias("component")), "components")
     of = members.where("n > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = of.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("rep").agg(F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))
+    open_ = of.join(mixed.select("bucket"), "bucket", "left_semi").select("rep", "component").distinct()
     open_ = steps.write(open_, "open")
     pairs = _all_that_can_link(open_, full, percent).join(met.select("a", "b"), ["a", "b"], "left_anti")
     late = steps.write(_verified(pairs, full, percent).where("linked"), "late")
@@ -216,23 +216,23 @@ def _one_id(steps: Steps, real: DataFrame, reps: DataFrame) -> DataFrame | None:
 
 
 def _all_that_can_link(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open documents (rep, component, buckets) in one bucket and of different components that can link.
+    """Pairs (a, b) of open documents (rep, component), of different components, that can link.
 
     Shingles are ordered, those in the fewest open documents first. Two sets that share percent of their union share one
     of the first n - ceil(n * percent / 100) + 1 shingles of each, n its size: whoever lacks all of the other's first ones
     lacks too many. So documents meet by these shingles alone, the rarest they have. Two more bounds hold for a pair: what
     stands before the place of the shingle at which it meets first is not shared, and each bit in which two bitmaps differ
-    stands for a shingle of one set that the other lacks. A pair comes out of the first such shingle only if it has room
-    for enough shared ones; none of the bounds loses a link.
+    stands for a shingle of one set that the other lacks. None of the bounds loses a link.
     """
-    n = F.size("shingles").alias("n")
-    held = full.withColumnRenamed("doc_id", "rep").join(open_.select("rep"), "rep", "left_semi").select("rep", n, "bits", F.explode("shingles").alias("x"))
-    often = held.groupBy("x").agg(F.count("*").alias("c"))
-    ranked = held.join(often, "x").groupBy("rep", "n", "bits").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    head = F.transform(F.slice("order", F.lit(1), reach), lambda s: s["x"])
-    first = ranked.select("rep", "n", "bits", head.alias("head"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s")).where("s.c > 1").select("rep", "n", "bits", "head", "at", F.col("s.x").alias("x"))
-    first = first.join(open_, "rep")
+    full = full.withColumnRenamed("doc_id", "rep")
+    held = full.join(open_.select("rep"), "rep", "left_semi").select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    often = held.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = held.join(often, "x").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
+    # Shingles that no other open document has stand before all others, and nobody meets by them.
+    alone = F.col("n") - F.size("order")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    first = ranked.where(reach > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), reach)).alias("k", "s"))
+    first = first.select("rep", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("s.x").alias("x")).join(open_, "rep").join(full.select("rep", "bits"), "rep")
     differ = " + ".join(f"bit_count(l.bits[{w}] ^ r.bits[{w}])" for w in range(WORDS))
     can = " and ".join(
         [
@@ -240,8 +240,6 @@ def _all_that_can_link(open_: DataFrame, full: DataFrame, percent: int) -> DataF
             f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)",
             f"{100 + percent} * least(l.n - l.at, r.n - r.at) >= {percent} * (l.n + r.n)",
             f"{100 + percent} * (l.n + r.n - ({differ})) >= {2 * percent} * (l.n + r.n)",
-            "arrays_overlap(l.buckets, r.buckets)",
-            "array_intersect(l.head, r.head)[0] = l.x",
         ]
     )
     return first.alias("l").join(first.alias("r"), F.expr(can)).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
