@@ -210,9 +210,11 @@ def remove(docs: DataFrame) -> DataFrame:
     null = F.lit(-(1 << 63)).cast("long")
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", null).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"))
     found = steps.write(segments(rows.select("id", "h", "text").where("octet_length(text) >= 200")), "found")
-    # Counts are summed in the map tasks first, so that a frequent anchor is a few rows; the joins may split it.
+    # Counts are summed in the map tasks first, so that a frequent anchor is a few rows. They are written, for a join with a
+    # table can split a frequent anchor among tasks, but one with an aggregate of its own stage can't.
     anchors = found.groupBy("anchor").agg(F.count("*").alias("all"), F.min("name").alias("low"), F.max("name").alias("high")).where("all > 1")
-    again = steps.write(found.join(anchors.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchor"), "again")
+    anchors = steps.write(anchors.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchors")
+    again = steps.write(found.join(anchors, "anchor"), "again")
     names = again.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.first("open").alias("open"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
     names = steps.write(names, "names")
     shared = again.join(names.where("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select("id", "h", "first", "last")
@@ -231,7 +233,7 @@ def remove(docs: DataFrame) -> DataFrame:
     hit = rows.withColumn("maybe", maybe(F.xxhash64("id")))
     joined = hit.where("maybe").join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
     alone = hit.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
-    steps.drop("found", "again", "names", "wanted", "pieces")
+    steps.drop("found", "anchors", "again", "names", "wanted", "pieces")
     return joined.union(alone).mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
 
 
