@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -117,24 +118,32 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-P = 0x9E3779B97F4A7C15
-P_INVERSE = pow(P, -1, 1 << 64)
-KEEP = 1 << 19
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans longer than this are hashed one by one, so that a round below never serves one long span alone.
+LONG = 2048
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i below n or more. Up to KEEP of each stay for the next call, so that one very long
-    text does not cost a worker its memory for good."""
-    if len(_powers.get(0, ((), ()))[0]) >= n:
-        return _powers[0]
-    size = 1 << max(16, int(n - 1).bit_length())
-    up, down = np.full(size, P, np.uint64), np.full(size, P_INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    found = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if size <= KEEP:
-        _powers[0] = found
-    return found
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes first to last (excluded) of each span.
+
+    Eight bytes at a time go into the hash so far, which is scrambled each time. That is not linear in the bytes, so no
+    pattern of texts collides by construction, as it does under polynomials modulo 2^64.
+    """
+    size = (last - first).astype(np.int64)
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+    salts = constants(2, 61 + seed)
+    out = mix(size.astype(np.uint64) * salts[0] + salts[1])
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[first[live] + at]
+        part = left < 8
+        chunk[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] ^ chunk)
+        live, at = live[left > 8], at + 8
+    return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -149,8 +158,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     """64-bit hashes of all lower-cased (A-Z) words of the rows in `data`, and the word offsets of each row.
 
     between: for each byte, whether it parts words.
-
-    A word's hash is the polynomial of its bytes, taken from one prefix sum over the buffer, then scrambled.
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -167,10 +174,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     begins[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, offsets)
+    return span_hashes(_LOWER[data], first, last), np.searchsorted(first, offsets)
 
 
 def _stars(e: DataFrame) -> bool:

@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, most: int =
     """All rows with struct column `mixed`: size, source_size, target, copies, taken (size times copies).
 
     size: words of column text, if not given. Null or empty texts have size 0; a source of such texts alone gets target
-    0 and no copies. Null doc_ids are ranked first, tied rows get consecutive places in any order. Further columns are
+    0 and no copies. Null doc_ids are ranked first, rows of one doc_id by a hash of their columns. Further columns are
     kept, whatever their names but `mixed`; an empty table gives an empty one.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -73,7 +73,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, most: int =
     cells = cells.withColumn("before_salt", F.sum("n").over(Window.partitionBy("key", "size").orderBy("salt")) - F.col("n"))
     cells = cells.join(sizes, ["key", "size"]).join(goals, "key")
     cells = cells.select("key", "size", "salt", (F.col("before_size") + F.col("before_salt")).alias("before"), "source_size", "target", "u")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.col("id").asc_nulls_first())))
+    # Rows of one id are told apart by their content, so that reruns draw the same ones whatever the order of the input.
+    content = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.col("id").asc_nulls_first(), content)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = (F.col("before") + F.col("rank")).cast("double")
     crossed = F.floor(place * rate + F.col("u")) - F.floor((place - 1) * rate + F.col("u"))

@@ -5,8 +5,9 @@
    alone, so equal windows, wherever they stand, share it. Windows whose anchor occurs once are unique: nothing is lost.
 2. Segments that occur twice or more, by a 128-bit name of anchor and bytes, are repeated in whole.
 3. Segments that share an anchor with other ones go, by anchor, to one bucket: a shard of the corpus. There the
-   Burrows-Wheeler transforms of its strings are merged by iterative interleave refinement, without sorting suffixes;
-   see `repeated`. Only places within windows are carried, and settled ones drop out.
+   interleave of all its strings is refined from depth 0 to 200; see `repeated`. Plainly: no transform of a single shard
+   is built first and merged with another; each round re-sorts the open places by the four bytes before them, which is a
+   radix sort of 200-byte windows from the right. Only places within windows are carried, and settled ones drop out.
 
 Buckets get some 2 MB each, so more data makes more buckets; all different segments of one anchor share a bucket.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import P, Steps, bitmap, maybe_in, mix, partitions, powers, slices, table, text_buffer
+from dossier.llm.common import Steps, bitmap, constants, maybe_in, mix, partitions, slices, span_hashes, table, text_buffer
 
 WINDOW, K = 200, 64
 SPAN = WINDOW - K + 1
@@ -43,6 +44,17 @@ def _least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the K bytes from each place on: of eight bytes, then of twice as many by scrambling two halves."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = mix(np.ndarray(len(data), "<u8", wide, strides=(1,)) ^ constants(1, 71))
+    size = 8
+    for salt in constants(K.bit_length() - 4, 72):
+        out = mix(out[:-size] * salt ^ out[size:])
+        size *= 2
+    return out[: len(data) - K + 1]
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Segments of the rows in data: row, first and last window start, anchor hash, name. Rows of at most BLOCK-ish bytes.
 
@@ -52,10 +64,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < WINDOW:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    grams = mix((sums[K:] - sums[:-K]) * down[: n - K + 1])
+    grams = gram_hashes(data)
     low = np.uint64((1 << 22) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     anchors = (_least(packed, SPAN) & low).astype(np.int64)
@@ -68,12 +77,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     end = inside.copy()
     end[:-1] &= (anchors[1:] != anchors[:-1]) | ~inside[1:] | (row[1:] != row[:-1])
     first, last = np.flatnonzero(new), np.flatnonzero(end)
-    # A second base for names: the bytes' own positions weigh by squares of the first base's powers.
-    other = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * (up[:n] * up[:n]), out=other[1:])
-    until = last + WINDOW
-    name = mix((other[until] - other[first]) * (down[first] * down[first]) + mix((until - first).astype(np.uint64)))
-    anchor = mix((sums[anchors[first] + K] - sums[anchors[first]]) * down[anchors[first]] + np.uint64(P & 0xFFFF))
+    name = span_hashes(data, first, last + WINDOW, 3)
+    anchor = mix(grams[anchors[first]] + np.uint64(1))
     return row[first], first - offsets[row[first]], last - offsets[row[first]], anchor, name
 
 

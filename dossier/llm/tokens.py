@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import Steps, bounded_batches, mix, new_path, partitions, powers, slices, table, text_buffer
+from dossier.llm.common import Steps, bounded_batches, new_path, partitions, slices, span_hashes, table, text_buffer
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,7 +65,8 @@ def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer with the ids of the pieces met so far. Pieces are told apart by a 64-bit hash of their bytes."""
+    """A tokenizer with the ids of the pieces met so far. Pieces are found by a 64-bit hash of their bytes and confirmed by
+    another one; a row with a piece that is not the one known by its first hash is encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,9 +85,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.names, self.second, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, names: np.ndarray, pieces: list[bytes], in_row: np.ndarray) -> None:
+    def _learn(self, names: np.ndarray, second: np.ndarray, pieces: list[bytes], in_row: np.ndarray) -> None:
         """Ids of new pieces; those in_row begin with white space and end without, so a row of them parts where they do."""
         first, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         parts, size = [self.pool], len(self.pool)
@@ -106,7 +107,13 @@ class Encoder:
             size += len(found)
         self.pool = np.concatenate(parts)
         at = np.searchsorted(self.names, names)
-        self.names, self.first, self.count = np.insert(self.names, at, names), np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.names, self.second, self.first, self.count = (np.insert(old, at, new) for old, new in ((self.names, names), (self.second, second), (self.first, first), (self.count, count)))
+
+    def _known(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the known pieces, and whether each is known (its place is 0 if not)."""
+        place = np.searchsorted(self.names, names)
+        place[place == len(self.names)] = 0
+        return place, (self.names[place] == names if len(self.names) else np.zeros(len(names), bool))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in data, each row's followed by `end`, and the offsets of each row's ids."""
@@ -121,24 +128,23 @@ class Encoder:
             at = at[~out[np.searchsorted(offsets, at, side="right") - 1]]
         of = np.searchsorted(offsets, at, side="right") - 1
         until = np.minimum(np.append(at[1:], len(data)), offsets[of + 1]) if len(at) else at
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        names, which = np.unique(mix((sums[until] - sums[at]) * down[at]), return_inverse=True)
-        del sums
         if len(self.names) > KEPT:
             self.forget()
-        place = np.searchsorted(self.names, names)
-        new = np.ones(len(names), bool)
-        inside = place < len(self.names)
-        new[inside] = self.names[place[inside]] != names[inside]
-        if new.any():
-            one = np.zeros(len(names), np.int64)
-            one[which] = np.arange(len(which))
-            one = one[new]
-            begin, stop = at[one], until[one]
-            self._learn(names[new], [data[i:j].tobytes() for i, j in zip(begin.tolist(), stop.tolist())], _SPACE[data[begin]] & ~_SPACE[data[stop - 1]])
-            place = np.searchsorted(self.names, names)
+        hashes, seconds = span_hashes(data, at, until, 1), span_hashes(data, at, until, 2)
+        names, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place, known = self._known(names)
+        other = seconds != np.where(known, self.second[place] if len(self.second) else 0, seconds[one])[which]
+        if other.any():
+            aside = np.union1d(aside, of[other])
+            keep = ~np.isin(of, aside)
+            at, until, of, hashes, seconds = at[keep], until[keep], of[keep], hashes[keep], seconds[keep]
+            names, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+            place, known = self._known(names)
+        if not known.all():
+            new = one[~known]
+            begin, stop = at[new], until[new]
+            self._learn(names[~known], seconds[new], [data[i:j].tobytes() for i, j in zip(begin.tolist(), stop.tolist())], _SPACE[data[begin]] & ~_SPACE[data[stop - 1]])
+            place, _ = self._known(names)
         more = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in aside], add_special_tokens=False)]
         # Runs in the pool, row by row: the pieces, or all of a row that was encoded whole, and an end after each row.
         pool = np.concatenate([self.pool, *more, last])

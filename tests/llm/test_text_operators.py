@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dossier.llm import decontaminate, langid, lines, minhash, mixing, repeats, tokens
-from dossier.llm.common import PUNCTUATION, word_hashes
+from dossier.llm.common import PUNCTUATION, span_hashes, text_buffer, word_hashes
 from tests.helpers import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -489,7 +490,68 @@ def test_repeats_tell_null_ids_apart(spark):
     assert got == brute_repeats(rows)
 
 
-def test_long_rows_are_cut_alike(monkeypatch):
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, size):
+    """The Thue-Morse word and its swap have one polynomial hash modulo 2^64 under every odd base; they are told apart."""
+    from tokenizers import Tokenizer
+
+    one = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    plain = Tokenizer.from_file(tokens.vocabulary())
+    ids = [np.frombuffer(x, "<i4").tolist() for x in tokens.encode([one, two, f"{one} {two}"], tokens.vocabulary())]
+    assert ids == [plain.encode(x, add_special_tokens=False).ids for x in (one, two, f"{one} {two}")]
+    assert [(r.doc_id, r.component_id) for r in minhash.components(df, k=4).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+    items = spark.createDataFrame([(7, two)], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.contaminated(df.where("doc_id = 1"), items).collect()] == []
+    assert decontaminate.contaminated(df, items).count() == 1
+    rows = [(1, one), (2, two), (3, one[: size // 2] + "c"), (4, two[100 : size // 2 + 150])]
+    repeats_of = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove(repeats_of).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """With a first hash of three bits nearly all pieces clash; the second one sends their rows to the tokenizer whole."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, first, last, seed: span_hashes(data, first, last, seed) >> np.uint64(61 if seed == 1 else 0))
+    texts = ["a few words here", "a few other words there, and more", "", "words words words", "x y z"] * 3
+    plain, coder = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
+    for _ in range(2):
+        data, offsets = text_buffer(pa.array(texts))
+        ids, at = coder.encode(data, offsets, 2)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [[*plain.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_span_hashes_depend_on_bytes_and_length_alone():
+    data = np.frombuffer(b"\0" * 40 + b"abcdefghijklmnopq" * 2 + b"z" * 5000, np.uint8)
+    spans = [(0, k) for k in range(20)] + [(k, k + 17 - d) for k in (40, 57) for d in range(16)] + [(74, 74 + 2040 + k) for k in range(20)]
+    first, last = (np.array(x) for x in zip(*spans))
+    hashes = span_hashes(data, first, last).tolist()
+    texts = [data[i:j].tobytes() for i, j in spans]
+    assert {(a == b) == (x == y) for a, x in zip(texts, hashes) for b, y in zip(texts, hashes)} == {True}
+
+
+def test_a_very_long_row_is_cut_with_overlap(spark):
+    """The branch for rows of over two blocks: repeats across both internal cuts, and a long run of one letter."""
+    rng = np.random.default_rng(14)
+    noise = "".join(map(chr, rng.integers(97, 123, 330_000)))
+    text = noise[:131_000] + "q" * 900 + noise[131_000:] + noise[130_900:131_400] + noise[262_000:262_300]
+    rows = [(1, text), (2, noise[5000:5300]), (3, "q" * 250)]
+    assert len(text) > 2 * repeats.BLOCK
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
+def test_rows_of_one_id_are_drawn_alike_in_any_order(spark):
+    rows = [(1, f"word number {k} {'x' * (k % 3)}", "a") for k in range(9)] + [(2, "one two three", "b")] * 2
+    schema = "doc_id long, text string, source string"
+    drawn = [sorted(map(str, mixing.sample(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(k + 1)).collect())) for k in range(4)]
+    assert drawn[0] == drawn[1] == drawn[2] == drawn[3]
+
+
+def test_segments_cover_each_window_once():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 4000).astype(np.uint8)
     whole = repeats.runs_of(data, np.array([0, 4000]))
