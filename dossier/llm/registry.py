@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators, as __spark_entry__ registers them."""
 
-from dossier.llm import chat, decontaminate, embeddings, exact, infill, langid, lines, minhash, mixing, repeats, tokens, urls
+from dossier.llm import chat, decontaminate, embeddings, exact, infill, langid, lines, minhash, mixing, repeats, spelling, tokens, urls
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         repeats.op9_bwt_repeats,
         mixing.op10_systematic_mix,
         exact.op11_exact_dedup,
+        spelling.op12_spelling_variants,
         infill.op13_fill_in_middle,
     )
 }

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from dossier.llm import exact, infill
+from dossier.llm import exact, infill, spelling
+from dossier.llm.common import text_buffer
 from tests.helpers import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +149,88 @@ def test_infill_options(spark):
     for bad in (("<P>", "<P>", "<M>"), ("<P>", "x<P>", "<M>"), ("ab", "ba", "c"), ("", "a", "b"), ("aba", "c", "d")):
         with pytest.raises(ValueError):
             infill.infill(df, markers=bad)
+
+
+def plain_words(rows, every=97, least=5, often=3):
+    n: dict = {}
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] = n.get(run, 0) + 1
+    return {w: c for w, c in n.items() if len(w) >= least and c >= often}
+
+
+def one_apart(a, b):
+    """Whether the words differ by exactly one edit: what is left once common ends are cut off."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def plain_variants(n):
+    by: dict = {}
+    for w in n:
+        by.setdefault(len(w), []).append(w)
+    near = {w: [v for d in (-1, 0, 1) for v in by.get(len(w) + d, ()) if one_apart(w, v)] for w in n}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out, key=str)
+
+
+def test_spelling_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in spelling.op12_spelling_variants(spark, SF).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=str)
+    want = plain_variants(plain_words(rows))
+    assert got == want and sum(r[4] for r in want) > 0
+
+
+def test_variants_of_dense_words(spark):
+    """All words of few letters, where nearly each is near to many; runs of one letter; two-byte letters; long chains."""
+    rng = np.random.default_rng(5)
+    words = {"".join(rng.choice(list("abé"), rng.integers(4, 8))): int(rng.integers(1, 40)) for _ in range(700)}
+    words |= {"a" * k: 2**k for k in range(5, 30)} | {"aaaaz": 3, "x" * 3000: 4, "x" * 1500 + "y" + "x" * 1499: 9, "x" * 2999: 4, "ÿ\u00d7÷é": 4}
+    df = spark.createDataFrame([*words.items(), (None, 5), ("lost", None)], "word string, n long")
+    got = spelling.variants(df.withColumn("id", df.n).withColumn("form", df.word))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_variants(words)
+    with pytest.raises(ValueError):
+        spelling.variants(df, times=1)
+
+
+def test_variants_are_decided_by_strings(spark, monkeypatch):
+    """With keys of two bits nearly all words share one; the result is the same."""
+    words = {f"{a}{b}{c}word": ord(a) * 7 % 31 for a in "abcd" for b in "abcd" for c in "ab"}
+    real = spelling.deletion_keys
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("word"))
+            keys, rows, place, first = real(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(62)).view(np.int64)), pa.array(batch.column("id").to_numpy()[rows]), pa.array(place.astype(np.int32)), pa.array(first)], names=["key", "id", "place", "first"])
+
+    monkeypatch.setattr(spelling, "keyed", lambda words: words.select("id", "word").mapInArrow(run, "key long, id long, place int, first boolean"))
+    assert sorted((tuple(r) for r in spelling.variants(df).collect()), key=str) == plain_variants(words)
+
+
+def test_spelling_odd_rows(spark, odd, none):
+    got = spelling.counted_words(odd)
+    assert {r.word: r.n for r in got.collect()} == plain_words([r[:2] for r in ODD])
+    rows = sorted((tuple(r) for r in spelling.variants(got).collect()), key=str)
+    assert rows == plain_variants(plain_words([r[:2] for r in ODD]))
+    assert spelling.variants(spelling.counted_words(none)).count() == 0
