@@ -59,6 +59,12 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def save(df: DataFrame, path: str) -> None:
+    """Writes an intermediate table, without the empty marker file of a finished job, which nothing looks for. On a local
+    file system each created file starts a process (chmod), whose memory is the JVM's until it runs."""
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+
+
 class Steps:
     """Written tables in the shared folder. They cut the lineage and survive lost executors; `drop` frees those used up."""
 
@@ -68,7 +74,7 @@ class Steps:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        save(df, path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

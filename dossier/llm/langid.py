@@ -19,9 +19,6 @@ from dossier.llm.common import bounded_batches, slices, table, text_buffer
 ORDER = 4
 #: At most so many texts of each language are learnt from: those with the smallest hash of their text.
 LEARNT = 600
-#: A text that codes at more bits a byte than this in its best language is in none of them.
-MOST_BITS = 7.5
-
 BLOCK = 1 << 18
 
 
@@ -210,6 +207,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", F.col("language.bits").alias("bits_per_byte"))
 
 
-def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose text is in one of the learnt languages: not `und`, not costlier than MOST_BITS a byte."""
-    return _judged(docs, model).where(F.col("language.bits") <= MOST_BITS).select("row.*")
+def keep_known(docs: DataFrame, model: Model | None, most_bits: float | None = None) -> DataFrame:
+    """The rows whose text is in one of the learnt languages, that is, not `und`. With most_bits, also those go that cost
+    more bits a byte than that in their best language; it drops texts by a bound, so none is set unless asked for."""
+    known = F.col("language.bits").isNotNull() if most_bits is None else F.col("language.bits") <= most_bits
+    return _judged(docs, model).where(known).select("row.*")

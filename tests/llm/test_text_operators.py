@@ -154,6 +154,11 @@ def test_language_columns_may_clash(spark, docs):
     got = langid.predict(df, model)
     assert got.columns == ["doc_id", "text", "__letter", "row", "language"] and got.where("language.lang is null").count() == 0
     assert langid.keep_known(df, model).columns == df.columns
+    noise = bytes(range(33, 127)).decode() * 3
+    mixed = spark.createDataFrame([("the and of that",), (noise,), ("12",), (None,)], "text string")
+    small = langid.learn(spark.createDataFrame([("the and of that", "en")], "text string, lang string"))
+    assert {r.text for r in langid.keep_known(mixed, small).collect()} == {"the and of that", noise}
+    assert {r.text for r in langid.keep_known(mixed, small, most_bits=5.0).collect()} == {"the and of that"}
 
 
 def test_tokens_round_trip(spark, docs):
