@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import decontaminate, langid, minhash, mixing, tokens
-from dossier.llm.common import bitmap, maybe_in, new_path, table
+from dossier.llm.common import bitmap, maybe_in, new_path, save, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
     path = new_path(spark, "near")
-    minhash.components(docs, k=5, percent=80).where("not kept").select("doc_id").distinct().write.parquet(path)
+    save(minhash.components(docs, k=5, percent=80).where("not kept").select("doc_id").distinct(), path)
     gone = spark.read.schema("doc_id long").parquet(path)
     rows = docs.withColumn("__maybe", maybe_in(spark, bitmap(gone.select(F.xxhash64("doc_id").alias("h")), "h"))(F.xxhash64("doc_id")))
     kept = rows.where("__maybe").join(gone, "doc_id", "left_anti").select(COLUMNS)
@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        save(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
