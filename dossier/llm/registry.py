@@ -28,5 +28,6 @@ ORACLES = {
     "op8_url_rules": urls.ORACLE_SQL,
     "op10_systematic_mix": mixing.ORACLE_SQL,
     "op11_exact_dedup": exact.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
     "op13_fill_in_middle": infill.ORACLE_SQL,
 }

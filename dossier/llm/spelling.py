@@ -169,3 +169,36 @@ def variants(words: DataFrame, times: int = 2) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(spark)
     return variants(steps.write(counted_words(table(spark, sf_dir, "documents")), "counted"))
+
+
+#: DuckDB has no CRC-32, so its table (polynomial 0xEDB88320, a fixed value) is worked out first. Runs hold two-byte letters at most.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS b
+  FROM runs WHERE length(run) >= 5),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, t),
+cut AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, p AS at, substring(word, 1, p) || substring(word, p + 2) AS v FROM words, unnest(range(length(word))) AS u(p)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.v = b.v AND a.at = b.at AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON words.word = less.v
+  UNION SELECT words.word, less.word FROM less JOIN words ON words.word = less.v),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, {'n': -o.n, 'w': other}) AS form, max(o.n) AS form_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form, CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+ends AS (
+  SELECT word, word AS root FROM formed UNION ALL SELECT ends.word, formed.form FROM ends JOIN formed ON formed.word = ends.root WHERE formed.form IS NOT NULL),
+roots AS (SELECT ends.word, root FROM ends JOIN formed ON formed.word = root WHERE formed.form IS NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN roots ON roots.word = formed.word
+"""

@@ -200,6 +200,10 @@ def test_spelling_against_brute_force(spark):
     assert got == want and sum(r[4] for r in want) > 0
 
 
+def test_spelling_against_sql(spark, duck):
+    same_rows(spelling.op12_spelling_variants(spark, SF), duck(SF, spelling.ORACLE_SQL))
+
+
 def test_variants_of_dense_words(spark):
     """All words of few letters, where nearly each is near to many; runs of one letter; two-byte letters; long chains."""
     rng = np.random.default_rng(5)
