@@ -154,8 +154,10 @@ def alike(df: DataFrame, id: str, items: str, percent: int) -> DataFrame:
     held = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("x"))
     ranked = held.join(held.groupBy("x").agg(F.count("*").alias("c")), "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rare = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), reach)).alias("s")).where("s.c > 1").select("id", "n", F.col("s.x").alias("x"))
-    met = rare.alias("l").join(rare.alias("r"), F.expr(f"l.x = r.x and l.id < r.id and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
+    rare = ranked.select("id", "n", F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "s")).where("s.c > 1").select("id", "n", "at", F.col("s.x").alias("x"))
+    # What stands before the rarest item that two sets share is not shared, which bounds what they can have in common.
+    can = f"l.x = r.x and l.id < r.id and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * least(l.n - l.at, r.n - r.at) >= {percent} * (l.n + r.n)"
+    met = rare.alias("l").join(rare.alias("r"), F.expr(can))
     pairs = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     whole = sets.select("id", "own")
     full = pairs.join(whole.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")

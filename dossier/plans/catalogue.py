@@ -450,15 +450,26 @@ def date_diff(spark, sf_dir):
     return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", d["total_days"].alias("days"), F.round(d["weeks"], 6).alias("weeks"))
 
 
-@query()
-def document_diff(spark, sf_dir):
-    """Each text against the first one that has four fifths of their distinct lines in common, line by line."""
+def _near_copies(spark, sf_dir):
+    """(doc_id, x, y): each text y and the first one, x, that has four fifths of their distinct lines in common."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = relations.alike(docs.select("doc_id", text.lines(F.col("text")).alias("lines")), "doc_id", "lines", 80)
     pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
     first, later = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(first, "a").join(later, "b").select(F.col("b").alias("doc_id"), "x", "y")
-    return diff.totals(diff.diff(both, "x", "y")).select("doc_id", "removed", "added", "moved", "same")
+    return pairs.join(first, "a").join(later, "b").select(F.col("b").alias("doc_id"), "x", "y")
+
+
+@query()
+def document_diff(spark, sf_dir):
+    """Each text against its first near copy, line by line."""
+    return diff.totals(diff.diff(_near_copies(spark, sf_dir), "x", "y")).select("doc_id", "removed", "added", "moved", "same")
+
+
+@query()
+def document_revisions(spark, sf_dir):
+    """Each text against its first near copy, word by word between aligned lines."""
+    told = diff.totals(diff.revisions(_near_copies(spark, sf_dir), "doc_id", "x", "y"))
+    return told.select("doc_id", F.size("runs").alias("n_runs"), "removed", "added", "moved", "same")
 
 
 @query(r"""
