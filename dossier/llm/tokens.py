@@ -25,9 +25,9 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Known pieces kept by a worker, some 40 bytes each; beyond it they are forgotten and encoded anew.
-KEPT = 2_000_000
+KEPT = 600_000
 #: Bytes of text whose pieces are looked up at once, and bytes of text for each file.
-BLOCK, FILE = 2 << 20, 128 << 20
+BLOCK, FILE = 1 << 20, 128 << 20
 
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
