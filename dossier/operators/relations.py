@@ -95,19 +95,22 @@ def vehicle_tools(vehicles: DataFrame, tools: DataFrame) -> DataFrame:
 def vehicle_summary(vehicles: DataFrame, files: DataFrame, ros: DataFrame, documents: DataFrame, tools: DataFrame, top: int = 8) -> DataFrame:
     """Counts and first rows of everything about each vehicle: files and orders newest first, documents and tools by id."""
 
-    def part(rows: DataFrame, name: str, newest: bool) -> DataFrame:
-        item = F.struct((-F.col("at") if newest else F.lit(0)).alias("o"), "id")
-        by = Window.partitionBy("vin").orderBy("o", "id")
-        ranked = rows.select("vin", item.alias("i")).select("vin", "i.o", "i.id").withColumn("k", F.row_number().over(by))
+    def part(rows: DataFrame, by: str, name: str) -> DataFrame:
+        """Of rows (by, o, id): how many there are and the first of them by o and id."""
+        ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("o", "id")))
         first = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "id")))), lambda x: x["id"])
-        return ranked.groupBy("vin").agg(F.count("*").alias(f"n_{name}"), first.alias(name))
-
-    f = live(files).where("inFiles = 1").select(F.explode(F.array_distinct("vins")).alias("vin"), F.col("updatedAt").alias("at"), "id")
-    r = live(ros).select(F.upper("vin").alias("vin"), F.col("updatedAt").alias("at"), "id")
+        return ranked.groupBy(by).agg(F.count("*").alias(f"n_{name}"), first.alias(name))
+
+    f = live(files).where("inFiles = 1").select(F.explode(F.array_distinct("vins")).alias("vin"), (-F.col("updatedAt")).alias("o"), "id")
+    r = live(ros).select(F.upper("vin").alias("vin"), (-F.col("updatedAt")).alias("o"), "id")
+    # What concerns a series is counted once for each series, however many vehicles it has.
+    series = lambda rows, found: rows.select(F.explode(F.array_distinct(found)).alias("series"), F.lit(0).alias("o"), "id")
+    d = series(documents, ids.models_of_validity(F.col("validity")))
+    t = series(tools, ids.series_words(F.col("validities")))
     out = vehicles
-    for rows, name, newest in ((f, "files", True), (r, "ros", True), (vehicle_documents(vehicles, documents), "documents", False), (vehicle_tools(vehicles, tools), "tools", False)):
-        out = out.join(part(rows, name, newest), "vin", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
-    return out
+    for rows, by, name in ((f, "vin", "files"), (r, "vin", "ros"), (d, "series", "documents"), (t, "series", "tools")):
+        out = out.join(part(rows.where(F.col(by) != ""), by, name), by, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out.select(*vehicles.columns, *[c for x in ("files", "ros", "documents", "tools") for c in (f"n_{x}", x)])
 
 
 def cited(documents: DataFrame) -> DataFrame:
@@ -125,6 +128,14 @@ def document_tools(documents: DataFrame, tools: DataFrame) -> DataFrame:
     return d.join(t, "g").select("docId", "toolId").distinct()
 
 
+def tool_documents(tools: DataFrame, documents: DataFrame) -> DataFrame:
+    """(tool id, document id): documents of the tool's most specific function group, the first one other than 00."""
+    own = F.coalesce(ids.first_group(F.col("svcGrp")), F.nullif(F.regexp_extract(s("svcGrp"), r"\d{2}", 0), F.lit("")))
+    t = tools.select(F.col("id").alias("toolId"), own.alias("g")).where("g is not null")
+    d = documents.select(F.col("id").alias("docId"), ids.first_group(F.col("fgroup")).alias("g")).where("g is not null")
+    return t.join(d, "g").select("toolId", "docId").distinct()
+
+
 def tag_documents(files: DataFrame, documents: DataFrame) -> DataFrame:
     f = files.select(F.col("id").alias("fileId"), F.explode(F.array_distinct("tags")).alias("tag")).where(ids.is_number(F.col("tag")))
     d = documents.select(F.col("id").alias("docId"), ids.document_key(F.col("li")).alias("k"))

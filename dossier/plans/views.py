@@ -105,10 +105,10 @@ def thumbs(spark, sf_dir) -> DataFrame:
 
 def vehicles(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
-    return t(spark, sf_dir, "customer").where("c_custkey < 2000").select(code(k).alias("vin"), code(k + 7).alias("fin"), (k % 900 + 100).cast("string").alias("series"))
+    return t(spark, sf_dir, "customer").select(code(k).alias("vin"), code(k + 7).alias("fin"), (k % 900 + 100).cast("string").alias("series"))
 
 
-VEHICLES = f"vehicles AS (SELECT {VIN_SQL.format('c_custkey')} AS vin, {VIN_SQL.format('(c_custkey + 7)')} AS fin, c_custkey % 900 + 100 AS series FROM customer WHERE c_custkey < 2000)"
+VEHICLES = f"vehicles AS (SELECT {VIN_SQL.format('c_custkey')} AS vin, {VIN_SQL.format('(c_custkey + 7)')} AS fin, c_custkey % 900 + 100 AS series FROM customer)"
 BLOBS = "blobs AS (SELECT 'f' || doc_id AS id, sha256(text) AS sha256, text FROM documents WHERE doc_id % 9 <> 1 AND doc_id % 11 <> 0)"
 
 
@@ -306,10 +306,17 @@ def cited_documents(spark, sf_dir):
     return relations.cited(papers(spark, sf_dir))
 
 
-@query(f"WITH {PAPERS}, {CATALOGUE} SELECT DISTINCT p.id AS docId, x.id AS toolId FROM papers p JOIN tools x ON p.k % 60 >= 11 AND (x.g1 = p.k % 60 OR x.g2 = p.k % 60) UNION SELECT p.id, x.id FROM papers p JOIN tools x ON p.k % 60 = 10 AND x.g1 = 10 UNION SELECT p.id, x.id FROM papers p JOIN tools x ON p.k % 60 = 0 AND x.g1 = 10")
+_GROUP_SQL = "CASE WHEN p.k % 60 = 0 THEN '10' ELSE lpad((p.k % 60)::VARCHAR, 2, '0') END"
+
+
+@query(f"WITH {PAPERS}, {CATALOGUE} SELECT DISTINCT p.id AS docId, x.id AS toolId FROM papers p JOIN tools x ON {_GROUP_SQL} IN (x.g1::VARCHAR, x.g2::VARCHAR)")
 def document_tools(spark, sf_dir):
-    d = papers(spark, sf_dir).where("k % 60 = 0 or k % 60 >= 10")
-    return relations.document_tools(d, tools(spark, sf_dir))
+    return relations.document_tools(papers(spark, sf_dir), tools(spark, sf_dir))
+
+
+@query(f"WITH {PAPERS}, {CATALOGUE} SELECT x.id AS toolId, p.id AS docId FROM tools x JOIN papers p ON {_GROUP_SQL} = regexp_extract(x.svcGrp0 || '/' || x.g1 || '/' || x.g2, '[0-9][0-9]')")
+def tool_documents(spark, sf_dir):
+    return relations.tool_documents(tools(spark, sf_dir), papers(spark, sf_dir))
 
 
 @query(f"WITH {FILES}, {PAPERS} SELECT f.id AS fileId, p.id AS docId FROM files f JOIN papers p ON p.li = {NUMBER_SQL.format('(f.k % 40)')} WHERE f.k % 5 = 0")
