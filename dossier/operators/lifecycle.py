@@ -100,17 +100,21 @@ def note_vehicles(stored: DataFrame, seen: DataFrame, as_of: int) -> DataFrame:
     return out.withColumn("status", vehicle_status()).drop("nfin", "nmodel", "nsources")
 
 
-def put(stored: DataFrame, writes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(store after the writes, conflicts). A write with expectedRev (may be null) conflicts unless that is the row's rev.
-
-    Written rows get the old rev plus one; conflicting ones leave the store as it was and come with the current rev.
-    """
+def written(stored: DataFrame, writes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows to write, conflicts). A write with expectedRev (may be null) conflicts unless that is the stored row's rev, 0 if
+    there is none. Rows to write get the old rev plus one; conflicts are (key, expectedRev, currentRev)."""
     have = stored.select(F.col(key).alias("__k"), F.coalesce("rev", F.lit(0)).alias("__rev"))
     w = writes.join(have, F.col(key) == F.col("__k"), "left").withColumn("__rev", F.coalesce("__rev", F.lit(0)))
     bad = F.col("expectedRev").isNotNull() & (F.col("expectedRev") != F.col("__rev"))
     good = w.where(~bad).withColumn("rev", F.col("__rev") + 1).drop("__k", "__rev", "expectedRev")
+    return good, w.where(bad).select(F.col(key), "expectedRev", F.col("__rev").alias("currentRev"))
+
+
+def put(stored: DataFrame, writes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(store after the writes, conflicts), by the rule of `written`; conflicting writes leave the store as it was."""
+    good, bad = written(stored, writes, key)
     rest = stored.join(good.select(key), key, "left_anti")
-    return rest.unionByName(good, allowMissingColumns=True), w.where(bad).select(F.col(key), "expectedRev", F.col("__rev").alias("currentRev"))
+    return rest.unionByName(good, allowMissingColumns=True), bad
 
 
 def remove(stored: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dossier.operators import diff, facets, layout, lifecycle, relations, search
 from dossier.schemas import STORES
 from dossier.sources import containers, csvs
-from dossier.sources.store import Store
+from dossier.sources.store import RevConflict, Store
 from dossier.streaming import ingest, jobs
 
 
@@ -164,6 +164,7 @@ def test_generations(spark, tmp_path):
         store.commit({"blobs": table(spark, "blobs", {"id": "a", "blob": b"tampered", "sha256": sha(body)})})
     with pytest.raises(ValueError, match="without bytes"):
         store.commit({"blobs": table(spark, "blobs")})
+    assert not (tmp_path / "store/gen=2").exists()
     assert store.generation() == 1 and store.read("files").first().name == "x"
     old = store.read("files")
     store.commit({"files": lifecycle.trash(old, old, 5)})
@@ -177,6 +178,87 @@ def test_generations(spark, tmp_path):
     assert store.read("blobs").count() == 1 and not (tmp_path / "store/gen=2/blobs").exists() and not (tmp_path / "store/gen=1/files").exists()
 
 
+def test_writes_follow_the_change(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    bodies = spark.range(4000).select(F.format_string("f%05d", "id").alias("id"), F.format_string("file %d", "id").alias("name"), F.encode(F.repeat(F.format_string("%d,", "id"), 50), "utf-8").alias("blob"), F.lit(None).cast("binary").alias("thumb"))
+    store.put_full(bodies, 5)
+    first = sum(f.stat().st_size for f in (tmp_path / "store/gen=1").rglob("*.parquet"))
+    one = bodies.where("id = 'f00007'").withColumns({"name": F.lit("renamed"), "blob": F.lit("new bytes").cast("binary"), "thumb": F.lit("t").cast("binary")})
+    assert store.put_full(one, 6) == 2
+    second = sum(f.stat().st_size for f in (tmp_path / "store/gen=2").rglob("*.parquet"))
+    assert second < first / 20
+    row = store.get("files", ["f00007"]).first()
+    assert (row.name, row.rev, row.size) == ("renamed", 2, 9) and store.read("files").count() == 4000
+    assert bytes(store.get("blobs", ["f00007"]).first().blob) == b"new bytes" and store.read("thumbs").count() == 1
+    assert store.get("files", ["f00007"], generation=1).first().name == "file 7" and store.get("files", ["none"]).count() == 0
+    with pytest.raises(ValueError, match="without bytes"):
+        store.remove("blobs", spark.createDataFrame([("f00009",)], "id string"))
+    store.apply(gone={n: spark.createDataFrame([("f00009",), ("f00007",)], "id string") for n in ("files", "blobs", "thumbs")})
+    assert store.read("files").count() == 3998 and store.get("files", ["f00007", "f00008", "f00009"]).select("id").collect()[0].id == "f00008"
+    before = store.read("files").orderBy("id").collect()
+    n = store.compact()
+    assert [len(p) for p in store.parts().values()] == [1, 1, 1] and store.read("files").orderBy("id").collect() == before
+    for old in range(1, n):
+        store.drop(old)
+    assert store.read("blobs").count() == 3998 and {p.name for p in (tmp_path / "store").glob("gen=*") if any(p.rglob("*.parquet"))} == {f"gen={n}"}
+
+
+def test_revisions_guard_against_lost_updates(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    put = lambda desc, rev=None: store.put("tools", spark.createDataFrame([("t1", "000 589 01 23 00", desc, rev)], "id string, toolNo string, desc string, expectedRev long"))
+    put("wrench")
+    assert store.get("tools", ["t1"]).first().rev == 1
+    put("wrench!", 1)
+    with pytest.raises(RevConflict) as e:
+        put("stale", 1)
+    assert e.value.rows[0].currentRev == 2 and store.generation() == 2
+    assert (store.get("tools", ["t1"]).first().desc, store.get("tools", ["t1"]).first().rev) == ("wrench!", 2)
+    with pytest.raises(ValueError, match="one key"):
+        store.put("tools", spark.createDataFrame([("t2", "a"), ("t2", "b")], "id string, desc string"))
+    many = spark.range(3000).select(F.format_string("t%d", "id").alias("id"), F.lit("x").alias("desc"))
+    store.put("tools", many)
+    assert store.read("tools").count() == 3000 and store.get("tools", ["t1", "t5"]).orderBy("id").select("rev").collect() == [(3,), (1,)]
+    store.apply({"log": spark.createDataFrame([(5, "e"), (12, "w")], "id long, msg string")})
+    assert store.get("log", [12]).first().msg == "w" and store.get("log", [7]).count() == 0
+
+
+def test_keys_prune_files(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    with_files = spark.range(200_000).select(F.format_string("s%06d", "id").alias("key"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 20).alias("value"), F.lit(1).cast("long").alias("rev"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.commit({"settings": with_files})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = len(list((tmp_path / "store/gen=1/settings").glob("*.parquet")))
+    store.put("settings", spark.createDataFrame([("s000500", "new")], "key string, value string"))
+    assert files >= 4
+    for key, parts in (("s000500", 2), ("s150000", 1)):  # one file of the whole table, and the changes if their range holds the key
+        got = store.get("settings", [key])
+        assert len(got.inputFiles()) == parts and got.count() == 1
+    assert store.get("settings", ["s000500"]).first().value == "new"
+
+
+def test_restore(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    files = spark.createDataFrame([("f1", "a.txt", b"AAAA", b"t"), ("f2", "b.txt", b"BB", None)], "id string, name string, blob binary, thumb binary")
+    store.put_full(files, 1)
+    store.put("ros", spark.createDataFrame([("r1", "42")], "id string, ro string"))
+    backup = {k: spark.createDataFrame(v.collect(), STORES[k]) for k, v in store.snapshot().items()}
+    counts = {k: v.count() for k, v in backup.items()}
+    live = store.generation()
+    torn = backup | {"blobs": backup["blobs"].where("id = 'f1'")}
+    tampered = backup | {"blobs": backup["blobs"].withColumn("blob", F.concat("blob", F.lit("!").cast("binary")))}
+    for bad, expected, said in ((torn, None, "without bytes"), (tampered, None, "wrong hash"), (backup, counts | {"ros": 2}, "instead of 2")):
+        with pytest.raises(ValueError, match=said):
+            store.restore(bad, expected)
+        assert store.generation() == live and store.get("blobs", ["f1"]).count() == 1 and not (tmp_path / f"store/gen={live + 1}").exists()
+    n = store.restore(backup, counts, 77)
+    assert store.generation() == n and bytes(store.get("blobs", ["f1"]).first().blob) == b"AAAA" and store.get("ros", ["r1"]).first().ro == "42"
+    assert store.get("settings", ["backup.restored"]).first().value == "77" and {r.store: r.n for r in store.counts().collect()}["files"] == 2
+    assert [p.name for p in (tmp_path / "store").glob("gen=*") if any(p.rglob("*.parquet"))] == [f"gen={n}"]
+
+
 def container(kind, meta, *payloads):
     return containers.pack(kind, {"format": f"a {kind} file", **meta}, list(payloads))
 
