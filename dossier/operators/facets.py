@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier.functions import ids
 from dossier.functions.text import collapse, is_stamp_line, line_signature, natural_key, s, sub
+from dossier.steps import written
 
 
 def facet_counts(df: DataFrame, **facets: Column) -> DataFrame:
@@ -27,14 +28,19 @@ def top_values(counts: DataFrame, facet: str, k: int = 40) -> DataFrame:
     return counts.where(F.col("facet") == facet).orderBy(F.col("n").desc(), "value").limit(k)
 
 
+def version_key() -> Column:
+    """What the versions of a document have in common: its canonical number, or the row's id if it has none."""
+    return F.when(s("li") == "", F.concat(F.lit("id:"), F.col("id"))).otherwise(ids.document_key(F.col("li")))
+
+
 def version_groups(documents: DataFrame) -> DataFrame:
-    """(key, first_id, versions newest first, starred if any is, needsReview by the newest)."""
-    key = F.when(s("li") == "", F.concat(F.lit("id:"), F.col("id"))).otherwise(ids.document_key(F.col("li")))
-    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "fgroup", "date", "star", "validity", "reason", "text")
-    groups = documents.groupBy(key.alias("key")).agg(F.array_sort(F.collect_list(item)).alias("versions"), F.min("id").alias("first_id"))
+    """(key, first_id, versions newest first, starred if any is, needsReview by the newest). Texts are not gathered."""
+    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "fgroup", "date", "star")
+    starred = F.bool_or(F.coalesce("star", F.lit(False))).alias("starred")
+    groups = documents.groupBy(version_key().alias("key")).agg(F.array_sort(F.collect_list(item)).alias("versions"), F.min("id").alias("first_id"), starred)
     head = F.col("versions")[0]
     lacks = (s(head["li"]) == "") | (s(head["title"]) == "") | (s(head["fgroup"]) == "") | (s(head["date"]) == "")
-    return groups.withColumn("starred", F.exists("versions", lambda v: F.coalesce(v["star"], F.lit(False)))).withColumn("needsReview", lacks)
+    return groups.withColumn("needsReview", lacks)
 
 
 def by_vin(files: DataFrame) -> DataFrame:
@@ -47,32 +53,48 @@ def by_vin(files: DataFrame) -> DataFrame:
 
 
 def number_conflicts(orders: DataFrame, key: str, created: str, id: str) -> DataFrame:
-    """Rows whose number another row holds already, with the first holder; blank numbers never clash."""
-    w = Window.partitionBy("__k").orderBy(created, id)
+    """Rows whose number another row holds already, with the first holder; blank numbers never clash.
+
+    The first one is a minimum that map tasks work out, so a number that many rows have is a row of each of them.
+    """
     rows = orders.withColumn("__k", ids.canon_order(F.col(key))).where("__k <> ''")
-    return rows.withColumn("holder", F.first(id).over(w)).withColumn("__r", F.row_number().over(w)).where("__r > 1").drop("__k", "__r")
+    first = rows.groupBy(F.col("__k").alias("__f")).agg(F.min(F.struct(created, id)).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    held = rows.join(first, F.col("__k") == F.col("__f")).where(~F.struct(created, id).eqNullSafe(F.col("__first")))
+    return held.withColumn("holder", F.col("__first")[id]).drop("__k", "__f", "__first", "__n")
 
 
-#: Numbers of an order column that are ranked together.
+#: Rows of a stretch, which is what one task sorts, ranks or packs.
 STRETCH = 100_000
 
 
-def ranked(df: DataFrame, key: Column, order: str, name: str) -> DataFrame:
-    """Adds `name`: 1, 2, ... in each key by `order`; null is a key.
+def laid(df: DataFrame, *by: str) -> DataFrame:
+    """Adds __stretch: rows in the order of `by` (nulls first), cut at sampled quantiles into stretches of some STRETCH rows.
 
-    By a column of whole numbers, stretches of it are counted and ranked apart, and only one row for each key and stretch
-    meets the others: a key with a third of all rows is spread over many tasks. By other columns a key is one task.
+    Stretches are numbered in order, whatever the columns' types, and a value that many rows share runs over many of them
+    if a later column tells its rows apart. They are a written table: cut anew for each reader, they might differ.
     """
-    rows = df.withColumn("__key", key)
-    if not isinstance(df.schema[order].dataType, T.IntegralType):
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy("__key").orderBy(order))).drop("__key")
-    rows = rows.withColumn("__stretch", F.floor(F.col(order) / STRETCH))
-    counts = rows.groupBy("__key", "__stretch").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__key").orderBy(F.col("__stretch").asc_nulls_first())) - F.col("__n")
-    counts = counts.select(F.col("__key").alias("__k"), F.col("__stretch").alias("__s"), before.alias("__before"))
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy("__key", "__stretch").orderBy(order)))
-    rows = rows.join(counts, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__stretch").eqNullSafe(F.col("__s")))
-    return rows.withColumn(name, F.col(name) + F.col("__before")).drop("__key", "__stretch", "__k", "__s", "__before")
+    n = -(-df.count() // STRETCH)
+    if n <= 1:
+        return df.withColumn("__stretch", F.lit(0))
+    return written(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by]).withColumn("__stretch", F.spark_partition_id()), "laid")
+
+
+def _summed(rows: DataFrame, key: str, what: Column, name: str, within: Column) -> DataFrame:
+    """Adds `name` to rows of `laid`: the sum of `what` in the key's stretches before, plus `within`. One row for each key
+    and stretch is all that meets in one place."""
+    sums = rows.groupBy(key, "__stretch").agg(F.sum(what).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(key).alias("__k"), F.col("__stretch").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.withColumn(name, within)
+    rows = rows.join(sums, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__stretch") == F.col("__s")))
+    return rows.withColumn(name, F.col(name) + F.col("__before")).drop("__k", "__s", "__before")
+
+
+def ranked(df: DataFrame, key: Column, order: str, name: str) -> DataFrame:
+    """Adds `name`: 1, 2, ... in each key by `order`; null is a key. A key with a third of all rows is spread over many tasks."""
+    rows = laid(df.withColumn("__key", key), "__key", order)
+    within = F.row_number().over(Window.partitionBy("__key", "__stretch").orderBy(F.col(order).asc_nulls_first()))
+    return _summed(rows, "__key", F.lit(1), name, within).drop("__key", "__stretch")
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -83,40 +105,141 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def running_offsets(df: DataFrame, group: str, pos: str, length: str) -> DataFrame:
-    """Adds offset: where each payload begins in its container."""
-    w = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("offset", F.sum(length).over(w) - F.col(length))
+    """Adds offset: where each payload begins in its container. A container of any length is spread over many tasks."""
+    rows = laid(df.withColumn("__key", F.col(group)), "__key", pos)
+    order = Window.partitionBy("__key", "__stretch").orderBy(F.col(pos).asc_nulls_first())
+    within = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _summed(rows, "__key", F.col(length), "offset", within).drop("__key", "__stretch")
 
 
 def parts_by_count(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return ranked(df, F.col(group), order, "part").withColumn("part", F.floor((F.col("part") - 1) / n))
 
 
-def parts_by_size(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """(group, items of (order, size, part)): next-fit parts that stay within `most` unless one item alone exceeds it.
+def _chains(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each item, if a part began there: the item at which the next one begins (the number of items: none), how many
+    parts begin from there on, it included, and what the last one holds. One more entry stands for no part at all."""
+    n = len(sizes)
+    sums = np.cumsum(sizes)
+    before = sums - sizes
+    some = np.append(np.where(sizes > 0, np.arange(n), n), n)
+    full = np.minimum.accumulate(some[::-1])[::-1][:n]  # the first item from there on that has a size
+    after = np.minimum(np.maximum(full + 1, np.searchsorted(sums, before + most, side="right")), n)
+    count, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    held = (sums[-1] if n else 0) - before
+    for k, j in zip(range(n - 1, -1, -1), after[::-1].tolist()):
+        count[k], last[k] = (1, held[k]) if j == n else (1 + count[j], last[j])
+    return np.append(after, n), count, last
 
-    Rows of a group come sorted and in batches; only the part and its size are carried on, so a group may be of any
-    length. One task still takes a whole group.
-    """
-    rows = df.select(F.col(group), F.col(order).alias("order"), F.col(size).cast("long").alias("size"))
 
-    def pack(batches):
-        group_, part, held = (), 0, 0
+def _entry(sums: np.ndarray, first_full: int, held: int, most: int) -> int:
+    """The item at which the first part of a stretch begins, if the one before holds `held`; the number of items if none."""
+    if held:
+        return int(np.searchsorted(sums, most - held, side="right"))
+    return min(max(first_full + 1, int(np.searchsorted(sums, most, side="right"))), len(sums))
+
+
+def _known(sizes: pa.Array) -> tuple[np.ndarray, bool]:
+    """Sizes up to the first null, and whether there is one: from there on no part begins."""
+    nulls = np.flatnonzero(sizes.is_null().to_numpy(zero_copy_only=False))
+    end = int(nulls[0]) if len(nulls) else len(sizes)
+    return sizes.slice(0, end).to_numpy(zero_copy_only=False).astype(np.int64), bool(len(nulls))
+
+
+def _outcomes(most: int):
+    """For each stretch what becomes of a held size: from (bound, parts, held) on, in descending order of the size held on
+    entry; a size at most the last bound starts no part. Neighbours with one outcome are one, so few are left."""
+
+    def run(batches):
         for batch in batches:
-            parts = []
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if g != group_:
-                    group_, part, held = g, 0, 0
-                total = None if held is None or x is None else held + x
-                if total is not None and held > 0 and total > most:
-                    part, held = part + 1, x
+            out = []
+            for k in range(batch.num_rows):
+                sizes, ends = _known(batch.column("items")[k].values.field("size"))
+                _, count, last = _chains(sizes, most)
+                sums = np.cumsum(sizes)
+                full = np.flatnonzero(sizes > 0)
+                zero = _entry(sums, int(full[0]) if len(full) else len(sizes), 0, most)
+                bounds, n = most - sums, len(sizes)  # entered with more than bounds[j], a part begins at j or before
+                new = np.flatnonzero((count[:n][1:] != count[:n][:-1]) | (last[:n][1:] != last[:n][:-1])) if n > 1 else np.zeros(0, np.int64)
+                at = np.append(new, n - 1) if n else new  # the last item of each run of one outcome
+                total = int(sums[-1]) if n else 0
+                out.append((bounds[at].tolist(), count[at].tolist(), last[at].tolist(), int(count[zero]), int(last[zero]) if zero < n else total, total, ends))
+            columns = list(zip(*out)) if out else [[]] * 7
+            types = (*[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__stretch"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["__key", "__stretch", *_OUTCOME])
+
+    return run
+
+
+_OUTCOME = ("bounds", "counts", "helds", "zero_count", "zero_held", "total", "ends")
+
+
+def _entries(batches):
+    """(key, stretch, part, held) on entry to each stretch of a key, from the outcomes of those before in order."""
+    for batch in batches:
+        of, out = [], []
+        for k, stretches in enumerate(batch.column("stretches").to_pylist()):
+            part, held, over = 0, 0, False
+            for x in stretches:
+                of.append(k)
+                out.append((x["__stretch"], part, held, over))
+                if over:
+                    continue
+                at = next((j for j, b in enumerate(x["bounds"]) if held > b), None) if held else None
+                if not held:
+                    part, held = part + x["zero_count"], x["zero_held"]
+                elif at is None:
+                    held += x["total"]
                 else:
-                    held = total
-                parts.append(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=[*batch.schema.names, "part"])
+                    part, held = part + x["counts"][at], x["helds"][at]
+                over = x["ends"]
+        columns = list(zip(*out)) if out else [[]] * 4
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(of, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["__key", "__stretch", "part", "held", "over"])
+
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
-    return rows.repartition(group).sortWithinPartitions(group, "order").mapInArrow(pack, schema)
+def _packed(most: int):
+    def run(batches):
+        for batch in batches:
+            lists = []
+            for k in range(batch.num_rows):
+                items = batch.column("items")[k].values
+                sizes, _ = _known(items.field("size"))
+                parts = np.full(len(items), batch.column("part")[k].as_py(), np.int64)
+                if not batch.column("over")[k].as_py():
+                    after, _, _ = _chains(sizes, most)
+                    full = np.flatnonzero(sizes > 0)
+                    at = _entry(np.cumsum(sizes), int(full[0]) if len(full) else len(sizes), batch.column("held")[k].as_py(), most)
+                    starts = np.zeros(len(items), np.int64)
+                    while at < len(sizes):
+                        starts[at] = 1
+                        at = int(after[at])
+                    parts += np.cumsum(starts)
+                lists.append(parts.astype(np.int32).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("items"), pa.array(lists, pa.list_(pa.int32()))], names=["__key", "items", "parts"])
+
+    return run
+
+
+def parts_by_size(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """(group, order, size, part): next-fit parts that stay within `most` unless one item alone exceeds it.
+
+    Where a part ends depends on where it began, but a stretch of items turns what is held when it is entered into a
+    number of parts and what is held at its end; most entries soon lead to the same starts, so that is a short table.
+    Stretches are judged at once, their tables are followed from stretch to stretch, and then all are packed at once. So a
+    group of any length is spread. Sizes are not negative; from a null one on no part begins.
+    """
+    rows = laid(df.select(F.col(group).alias("__key"), F.col(order).alias("order"), F.col(size).cast("long").alias("size")), "__key", "order")
+    sql = {c: rows.schema[c].dataType.simpleString() for c in ("__key", "order")}
+    items = rows.groupBy("__key", "__stretch").agg(F.array_sort(F.collect_list(F.struct("order", "size"))).alias("items"))
+    told = items.mapInArrow(_outcomes(most), f"__key {sql['__key']}, __stretch int, bounds array<long>, counts array<long>, helds array<long>, zero_count long, zero_held long, total long, ends boolean")
+    told = told.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__stretch", *_OUTCOME))).alias("stretches"))
+    entries = told.mapInArrow(_entries, f"__key {sql['__key']}, __stretch int, part long, held long, over boolean")
+    entries = entries.select(F.col("__key").alias("__k"), F.col("__stretch").alias("__s"), "part", "held", "over")
+    whole = items.join(entries, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__stretch") == F.col("__s"))).select("__key", "items", "part", "held", "over")
+    packed = whole.mapInArrow(_packed(most), f"__key {sql['__key']}, items array<struct<order: {sql['order']}, size: long>>, parts array<int>")
+    each = packed.select(F.col("__key").alias(group), F.explode(F.arrays_zip("items", "parts")).alias("x"))
+    return each.select(group, F.col("x.items.order").alias("order"), F.col("x.items.size").alias("size"), F.col("x.parts").alias("part"))
 
 
 def furniture(lines: DataFrame, doc: str, page: str, text: str) -> DataFrame:

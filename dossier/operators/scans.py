@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import ids
 from dossier.functions.text import s
+from dossier.operators import facets
 from dossier.operators.relations import by_trash
 
 
@@ -63,15 +64,21 @@ def files_view(df: DataFrame, trash: str = "omit", starred: bool = False, kind:
     return reduce(DataFrame.where, tests, rows)
 
 
-def documents_view(groups: DataFrame, starred: bool = False, review: bool = False, fgroup: str | None = None, model: str | None = None, query: str = "") -> DataFrame:
-    """Version groups (facets.version_groups) of which any version fits; review looks at the newest alone."""
-    tests = [F.col("starred")] if starred else []
-    tests += [F.col("needsReview")] if review else []
-    tests += [F.exists("versions", lambda v: v["fgroup"] == fgroup)] if fgroup is not None else []
-    tests += [F.exists("versions", lambda v: F.array_contains(ids.models_of_validity(v["validity"]), model))] if model is not None else []
-    said = lambda v: F.concat_ws(" ", *[F.coalesce(v[c], F.lit("")) for c in ("li", "title", "fgroup", "reason", "text")])
-    tests += [F.exists("versions", lambda v: _holds(said(v), query))] if query else []
-    return reduce(DataFrame.where, tests, groups)
+def documents_view(documents: DataFrame, starred: bool = False, review: bool = False, fgroup: str | None = None, model: str | None = None, query: str = "") -> DataFrame:
+    """Version groups (facets.version_groups) of which any version fits each of what is asked; review looks at the newest alone.
+
+    Versions are judged as rows, so no group holds its texts.
+    """
+    groups = facets.version_groups(documents)
+    groups = groups.where("starred") if starred else groups
+    groups = groups.where("needsReview") if review else groups
+    said = F.concat_ws(" ", *[s(c) for c in ("li", "title", "fgroup", "reason", "text")])
+    tests = [F.col("fgroup") == fgroup] if fgroup is not None else []
+    tests += [F.array_contains(ids.models_of_validity(F.col("validity")), model)] if model is not None else []
+    tests += [_holds(said, query)] if query else []
+    for test in tests:
+        groups = groups.join(documents.where(test).select(facets.version_key().alias("key")).distinct(), "key", "left_semi")
+    return groups
 
 
 def tools_view(df: DataFrame, starred: bool = False, offered: bool = False, exact: dict[str, str] | None = None, model: str | None = None, group: str | None = None, query: str = "") -> DataFrame:

@@ -193,7 +193,7 @@ def version_groups(spark, sf_dir):
 @query(_GROUPED + """ SELECT 'starred' AS v, 'li:' || li AS key FROM g WHERE starred UNION ALL SELECT 'review', 'li:' || li FROM g WHERE review UNION ALL SELECT 'fgroup', 'li:' || li FROM g WHERE in07
 UNION ALL SELECT 'model', 'li:' || li FROM g WHERE m213 UNION ALL SELECT 'query', 'li:' || li FROM g WHERE why3""")
 def documents_view(spark, sf_dir):
-    g = facets.version_groups(papers(spark, sf_dir))
+    g = papers(spark, sf_dir)
     seen = {"starred": {"starred": True}, "review": {"review": True}, "fgroup": {"fgroup": "07.10"}, "model": {"model": "213"}, "query": {"query": "WHY 3"}}
     out = None
     for name, options in seen.items():

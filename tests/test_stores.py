@@ -390,15 +390,41 @@ def test_diff(spark):
     assert (t[0].removed, t[0].added, t[0].same) == (1, 1, 2) and t[2].moved == 3
 
 
-def test_parts_by_size_carries_only_part_and_size(spark, capsys):
+@pytest.mark.parametrize("stretch", [100_000, 400])
+def test_parts_by_size_over_stretches(spark, monkeypatch, stretch):
+    """Next-fit from stretch to stretch; sizes of 0, of more than a part and null, large groups and small ones."""
+    monkeypatch.setattr(facets, "STRETCH", stretch)
     rng = np.random.default_rng(9)
-    rows = [(g, k, int(x)) for g in ("a", "b", None) for k, x in enumerate(rng.integers(0, 60, 12_000 if g == "a" else 50))]
+    rows = [(g, k, int(x)) for g in ("a", "b", None) for k, x in enumerate(rng.integers(0, 60, 6_000 if g == "a" else 50))]
+    rows += [("zeros", k, 0 if k % 50 else int(x)) for k, x in enumerate(rng.choice([0, 1, 30, 100, 101, 500], 3000))]
+    rows += [("ones", k, 1) for k in range(2000)] + [("null", k, None if k == 1300 else 70) for k in range(1500)] + [("blank", k, 0) for k in range(900)]
     want, now = [], {}
     for g, k, x in rows:
         part, held = now.get(g, (0, 0))
-        now[g] = (part + 1, x) if held > 0 and held + x > 100 else (part, held + x)
+        if held is None or x is None:
+            now[g] = part, None
+        else:
+            now[g] = (part + 1, x) if held > 0 and held + x > 100 else (part, held + x)
         want.append((g, k, x, now[g][0]))
-    packed = facets.parts_by_size(spark.createDataFrame(rows, "g string, k long, n long"), "g", "k", "n", 100)
+    df = spark.createDataFrame(rows, "g string, k long, n long").repartition(5)
+    packed = facets.parts_by_size(df, "g", "k", "n", 100)
     assert sorted(map(tuple, packed.collect()), key=str) == sorted(want, key=str)
-    packed.explain()
-    assert "collect_list" not in capsys.readouterr().out
+    if stretch < 1000:
+        laid = facets.laid(df, "g", "k")
+        assert laid.groupBy("__stretch").count().agg(F.max("count")).first()[0] < 3 * stretch and laid.where("g = 'a'").select("__stretch").distinct().count() > 5
+
+
+def test_offsets_and_ranks_of_any_type_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(facets, "STRETCH", 60)
+    rng = np.random.default_rng(3)
+    rows = [(g, f"{k:05d}" if k else None, int(x)) for g in ("a", None) for k, x in enumerate(rng.integers(0, 9, 700 if g else 40))]
+    df = spark.createDataFrame(rows, "g string, pos string, n long").repartition(4)
+    want, at, rank = set(), {}, {}
+    for g, pos, n in rows:
+        want.add((g, pos, n, at.get(g, 0)))
+        at[g] = at.get(g, 0) + n
+    assert {(r.g, r.pos, r.n, r.offset) for r in facets.running_offsets(df, "g", "pos", "n").collect()} == want
+    got = {(r.g, r.pos): r.k for r in facets.ranked(df, F.col("g"), "pos", "k").collect()}
+    for g, pos, _ in rows:
+        rank[g] = rank.get(g, 0) + 1
+        assert got[(g, pos)] == rank[g]
