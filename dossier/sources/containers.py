@@ -1,7 +1,8 @@
 """Container files as tables: backups (fdb), vaults (fvault), tool catalogues (tidb), document zips (lidb), plain zips.
 
 Files come from Spark's binaryFile source, one row each. A file is checked whole before any of its rows comes out; a bad
-one gives a single row with its error code. Spark's binary values end at 2 GB, and so do these files.
+one gives a single row with its error code. Spark's binary values end at 2 GB, and so do these files; `sources.bytes` reads
+and writes larger ones by ranges.
 """
 
 from __future__ import annotations
@@ -33,42 +34,30 @@ def sniff(content: Column) -> Column:
     return out.when(is_(b"{") | is_(b"\xef"), "json")
 
 
-def _header(data: bytes, kind: str) -> tuple[dict, int]:
+def header_of(head: bytes, more, size: int, kind: str) -> tuple[dict, int]:
+    """(header, where the payloads begin) of a container of `size` bytes, from its first 12 and more(n), the n after them."""
     magic, version = MAGIC[kind]
-    if data[:4] != magic:
+    if head[:4] != magic:
         raise ValueError("BAD_MAGIC")
-    if len(data) < 12 or struct.unpack_from("<I", data, 4)[0] != version:
+    if len(head) < 12 or struct.unpack_from("<I", head, 4)[0] != version:
         raise ValueError("BAD_VERSION")
-    size = struct.unpack_from("<I", data, 8)[0]
-    if not size or 12 + size > len(data):
+    n = struct.unpack_from("<I", head, 8)[0]
+    if not n or 12 + n > size:
         raise ValueError("BAD_METADATA_LENGTH")
     try:
-        meta = json.loads(data[12 : 12 + size].decode("utf-8"))
+        meta = json.loads(more(n).decode("utf-8"))
     except ValueError:
         raise ValueError("BAD_METADATA") from None
     if not isinstance(meta, dict) or not isinstance(meta.get("format"), str) or not meta["format"]:
         raise ValueError("BAD_METADATA")
-    return meta, 12 + size
+    return meta, 12 + n
 
 
-def parse(data: bytes, kind: str) -> list[tuple]:
-    """(part, pos, id, meta json, content) rows of one container; raises ValueError with the error code."""
-    if kind in ("zip", "lidb"):
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                entries = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-        except (zipfile.BadZipFile, NotImplementedError, EOFError):
-            raise ValueError("BAD_ZIP") from None
-        if kind == "zip":
-            return [("entry", k, name, None, body) for k, (name, body) in enumerate(entries)]
-        listing = dict(entries).get("manifest.json")
-        if listing is None:
-            raise ValueError("NO_MANIFEST")
-        named = {d.get("fname"): d for d in json.loads(listing).get("docs", [])}
-        inside = [(n, b) for n, b in entries if n.startswith("files/")]
-        return [("document", k, named.get(n[6:], {}).get("id"), json.dumps(named.get(n[6:], {})), b) for k, (n, b) in enumerate(inside)]
-    meta, at = _header(data, kind)
-    out, sizes = [], []
+def layout_of(meta: dict, kind: str, size: int) -> list[tuple]:
+    """(part, pos, id, meta json, bytes; null: none) of what a header names, in the order of the file, checked against the
+    `size` bytes that there are for payloads."""
+    out: list[tuple] = []
+    sizes: list[tuple] = []
     try:
         if kind == "fdb":
             out += [("record:" + store, k, r.get("id", r.get("vin", r.get("key"))), json.dumps(r), None) for store, rs in meta["records"].items() for k, r in enumerate(rs)]
@@ -83,17 +72,42 @@ def parse(data: bytes, kind: str) -> list[tuple]:
                 sizes += [("blob", f["id"], f, f["blobLen"], "TRUNCATED_BLOB"), ("thumb", f["id"], None, f.get("thumbLen") or 0, "TRUNCATED_THUMB")]
     except (KeyError, TypeError, AttributeError):
         raise ValueError("BAD_METADATA") from None
-    for k, (part, id_, m, size, code) in enumerate(sizes):
-        if not isinstance(size, int) or size < 0 or at + size > len(data):
+    at = 0
+    for k, (part, id_, m, n, code) in enumerate(sizes):
+        if not isinstance(n, int) or n < 0 or at + n > size:
             raise ValueError(code)
-        if part != "thumb" or size:
-            out.append((part, k, id_, None if m is None else json.dumps(m), data[at : at + size]))
-        at += size
-    if at != len(data):
+        out.append((part, k, id_, None if m is None else json.dumps(m), n))
+        at += n
+    if at != size:
         raise ValueError("TRAILING_BYTES")
     return out
 
 
+def parse(data: bytes, kind: str) -> list[tuple]:
+    """(part, pos, id, meta json, content) rows of one container; raises ValueError with the error code."""
+    if kind in ("zip", "lidb"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                entries = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+        except (zipfile.BadZipFile, NotImplementedError, EOFError):
+            raise ValueError("BAD_ZIP") from None
+        if kind == "zip":
+            return [("entry", k, name, None, body) for k, (name, body) in enumerate(entries)]
+        listing = dict(entries).get("manifest.json")
+        if listing is None:
+            raise ValueError("NO_MANIFEST")
+        named = {d.get("fname"): d for d in json.loads(listing).get("docs", [])}
+        inside = [(n, b) for n, b in entries if n.startswith("files/")]
+        return [("document", k, named.get(n[6:], {}).get("id"), json.dumps(named.get(n[6:], {})), b) for k, (n, b) in enumerate(inside)]
+    meta, at = header_of(data[:12], lambda n: data[12 : 12 + n], len(data), kind)
+    out = []
+    for part, pos, id_, m, n in layout_of(meta, kind, len(data) - at):
+        if part != "thumb" or n:
+            out.append((part, pos, id_, m, None if n is None else data[at : at + n]))
+        at += n or 0
+    return out
+
+
 def read(found: DataFrame, kind: str | None = None) -> DataFrame:
     """ROWS of every container in a binaryFile table (path, content); kind: by content if not given (zips as plain zips)."""
 

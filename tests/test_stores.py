@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import diff, facets, layout, lifecycle, relations, search
 from dossier.schemas import STORES
+from dossier.sources import bytes as byte_ranges
 from dossier.sources import containers, csvs
 from dossier.sources.store import RevConflict, Store
 from dossier.streaming import ingest, jobs
@@ -312,6 +313,68 @@ def test_containers_as_tables(spark, tmp_path):
         assert z.namelist() == ["a", "b"] and z.read("a") == b"1"
 
 
+def test_container_ranges(spark, tmp_path):
+    """The data source gives the rows of the one-value reader, in many tasks, and the same error codes."""
+    spark.dataSource.register(byte_ranges.Containers)
+    rng = np.random.default_rng(5)
+    bodies = [rng.bytes(int(n)) for n in rng.integers(0, 3000, 300)]
+    big = container("fdb", {"records": {"files": [{"id": f"f{k}"} for k in range(300)]}, "payloads": [{"store": "blobs", "id": f"f{k}", "len": len(b)} for k, b in enumerate(bodies)]}, *bodies)
+    found = {"big": big, **GOOD, "short": GOOD["fdb"][:-1], "long": GOOD["tidb"] + b"!", "json": b"{}", "empty": b"", "torn": GOOD["fvault"][:-1]}
+    (tmp_path / "sub").mkdir()
+    for k, (name, data) in enumerate(found.items()):
+        (tmp_path / ("sub" if k % 2 else ".") / name).write_bytes(data)
+    got = spark.read.format("containers").option("path", str(tmp_path)).option("range", 20_000).load()
+    assert got.rdd.getNumPartitions() > 20
+    key = lambda r: (r.path.rsplit("/", 1)[1], r.kind if r.kind != "json" else None, r.error, r.part, r.pos, r.id, r.meta, None if r.content is None else bytes(r.content))
+    want = containers.read(containers.files(spark, str(tmp_path)).where("length > 0")).collect()
+    assert sorted(map(key, got.where("path not like '%/empty'").collect()), key=str) == sorted(map(key, want), key=str)
+    assert got.where("path like '%/empty'").first().error == "UNKNOWN_FORMAT"
+    assert got.where("part = 'payload:blobs' and path like '%/big'").agg(F.sum(F.octet_length("content"))).first()[0] == sum(map(len, bodies))
+
+
+@pytest.mark.parametrize("case", range(10))
+def test_container_ranges_have_all_codes(spark, tmp_path, case):
+    data, kind, code = test_bad_containers.pytestmark[0].args[1][case]
+    (tmp_path / "x").write_bytes(data)
+    error = byte_ranges._Reader(str(tmp_path / "x"), kind if kind != "zip" else None, 1).partitions()[0].error
+    assert error == (code if kind != "zip" else "UNKNOWN_FORMAT")
+
+
+def test_a_file_of_five_gigabytes_is_many_ranges(tmp_path):
+    """Its payloads are a hole in the file: only its header is read while the scan is planned."""
+    n = 640
+    meta = json.dumps({"format": "x", "records": {}, "payloads": [{"store": "blobs", "id": f"b{k}", "len": 8 << 20} for k in range(n)]}).encode()
+    with open(tmp_path / "large.fdb", "wb") as f:
+        f.write(b"FDBK" + struct.pack("<II", 1, len(meta)) + meta)
+        f.truncate(12 + len(meta) + n * (8 << 20))
+    began = time.time()
+    ranges = byte_ranges._Reader(f"file://{tmp_path}/large.fdb", None, byte_ranges.RANGE).partitions()
+    assert len(ranges) == n // 8 and all(r.error is None and len(r.rows) == 8 for r in ranges) and time.time() - began < 5
+    assert sum(len(b) for b in byte_ranges._Reader(f"file://{tmp_path}/large.fdb", None, byte_ranges.RANGE).read(ranges[-1])) == 8
+
+
+def test_containers_are_written_in_parts(spark, tmp_path):
+    files = table(spark, "files", *[{"id": f"f{k}", "name": f"n{k}", "size": 1, "blobId": "f1" if k == 5 else None, "deletedAt": 3 if k == 7 else None} for k in range(40)])
+    blobs = table(spark, "blobs", *[{"id": f"f{k}", "blob": bytes([k]) * (k % 9)} for k in range(40) if k not in (5, 9)])
+    thumbs = table(spark, "thumbs", {"id": "f3", "blob": b"tt"}, {"id": "f4", "blob": b""})
+    rows = byte_ranges.vault_rows(files, blobs, thumbs).repartition(5)
+    byte_ranges.write(rows, str(tmp_path / "v.fvault"), "fvault", {"made": "by test"})
+    got = containers.parse((tmp_path / "v.fvault").read_bytes(), "fvault")
+    assert [(p, i, c) for p, _, i, _, c in got] == [x for k in sorted(f"f{k}" for k in range(40) if k not in (7, 9)) for x in ([("blob", k, bytes([1 if k == "f5" else int(k[1:])]) * (1 if k == "f5" else int(k[1:]) % 9))] + ([("thumb", k, b"tt")] if k == "f3" else []))]
+    tools = table(spark, "tools", {"id": "t2", "photo": "p1", "toolNo": "7"}, {"id": "t1", "photo": "p1"}, {"id": "t3", "photo": "gone"}, {"id": "t4"})
+    photos = table(spark, "photos", {"id": "p1", "blob": b"first"}, {"id": "p9", "blob": b"not named"})
+    byte_ranges.write(byte_ranges.catalogue_rows(tools, photos), f"file://{tmp_path}/c.tidb", "tidb")
+    spark.dataSource.register(byte_ranges.Containers)
+    back = spark.read.format("containers").option("path", f"file://{tmp_path}/c.tidb").load().orderBy("part", "pos").collect()
+    assert [(r.part, r.id) for r in back] == [("photo", "p1"), ("tool", "t1"), ("tool", "t2"), ("tool", "t3"), ("tool", "t4")] and bytes(back[0].content) == b"first"
+    records = spark.createDataFrame([("record:ros", 0, "r1", '{"id":"r1"}', None), ("payload:blobs", 1, "a", None, b"xyz")], "part string, pos int, id string, meta string, content binary")
+    byte_ranges.write(records, str(tmp_path / "b.fdb"), "fdb")
+    assert [(p, i, c) for p, _, i, _, c in containers.parse((tmp_path / "b.fdb").read_bytes(), "fdb")] == [("record:ros", "r1", None), ("payload:blobs", "a", b"xyz")]
+    with pytest.raises(Exception, match="FileExists"):
+        byte_ranges.write(records, str(tmp_path / "b.fdb"), "fdb", overwrite=False)
+    assert not list(tmp_path.glob("*.parts")) and not list(tmp_path.glob("*.new"))
+
+
 def test_csv_reading(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name;;n\n"x;""y""";1;2;3\nz\n', newline="")
     got = csvs.read(spark, str(tmp_path / "a.csv"))
