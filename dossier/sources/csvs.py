@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -25,26 +25,65 @@ def sniff(spark: SparkSession, path: str) -> str:
     return line.d if line else ","
 
 
+def cells(record: Column, sep: str) -> Column:
+    """The fields of a record as an array. A quote anywhere opens or closes a quoted run, in which separators, line ends and
+    doubled quotes stand for themselves; carriage returns outside are dropped."""
+    mark = "\\" + sep if sep in "|" else sep
+    field = rf'{mark}((?:[^{mark}"]++|"[^"]*+(?:""[^"]*+)*+(?:"|\z))*+)'
+    run = r'"([^"]*+(?:""[^"]*+)*+)(?:"|\z)'
+    found = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(field), F.lit(1))
+    return F.transform(found, lambda c: F.replace(F.regexp_replace(c, rf"{run}|\r", "$1"), F.lit('""'), F.lit('"')))
+
+
+def records(spark: SparkSession, path: str, sep: str = ",", any_line_end: bool = False) -> DataFrame:
+    """(path, pos, cells) of each record, pos from 0 in each file; a file of any size is cut by many tasks.
+
+    Spark reads lines by byte ranges. Whether a line begins within quotes follows from the quotes before it: their parity in
+    each range, summed over the ranges before. Only lines of records that run over several lines are gathered. A last
+    record of one empty field is none. any_line_end: CR and CR LF are line ends too, also within quotes (where they
+    become LF); else CR is dropped outside quotes. A quote that is never closed runs to the file's end, but for a last line end.
+    """
+    reader = spark.read if any_line_end else spark.read.option("lineSep", "\n")
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = lines.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    order = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("before", F.sum("quotes").over(order) - F.col("quotes"))
+    even = F.col("before") % 2 == 0
+    blocks = lines.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"), F.count_if(even).alias("even"), F.count_if(~even).alias("odd"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("parity", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("begun", F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
+    blocks = blocks.select("path", "block", "parity", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("first"), F.sum("begun").over(Window.partitionBy("path")).alias("all"))
+    # A line within quotes belongs to the record begun last, which may be in a range before.
+    lines = lines.join(blocks, ["path", "block"]).withColumn("inside", (F.col("before") + F.col("parity")) % 2)
+    lines = lines.withColumn("pos", F.col("first") + F.sum(1 - F.col("inside")).over(order) - 1)
+    alone = (F.col("inside") == 0) & (F.col("quotes") % 2 == 0)
+    whole = lines.where(alone).select("path", "pos", "all", F.col("line").alias("record"))
+    parts = lines.where(~alone).groupBy("path", "pos").agg(F.first("all").alias("all"), F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("x"))
+    found = whole.union(parts.select("path", "pos", "all", F.array_join("x.line", "\n")))
+    found = found.select("path", "pos", "all", cells(F.col("record"), sep).alias("cells"))
+    return found.where((F.col("pos") < F.col("all") - 1) | (F.size("cells") > 1) | (F.col("cells")[0] != "")).select("path", "pos", "cells")
+
+
 def read(spark: SparkSession, path: str, header: bool = True, sep: str | None = None) -> DataFrame:
     """All columns as text, rows padded with empty values to the widest; blank headings become "Column n".
 
-    Two passes, as a first row need not be the widest: one counts fields, one reads with that schema.
+    The first record of each file is its heading, by place: a later record that reads alike is data. The first file's
+    heading counts. A first row need not be the widest, so fields are counted first.
     """
     sep = sep or sniff(spark, path)
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\0", "emptyValue": "", "maxColumns": "20000"}
-    quoted = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
-    widest = spark.read.text(path, wholetext=True).select(F.explode(F.split(quoted.cast("string"), r"\r\n|\r|\n")).alias("l")).agg(F.max(F.size(F.split("l", f"[{sep}]")))).first()[0] or 1
-    schema = ", ".join(f"c{k} string" for k in range(widest))
-    if not header:
-        return spark.read.options(**options).schema(schema).csv(path).fillna("").toDF(*[f"Column {k + 1}" for k in range(widest)])
-    first = spark.read.options(**options).schema(schema).csv(path).fillna("").first()
-    names = [(first[k] if first else "") or f"Column {k + 1}" for k in range(widest)]
+    rows = records(spark, path, sep)
+    widest = rows.agg(F.max(F.size("cells"))).first()[0] or 1
+    names = [f"Column {k + 1}" for k in range(widest)]
+    if header:
+        first = rows.where("pos = 0").orderBy("path").limit(1).first()
+        names = [(first.cells[k] if first and k < len(first.cells) else "") or n for k, n in enumerate(names)]
+        rows = rows.where("pos > 0")
     seen: dict[str, int] = {}
     for k, n in enumerate(names):
         seen[n] = seen.get(n, 0) + 1
         names[k] = n if seen[n] == 1 else f"{n} ({seen[n]})"
-    # The first record of each file is its heading, by place: a later record that reads alike is data.
-    return spark.read.options(**options, header="true", enforceSchema="true").schema(schema).csv(path).fillna("").toDF(*names)
+    return rows.select(*[F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)])
 
 
 #: Headings of the tool table by column (fixed values).

@@ -391,6 +391,53 @@ def test_csv_reading(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
 
 
+def plain_records(text, sep, any_line_end=False):
+    """One character after the other."""
+    if any_line_end:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    rows, row, cell, quoted, k = [], [], "", False, 0
+    while k < len(text):
+        c = text[k]
+        if quoted and c == '"' and text[k + 1 : k + 2] == '"':
+            cell, k = cell + '"', k + 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c == sep:
+            row, cell = [*row, cell], ""
+        elif not quoted and c == "\n":
+            rows, row, cell = [*rows, [*row, cell]], [], ""
+        elif quoted or c != "\r":
+            cell += c
+        k += 1
+    if cell or row:
+        rows.append([*row, cell.removesuffix("\n") if quoted else cell])
+    return rows[:-1] if rows and rows[-1] == [""] else rows
+
+
+@pytest.mark.parametrize("any_line_end", [False, True])
+def test_csv_records_over_byte_ranges(spark, tmp_path, any_line_end):
+    """Quoted line ends, separators and quotes anywhere, cut into ranges of 64 bytes."""
+    import random
+
+    rng = random.Random(6)
+    texts = {}
+    for k in range(6):
+        sep = ",;|"[k % 3]
+        texts[k] = "".join(rng.choice(["a", "bc ", sep, sep, '"', '"x\ny"', '""', '"q""q"', "\n", "\n", "\r\n", "é", f'"{sep}\n\r\n{sep}"', "long text " * 5]) for _ in range(400))
+    texts[6], texts[7] = "", 'a,b\n"never closed,\n\nx'
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for k, text in texts.items():
+            (tmp_path / f"{k}.csv").write_text(text, newline="")
+            sep = ",;|"[k % 3] if k < 6 else ","
+            got = csvs.records(spark, str(tmp_path / f"{k}.csv"), sep, any_line_end)
+            assert [r.cells for r in got.orderBy("pos").collect()] == plain_records(text, sep, any_line_end)
+            if 0 < k < 6:
+                assert spark.read.text(str(tmp_path / f"{k}.csv")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_parts_and_names(spark):
     df = spark.createDataFrame([("g", k, s) for k, s in enumerate([60, 50, 30, 200, 10])], "g string, o int, s int")
     assert [r.part for r in facets.parts_by_size(df, "g", "o", "s", 100).orderBy("order").collect()] == [0, 1, 1, 2, 3]
