@@ -258,3 +258,48 @@ def test_longer_keys_get_more_tables(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "tables_for", lambda *a: used.append(a) or 28)
     assert embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")).where("n_links = 1").count() == 2
     assert used == [(4, 2, 0.95)] and keys(np.eye(4), 4, 28).shape == (4, 28, embeddings.PROBES + 1)
+
+
+def test_further_columns_and_clashing_names_change_nothing(spark):
+    """Rows with columns named like those that operators make inside: results are those without them."""
+    from dossier.llm import embeddings, exact, infill, minhash, repeats, tokens
+
+    long = " ".join(f"w{k}" for k in range(90))
+    texts = [(1, long, "x"), (2, long + " end", "y"), (3, None, "z"), (4, "", None), (5, "short text", "s")]
+    plain = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    names = ["id", "h", "n", "bucket", "anchor", "name", "file", "pos", "start", "hash", "row", "maybe", "kept", "content", "component", "ids", "lines", "output", "form"]
+    more = plain.withColumns({c: F.lit(None).cast("string") if k % 2 else F.col("doc_id") for k, c in enumerate(names)})
+    for f in (tokens.tokenize, repeats.remove, lambda d: minhash.components(d, k=4), exact.groups, infill.infill):
+        assert sorted(map(str, f(more).collect())) == sorted(map(str, f(plain).collect()))
+    vectors = spark.createDataFrame([(k, [1.0, 0.001 * k, 0.0, 0.0]) for k in range(6)], "vec_id long, embedding array<double>")
+    wide = vectors.withColumns({c: F.lit("x") for c in ("rep", "bucket", "fit", "links", "own", "node", "label")})
+    assert sorted(map(str, embeddings.near_duplicates(wide).collect())) == sorted(map(str, embeddings.near_duplicates(vectors).collect()))
+    turns = spark.createDataFrame([(1, k % 2, "user" if k % 2 else "assistant", f"t{k}") for k in range(6)], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    odd = turns.withColumns({c: F.lit(1) for c in ("spans", "n", "formatted", "turns_", "at", "k")})
+    want = chat.read_back(chat.format_chats(turns)).first()
+    assert str(chat.read_back(chat.format_chats(odd)).first()) == str(want)
+    pages = spark.createDataFrame([("http://www.a.com/en/x",), (None,), ("no url",)], "url string")
+    rules = spark.createDataFrame([("a.com", "/en/", "block")], "host string, path string, action string")
+    clash = pages.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "key", "action", "verdict")})
+    assert sorted(map(str, urls.judge(clash, rules).collect())) == sorted(map(str, urls.judge(pages, rules).collect()))
+
+
+def test_tied_turns_come_in_one_order(spark):
+    """Turns of one number stand by role and text, whatever the order of the rows."""
+    rows = [(1, t, r, f"said {k}") for k, (t, r) in enumerate([(0, "user"), (0, "user"), (0, "assistant"), (None, "user"), (1, "assistant"), (1, "assistant")])]
+    schema = "conv_id long, turn long, role string, text string"
+    formatted = {chat.format_chats(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3).withColumn("parts", chat.text_part(F.col("text")))).first().formatted for k in range(5)}
+    assert len(formatted) == 1
+
+
+def test_pipeline_very_long_texts(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    long = " ".join(f"the word number {k * 7919 % 100_003}" for k in range(60_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long + " and a tail", "en", "a", len(long) + 11), (3, long[::-1], "en", "b", len(long)), (4, "x" * 300_000 + " the word", "en", "b", 300_009), (5, "the word of one line", "en", "b", 20)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == [1, 3, 4, 5]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.n_tokens for r in last) > 4 * 60_000
