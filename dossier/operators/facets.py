@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import ids
+from dossier.functions.calc import date_value
 from dossier.functions.text import collapse, is_stamp_line, line_signature, natural_key, s, sub
 from dossier.steps import written
 
@@ -35,7 +36,7 @@ def version_key() -> Column:
 
 def version_groups(documents: DataFrame) -> DataFrame:
     """(key, first_id, versions newest first, starred if any is, needsReview by the newest). Texts are not gathered."""
-    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "fgroup", "date", "star")
+    item = F.struct((-ids.version_number(F.col("ver"))).alias("o"), "id", "ver", "li", "title", "reason", "fgroup", "date", "star", "size")
     starred = F.bool_or(F.coalesce("star", F.lit(False))).alias("starred")
     groups = documents.groupBy(version_key().alias("key")).agg(F.array_sort(F.collect_list(item)).alias("versions"), F.min("id").alias("first_id"), starred)
     head = F.col("versions")[0]
@@ -283,10 +284,14 @@ def recent(df: DataFrame, k: int = 40) -> DataFrame:
     return df.orderBy(F.col("updatedAt").desc(), "id").limit(k)
 
 
+#: Collations of names (accents and case aside) and of other texts, as locale-aware comparison has them.
+NAMES, TEXTS = "UNICODE_CI_AI", "UNICODE"
+
+
 def sort_key(df: DataFrame, by: str) -> list[Column]:
-    """Total orders of the views: name (natural), size, updated, price (none first), star."""
+    """Total orders of the views: name (natural, accents and case aside), size, updated, price (none first), star."""
     keys = {
-        "name": [natural_key(F.col("name")), F.col("name")],
+        "name": [F.collate(natural_key(F.col("name")), NAMES), F.col("name")],
         "size": [F.coalesce("size", F.lit(0)).desc()],
         "updated": [F.col("updatedAt").desc()],
         "price": [F.coalesce("price", F.lit(-1.0))],
@@ -295,10 +300,27 @@ def sort_key(df: DataFrame, by: str) -> list[Column]:
     return [*keys[by], F.col("id")]
 
 
+def group_sort_key(by: str, descending: bool = False) -> Column:
+    """The order of version groups by a field of the newest version: star (any version's, starred first), ver and size as
+    numbers (0 if none), date as a day (none first), others as texts; ties by key. One sortable column."""
+    head = F.col("versions")[0]
+    if by == "star":
+        return F.struct((F.col("starred") if descending else ~F.col("starred")).alias("o"), F.col("key"))
+    if by in ("ver", "size"):
+        number = ids.version_number(head["ver"]) if by == "ver" else F.coalesce(head["size"].cast("double"), F.lit(0.0))
+        return F.struct((-number if descending else number).alias("o"), F.col("key"))
+    if by == "date":
+        day = F.coalesce(date_value(head["date"]), F.lit(0))
+        return F.struct((-day if descending else day).alias("o"), F.col("key"))
+    if descending:
+        raise ValueError("texts are sorted in ascending order; turn the view's order round")
+    return F.struct(F.collate(s(head[by]), TEXTS).alias("o"), F.col("key"))
+
+
 def mixed_sort_key(c: Column) -> Column:
-    """Numbers before texts, numbers by value: a total order in place of a rule between pairs."""
+    """Numbers before texts, numbers by value, texts as a locale has them: a total order in place of a rule between pairs."""
     number = F.regexp_extract(s(c), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$", 1).try_cast("double")
-    return F.struct(number.isNull(), F.coalesce(number, F.lit(0.0)), F.lower(s(c)), s(c))
+    return F.struct(number.isNull().alias("text"), F.coalesce(number, F.lit(0.0)).alias("number"), F.collate(s(c), TEXTS).alias("collated"), s(c).alias("plain"))
 
 
 def merge_values(new: Column, old: Column) -> Column:

@@ -121,3 +121,87 @@ def best_orientation(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("page").orderBy(F.col("n").desc(), F.col("mean").desc(), "angle")
     top = by.withColumn("k", F.row_number().over(w)).where("k = 1")
     return top.select("page", F.when((F.col("n") >= 10) & (F.col("mean") >= 60), F.col("angle")).otherwise(0).alias("angle"))
+
+
+WORDS = "array<struct<text: string, x0: double, x1: double, conf: double>>"
+
+
+def word_rows(items: DataFrame) -> DataFrame:
+    """(doc, page, text, x0, x1, y0, y1, words) of items (doc, page, str, x, y, w, h) whose y counts from the foot of the page.
+
+    Items within three units of height are a row, read from left to right with a space between any two. y0 counts down the
+    page. Each word keeps its place.
+    """
+    rows = items.select("doc", "page", squash(F.col("str")).alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.abs("h"), F.lit(10.0)).cast("double").alias("h"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w")).where("t <> ''")
+    word = F.struct("x", F.col("t").alias("text"), (F.col("x") + F.col("w")).alias("x1"))
+    grouped = rows.groupBy("doc", "page", F.floor(F.col("y") / 3 + 0.5).alias("band")).agg(F.array_sort(F.collect_list(word)).alias("p"), F.max("h").alias("h"), F.max("y").alias("y"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"))
+    words = F.transform("p", lambda p: F.struct(p["text"].alias("text"), p["x"].alias("x0"), p["x1"].alias("x1"), F.lit(100.0).alias("conf")))
+    return grouped.select("doc", "page", F.array_join("p.text", " ").alias("text"), "x0", "x1", (-F.col("y")).alias("y0"), (-F.col("y") + F.col("h")).alias("y1"), words.cast(WORDS).alias("words"))
+
+
+def recognized_rows(pages: DataFrame) -> DataFrame:
+    """The same of pages (doc, page, data), data being the JSON of a recognised page: lines with boxes and words. A word
+    without a confidence has 100; a page that is no such JSON has no rows."""
+    box = "STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE>"
+    shape = f"lines ARRAY<STRUCT<text: STRING, bbox: {box}, words: ARRAY<STRUCT<text: STRING, confidence: DOUBLE, bbox: {box}>>>>"
+    rows = pages.select("doc", "page", F.posexplode(F.from_json("data", shape)["lines"]).alias("at", "l"))
+    side = lambda b, c: F.coalesce(b[c], F.lit(0.0))
+    words = F.transform(F.coalesce(F.col("l.words"), F.array()), lambda w: F.struct(squash(w["text"]).alias("text"), side(w["bbox"], "x0").alias("x0"), side(w["bbox"], "x1").alias("x1"), F.coalesce(w["confidence"], F.lit(100.0)).alias("conf")))
+    sides = [side(F.col("l.bbox"), c).alias(c) for c in ("x0", "x1", "y0", "y1")]
+    return rows.select("doc", "page", squash(F.col("l.text")).alias("text"), *sides, F.filter(words, lambda w: w["text"] != "").cast(WORDS).alias("words")).where("text <> ''")
+
+
+def table_lines(rows: DataFrame, heading: str, first: str, footer: str | None = None) -> DataFrame:
+    """(doc, page, pos, text, left) of a form's line table, from rows as `word_rows` gives them.
+
+    heading: what the text of the table's heading row has; first: the word of it that stands over the text column. That
+    column begins where the heading before that word ends, for the word itself stands centred over it; without one, and in
+    rows without words, a row counts as a whole. Rows below the heading are cut there; left has the words of the cells
+    before, as far as the headings to the left stand close together. Pieces that share half of their height are one row,
+    from left to right. A gap of over three quarters of the page's middle row height begins a new line of the table, as
+    does a row that has `footer`, which is left out. Words parted by a hyphen at the end of a row are joined.
+    """
+    page = Window.partitionBy("doc", "page")
+    is_head = F.col("text").rlike(heading)
+    rows = rows.withColumn("right", F.max("x1").over(page)).withColumn("head", F.min(F.when(is_head, F.struct("y0", "x0", "y1", "words"))).over(page))
+    rows = rows.where("head is not null")
+    at = F.array_position(F.transform("head.words", lambda w: w["text"].rlike(first)), True)
+    before = F.filter(F.when(at > 0, F.slice("head.words", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))), lambda w: w["text"].rlike("[A-Za-z]"))
+    pad, gap = F.greatest(F.lit(12.0), F.col("right") * 0.02), F.greatest(F.lit(40.0), F.col("right") * 0.06)
+    rows = rows.withColumn("before", F.when(F.size(before) > 0, before)).withColumn("pad", pad).withColumn("gap", gap)
+    reach = F.aggregate(F.reverse("before"), F.struct(F.lit(None).cast("double").alias("x0"), F.lit(True).alias("on")), lambda acc, w: F.when(acc["x0"].isNull() | (acc["on"] & (acc["x0"] - w["x1"] <= F.col("gap"))), F.struct(w["x0"].alias("x0"), F.lit(True).alias("on"))).otherwise(F.struct(acc["x0"].alias("x0"), F.lit(False).alias("on"))))
+    rows = rows.withColumn("from", F.array_max("before.x1") + 4).withColumn("cells", reach["x0"] - F.col("pad"))
+    below = rows.where(F.col("y0") > F.col("head.y0") + F.greatest(F.lit(1.0), F.col("head.y1") - F.col("head.y0")) * 0.6)
+    inside = F.array_join(F.transform(F.filter("words", lambda w: w["x0"] >= F.col("from")), lambda w: w["text"]), " ")
+    said = F.when(F.col("from").isNull(), F.col("text")).when(F.size("words") > 0, inside).when(F.col("x0") >= F.col("from"), F.col("text")).otherwise(F.lit(""))
+    left = F.when(F.col("from").isNotNull(), F.filter("words", lambda w: (w["x0"] < F.col("from")) & (w["x0"] >= F.col("cells")))).otherwise(F.array().cast(WORDS))
+    body = below.select("doc", "page", F.struct("y0", "x0", "y1", F.array(squash(said)).alias("texts"), F.coalesce(left, F.array().cast(WORDS)).alias("left")).alias("r")).where("char_length(r.texts[0]) >= 3")
+    body = body.groupBy("doc", "page").agg(F.array_sort(F.collect_list("r")).alias("r"))
+
+    shape = f"struct<y0: double, x0: double, y1: double, texts: array<string>, left: {WORDS}>"
+    last = lambda a: F.element_at(a, -1)
+    instead = lambda a, x: F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(x))
+
+    def merged(acc, r):
+        p = F.when(F.size(acc) > 0, last(acc))
+        share = (F.least(p["y1"], r["y1"]) - F.greatest(p["y0"], r["y0"])) / F.greatest(F.lit(1.0), F.least(p["y1"] - p["y0"], r["y1"] - r["y0"]))
+        texts = F.when(r["x0"] < p["x0"], F.concat(r["texts"], p["texts"])).otherwise(F.concat(p["texts"], r["texts"]))
+        both = F.struct(F.least(p["y0"], r["y0"]).alias("y0"), F.least(p["x0"], r["x0"]).alias("x0"), F.greatest(p["y1"], r["y1"]).alias("y1"), texts.alias("texts"), F.concat(p["left"], r["left"]).alias("left"))
+        return F.when(p.isNotNull() & (share >= 0.5), instead(acc, both.cast(shape))).otherwise(F.concat(acc, F.array(r.cast(shape))))
+
+    body = body.withColumn("r", F.aggregate(F.col("r").cast(f"array<{shape}>"), F.array().cast(f"array<{shape}>"), merged))
+    heights = F.array_sort(F.transform("r", lambda x: F.greatest(F.lit(1.0), x["y1"] - x["y0"])))
+    body = body.withColumn("h", F.get(heights, F.floor(F.size("r") / 2).cast("int")))
+    state = f"struct<lines: array<{shape}>, open: boolean>"
+
+    def parted(acc, r):
+        p = F.when(F.size(acc["lines"]) > 0, last(acc["lines"]))
+        ends = F.array_join(r["texts"], " ").rlike(footer) if footer else F.lit(False)
+        more = F.struct(p["y0"].alias("y0"), p["x0"].alias("x0"), F.greatest(p["y1"], r["y1"]).alias("y1"), F.concat(p["texts"], r["texts"]).alias("texts"), p["left"].alias("left"))
+        new = ~acc["open"] | p.isNull() | (r["y0"] - p["y1"] > F.col("h") * 0.75)
+        told = lambda lines, open_: F.struct(lines.alias("lines"), F.lit(open_).alias("open")).cast(state)
+        return F.when(ends, told(acc["lines"], False)).when(new, told(F.concat(acc["lines"], F.array(r)), True)).otherwise(told(instead(acc["lines"], more.cast(shape)), True))
+
+    found = F.aggregate("r", F.struct(F.array().cast(f"array<{shape}>").alias("lines"), F.lit(False).alias("open")).cast(state), parted)["lines"]
+    lines = body.select("doc", "page", F.posexplode(found).alias("pos", "l"))
+    return lines.select("doc", "page", "pos", join_hyphen(F.col("l.texts")).alias("text"), F.transform("l.left", lambda w: w["text"]).alias("left"))

@@ -51,8 +51,12 @@ def _listed(c: str) -> Column:
     return F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
 
 
-def files_view(df: DataFrame, trash: str = "omit", starred: bool = False, kind: str | None = None, collection: str | None = None, tag: str | None = None, vin: str | None = None, any_vin: bool = False, query: str = "") -> DataFrame:
-    """Rows of the file view; a null collection is the empty one. The query is looked for in names, notes, tags and numbers."""
+def files_view(df: DataFrame, trash: str = "omit", starred: bool = False, kind: str | None = None, collection: str | None = None, tag: str | None = None, vin: str | None = None, any_vin: bool = False, query: str = "", only: DataFrame | None = None, recent: int | None = None) -> DataFrame:
+    """Rows of the file view; a null collection is the empty one. The query is looked for in names, notes, tags and numbers.
+
+    only: rows (id), such as the attachments of an order, outside of which nothing is shown; recent: so many of the rows
+    that are left, the newest.
+    """
     rows = by_trash(df, trash)
     tests = [F.col("starred")] if starred else []
     tests += [F.col("kind") == kind] if kind is not None else []
@@ -61,7 +65,8 @@ def files_view(df: DataFrame, trash: str = "omit", starred: bool = False, kind:
     tests += [F.array_contains("vins", vin)] if vin is not None else []
     tests += [F.size("vins") > 0] if any_vin else []
     tests += [_holds(F.concat_ws(" ", s("name"), s("collection"), s("note"), _listed("tags"), _listed("vins"), _listed("fins")), query)] if query else []
-    return reduce(DataFrame.where, tests, rows)
+    rows = reduce(DataFrame.where, tests, rows if only is None else rows.join(only.select("id").distinct(), "id", "left_semi"))
+    return rows if recent is None else facets.recent(rows, recent)
 
 
 def documents_view(documents: DataFrame, starred: bool = False, review: bool = False, fgroup: str | None = None, model: str | None = None, query: str = "") -> DataFrame:

@@ -7,6 +7,8 @@ table expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +160,7 @@ def files_with_preview(spark, sf_dir):
     return relations.with_preview(files(spark, sf_dir), thumbs(spark, sf_dir), in_files=1).select("id", "thumb")
 
 
-@query(f"""WITH {FILES},
+@query(f"""WITH {FILES}, {LINKS},
 v AS (
   SELECT 'starred' AS v, id FROM files WHERE deletedAt IS NULL AND starred
   UNION ALL SELECT 'kind', id FROM files WHERE deletedAt IS NULL AND kind = 'pdf'
@@ -167,11 +169,14 @@ v AS (
   UNION ALL SELECT 'vin', id FROM files WHERE deletedAt IS NULL AND list_contains(vins, {VIN_SQL.format('7')})
   UNION ALL SELECT 'vins', id FROM files WHERE deletedAt IS NULL AND len(vins) > 0
   UNION ALL SELECT 'tag', id FROM files WHERE deletedAt IS NULL AND list_contains(tags, {NUMBER_SQL.format('5')})
-  UNION ALL SELECT 'query', id FROM files WHERE deletedAt IS NULL AND contains(lower(concat_ws(' ', name, collection, '', array_to_string(tags, ' '), array_to_string(vins, ' '), array_to_string(fins, ' '))), '-12.txt'))
+  UNION ALL SELECT 'query', id FROM files WHERE deletedAt IS NULL AND contains(lower(concat_ws(' ', name, collection, '', array_to_string(tags, ' '), array_to_string(vins, ' '), array_to_string(fins, ' '))), '-12.txt')
+  UNION ALL SELECT 'ro', id FROM files WHERE deletedAt IS NULL AND id IN (SELECT toId FROM links WHERE fromId = 'r1' AND toType = 'file')
+  UNION ALL SELECT 'recent', id FROM (SELECT id FROM files WHERE deletedAt IS NULL ORDER BY updatedAt DESC, id LIMIT 40))
 SELECT v, id FROM v""")
 def files_view(spark, sf_dir):
     f = files(spark, sf_dir)
     seen = {"starred": {"starred": True}, "kind": {"kind": "pdf"}, "collection": {"collection": ""}, "trash": {"trash": "only"}, "vin": {"vin": "W1K107471A0000007"}, "vins": {"any_vin": True}, "tag": {"tag": "LI15.10-P-000005"}, "query": {"query": "-12.TXT"}}
+    seen |= {"ro": {"only": relations.attachments(links(spark, sf_dir), f).where("roId = 'r1'").select("id")}, "recent": {"recent": 40}}
     out = None
     for name, options in seen.items():
         rows = scans.files_view(f, **options).select(F.lit(name).alias("v"), "id")
@@ -456,6 +461,34 @@ def file_orders_by_view(spark, sf_dir):
     return out
 
 
+def _places(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, key, pos): the place of every row in the order of its column __o."""
+    return facets.ranked(rows, F.lit(by), "__o", "pos").select(F.lit(by).alias("by"), key, F.col("pos").cast("long").alias("pos"))
+
+
+@query(_GROUPED + """, h AS (SELECT 'li:' || g.li AS key, starred, k % 7 AS ver, p.size, (2024 * 10000 + (k % 12 + 1) * 100 + k % 28 + 1) AS day, reason, fgroup FROM g JOIN papers p ON p.id = head)
+SELECT 'star' AS by, key, row_number() OVER (ORDER BY starred DESC, key) AS pos FROM h UNION ALL SELECT 'ver', key, row_number() OVER (ORDER BY ver DESC, key) FROM h
+UNION ALL SELECT 'size', key, row_number() OVER (ORDER BY size, key) FROM h UNION ALL SELECT 'date', key, row_number() OVER (ORDER BY day, key) FROM h
+UNION ALL SELECT 'reason', key, row_number() OVER (ORDER BY reason, key) FROM h UNION ALL SELECT 'fgroup', key, row_number() OVER (ORDER BY fgroup, key) FROM h""")
+def document_orders_by_view(spark, sf_dir):
+    """The place of each version group in each order of the documents view."""
+    g = facets.version_groups(papers(spark, sf_dir))
+    orders = {by: facets.group_sort_key(by, by == "ver") for by in ("star", "ver", "size", "date", "reason", "fgroup")}
+    return reduce(DataFrame.union, (_places(g.withColumn("__o", o), by, "key") for by, o in orders.items()))
+
+
+@query(f"""WITH {CATALOGUE}
+SELECT 'price' AS by, id, row_number() OVER (ORDER BY coalesce(price, -1), id) AS pos FROM tools
+UNION ALL SELECT 'mixed', id, row_number() OVER (ORDER BY k % 3 = 0, CASE WHEN k % 3 = 0 THEN 0 ELSE k * 37 % 1000 END, CASE WHEN k % 3 = 0 THEN lower(ct) END, id) FROM tools""")
+def tool_orders_by_view(spark, sf_dir):
+    """The place of each tool by price, and by a column in which numbers and texts are mixed."""
+    x = tools(spark, sf_dir)
+    mixed = F.when(F.col("k") % 3 == 0, F.lower("ct")).otherwise((F.col("k") * 37 % 1000).cast("string"))
+    by_price = _places(x.withColumn("__o", F.struct(F.coalesce("price", F.lit(-1.0)).alias("o"), F.col("id"))), "price", "id")
+    return by_price.union(_places(x.withColumn("__o", F.struct(facets.mixed_sort_key(mixed).alias("o"), F.col("id"))), "mixed", "id"))
+
+
+
 def _all_rows(order):
     """A window over all rows, which are fifty at most where it is used."""
     from pyspark.sql import Window

@@ -329,3 +329,24 @@ def page_orientation(spark, sf_dir):
     words = F.concat(word(0, 70.0, F.lit(5)), word(90, 80.0, F.when(k % 2 == 0, 12).otherwise(8)), word(180, 20.0, F.lit(30)))
     rows = t(spark, sf_dir, "orders").select(k.alias("page"), F.explode(words).alias("w")).select("page", "w.*")
     return layout.best_orientation(rows).select("page", F.col("angle").cast("int").alias("angle"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, 300 + l_suppkey % 200 AS x, 'PART ' || l_partkey AS t FROM lineitem),
+i AS (SELECT doc, n, n - row_number() OVER (PARTITION BY doc ORDER BY n) AS g FROM (SELECT DISTINCT doc, n FROM r)),
+f AS (SELECT doc, g, min(n) AS first FROM i GROUP BY doc, g)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY first) - 1)::INT AS pos, string_agg(t, ' ' ORDER BY n, x, t) AS text, string_agg(CASE WHEN n = first THEN 'B' || n END, ' ') AS left
+FROM r JOIN i USING (doc, n) JOIN f USING (doc, g) GROUP BY doc, g, first
+""")
+def form_table_lines(spark, sf_dir):
+    """Each order's lines as a form: legal text to the left, a cell, and the text that is wanted; lines that follow one another
+    stand close together and are one."""
+    lines = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    item = lambda str_, x, w: F.struct(str_.alias("str"), x.cast("double").alias("x"), F.lit(float(w)).alias("w"))
+    told = F.array(item(F.lit("legal small print"), F.lit(10), 90), item(F.concat(F.lit("B"), "n"), F.lit(160), 20), item(F.concat(F.lit("PART "), "p"), 300 + F.col("s") % 200, 50))
+    body = lines.select("doc", "page", F.explode(told).alias("i"), (F.lit(1000.0) - F.col("n") * 15).alias("y"))
+    heads = F.array(*[item(F.lit(w), F.lit(x), n) for w, x, n in (("Notice", 10, 60), ("LINE", 150, 30), ("OP", 200, 15), ("CODE", 220, 30), ("INSTRUCTIONS AND DESCRIPTIONS", 400, 150))])
+    top = lines.select("doc", "page").distinct().select("doc", "page", F.explode(heads).alias("i"), F.lit(1000.0).alias("y"))
+    rows = layout.word_rows(body.union(top).select("doc", "page", "i.str", "i.x", "y", "i.w", F.lit(10.0).alias("h")))
+    found = layout.table_lines(rows, "(?i)INSTRUCTIONS? *AND *DESCRIPTIONS?", "(?i)INSTRUCTION", "(?i)^total")
+    return found.select("doc", "pos", "text", F.array_join("left", " ").alias("left"))

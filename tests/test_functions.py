@@ -171,3 +171,25 @@ def test_electrical(spark):
     m = n(calc.mileage(F.col("a"), F.col("b"), F.col("f"), F.col("p")), a=100.0, b=500.0, f=20.0, p=2.0)
     assert (m.distance, m.economy, m.per_100, m.cost, m.cost_per_distance) == (400, 20, 5, 40, 0.1)
     assert n(calc.significant(F.col("x"), 3), x=0.0012345) == 0.00123
+
+
+def test_collated_orders(spark):
+    from dossier.operators import facets
+
+    names = ["zebra", "éclair 10", "Eclair 9", "apple", "Ärger", "zoo", None, "", "10", "9", "file 010", "File 9"]
+    df = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "id string, name string")
+    assert [r.name for r in df.orderBy(*facets.sort_key(df, "name")).collect()] == [None, "", "9", "10", "apple", "Ärger", "Eclair 9", "éclair 10", "File 9", "file 010", "zebra", "zoo"]
+    mixed = ["10", "b", "9", " 1e1 ", "a", "B", "é", "f", "-3", "", None, "7 mm"]
+    df = spark.createDataFrame([(m,) for m in mixed], "m string")
+    assert [r.m for r in df.orderBy(facets.mixed_sort_key(F.col("m")), F.col("m").asc_nulls_first()).collect()] == ["-3", "9", " 1e1 ", "10", None, "", "7 mm", "a", "b", "B", "é", "f"]
+
+
+def test_orders_of_version_groups(spark):
+    from dossier.operators import facets
+
+    rows = [("a", "LI10.10-P-000001", "2", "Öl", "1/2/2024", False, 5), ("b", "LI10.10-P-000002", "10x", "oel", None, True, None), ("c", "LI10.10-P-000003", None, "Zahn", "2023-05-01", None, 9), ("d", "LI10.10-P-000003", "1", None, "3/3/2025", True, 1)]
+    docs = spark.createDataFrame([(*r[:4], "why", "54", *r[4:]) for r in rows], "id string, li string, ver string, title string, reason string, fgroup string, date string, star boolean, size long")
+    g = facets.version_groups(docs)
+    order = lambda by, down=False: [r.first_id for r in g.orderBy(facets.group_sort_key(by, down)).collect()]
+    assert order("ver", True) == ["b", "a", "c"] and order("size") == ["b", "c", "a"] and order("date") == ["b", "a", "c"]
+    assert order("star") == ["b", "c", "a"] and order("star", True) == ["a", "b", "c"] and order("title") == ["c", "b", "a"] or order("title") == ["c", "a", "b"]

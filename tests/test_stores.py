@@ -538,3 +538,42 @@ def test_offsets_and_ranks_of_any_type_over_stretches(spark, monkeypatch):
     for g, pos, _ in rows:
         rank[g] = rank.get(g, 0) + 1
         assert got[(g, pos)] == rank[g]
+
+
+def test_rows_with_words(spark):
+    items = [("d", 1, "  right ", 50.0, 700.6, 20.0, 9.0), ("d", 1, "left", 10.0, 701.0, None, 12.0), ("d", 1, " ", 5.0, 701.0, 1.0, 1.0), ("d", 1, "below", 10.0, 600.0, 30.0, None), ("d", 2, "next page", 1.0, 700.0, 5.0, -8.0)]
+    got = layout.word_rows(spark.createDataFrame(items, "doc string, page int, str string, x double, y double, w double, h double")).orderBy("page", "y0").collect()
+    assert [(r.text, r.x0, r.x1, r.y0, r.y1) for r in got] == [("left right", 10.0, 70.0, -701.0, -689.0), ("below", 10.0, 40.0, -600.0, -590.0), ("next page", 1.0, 6.0, -700.0, -692.0)]
+    assert [tuple(w) for w in got[0].words] == [("left", 10.0, 10.0, 100.0), ("right", 50.0, 70.0, 100.0)]
+    box = lambda *b: dict(zip(("x0", "y0", "x1", "y1"), b))
+    data = {"lines": [{"text": " two  words ", "bbox": box(1, 2, 30, 12), "words": [{"text": "two", "confidence": 61, "bbox": box(1, 2, 9, 12)}, {"text": "words", "bbox": box(12, 2, 30, 12)}, {"text": " "}]}, {"text": ""}, {"text": "no box"}]}
+    pages = spark.createDataFrame([("d", 1, json.dumps(data)), ("d", 2, "no json"), ("d", 3, None)], "doc string, page int, data string")
+    got = layout.recognized_rows(pages).collect()
+    assert [(r.page, r.text, r.x1, len(r.words)) for r in got] == [(1, "two words", 30.0, 2), (1, "no box", 0.0, 0)]
+    assert [w.conf for w in got[0].words] == [61.0, 100.0]
+
+
+def form(spark, *rows):
+    """rows: (y0, [(text, x0, x1), ...])"""
+    made = [("d", 1, " ".join(w[0] for w in words), float(words[0][1]), float(words[-1][2]), float(y), float(y + 10), [(t, float(a), float(b), 100.0) for t, a, b in words]) for y, words in rows]
+    return spark.createDataFrame(made, f"doc string, page int, text string, x0 double, x1 double, y0 double, y1 double, words {layout.WORDS}")
+
+
+def test_table_lines(spark):
+    head = (100, [("Client", 5, 60), ("OP", 200, 220), ("CODE", 225, 260), ("INSTRUCTIONS", 400, 500), ("AND", 505, 530), ("DESCRIPTIONS", 535, 600)])
+    rows = [
+        (50, [("ABOVE", 300, 350), ("THE", 355, 380), ("TABLE", 385, 420)]),
+        head,
+        (120, [("small", 5, 30), ("print", 32, 60), ("A1", 205, 220), ("OIL", 270, 300), ("AND", 305, 330), ("FIL-", 335, 360)]),
+        (134, [("more", 5, 30), ("TER", 270, 300), ("CHANGE", 305, 360)]),
+        (160, [("B2", 205, 220), ("BRAKE", 270, 320)]),
+        (162, [("CHECK", 330, 380)]),
+        (163, [("no", 5, 20)]),
+        (176, [("TOTAL", 270, 300), ("DUE", 310, 330)]),
+        (190, [("AFTER", 270, 300)]),
+    ]
+    find = lambda *rows: [(r.pos, r.text, r.left) for r in layout.table_lines(form(spark, *rows), "(?i)INSTRUCTIONS? AND DESCRIPTIONS?", "(?i)INSTRUCTION", "^TOTAL").orderBy("pos").collect()]
+    assert find(*rows) == [(0, "OIL AND FILTER CHANGE", ["A1"]), (1, "BRAKE CHECK", ["B2"]), (2, "AFTER", [])]
+    assert find(*rows[:1], *rows[2:]) == []  # no heading
+    bare = (100, [("INSTRUCTIONS", 400, 500), ("AND", 505, 530), ("DESCRIPTIONS", 535, 600)])
+    assert find(bare, *rows[2:4])[0][1].startswith("small print A1 OIL")  # nothing left of it: rows count as a whole
