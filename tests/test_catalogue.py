@@ -5,7 +5,7 @@ import re
 import pytest
 
 from dossier.operators import diff
-from dossier.plans import catalogue, functions, views, writes  # noqa: F401 (each adds queries)
+from dossier.plans import catalogue, functions, stored, views, writes  # noqa: F401 (each adds queries)
 from tests.helpers import same_rows
 
 SF = "/root/testdata/sf0.001"
