@@ -15,8 +15,8 @@ from dossier.plans.views import FILES, ROS, _id
 from dossier.sources import bytes as byte_ranges
 from dossier.sources import containers, csvs
 from dossier.sources.store import Store
-from dossier.steps import new_path, save
-from dossier.streaming import ingest, live
+from dossier.steps import new_path, save, written
+from dossier.streaming import ingest, intake, live
 
 
 def _le32(n: Column) -> Column:
@@ -178,6 +178,31 @@ def numbered_tools(spark, sf_dir):
     return lifecycle.upsert_tools(stored, new, ["toolNo", "desc"]).where("desc = 'new'").select("id", "toolNo")
 
 
+@query("""WITH h AS (SELECT sha256(coalesce(text, '')) AS s, min('f' || doc_id) AS holder FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT 'n' || doc_id AS id, holder IS NULL AS ok, holder AS "duplicateOf", CASE WHEN holder IS NULL THEN 'note' END AS collection FROM documents LEFT JOIN h ON s = sha256(coalesce(text, '')) WHERE doc_id % 3 <> 0""")
+def vault_intake(spark, sf_dir):
+    """Two thirds of the texts come as files into a vault that has the other third; those whose bytes are there are skipped."""
+    docs, body = t(spark, sf_dir, "documents"), F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    store = Store(spark, new_path(spark, "store"))
+    named = lambda letter: docs.select(_id(letter, F.col("doc_id")).alias("id"), F.concat("source", F.lit(".txt")).alias("name"), F.lit("text/plain").alias("type"), F.octet_length(body).cast("long").alias("size"), body.alias("content"), "doc_id")
+    store.put_full(named("f").where("doc_id % 3 = 0").select("id", "name", F.col("content").alias("blob"), F.lit(None).cast("binary").alias("thumb")), 1)
+    told = intake.take_in(store, written(named("n").where("doc_id % 3 <> 0").drop("doc_id"), "incoming"), "vault", 2, decision="skip", collection="note")
+    told = written(told.select("id", "ok", "duplicateOf"), "told")
+    return told.join(store.read("files").select("id", "collection"), "id", "left")
+
+
+@query("""SELECT 'f' || doc_id AS id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 100 END::BIGINT AS scanned, CASE WHEN doc_id % 2 = 0 THEN 'W1NKM4GB9SF' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') ELSE '' END AS vins FROM documents""")
+def scan_job(spark, sf_dir):
+    """The search for vehicle numbers over a store, in two parts; films are not read."""
+    k = F.col("doc_id")
+    store = Store(spark, new_path(spark, "store"))
+    docs = t(spark, sf_dir, "documents")
+    store.commit({"files": docs.select(_id("f", k).alias("id"), F.when(k % 4 == 3, "video").otherwise("text").alias("kind"), F.lit(0).alias("vinScan"), F.lit(1).alias("inFiles"))}, verify=False)
+    told = F.when(k % 2 == 0, F.concat(F.lit("Order of today, VIN: W1NKM4GB9SF"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit(", checked"))).otherwise("no number")
+    intake.scan_numbers(store, docs.select(_id("f", k).alias("id"), told.alias("text")), 100, parts=2)
+    return store.read("files").select("id", F.col("vinScan").alias("scanned"), F.array_join(F.coalesce("vins", F.array().cast("array<string>")), ",").alias("vins"))
+
+
 # --- hashes and sets
 
 

@@ -15,7 +15,7 @@ from dossier.schemas import STORES
 from dossier.sources import bytes as byte_ranges
 from dossier.sources import containers, csvs
 from dossier.sources.store import RevConflict, Store
-from dossier.streaming import ingest, jobs
+from dossier.streaming import ingest, intake, jobs
 
 
 def table(spark, store, *rows):
@@ -577,3 +577,57 @@ def test_table_lines(spark):
     assert find(*rows[:1], *rows[2:]) == []  # no heading
     bare = (100, [("INSTRUCTIONS", 400, 500), ("AND", 505, 530), ("DESCRIPTIONS", 535, 600)])
     assert find(bare, *rows[2:4])[0][1].startswith("small print A1 OIL")  # nothing left of it: rows count as a whole
+
+
+def incoming(spark, *rows):
+    return spark.createDataFrame([(i, n, t, len(c) if size is None else size, c) for i, n, t, c, size in rows], "id string, name string, type string, size long, content binary")
+
+
+def test_intake_stores_links_and_follow_up_jobs(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    got = intake.take_in(store, incoming(spark, ("n", "note.txt", "text/plain", b"hello", None), ("p", "pic.png", "image/png", b"PNG!", None), ("v", "clip.mp4", "video/mp4", b"mov", None), ("g", "ghost.txt", "text/plain", b"", 5)), "vault", 7, collection="RO 42", vin="wdd2130461a123456", order="r42")
+    assert {(r.id, r.ok, r.error) for r in got.collect()} == {("n", True, None), ("p", True, None), ("v", True, None), ("g", False, "read: empty read")}
+    note = store.get("files", ["n"]).first()
+    assert (note.collection, note.vins, note.inFiles, note.kind) == ("RO 42", ["WDD2130461A123456"], 1, "text") and "wdd2130461a123456" in note.searchText
+    assert sorted(r.toId for r in store.read("links").collect()) == ["n", "p", "v"]
+    assert {(r.type, tuple(r.inputIds), r.state) for r in store.read("jobs").collect()} == {("thumb", ("p", "v"), "queued"), ("vin-detect", ("n", "p"), "queued")}
+    assert bytes(store.get("blobs", ["n"]).first().blob) == b"hello" and store.generation() == 1
+    intake.take_in(store, incoming(spark, ("d", "LI54.10-P-070001.pdf", "application/pdf", b"%PDF-1.4", None)), "li", 8)
+    intake.take_in(store, incoming(spark, ("c", "a.csv", "text/csv", b"1,2", None)), "toolbox", 9, tab="csv")
+    assert {(r.id, r.collection, r.kind, r.inFiles) for r in store.get("files", ["d", "c"]).collect()} == {("d", "LI Documents", "pdf", 0), ("c", "", "spreadsheet", 0)}
+    later = {r.type: r for r in store.read("jobs").where("createdAt > 7").collect()}
+    assert set(later) == {"li-import", "toolbox-intake"} and json.loads(later["toolbox-intake"].meta) == {"tab": "csv"}
+
+
+def test_intake_of_known_bytes(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    intake.take_in(store, incoming(spark, ("a", "a.txt", "text/plain", b"one", None), ("b", "b.txt", "text/plain", b"two", None)), "vault", 1)
+    store.put("files", store.get("files", ["b"]).withColumn("deletedAt", F.lit(2).cast("long")))
+    got = {r.id: r for r in intake.take_in(store, incoming(spark, ("c", "c.txt", "", b"two", None), ("d", "d.txt", "", b"three", None)), "vault", 3, decision="skip", order="r1").collect()}
+    assert (got["c"].ok, got["c"].duplicateOf, got["c"].restored, got["c"].error) == (False, "b", True, "already stored") and got["d"].ok
+    assert store.get("files", ["c"]).count() == 0 and store.get("files", ["b"]).first().deletedAt is None
+    assert sorted(r.toId for r in store.read("links").collect()) == ["b", "d"]
+    assert intake.take_in(store, incoming(spark, ("e", "e.txt", "", b"one", None)), "vault", 4, decision="reuse").first().ok
+    assert store.get("files", ["e"]).first().blobId == "a" and store.get("blobs", ["e"]).count() == 0 and store.problems(store.parts(), store.generation()) == []
+
+
+def test_targets_of_files(spark):
+    names = [("LI54.10-P-070001.pdf", "application/pdf", "li"), ("quarterly.pdf", "application/pdf", "vault"), ("notes.txt", "text/plain", "vault"), ("a.TIDB", "", "inventory-import"), ("a.fvault", None, "vault-restore"), ("a.lidb", "", "li-restore"), ("a.fdb", "", "platform-restore"), (None, None, "vault"), ("about li54.10-p-070001 v2.pdf", "", "li")]
+    df = spark.createDataFrame(names, "name string, type string, want string")
+    assert df.where(intake.target_of(F.col("name"), F.col("type")) != F.col("want")).collect() == []
+
+
+def test_the_search_for_numbers_goes_on_where_it_ended(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    files = [{"id": f"f{k}", "name": f"n{k}", "kind": "video" if k == 3 else "text", "vins": ["OLD"] if k == 5 else [], "vinScan": 9 if k == 4 else 0, "inFiles": 1, "deletedAt": 1 if k == 6 else None, "updatedAt": 50, "rev": 1} for k in range(40)]
+    store.commit({"files": table(spark, "files", *files)}, verify=False)
+    texts = spark.createDataFrame([(f"f{k}", None if k == 8 else f"VIN: W1NKM4GB9SF{k:06d} end" if k % 2 else "no number") for k in range(39)], "id string, text string")
+    first = intake.scan_numbers(store, texts, 100, parts=4, most=2)
+    assert first == 2 and 0 < store.read("files").where("vinScan = 100").count() < 35
+    assert intake.scan_numbers(store, texts, 200, parts=4) <= 4 and intake.scan_numbers(store, texts, 300, parts=4) == 0
+    got = {r.id: r for r in store.read("files").collect()}
+    assert {i for i, r in got.items() if r.vinScan == 0} == {"f3", "f6", "f8", "f39"} and got["f4"].vinScan == 9
+    assert got["f5"].vins == ["W1NKM4GB9SF000005", "OLD"] and got["f7"].vins == ["W1NKM4GB9SF000007"] and got["f10"].vins == []
+    assert (got["f7"].updatedAt, got["f7"].rev) == (50, 2) and "w1nkm4gb9sf000007" in got["f7"].searchText
+    intake.scan_numbers(store, texts, 400, force=True)
+    assert store.get("files", ["f5"]).first().vins == ["W1NKM4GB9SF000005"] and store.get("files", ["f4"]).first().vinScan == 400
