@@ -188,3 +188,21 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = rows.withColumn("maybe", maybe_in(spark, bitmap(leaked, "hash"))(F.xxhash64(F.coalesce("content", F.lit("")))))
     checked = rows.where("maybe").join(leaked.select("content"), "content", "left_anti")
     return checked.select("row").union(rows.where("not maybe").select("row")).select("row.*")
+
+
+#: For items of WIDTH words and more. A window that agrees in 11 of 13 words agrees in four consecutive ones, so laying
+#: items on documents wherever four words agree finds all windows.
+ORACLE_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS dw FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS iw FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, p, array_to_string(dw[p + 1 : p + 4], ' ') AS g FROM dw, unnest(range(greatest(len(dw) - 3, 0))) AS u(p)),
+ig AS (SELECT item_id, p, array_to_string(iw[p + 1 : p + 4], ' ') AS g FROM iw, unnest(range(greatest(len(iw) - 3, 0))) AS u(p)),
+met AS (SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS s FROM dg JOIN ig USING (g)),
+laid AS (
+  SELECT doc_id, item_id, s, len(iw) AS n, len(dw) AS m, list_transform(range(len(iw)), lambda j: CASE WHEN s + j >= 0 AND dw[s + j + 1] = iw[j + 1] THEN 1 ELSE 0 END) AS x
+  FROM met JOIN dw USING (doc_id) JOIN iw USING (item_id)),
+good AS (SELECT *, list_filter(range(n - 12), lambda k: s + k >= 0 AND s + k + 13 <= m AND list_sum(x[k + 1 : k + 13]) >= 11) AS w FROM laid),
+told AS (SELECT doc_id, item_id, s, n, len(list_distinct(flatten(list_transform(w, lambda k: range(k, k + 13))))) AS n_words FROM good WHERE len(w) > 0)
+SELECT doc_id, item_id, n_words::BIGINT AS n_words, greatest(s, 0)::BIGINT AS at_word, n::BIGINT AS item_words
+FROM told QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, s) = 1
+"""

@@ -22,10 +22,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_spaced_seed_leaks": decontaminate.ORACLE_SQL,
     "op4_minmax_near_dedup": minhash.ORACLE_SQL,
     "op5_cross_polytope": embeddings.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op8_url_rules": urls.ORACLE_SQL,
+    "op9_bwt_repeats": repeats.ORACLE_SQL,
     "op10_systematic_mix": mixing.ORACLE_SQL,
     "op11_exact_dedup": exact.ORACLE_SQL,
     "op12_spelling_variants": spelling.ORACLE_SQL,

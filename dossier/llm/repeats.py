@@ -245,3 +245,18 @@ def remove(docs: DataFrame) -> DataFrame:
 def op9_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of 200 bytes, as hexadecimal digits and by their MD5.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT r, p, md5(substring(h, 2 * p + 1, 400)) AS m FROM d, unnest(range(greatest(n - 199, 0))) AS u(p)),
+again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, p, coalesce(lag(p) OVER (PARTITION BY r ORDER BY p) + 200, 0) AS e, lag(p) OVER (PARTITION BY r ORDER BY p) IS NULL AS first FROM w JOIN again USING (m)),
+cut AS (
+  SELECT r, sum(least(200, p + 200 - CASE WHEN first THEN p ELSE e END))::BIGINT AS n_removed, count(*) FILTER (WHERE first OR p > e) AS n_spans, max(p) + 200 AS last,
+    list((e, p) ORDER BY p) FILTER (WHERE first OR p > e) AS gaps FROM hit GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gaps IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda g: substring(h, 2 * struct_extract_at(g, 1) + 1, 2 * (struct_extract_at(g, 2) - struct_extract_at(g, 1)))), '') || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

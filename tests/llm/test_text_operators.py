@@ -330,6 +330,12 @@ def test_leaks_against_brute_force(spark):
     assert got == want and got
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_leaks_against_sql(spark, duck, sf):
+    """Items and documents with the words, the place and the length of each."""
+    same_rows(decontaminate.op3_spaced_seed_leaks(spark, f"/root/testdata/{sf}"), duck(f"/root/testdata/{sf}", decontaminate.ORACLE_SQL))
+
+
 def test_leaks_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two three four five six"), (None, ODD[3][1]), (4, "two three"), (4, LONG[:400])], "item_id long, text string")
     got = {(r.item_id, r.n_words) for r in decontaminate.contaminated(odd.select("text"), items).collect()}
@@ -476,6 +482,10 @@ def test_repeats_against_brute_force(spark, docs):
     assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_repeats_against_sql(spark, duck):
+    same_rows(repeats.op9_bwt_repeats(spark, SF), duck(SF, repeats.ORACLE_SQL))
+
+
 def test_repeats_odd_rows(spark, none, monkeypatch):
     rng = np.random.default_rng(2)
     noise = "".join(map(chr, rng.integers(97, 123, 5000)))
