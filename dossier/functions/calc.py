@@ -60,6 +60,43 @@ def significant(x: Column, digits: int) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
 
 
+def _plain(x: Column) -> Column:
+    """A number of six significant digits without zeros at its end; as a power of ten under a millionth."""
+    v = significant(x, 6)
+    tiny = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e"), "e-0*", "e-")
+    whole = F.regexp_replace(F.format_string("%.12f", v), r"\.0+\z|(\.[0-9]*[1-9])0+\z", "$1")
+    return F.when((v != 0) & (F.abs(v) < 1e-6), tiny).otherwise(whole)
+
+
+def format_value(x: Column, unit: str = "") -> Column:
+    """Six significant digits, as a power of ten under 0.0001 and from 10,000,000 on; a dash for what is no number."""
+    v = significant(x, 6)
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.4e", v), r"e\+0*", "e"), "e-0*", "e-")
+    shown = F.when((v != 0) & ((F.abs(v) < 1e-4) | (F.abs(v) >= 1e7)), power).otherwise(_plain(x))
+    return F.when(_finite(x), F.concat(shown, F.lit(f" {unit}" if unit else ""))).otherwise("—")
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def _scaled(x: Column, unit: str, steps: list[tuple[float, str]]) -> Column:
+    """x in the first of the steps (least, prefix), from the largest down, that it reaches; else in the last."""
+    out = None
+    for least, prefix in steps:
+        said = F.concat(_plain(x / least), F.lit(f" {prefix}{unit}"))
+        out = F.when(F.abs(x) >= least, said) if out is None else out.when(F.abs(x) >= least, said)
+    return F.when(_finite(x), out.otherwise(F.concat(_plain(x / steps[-1][0]), F.lit(f" {steps[-1][1]}{unit}")))).otherwise("—")
+
+
+def format_ohm(x: Column) -> Column:
+    return _scaled(x, "Ω", [(1e6, "M"), (1e3, "k"), (1.0, "")])
+
+
+def format_si(x: Column, unit: str) -> Column:
+    return _scaled(x, unit, [(1e9, "G"), (1e6, "M"), (1e3, "k"), (1.0, ""), (1e-3, "m"), (1e-6, "µ"), (1e-9, "n"), (1e-12, "p")])
+
+
 def date_value(c: Column) -> Column:
     """A written date as YYYYMMDD: year first if it has four digits; else day first if that is over 12; 0 if unreadable."""
     n = F.transform(F.regexp_extract_all(s(c), F.lit(r"(\d+)"), F.lit(1)), lambda x: F.substring(x, 1, 8))

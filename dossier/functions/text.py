@@ -207,11 +207,20 @@ def clip_name(c: Column, most: int = 140) -> Column:
     return F.when(safe == "", F.lit("file")).otherwise(safe)
 
 
-def format_bytes(c: Column) -> Column:
-    """1023 B, 1.5 KB, 12 MB: one decimal under ten units."""
+def format_bytes(c: Column, decimals: int | None = None, units: int = 4) -> Column:
+    """1023 B, 1.5 KB, 12 MB: one decimal under ten units, or always `decimals`; up to so many units of B, KB, MB, GB, TB."""
     n = F.coalesce(c.cast("double"), F.lit(0.0))
-    shown = lambda v, unit: F.concat(F.when(v < 10, F.format_number(v, 1)).otherwise(F.round(v).cast("long").cast("string")), F.lit(f" {unit}"))
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(n / 1024, "KB")).when(n < 1 << 30, shown(n / (1 << 20), "MB")).otherwise(shown(n / (1 << 30), "GB"))
+
+    def shown(v: Column, unit: str) -> Column:
+        whole = F.round(v).cast("long").cast("string")
+        number = F.format_string(f"%.{decimals}f", v) if decimals is not None else F.when(v < 10, F.format_number(v, 1)).otherwise(whole)
+        return F.concat(number, F.lit(f" {unit}"))
+
+    out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    names = ("B", "KB", "MB", "GB", "TB")[:units]
+    for k, unit in enumerate(names[1:-1], 1):
+        out = out.when(n < 1024 ** (k + 1), shown(n / 1024**k, unit))
+    return out.otherwise(shown(n / 1024 ** (units - 1), names[-1]))
 
 
 def natural_key(c: Column) -> Column:

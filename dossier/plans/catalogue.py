@@ -255,14 +255,21 @@ def filename_sanitize(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("url")).alias("name"))
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' WHEN 2 THEN 'archive' WHEN 3 THEN 'text' WHEN 4 THEN 'spreadsheet' ELSE 'other' END AS kind FROM documents
+#: Endings and types of files and the kind of each, as the rules have them (fixed values).
+_ENDINGS = {"archive": "zip rar 7z gz tar bz2 xz", "document": "doc docx odt rtf pages", "spreadsheet": "xls xlsx ods csv numbers", "presentation": "ppt pptx odp key", "text": "txt md json xml yml py rs sql log ini html", "pdf": "pdf", "other": "bin exe step"}
+_TYPES = {"image": "image/png image/webp", "video": "video/mp4", "audio": "audio/ogg", "pdf": "application/pdf", "text": "text/x-odd", "other": "application/octet-stream"}
+_NAMED = [(f".{x}" if k % 2 else f".{x.upper()}", "", kind) for kind, xs in _ENDINGS.items() for k, x in enumerate(xs.split())] + [("", x, kind) for kind, xs in _TYPES.items() for x in xs.split()]
+
+
+@query(f"""
+WITH k(pos, ending, type, kind) AS (VALUES {", ".join(f"({pos}, '{e}', '{m}', '{k}')" for pos, (e, m, k) in enumerate(_NAMED))})
+SELECT doc_id, kind FROM documents JOIN k ON pos = (doc_id * 31 + n_chars) % {len(_NAMED)}
 """)
 def kind_classify(spark, sf_dir):
-    k = F.col("doc_id") % 6
-    mime = F.when(k == 0, "image/png").when(k == 4, "application/vnd.ms-excel").otherwise("")
-    name = F.when(k == 1, "a.PDF").when(k == 2, "b.tar.gz").when(k == 3, "notes.md").otherwise("noext")
-    return t(spark, sf_dir, "documents").select("doc_id", search.classify_kind(mime, name).alias("kind"))
+    """The kind of each document under a name made from its source, with one of all endings, or a type."""
+    at = ((F.col("doc_id") * 31 + F.col("n_chars")) % len(_NAMED)).cast("int")
+    ending, mime = (F.get(F.array(*[F.lit(x[k]) for x in _NAMED]), at) for k in (0, 1))
+    return t(spark, sf_dir, "documents").select("doc_id", search.classify_kind(mime, F.concat("source", ending)).alias("kind"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from dossier.functions import calc, ids, text, vin
 from dossier.operators import layout, search
 from dossier.plans.catalogue import query, t
 
+
 def key():
     return F.col("p_partkey")
 
@@ -107,10 +108,32 @@ def safe_names(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", text.clip_name(raw).alias("name"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ' B' WHEN 1 THEN '1.5 KB' WHEN 2 THEN '12 MB' ELSE '2.0 GB' END AS size FROM part""")
+@query("""WITH b AS (SELECT doc_id, n_chars::BIGINT * n_chars * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 40 ELSE 40000 END // 37 AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN x < 10 THEN printf('%.1f', x) ELSE round(x)::BIGINT::VARCHAR END || ' ' || unit END AS size,
+  CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f', x) || ' ' || unit END AS one, CASE WHEN n < 1024 THEN n || ' B' WHEN n >= 1099511627776 THEN printf('%.2f', n / 1099511627776) || ' TB' ELSE printf('%.2f', x) || ' ' || unit END AS two
+FROM (SELECT *, CASE WHEN n < 1048576 THEN n / 1024 WHEN n < 1073741824 THEN n / 1048576 ELSE n / 1073741824 END AS x, CASE WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM b)""")
 def byte_sizes(spark, sf_dir):
-    c = F.when(key() % 4 == 0, F.col("p_size").cast("long")).when(key() % 4 == 1, 1536).when(key() % 4 == 2, 12 << 20).otherwise(2 << 30)
-    return part(spark, sf_dir).select("p_partkey", text.format_bytes(c).alias("size"))
+    """Sizes from bytes to gigabytes that follow the texts' lengths."""
+    k, c = F.col("doc_id"), F.col("n_chars").cast("long")
+    scale = F.when(k % 3 == 0, 1).when(k % 3 == 1, 40).otherwise(40000)
+    n_ = F.floor(c * c * scale / 37)
+    return t(spark, sf_dir, "documents").select("doc_id", text.format_bytes(n_).alias("size"), text.format_bytes(n_, 1).alias("one"), text.format_bytes(n_, 2, 5).alias("two"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, (o_orderkey * 7919 % 1000003 + 1) * pow(10.0, (o_orderkey % 17)::INT - 11) AS x FROM orders)
+SELECT o_orderkey, x < 1e-4 OR x >= 1e7 AS by_power, CASE WHEN x >= 1e6 THEN 'MΩ' WHEN x >= 1e3 THEN 'kΩ' ELSE 'Ω' END AS ohm_unit,
+  CASE WHEN x >= 1e9 THEN 'GF' WHEN x >= 1e6 THEN 'MF' WHEN x >= 1e3 THEN 'kF' WHEN x >= 1 THEN 'F' WHEN x >= 1e-3 THEN 'mF' WHEN x >= 1e-6 THEN 'µF' WHEN x >= 1e-9 THEN 'nF' ELSE 'pF' END AS si_unit, true AS near FROM v""")
+def value_formats(spark, sf_dir):
+    """Values over many powers of ten as the electrical tools write them; each reads back within its six digits."""
+    k = F.col("o_orderkey")
+    x = (k * 7919 % 1000003 + 1) * F.pow(F.lit(10.0), (k % 17) - 11)
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), calc.format_value(x).alias("v"), calc.format_ohm(x).alias("ohm"), calc.format_si(x, "F").alias("si"))
+    part_ = lambda c, k: F.split(c, " ")[k]
+    prefix = F.create_map(*[F.lit(v) for pair in {"G": 1e9, "M": 1e6, "k": 1e3, "m": 1e-3, "µ": 1e-6, "n": 1e-9, "p": 1e-12}.items() for v in pair])
+    times = lambda c: F.coalesce(F.try_element_at(prefix, F.substring(part_(c, 1), 1, F.length(part_(c, 1)) - 1)), F.lit(1.0))
+    near = lambda y: F.abs(y / F.col("x") - 1) < 1e-4
+    again = near(part_("v", 0).cast("double")) & near(part_("ohm", 0).cast("double") * times(F.col("ohm"))) & near(part_("si", 0).cast("double") * times(F.col("si")))
+    return rows.select("o_orderkey", F.contains("v", F.lit("e")).alias("by_power"), part_("ohm", 1).alias("ohm_unit"), part_("si", 1).alias("si_unit"), again.alias("near"))
 
 
 # --- identifiers

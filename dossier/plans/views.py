@@ -213,7 +213,7 @@ UNION ALL SELECT 'group', id FROM tools WHERE g1 = 5 OR g2 = 5 UNION ALL SELECT
 UNION ALL SELECT 'exact', id FROM tools WHERE ct = (SELECT min(p_type) FROM part)""")
 def tools_view(spark, sf_dir):
     x = tools(spark, sf_dir)
-    first = x.agg(F.min("ct")).first()[0]
+    first = x.agg(F.min("ct")).scalar()
     seen = {"offered": {"offered": True, "starred": True}, "model": {"model": "213"}, "group": {"group": "5"}, "query": {"query": "589 07"}, "exact": {"exact": {"ct": first}}}
     out = None
     for name, options in seen.items():
@@ -276,7 +276,7 @@ def order_references(spark, sf_dir):
 
 @query(f"WITH {FILES}, {BLOBS} SELECT f.id FROM files f JOIN blobs b ON b.id = coalesce(f.blobId, f.id) WHERE b.sha256 = (SELECT sha256(text) FROM documents WHERE doc_id = 3)")
 def content_holders(spark, sf_dir):
-    wanted = t(spark, sf_dir, "documents").where("doc_id = 3").select(F.sha2("text", 256)).first()[0]
+    wanted = t(spark, sf_dir, "documents").where("doc_id = 3").select(F.sha2("text", 256)).scalar()
     return relations.holders_of(blobs(spark, sf_dir), files(spark, sf_dir), wanted).select("id")
 
 

@@ -193,3 +193,20 @@ def test_orders_of_version_groups(spark):
     order = lambda by, down=False: [r.first_id for r in g.orderBy(facets.group_sort_key(by, down)).collect()]
     assert order("ver", True) == ["b", "a", "c"] and order("size") == ["b", "c", "a"] and order("date") == ["b", "a", "c"]
     assert order("star") == ["b", "c", "a"] and order("star", True) == ["a", "b", "c"] and order("title") == ["c", "b", "a"] or order("title") == ["c", "a", "b"]
+
+
+def test_number_formats(spark):
+    from dossier.functions import calc
+
+    values = [0.0, 1.0, 4700.0, 1234567.0, 12345678.0, 0.00012, 0.000012, -4.7, 100.0, 0.1 + 0.2, None, float("nan"), 2.2e6, 999.9999]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.v for r in df.select(calc.format_value(F.col("x"), "V").alias("v")).collect()]
+    assert got == ["0 V", "1 V", "4700 V", "1234570 V", "1.2346e7 V", "0.00012 V", "1.2000e-5 V", "-4.7 V", "100 V", "0.3 V", "—", "—", "2200000 V", "1000 V"]
+    assert [r.v for r in df.where("x in (0, 4700, 2.2e6, -4.7)").select(calc.format_ohm(F.col("x")).alias("v")).collect()] == ["0 Ω", "4.7 kΩ", "-4.7 Ω", "2.2 MΩ"]
+    assert spark.range(1).select(calc.format_ohm(F.lit(1.2e-9)).alias("v")).first().v == "1.2e-9 Ω"
+    small = spark.createDataFrame([(4.7e-9,), (1e-13,), (1e3,), (0.5,), (2.2e-6,)], "x double")
+    assert [r.v for r in small.select(calc.format_si(F.col("x"), "F").alias("v")).collect()] == ["4.7 nF", "0.1 pF", "1 kF", "500 mF", "2.2 µF"]
+    from dossier.functions import text
+
+    sizes = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 40,), (None,)], "n long")
+    assert [r.v for r in sizes.select(text.format_bytes(F.col("n"), 2, 5).alias("v")).collect()] == ["0 B", "1023 B", "1.50 KB", "5.00 TB", "0 B"]
