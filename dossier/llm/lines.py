@@ -8,7 +8,8 @@ Pairs that can delete nothing are not aligned, and no others are left out. A blo
 line's tags: the shortest runs of lines around it, without a blank one, that have FEWEST words. So only documents with a
 common tag are pairs. Of a rare tag (at most RARE documents) all pairs are aligned. A more common tag first pairs its
 documents with pivots, the first document and then the first one that still keeps a line with this tag, as long as that
-settles lines; those that still keep such a line then meet every earlier document of the tag.
+settles lines; those that still keep such a line then meet every earlier document of the tag, but one of those that
+would align alike.
 """
 
 from __future__ import annotations
@@ -86,31 +87,34 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], fewest: int = FEWEST)
     return out
 
 
-def _align(batches):
-    for batch in batches:
-        gone = []
-        for la, lb, wb in zip(*(batch.column(c).to_pylist() for c in ("lines_a", "lines_b", "words_b"))):
-            gone.append(blocks(patience(la, lb), wb))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "h", "gone"])
+def _align(fewest: int):
+    def run(batches):
+        for batch in batches:
+            gone = []
+            for la, lb, wb in zip(*(batch.column(c).to_pylist() for c in ("lines_a", "lines_b", "words_b"))):
+                gone.append(blocks(patience(la, lb), wb, fewest))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "h", "gone"])
 
+    return run
 
-def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray, fewest: int = FEWEST) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the tags of all kept places; lines of all rows stand one after another, blank ones have no words."""
     n = len(keys)
     sums = np.concatenate([[0], np.cumsum(words)])
     blank = np.concatenate([[0], np.cumsum(words == 0)])
-    order = constants(FEWEST, 61)
+    order = constants(fewest, 61)
     rows, found = [], []
-    for before in range(FEWEST):
-        for size in range(before + 1, FEWEST + 1):
+    for before in range(fewest):
+        for size in range(before + 1, fewest + 1):
             p = np.flatnonzero(kept[before : n - size + before + 1]) + before if n >= size else np.zeros(0, np.int64)
             s, e = p - before, p - before + size
             total = sums[e] - sums[s]
-            good = (row[s] == row[e - 1]) & (blank[s] == blank[e]) & (total >= FEWEST)
+            good = (row[s] == row[e - 1]) & (blank[s] == blank[e]) & (total >= fewest)
             if before:
-                good &= total - words[s] < FEWEST
+                good &= total - words[s] < fewest
             if size > before + 1:
-                good &= total - words[e - 1] < FEWEST
+                good &= total - words[e - 1] < fewest
             s = s[good]
             whole = np.full(len(s), size, np.uint64)
             for k in range(size):
@@ -120,32 +124,51 @@ def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray)
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _tags(batches):
-    for batch in batches:
-        n = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(n)), n)
-        keys = batch.column("lines").flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        gone = batch.column("gone")
-        kept = np.ones(len(row), bool)
-        begins = np.concatenate([[0], np.cumsum(n)])
-        kept[np.repeat(begins[:-1], gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + gone.flatten().to_numpy(zero_copy_only=False)] = False
-        at, found = tags(keys, words, row, kept)
-        at, found = np.unique(np.stack([at, found.view(np.int64)]), axis=1) if len(at) else (at, found.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("h").take(pa.array(at)), pa.array(found, pa.int64())], names=["id", "h", "tag"])
+def _tags(fewest: int):
+    def run(batches):
+        for batch in batches:
+            n = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            keys = batch.column("lines").flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            gone = batch.column("gone")
+            kept = np.ones(len(row), bool)
+            begins = np.concatenate([[0], np.cumsum(n)])
+            kept[np.repeat(begins[:-1], gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + gone.flatten().to_numpy(zero_copy_only=False)] = False
+            at, found = tags(keys, words, row, kept, fewest)
+            at, found = np.unique(np.stack([at, found.view(np.int64)]), axis=1) if len(at) else (at, found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("h").take(pa.array(at)), pa.array(found, pa.int64())], names=["id", "h", "tag"])
+
+    return run
 
 
 def split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _first_alike(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, rep): of the given documents those that align alike with any other, under the first of them.
+
+    A line that no other of the documents has, or a blank one, matches nothing; all that is left of a stretch of such lines is
+    that it parts what stands around it. Documents with the same lines in the same order but for such stretches are alike.
+    """
+    held = lines.join(docs, "doc", "left_semi").select("doc", F.posexplode("lines").alias("at", "x"))
+    shared = held.where("x is not null").groupBy("x").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
+    marked = held.join(shared.select("x", F.lit(True).alias("other")), "x", "left").select("doc", "at", F.when(F.col("other"), F.col("x")).alias("x"))
+    whole = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("x", F.lit(-1).cast("long")).alias("x")))).alias("s")).select("doc", F.col("s.x").alias("s"))
+    short = F.filter("s", lambda v, i: (v != -1) | (i == 0) | (F.get("s", i - 1) != -1))
+    named = whole.select("doc", F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two"))
+    return named.join(named.groupBy("one", "two").agg(F.min("doc").alias("rep")), ["one", "two"]).select("doc", "rep")
+
+
+def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """All rows with struct column `lines`: n (lines), removed (their places from 0, ascending), text (what is kept).
 
     Lines end at \\n and are compared without white space at their ends; blank ones are neither compared nor removed.
     Documents go by doc_id, then by hash of their text. Repeated rows are one document and come out alike; rows that
     share a doc_id but not the text are two. Null texts and rows of null doc_id are left as they are (a null text is
-    empty, one blank line). Any further columns are kept, whatever their names but `lines`.
+    empty, one blank line). Any further columns are kept, whatever their names but `lines`. Aligned
+    blocks of under `fewest` words stay.
     """
     spark = docs.sparkSession
     steps = Steps(spark)
@@ -155,7 +178,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     listed = steps.write(listed, "listed")
     doc = F.struct("id", "h")
     none = F.array().cast("array<int>")
-    tagged = lambda df: df.mapInArrow(_tags, "id long, h long, tag long").select(doc.alias("doc"), "tag")
+    tagged = lambda df: df.mapInArrow(_tags(fewest), "id long, h long, tag long").select(doc.alias("doc"), "tag")
     seen = tagged(listed.select("id", "h", "lines", "words", none.alias("gone"))).distinct()
     common = seen.groupBy("tag").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last")
     shared = steps.write(seen.join(common.select("tag", "first", "n"), "tag"), "shared")
@@ -167,7 +190,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def align(pairs: DataFrame, k: int) -> DataFrame:
         both = pairs.join(lines.select(F.col("doc").alias("b"), apart("lines", "b").alias("lines_b"), F.col("words").alias("words_b")), "b")
         both = both.join(lines.select(F.col("doc").alias("a"), apart("lines", "a").alias("lines_a")), "a")
-        found = both.select(F.col("b.id").alias("id"), F.col("b.h").alias("h"), "lines_a", "lines_b", "words_b").mapInArrow(_align, "id long, h long, gone array<int>")
+        found = both.select(F.col("b.id").alias("id"), F.col("b.h").alias("h"), "lines_a", "lines_b", "words_b").mapInArrow(_align(fewest), "id long, h long, gone array<int>")
         return steps.write(found.where("size(gone) > 0"), f"gone-{k}")
 
     def together(found: DataFrame) -> DataFrame:
@@ -188,7 +211,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         last = SETTLED * (before - now) < before
         before, k = now, k + 1
         if last:
-            others = hot.select("tag", F.col("doc").alias("a"))
+            # Of holders that would align alike the first one stands for all.
+            reps = _first_alike(lines, hot.select("doc").distinct())
+            others = steps.write(hot.select("tag", "doc").join(reps, "doc").select("tag", F.col("rep").alias("a")).distinct(), "others")
         else:
             others = left.groupBy("tag").agg(F.min("doc").alias("a"))
         pairs = left.withColumnRenamed("doc", "b").join(others, "tag").where("a < b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")

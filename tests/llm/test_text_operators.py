@@ -447,6 +447,20 @@ def test_common_lines_meet_every_earlier_holder(spark):
     assert got == want and all(want[d] == [0, 1] for d in range(4, 15))
 
 
+def test_holders_that_align_alike_meet_others_once(spark):
+    """Documents that hold a line twice between lines of their own are one class; other orders and gaps are others."""
+    rows = [(k, [1, 100 + k, 2, 200 + k, 300 + k, 2]) for k in range(50)] + [(60, [1, 2, 2]), (61, [2, 1, 999, 2]), (62, [1, None, 2, 998, 2]), (63, [997, 1, 996, 2, 995, 2])]
+    lines_ = spark.createDataFrame([((i, 0), x) for i, x in rows], "doc struct<id:long,h:long>, lines array<long>")
+    got = {r.doc.id: r.rep.id for r in lines._first_alike(lines_, lines_.select("doc")).collect()}
+    assert got == {k: 0 for k in range(50)} | {60: 60, 61: 61, 62: 0, 63: 63}
+
+
+def test_fewest_words_of_a_block(spark):
+    rows = spark.createDataFrame([(1, "a b c\nown 1\nd e"), (2, "x\na b c\ny\nd e")], "doc_id long, text string")
+    removed = lambda n: {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(rows, fewest=n).collect()}
+    assert removed(5) == {1: [], 2: []} and removed(3) == {1: [], 2: [1]} and removed(1) == {1: [], 2: [1, 3]}
+
+
 def test_lines_against_all_pairs(spark, docs):
     want = all_pairs_lines([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(docs).collect()} == want
