@@ -213,7 +213,7 @@ def format_bytes(c: Column, decimals: int | None = None, units: int = 4) -> Colu
 
     def shown(v: Column, unit: str) -> Column:
         whole = F.round(v).cast("long").cast("string")
-        number = F.format_string(f"%.{decimals}f", v) if decimals is not None else F.when(v < 10, F.format_number(v, 1)).otherwise(whole)
+        number = F.format_string(f"%.{decimals}f", v) if decimals is not None else F.when(v < 10, F.format_string("%.1f", v)).otherwise(whole)
         return F.concat(number, F.lit(f" {unit}"))
 
     out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))

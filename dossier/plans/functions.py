@@ -109,8 +109,8 @@ def safe_names(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT doc_id, n_chars::BIGINT * n_chars * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 40 ELSE 40000 END // 37 AS n FROM documents)
-SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN x < 10 THEN printf('%.1f', x) ELSE round(x)::BIGINT::VARCHAR END || ' ' || unit END AS size,
-  CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f', x) || ' ' || unit END AS one, CASE WHEN n < 1024 THEN n || ' B' WHEN n >= 1099511627776 THEN printf('%.2f', n / 1099511627776) || ' TB' ELSE printf('%.2f', x) || ' ' || unit END AS two
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN x < 10 THEN printf('%.1f', round(x, 1)) ELSE round(x)::BIGINT::VARCHAR END || ' ' || unit END AS size,
+  CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f', round(x, 1)) || ' ' || unit END AS one, CASE WHEN n < 1024 THEN n || ' B' WHEN n >= 1099511627776 THEN printf('%.2f', round(n / 1099511627776, 2)) || ' TB' ELSE printf('%.2f', round(x, 2)) || ' ' || unit END AS two
 FROM (SELECT *, CASE WHEN n < 1048576 THEN n / 1024 WHEN n < 1073741824 THEN n / 1048576 ELSE n / 1073741824 END AS x, CASE WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM b)""")
 def byte_sizes(spark, sf_dir):
     """Sizes from bytes to gigabytes that follow the texts' lengths."""
