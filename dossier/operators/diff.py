@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import WS, collapse, line_signature, sub
+from dossier.steps import written
 
 RUN = "op string, a int, b int, n int"
 #: Items that occur more often have their places held as one integer.
@@ -398,15 +399,14 @@ def revisions(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFra
     told apart by two 64-bit hashes.
     """
     keyed = pairs.select(F.col(key).alias("key"), F.col(a).alias("x"), F.col(b).alias("y")).where("key is not null")
-    sides = [keyed.select("key", F.lit(k).alias("side"), F.col(c).alias("text")) for k, c in enumerate("xy")]
-    lines = content_lines(sides[0].union(sides[1]), "key")
+    lines = written(content_lines(keyed.select("key", F.posexplode(F.array("x", "y")).alias("side", "text")), "key"), "lines")
     line = F.array_join("tokens", " ")
     name = F.concat_ws(":", F.xxhash64(line), F.xxhash64(line, F.lit(1)))
     row = F.struct("line", "start", F.size("tokens").alias("n"), name.alias("name"))
     per_side = [F.array_sort(F.collect_list(F.when(F.col("side") == k, row))).alias(c) for k, c in enumerate("xy")]
     sql = keyed.schema["key"].dataType.simpleString()
     listed = lines.groupBy("key").agg(*per_side)
-    regions = listed.mapInArrow(_regions, f"key {sql}, {REGION}")
+    regions = written(listed.mapInArrow(_regions, f"key {sql}, {REGION}"), "regions")
     # Lines of a side are numbered by their place among those with words.
     numbered = lines.withColumn("k", F.row_number().over(Window.partitionBy("key", "side").orderBy("line")) - 1).select("key", "side", "k", "tokens")
     of = lambda side, first, n: F.transform(F.when(F.col(n) > 0, F.sequence(F.col(first), F.col(first) + F.col(n) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.lit(side).alias("side"), k.alias("k")))

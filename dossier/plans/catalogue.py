@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dossier.functions import calc, ids, text, vin
 from dossier.operators import diff, facets, layout, lifecycle, relations, search
 from dossier.sources import csvs
+from dossier.steps import written
 from dossier.streaming import jobs
 
 QUERIES: dict = {}
@@ -475,7 +476,7 @@ def document_diff(spark, sf_dir):
 @query()
 def document_revisions(spark, sf_dir):
     """Each text against its first near copy, word by word between aligned lines."""
-    told = diff.totals(diff.revisions(_near_copies(spark, sf_dir), "doc_id", "x", "y"))
+    told = diff.totals(diff.revisions(written(_near_copies(spark, sf_dir), "copies"), "doc_id", "x", "y"))
     return told.select("doc_id", F.size("runs").alias("n_runs"), "removed", "added", "moved", "same")
 
 
