@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import ids, vin
 from dossier.functions.text import clip_name, s
+from dossier.steps import written
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -160,8 +161,8 @@ def alike(df: DataFrame, id: str, items: str, percent: int) -> DataFrame:
     """
     kept = F.array_distinct(F.filter(items, lambda x: F.trim(x) != ""))
     rows = df.select(F.col(id).alias("id"), F.transform(F.array_sort(kept), lambda x: F.xxhash64(x)).alias("own")).where("size(own) > 0")
-    rows = rows.withColumn("name", F.xxhash64("own"))
-    sets = rows.groupBy("name", "own").agg(F.min("id").alias("id"))
+    rows = written(rows.withColumn("name", F.xxhash64("own")), "sets")
+    sets = written(rows.groupBy("name", "own").agg(F.min("id").alias("id")), "classes")
     held = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("x"))
     ranked = held.join(held.groupBy("x").agg(F.count("*").alias("c")), "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("order"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
