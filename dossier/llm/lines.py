@@ -146,7 +146,7 @@ def split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _first_alike(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def _first_alike(steps: Steps, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, rep): of the given documents those that align alike with any other, under the first of them.
 
     A line that no other of the documents has, or a blank one, matches nothing; all that is left of a stretch of such lines is
@@ -154,7 +154,9 @@ def _first_alike(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """
     held = lines.join(docs, "doc", "left_semi").select("doc", F.posexplode("lines").alias("at", "x"))
     shared = held.where("x is not null").groupBy("x").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
-    marked = held.join(shared.select("x", F.lit(True).alias("other")), "x", "left").select("doc", "at", F.when(F.col("other"), F.col("x")).alias("x"))
+    # A written table, for a join with one can split a frequent line among tasks.
+    shared = steps.write(shared.select("x", F.lit(True).alias("other")), "shared-lines")
+    marked = held.join(shared, "x", "left").select("doc", "at", F.when(F.col("other"), F.col("x")).alias("x"))
     whole = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("x", F.lit(-1).cast("long")).alias("x")))).alias("s")).select("doc", F.col("s.x").alias("s"))
     short = F.filter("s", lambda v, i: (v != -1) | (i == 0) | (F.get("s", i - 1) != -1))
     named = whole.select("doc", F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two"))
@@ -212,7 +214,7 @@ def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
         before, k = now, k + 1
         if last:
             # Of holders that would align alike the first one stands for all.
-            reps = _first_alike(lines, hot.select("doc").distinct())
+            reps = _first_alike(steps, lines, hot.select("doc").distinct())
             others = steps.write(hot.select("tag", "doc").join(reps, "doc").select("tag", F.col("rep").alias("a")).distinct(), "others")
         else:
             others = left.groupBy("tag").agg(F.min("doc").alias("a"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from dossier.llm import decontaminate, langid, lines, minhash, mixing, repeats, tokens
-from dossier.llm.common import PUNCTUATION, span_hashes, text_buffer, word_hashes
+from dossier.llm.common import PUNCTUATION, Steps, span_hashes, text_buffer, word_hashes
 from tests.helpers import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -451,7 +451,7 @@ def test_holders_that_align_alike_meet_others_once(spark):
     """Documents that hold a line twice between lines of their own are one class; other orders and gaps are others."""
     rows = [(k, [1, 100 + k, 2, 200 + k, 300 + k, 2]) for k in range(50)] + [(60, [1, 2, 2]), (61, [2, 1, 999, 2]), (62, [1, None, 2, 998, 2]), (63, [997, 1, 996, 2, 995, 2])]
     lines_ = spark.createDataFrame([((i, 0), x) for i, x in rows], "doc struct<id:long,h:long>, lines array<long>")
-    got = {r.doc.id: r.rep.id for r in lines._first_alike(lines_, lines_.select("doc")).collect()}
+    got = {r.doc.id: r.rep.id for r in lines._first_alike(Steps(spark), lines_, lines_.select("doc")).collect()}
     assert got == {k: 0 for k in range(50)} | {60: 60, 61: 61, 62: 0, 63: 63}
 
 
