@@ -154,13 +154,13 @@ def _first_alike(steps: Steps, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """
     held = lines.join(docs, "doc", "left_semi").select("doc", F.posexplode("lines").alias("at", "x"))
     shared = held.where("x is not null").groupBy("x").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
-    # A written table, for a join with one can split a frequent line among tasks.
+    # Written tables, for a join with one can split a frequent line, or a large class, among tasks.
     shared = steps.write(shared.select("x", F.lit(True).alias("other")), "shared-lines")
     marked = held.join(shared, "x", "left").select("doc", "at", F.when(F.col("other"), F.col("x")).alias("x"))
     whole = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("x", F.lit(-1).cast("long")).alias("x")))).alias("s")).select("doc", F.col("s.x").alias("s"))
     short = F.filter("s", lambda v, i: (v != -1) | (i == 0) | (F.get("s", i - 1) != -1))
-    named = whole.select("doc", F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two"))
-    return named.join(named.groupBy("one", "two").agg(F.min("doc").alias("rep")), ["one", "two"]).select("doc", "rep")
+    named = steps.write(whole.select("doc", F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two")), "alike")
+    return named.join(steps.write(named.groupBy("one", "two").agg(F.min("doc").alias("rep")), "first-alike"), ["one", "two"]).select("doc", "rep")
 
 
 def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
