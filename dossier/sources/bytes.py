@@ -173,9 +173,9 @@ def head_of(kind: str, meta: dict, rows: list[tuple]) -> dict:
         for part, _, m, _ in told:
             if part.startswith("record:"):
                 records.setdefault(part[7:], []).append(m)
-        return {"format": "file database backup", **meta, "records": records, "payloads": [{**m, "store": part[8:], "id": id_, "len": size} for part, id_, m, size in told if part.startswith("payload:")]}
+        return {"format": "backup", **meta, "records": records, "payloads": [{**m, "store": part[8:], "id": id_, "len": size} for part, id_, m, size in told if part.startswith("payload:")]}
     if kind == "tidb":
-        return {"format": "tool inventory database", **meta, "tools": [m for part, _, m, _ in told if part == "tool"], "photos": [{**m, "id": id_, "len": size} for part, id_, m, size in told if part == "photo"]}
+        return {"format": "catalogue", **meta, "tools": [m for part, _, m, _ in told if part == "tool"], "photos": [{**m, "id": id_, "len": size} for part, id_, m, size in told if part == "photo"]}
     files: list[dict] = []
     for part, id_, m, size in told:
         if part == "blob":
@@ -184,7 +184,7 @@ def head_of(kind: str, meta: dict, rows: list[tuple]) -> dict:
             files[-1]["thumbLen"] = size
         else:
             raise ValueError(f"the preview of {id_} does not follow its file")
-    return {"format": "file vault", **meta, "files": files}
+    return {"format": "vault", **meta, "files": files}
 
 
 class Containers(DataSource):
