@@ -54,6 +54,11 @@ def convert(df: DataFrame, category: str = "category", value: str = "value", sou
     return df.withColumn("converted", F.when(F.col(category) == "temp", degrees).otherwise(linear))
 
 
+def ten_to(k: Column) -> Column:
+    """The double nearest to a whole power of ten; pow misses 1e-5 and 1e-11 by their last bit."""
+    return F.concat(F.lit("1e"), k.cast("string")).cast("double")
+
+
 def significant(x: Column, digits: int) -> Column:
     """x rounded to so many significant digits."""
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
@@ -69,10 +74,11 @@ def _plain(x: Column) -> Column:
 
 
 def format_value(x: Column, unit: str = "") -> Column:
-    """Six significant digits, as a power of ten under 0.0001 and from 10,000,000 on; a dash for what is no number."""
+    """Six significant digits, as a power of ten under 0.0001 (before it is rounded) and from 10,000,000 on (rounded); a dash
+    for what is no number."""
     v = significant(x, 6)
     power = F.regexp_replace(F.regexp_replace(F.format_string("%.4e", v), r"e\+0*", "e"), "e-0*", "e-")
-    shown = F.when((v != 0) & ((F.abs(v) < 1e-4) | (F.abs(v) >= 1e7)), power).otherwise(_plain(x))
+    shown = F.when((v != 0) & ((F.abs(x) < 1e-4) | (F.abs(v) >= 1e7)), power).otherwise(_plain(x))
     return F.when(_finite(x), F.concat(shown, F.lit(f" {unit}" if unit else ""))).otherwise("—")
 
 

@@ -126,7 +126,7 @@ SELECT o_orderkey, x < 1e-4 OR x >= 1e7 AS by_power, CASE WHEN x >= 1e6 THEN 'M
 def value_formats(spark, sf_dir):
     """Values over many powers of ten as the electrical tools write them; each reads back within its six digits."""
     k = F.col("o_orderkey")
-    x = (k * 7919 % 1000003 + 1) * F.pow(F.lit(10.0), (k % 17) - 11)
+    x = (k * 7919 % 1000003 + 1) * calc.ten_to((k % 17) - 11)
     rows = t(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), calc.format_value(x).alias("v"), calc.format_ohm(x).alias("ohm"), calc.format_si(x, "F").alias("si"))
     part_ = lambda c, k: F.split(c, " ")[k]
     prefix = F.create_map(*[F.lit(v) for pair in {"G": 1e9, "M": 1e6, "k": 1e3, "m": 1e-3, "µ": 1e-6, "n": 1e-9, "p": 1e-12}.items() for v in pair])
