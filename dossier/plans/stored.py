@@ -130,8 +130,7 @@ def store_changes(spark, sf_dir):
     store.commit({"tools": x})
     store.put("tools", x.where("k % 10 = 0").withColumn("desc", F.concat(F.lit("new "), "desc")))
     store.remove("tools", x.where("k % 7 = 0").select("id"))
-    keys = [r.id for r in x.where("k % 500 = 3").select("id").collect()]
-    found = store.get("tools", keys).select("id", F.lit(True).alias("found"))
+    found = store.get("tools", x.where("k % 500 = 3").select("id")).select("id", F.lit(True).alias("found"))
     rows = store.read("tools").select("id", "desc", F.coalesce("rev", F.lit(0)).alias("rev"))
     return rows.join(found, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 

@@ -14,6 +14,7 @@ paths; nothing is written to a local folder of the driver.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 from typing import NamedTuple
 
@@ -121,18 +122,26 @@ class Store:
         parts = self.parts()
         return {name: self._at(name, parts) for name in STORES}
 
-    def get(self, name: str, keys: list, generation: int | None = None) -> DataFrame:
-        """The rows of a few keys. Only files whose range of keys holds one of them are opened."""
+    def get(self, name: str, keys: list | DataFrame, generation: int | None = None) -> DataFrame:
+        """The rows of some keys: a list of them, or a table with the store's key. Only files whose range of keys holds one
+        are opened; more than FEW keys are joined with the store's instead."""
         key = KEYS[name]
+        if isinstance(keys, DataFrame):
+            few = [r[0] for r in keys.select(key).where(F.col(key).isNotNull()).distinct().limit(FEW + 1).collect()]
+            if len(few) > FEW:
+                return self.read(name, generation).join(keys.select(key).distinct(), key, "left_semi")
+            keys = few
         kind = self._schema(name)[key].dataType
-        wanted = F.col(key).isin(list(keys))
-        held = lambda low, high: reduce(lambda a, b: a | b, (F.lit(k).between(low, high) for k in keys), F.lit(False))
+        keys = sorted(k for k in keys if k is not None)
+        if len(keys) > FEW:
+            return self.get(name, self.spark.createDataFrame([(k,) for k in keys], f"{key} {kind.simpleString()}"), generation)
+        wanted = F.col(key).isin(keys)
         frames = []
         for part in self.parts(generation).get(name, []):
             if part.whole:
-                files = [r.file for r in self._files(name, part).where(held(F.col("low"), F.col("high"))).select("file").collect()]
+                files = [r.file for r in self._files(name, part).collect() if _holds(r.low, r.high, keys)]
                 frames += [(part, self._rows(name, part, *files).where(wanted))] if files else []
-            elif any(_of(kind, part.low) <= k <= _of(kind, part.high) for k in keys):
+            elif _holds(_of(kind, part.low), _of(kind, part.high), keys):
                 frames.append((part, self._rows(name, part).where(wanted)))
         return self._merged(name, frames)
 
@@ -190,9 +199,7 @@ class Store:
 
     def _replaced(self, name: str, rows: DataFrame) -> DataFrame:
         """The stored rows that have the keys of `rows`."""
-        key = KEYS[name]
-        keys = [r[0] for r in rows.select(key).where(F.col(key).isNotNull()).distinct().limit(FEW + 1).collect()]
-        return self.get(name, keys) if len(keys) <= FEW else self.read(name).join(rows.select(key).distinct(), key, "left_semi")
+        return self.get(name, rows)
 
     def put(self, name: str, rows: DataFrame, verify: bool = True) -> int:
         """Writes rows with the revision after the stored one's. A column expectedRev guards against lost updates: if a
@@ -270,5 +277,13 @@ class Store:
         self._delete(f"{self.path}/pointers/{n:08d}")
 
 
+def _holds(low, high, keys: list) -> bool:
+    """Whether one of the sorted keys lies between two bounds; a null bound has none beyond it."""
+    if low is None or high is None:
+        return False
+    at = bisect_left(keys, low)
+    return at < len(keys) and keys[at] <= high
+
+
 def _of(kind, text: str):
     return text if kind.simpleString() == "string" else int(text)
