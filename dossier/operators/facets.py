@@ -64,17 +64,20 @@ def number_conflicts(orders: DataFrame, key: str, created: str, id: str) -> Data
     return held.withColumn("holder", F.col("__first")[id]).drop("__k", "__f", "__first", "__n")
 
 
-#: Rows of a stretch, which is what one task sorts, ranks or packs.
-STRETCH = 100_000
+#: Rows of a stretch, which is what one task sorts, ranks or packs, and bytes of its texts and binary values.
+STRETCH, WIDTH = 100_000, 64 << 20
 
 
 def laid(df: DataFrame, *by: str) -> DataFrame:
-    """Adds __stretch: rows in the order of `by` (nulls first), cut at sampled quantiles into stretches of some STRETCH rows.
+    """Adds __stretch: rows in the order of `by` (nulls first), cut at sampled quantiles into stretches of some STRETCH rows,
+    fewer if they are wide.
 
     Stretches are numbered in order, whatever the columns' types, and a value that many rows share runs over many of them
     if a later column tells its rows apart. They are a written table: cut anew for each reader, they might differ.
     """
-    n = -(-df.count() // STRETCH)
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")).cast("long"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary") and f.name not in by]
+    told = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0)).alias("bytes")).first()
+    n = max(-(-told.n // STRETCH), min(-(-told.bytes // WIDTH), told.n))
     if n <= 1:
         return df.withColumn("__stretch", F.lit(0))
     return written(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by]).withColumn("__stretch", F.spark_partition_id()), "laid")
