@@ -7,9 +7,10 @@ Aligned blocks of FEWEST words or more are deleted from the later document.
 Pairs that can delete nothing are not aligned, and no others are left out. A block that deletes a line holds one of the
 line's tags: the shortest runs of lines around it, without a blank one, that have FEWEST words. So only documents with a
 common tag are pairs. Of a rare tag (at most RARE documents) all pairs are aligned. A more common tag first pairs its
-documents with pivots, the first document and then the first one that still keeps a line with this tag, as long as that
-settles lines; those that still keep such a line then meet every earlier document of the tag, but one of those that
-would align alike.
+documents with pivots, the first document and then in turn the next one that still keeps a line with this tag, as long as
+that settles lines; those that still keep such a line then meet every earlier document of the tag, but one of those that
+would align alike. What aligns alike depends on the pair: of earlier documents that share nothing with the later one but
+the lines of the tag, one for each order of these lines is enough.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import WORD, Steps, bitmap, constants, maybe_in, mix, table
@@ -27,6 +28,8 @@ RARE = 8
 FEWEST = 5
 #: Rounds of pivots end when fewer than one in SETTLED of what was left is settled.
 SETTLED = 10
+#: Of the documents that have a tag's lines in one order, so many are tried first as the one that stands for all.
+STANDS = 4
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -98,13 +101,14 @@ def _align(fewest: int):
     return run
 
 
-def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray, fewest: int = FEWEST) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the tags of all kept places; lines of all rows stand one after another, blank ones have no words."""
+def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray, fewest: int = FEWEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, hashes, first lines and numbers of lines of the tags of all kept places; lines of all rows stand one after
+    another, blank ones have no words."""
     n = len(keys)
     sums = np.concatenate([[0], np.cumsum(words)])
     blank = np.concatenate([[0], np.cumsum(words == 0)])
     order = constants(fewest, 61)
-    rows, found = [], []
+    rows, found, starts, sizes = [], [], [], []
     for before in range(fewest):
         for size in range(before + 1, fewest + 1):
             p = np.flatnonzero(kept[before : n - size + before + 1]) + before if n >= size else np.zeros(0, np.int64)
@@ -121,31 +125,55 @@ def tags(keys: np.ndarray, words: np.ndarray, row: np.ndarray, kept: np.ndarray,
                 whole += mix(keys[s + k] * order[k])
             rows.append(row[s])
             found.append(mix(whole))
-    return np.concatenate(rows), np.concatenate(found)
+            starts.append(s)
+            sizes.append(np.full(len(s), size))
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(starts), np.concatenate(sizes)
+
+
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of all rows of a batch one after another, and the words, the row and the offset of each row."""
+    n = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
+    keys = batch.column("lines").flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return keys, words, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
 
 
 def _tags(fewest: int):
     def run(batches):
         for batch in batches:
-            n = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(n)), n)
-            keys = batch.column("lines").flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, words, row, begins = _listed(batch)
             gone = batch.column("gone")
             kept = np.ones(len(row), bool)
-            begins = np.concatenate([[0], np.cumsum(n)])
             kept[np.repeat(begins[:-1], gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + gone.flatten().to_numpy(zero_copy_only=False)] = False
-            at, found = tags(keys, words, row, kept, fewest)
+            at, found, *_ = tags(keys, words, row, kept, fewest)
             at, found = np.unique(np.stack([at, found.view(np.int64)]), axis=1) if len(at) else (at, found.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("h").take(pa.array(at)), pa.array(found, pa.int64())], names=["id", "h", "tag"])
 
     return run
 
 
+def _spelt(fewest: int):
+    def run(batches):
+        for batch in batches:
+            keys, words, row, _ = _listed(batch)
+            _, found, starts, sizes = tags(keys, words, row, np.ones(len(row), bool), fewest)
+            _, once = np.unique(found, return_index=True)
+            spelt = [keys[s : s + n].view(np.int64).tolist() for s, n in zip(starts[once], sizes[once])]
+            yield pa.RecordBatch.from_arrays([pa.array(found[once].view(np.int64), pa.int64()), pa.array(spelt, pa.list_(pa.int64()))], names=["tag", "spelt"])
+
+    return run
+
+
 def split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _order(lines: str) -> list[Column]:
+    """Two hashes of the order of lines; -1 matches nothing, and all that is left of a stretch of these is that it parts others."""
+    short = F.filter(lines, lambda v, i: (v != -1) | (i == 0) | (F.get(lines, i - 1) != -1))
+    return [F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two")]
+
+
 def _first_alike(steps: Steps, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, rep): of the given documents those that align alike with any other, under the first of them.
 
@@ -158,11 +186,33 @@ def _first_alike(steps: Steps, lines: DataFrame, docs: DataFrame) -> DataFrame:
     shared = steps.write(shared.select("x", F.lit(True).alias("other")), "shared-lines")
     marked = held.join(shared, "x", "left").select("doc", "at", F.when(F.col("other"), F.col("x")).alias("x"))
     whole = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("x", F.lit(-1).cast("long")).alias("x")))).alias("s")).select("doc", F.col("s.x").alias("s"))
-    short = F.filter("s", lambda v, i: (v != -1) | (i == 0) | (F.get("s", i - 1) != -1))
-    named = steps.write(whole.select("doc", F.xxhash64(short).alias("one"), F.xxhash64(short, F.lit(1)).alias("two")), "alike")
+    named = steps.write(whole.select("doc", *_order("s")), "alike")
     return named.join(steps.write(named.groupBy("one", "two").agg(F.min("doc").alias("rep")), "first-alike"), ["one", "two"]).select("doc", "rep")
 
 
+def _meetings(steps: Steps, lines: DataFrame, left: DataFrame, others: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(a, b): for each (tag, doc) of `left` the earlier ones of `others` (tag, a), but one of those that would align alike.
+
+    Documents that share nothing but the lines of the tag align by the order of these lines in each. So those that share
+    more are pairs by a join on what they share, and of all others one for each order in which they have the tag's lines.
+    It is looked for among the first STANDS; if each of these shares more, all of that order are pairs.
+    spelt: (tag, spelt), the lines of each tag.
+    """
+    held = others.join(spelt, "tag").join(lines.select(F.col("doc").alias("a"), "lines"), "a")
+    order = held.select("tag", "a", F.transform("lines", lambda x: F.when(F.array_contains("spelt", x), x).otherwise(F.lit(-1).cast("long"))).alias("s"))
+    order = steps.write(order.select("tag", "a", *_order("s")), "orders")
+    more = lambda df, doc: df.select("tag", doc, F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull() & ~F.array_contains("spelt", x)))).alias("x"))
+    late = left.select("tag", F.col("doc").alias("b"))
+    theirs = more(late.join(spelt, "tag").join(lines.select(F.col("doc").alias("b"), "lines"), "b"), "b")
+    also = steps.write(theirs.join(more(held, "a"), ["tag", "x"]).where("a < b").select("tag", "a", "b").distinct(), "share-more")
+    by = Window.partitionBy("tag", "one", "two").orderBy("a")
+    first = steps.write(order.withColumn("k", F.row_number().over(by)).where(f"k <= {STANDS}"), "stand")
+    tried = late.join(first, "tag").where("a < b").join(also.withColumn("more", F.lit(True)), ["tag", "a", "b"], "left")
+    found = steps.write(tried.groupBy("tag", "one", "two", "b").agg(F.count("*").alias("n"), F.min(F.when(F.col("more").isNull(), F.col("a"))).alias("a")), "stood")
+    rest = found.where(f"a is null and n = {STANDS}").select("tag", "one", "two", "b").join(order, ["tag", "one", "two"]).where("a < b")
+    return also.select("a", "b").union(found.where("a is not null").select("a", "b")).union(rest.select("a", "b"))
+
+
 def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """All rows with struct column `lines`: n (lines), removed (their places from 0, ascending), text (what is kept).
 
@@ -204,6 +254,7 @@ def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     left = hot.where("doc <> first").select("tag", "doc", "first")
     done = steps.write(left.select(F.col("first").alias("a"), F.col("doc").alias("b")).union(every).distinct(), "pairs-0")
     found, before, k = align(done, 0), left.count(), 0
+    pivots = []
     while before:
         # What is left: documents with a common tag at a line that they still keep.
         rest = lines.join(left.select("doc").distinct(), "doc", "left_semi").select("doc.*", "lines", "words").join(together(found), ["id", "h"], "left")
@@ -215,11 +266,18 @@ def dedup_lines(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
         if last:
             # Of holders that would align alike the first one stands for all.
             reps = _first_alike(steps, lines, hot.select("doc").distinct())
-            others = steps.write(hot.select("tag", "doc").join(reps, "doc").select("tag", F.col("rep").alias("a")).distinct(), "others")
+            still = steps.write(left.select("tag").distinct(), "still")
+            others = hot.select("tag", "doc").join(still, "tag", "left_semi").join(reps, "doc").select("tag", F.col("rep").alias("a")).distinct()
+            firsts = lines.join(hot.join(still, "tag", "left_semi").select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
+            spelt = firsts.select("lines", "words").mapInArrow(_spelt(fewest), "tag long, spelt array<long>").join(still, "tag", "left_semi").dropDuplicates(["tag"])
+            met = _meetings(steps, lines, left, steps.write(others, "others"), steps.write(spelt, "spelt"))
         else:
-            others = left.groupBy("tag").agg(F.min("doc").alias("a"))
-        pairs = left.withColumnRenamed("doc", "b").join(others, "tag").where("a < b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        pairs = steps.write(pairs, f"pairs-{k}")
+            # A pivot keeps its line, as no pivot before deletes it, so the next one comes after it.
+            after = left.join(pivots[-1], "tag", "left").where("a is null or doc > a") if pivots else left
+            pivots.append(steps.write(after.groupBy("tag").agg(F.min("doc").alias("a")), f"pivots-{k}"))
+            met = left.withColumnRenamed("doc", "b").join(pivots[-1], "tag").where("a < b").select("a", "b")
+        met = steps.write(met.distinct(), f"met-{k}")  # once, before those done are left out: the plan would turn that round
+        pairs = steps.write(met.join(done, ["a", "b"], "left_anti"), f"pairs-{k}")
         done = done.union(pairs)
         found = found.union(align(pairs, k))
         if last:

@@ -455,6 +455,24 @@ def test_holders_that_align_alike_meet_others_once(spark):
     assert got == {k: 0 for k in range(50)} | {60: 60, 61: 61, 62: 0, 63: 63}
 
 
+def test_holders_that_share_one_line_meet_once_for_each_order(spark, monkeypatch):
+    """Documents of many orders that share only a line which each holds twice: one alignment each, not one with each order."""
+    x, n = "a line that all of them have", 160
+    rows = [(k, f"own {k}\n{x}\nmiddle {k}\npart {k // 2} of two documents only\nthen {k}\n{x}\nend {k}") for k in range(n)]
+    rows += [(n + k, f"{x}\nown {k}\npart {k} of two documents only\n{x}") for k in range(0, 60, 3)]
+    aligned, write = [], Steps.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        aligned.append(out.count() if name.startswith("pairs-") else 0)
+        return out
+
+    monkeypatch.setattr(Steps, "write", counted)
+    got = {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_lines(rows)
+    assert sum(aligned) < 8 * len(rows)
+
+
 def test_fewest_words_of_a_block(spark):
     rows = spark.createDataFrame([(1, "a b c\nown 1\nd e"), (2, "x\na b c\ny\nd e")], "doc_id long, text string")
     removed = lambda n: {r.doc_id: list(r.lines.removed) for r in lines.dedup_lines(rows, fewest=n).collect()}
