@@ -132,7 +132,8 @@ def word_rows(items: DataFrame) -> DataFrame:
     Items within three units of height are a row, read from left to right with a space between any two. y0 counts down the
     page. Each word keeps its place.
     """
-    rows = items.select("doc", "page", squash(F.col("str")).alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.abs("h"), F.lit(10.0)).cast("double").alias("h"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w")).where("t <> ''")
+    # Dealt by page once: rows of a page, and whatever is made of a page's rows, need no further shuffle.
+    rows = items.where(F.col("str").rlike(f"[^{WS}]")).repartition("doc", "page").select("doc", "page", squash(F.col("str")).alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.abs("h"), F.lit(10.0)).cast("double").alias("h"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w"))
     word = F.struct("x", F.col("t").alias("text"), (F.col("x") + F.col("w")).alias("x1"))
     grouped = rows.groupBy("doc", "page", F.floor(F.col("y") / 3 + 0.5).alias("band")).agg(F.array_sort(F.collect_list(word)).alias("p"), F.max("h").alias("h"), F.max("y").alias("y"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"))
     words = F.transform("p", lambda p: F.struct(p["text"].alias("text"), p["x"].alias("x0"), p["x1"].alias("x1"), F.lit(100.0).alias("conf")))
@@ -161,17 +162,17 @@ def table_lines(rows: DataFrame, heading: str, first: str, footer: str | None =
     from left to right. A gap of over three quarters of the page's middle row height begins a new line of the table, as
     does a row that has `footer`, which is left out. Words parted by a hyphen at the end of a row are joined.
     """
-    page = Window.partitionBy("doc", "page")
-    is_head = F.col("text").rlike(heading)
-    rows = rows.withColumn("right", F.max("x1").over(page)).withColumn("head", F.min(F.when(is_head, F.struct("y0", "x0", "y1", "words"))).over(page))
-    rows = rows.where("head is not null")
+    head = F.min(F.when(F.col("text").rlike(heading), F.struct("y0", "x0", "y1", "words"))).alias("head")
+    pages = rows.groupBy("doc", "page").agg(head, F.max("x1").alias("right"), F.collect_list(F.struct("text", "x0", "y0", "y1", "words")).alias("rows")).where("head is not null")
     at = F.array_position(F.transform("head.words", lambda w: w["text"].rlike(first)), True)
     before = F.filter(F.when(at > 0, F.slice("head.words", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))), lambda w: w["text"].rlike("[A-Za-z]"))
     pad, gap = F.greatest(F.lit(12.0), F.col("right") * 0.02), F.greatest(F.lit(40.0), F.col("right") * 0.06)
-    rows = rows.withColumn("before", F.when(F.size(before) > 0, before)).withColumn("pad", pad).withColumn("gap", gap)
+    pages = pages.withColumn("before", F.when(F.size(before) > 0, before)).withColumn("pad", pad).withColumn("gap", gap)
     reach = F.aggregate(F.reverse("before"), F.struct(F.lit(None).cast("double").alias("x0"), F.lit(True).alias("on")), lambda acc, w: F.when(acc["x0"].isNull() | (acc["on"] & (acc["x0"] - w["x1"] <= F.col("gap"))), F.struct(w["x0"].alias("x0"), F.lit(True).alias("on"))).otherwise(F.struct(acc["x0"].alias("x0"), F.lit(False).alias("on"))))
-    rows = rows.withColumn("from", F.array_max("before.x1") + 4).withColumn("cells", reach["x0"] - F.col("pad"))
-    below = rows.where(F.col("y0") > F.col("head.y0") + F.greatest(F.lit(1.0), F.col("head.y1") - F.col("head.y0")) * 0.6)
+    foot = F.col("head.y0") + F.greatest(F.lit(1.0), F.col("head.y1") - F.col("head.y0")) * 0.6
+    # Worked out once for each page: in one plan with the rows they would be worked out anew for each word.
+    pages = pages.select("doc", "page", "rows", foot.alias("foot"), (F.array_max("before.x1") + 4).alias("from"), (reach["x0"] - F.col("pad")).alias("cells"))
+    below = pages.select("doc", "page", "foot", "from", "cells", F.inline("rows")).where("y0 > foot")
     inside = F.array_join(F.transform(F.filter("words", lambda w: w["x0"] >= F.col("from")), lambda w: w["text"]), " ")
     said = F.when(F.col("from").isNull(), F.col("text")).when(F.size("words") > 0, inside).when(F.col("x0") >= F.col("from"), F.col("text")).otherwise(F.lit(""))
     left = F.when(F.col("from").isNotNull(), F.filter("words", lambda w: (w["x0"] < F.col("from")) & (w["x0"] >= F.col("cells")))).otherwise(F.array().cast(WORDS))
@@ -192,16 +193,16 @@ def table_lines(rows: DataFrame, heading: str, first: str, footer: str | None =
     body = body.withColumn("r", F.aggregate(F.col("r").cast(f"array<{shape}>"), F.array().cast(f"array<{shape}>"), merged))
     heights = F.array_sort(F.transform("r", lambda x: F.greatest(F.lit(1.0), x["y1"] - x["y0"])))
     body = body.withColumn("h", F.get(heights, F.floor(F.size("r") / 2).cast("int")))
-    state = f"struct<lines: array<{shape}>, open: boolean>"
+    state = f"struct<lines: array<{shape}>, open: boolean, h: double>"
 
     def parted(acc, r):
         p = F.when(F.size(acc["lines"]) > 0, last(acc["lines"]))
         ends = F.array_join(r["texts"], " ").rlike(footer) if footer else F.lit(False)
         more = F.struct(p["y0"].alias("y0"), p["x0"].alias("x0"), F.greatest(p["y1"], r["y1"]).alias("y1"), F.concat(p["texts"], r["texts"]).alias("texts"), p["left"].alias("left"))
-        new = ~acc["open"] | p.isNull() | (r["y0"] - p["y1"] > F.col("h") * 0.75)
-        told = lambda lines, open_: F.struct(lines.alias("lines"), F.lit(open_).alias("open")).cast(state)
+        new = ~acc["open"] | p.isNull() | (r["y0"] - p["y1"] > acc["h"] * 0.75)
+        told = lambda lines, open_: F.struct(lines.alias("lines"), F.lit(open_).alias("open"), acc["h"].alias("h")).cast(state)
         return F.when(ends, told(acc["lines"], False)).when(new, told(F.concat(acc["lines"], F.array(r)), True)).otherwise(told(instead(acc["lines"], more.cast(shape)), True))
 
-    found = F.aggregate("r", F.struct(F.array().cast(f"array<{shape}>").alias("lines"), F.lit(False).alias("open")).cast(state), parted)["lines"]
+    found = F.aggregate("r", F.struct(F.array().cast(f"array<{shape}>").alias("lines"), F.lit(False).alias("open"), F.col("h").alias("h")).cast(state), parted)["lines"]
     lines = body.select("doc", "page", F.posexplode(found).alias("pos", "l"))
     return lines.select("doc", "page", "pos", join_hyphen(F.col("l.texts")).alias("text"), F.transform("l.left", lambda w: w["text"]).alias("left"))
