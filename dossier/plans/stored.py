@@ -243,7 +243,7 @@ def live_claims(spark, sf_dir):
     none = F.lit(None).cast("string").alias("note"), F.lit(None).cast("boolean").alias("no_retry")
     queued = e.select("type", F.col("k").cast("string").alias("id"), "at", F.lit("enqueue").alias("event"), F.lit(None).cast("string").alias("owner"), *none)
     claims = e.where("k % 3 = 0").select("type", F.lit(None).cast("string").alias("id"), F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit("claim").alias("event"), F.concat(F.lit("w"), "k").alias("owner"), *none)
-    save(queued.union(claims).coalesce(1), folder)
+    save(queued.union(claims), folder)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
