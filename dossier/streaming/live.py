@@ -137,6 +137,50 @@ class Waiting:
             self._write(n)
 
 
+class Jobs:
+    """The jobs of one type by id. The last ones put are in memory, `most` at most, and go to the state once however often they
+    change. If the state had no jobs at first, names that were never put are known by a filter of fixed size and not asked for."""
+
+    #: Bits of the filter, of which each name sets three.
+    BITS = 1 << 27
+
+    def __init__(self, state, most: int) -> None:
+        self.state, self.most = state, most
+        self.last: dict[str, list] = {}
+        self.put_bits = None if state.exists() else bytearray(self.BITS // 8)
+
+    def _places(self, id_: str) -> list[int]:
+        n = hash(id_) & (1 << 64) - 1
+        return [(n >> k) % self.BITS for k in (0, 20, 37)]
+
+    def get(self, id_: str) -> list | None:
+        if id_ in self.last:
+            return list(self.last[id_])
+        if self.put_bits is not None and not all(self.put_bits[k >> 3] & 1 << (k & 7) for k in self._places(id_)):
+            return None
+        return list(self.state.getValue((id_,))) if self.state.containsKey((id_,)) else None
+
+    def put(self, id_: str, job: list) -> None:
+        self.last.pop(id_, None)
+        self.last[id_] = job  # now the last one put
+        if self.put_bits is not None:
+            for k in self._places(id_):
+                self.put_bits[k >> 3] |= 1 << (k & 7)
+        if len(self.last) > self.most:
+            self._write(self.most // 2 + 1)
+
+    def remove(self, id_: str) -> None:
+        self.last.pop(id_, None)
+        self.state.removeKey((id_,))
+
+    def _write(self, n: int) -> None:
+        for id_ in list(islice(self.last, n)):
+            self.state.updateValue((id_,), tuple(self.last.pop(id_)))
+
+    def close(self) -> None:
+        self._write(len(self.last))
+
+
 class Queue(StatefulProcessor):
     """The jobs of one type: each job by its id, the queued ones in order, and by each time at which a timer looks at some the
     jobs that it is for."""
@@ -146,7 +190,7 @@ class Queue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.key = handle, None
-        self.jobs = handle.getMapState("jobs", "id string", _JOB)
+        self.known = handle.getMapState("jobs", "id string", _JOB)
         self.pages = handle.getMapState("pages", "page long", "since array<long>, id array<string>, attempts array<int>")
         self.begins = handle.getMapState("begins", "page long", "since long, id string")
         self.watched = handle.getMapState("watched", "at long, part int", "id array<string>, parts int")
@@ -157,19 +201,18 @@ class Queue(StatefulProcessor):
     def _open(self, key: tuple) -> None:
         if self.key != key:
             self.key, self.waiting = key, Waiting(self.pages, self.begins, max(self.held // 100, 2))
+            self.jobs = Jobs(self.known, max(self.held // 2, 1))
             self.watches: dict[int, list[str]] = {}
             self.n_watches = 0
 
     def _save(self) -> None:
         self.waiting.close()
+        self.jobs.close()
         self._save_watches()
 
     def _told(self, id_: str, ms: int, job: list, why: str) -> tuple:
         return self.key[0], id_, ms, job[0], job[3], job[4], why
 
-    def _put(self, id_: str, job: list) -> None:
-        self.jobs.updateValue((id_,), tuple(job))
-
     def _watch(self, at: int, id_: str) -> None:
         self.watches.setdefault(at, []).append(id_)
         self.n_watches += 1
@@ -191,7 +234,7 @@ class Queue(StatefulProcessor):
         """A job that did not end well is queued again, or has failed after its last attempt."""
         over = job[3] >= ATTEMPTS
         job[0], job[1], job[4], job[5] = ("failed", job[1], None, ms) if over else ("queued", us, None, None)
-        self._put(id_, job)
+        self.jobs.put(id_, job)
         if over:
             self._watch(ms + KEPT, id_)
         else:
@@ -208,9 +251,9 @@ class Queue(StatefulProcessor):
         for us, _, event, id_, owner, note, no_retry in events:
             ms = (us + 500) // 1000
             if event == "enqueue" and id_ is not None:
-                if not self.jobs.containsKey((id_,)):
+                if self.jobs.get(id_) is None:
                     job = ["queued", us, None, 0, None, None]
-                    self._put(id_, job)
+                    self.jobs.put(id_, job)
                     self.waiting.add(us, id_, 0)
                     yield self._told(id_, ms, job, "enqueued")
                 continue
@@ -219,31 +262,29 @@ class Queue(StatefulProcessor):
                 if oldest:
                     since, id_, attempts = oldest
                     job = ["running", since, ms, attempts + 1, owner, None]
-                    self._put(id_, job)
+                    self.jobs.put(id_, job)
                     self._watch(ms + STALE, id_)
                     yield self._told(id_, ms, job, "claimed")
                 continue
-            if id_ is None or not self.jobs.containsKey((id_,)):
-                continue
-            job = list(self.jobs.getValue((id_,)))
-            if job[0] not in ("queued", "running", "cancelling"):
+            job = None if id_ is None else self.jobs.get(id_)
+            if job is None or job[0] not in ("queued", "running", "cancelling"):
                 continue
             elif event == "cancel":
                 if job[0] == "queued":
                     self.waiting.remove(job[1], id_)
                     self._watch(ms + KEPT, id_)
                 job[0], job[5] = ("cancelled", ms) if job[0] == "queued" else ("cancelling", job[5])
-                self._put(id_, job)
+                self.jobs.put(id_, job)
                 yield self._told(id_, ms, job, "cancelled")
             elif job[0] == "queued" or owner != job[4]:
                 continue  # only the owner of a running job is heard
             elif event == "heartbeat":
                 job[2] = max(job[2], ms)
-                self._put(id_, job)
+                self.jobs.put(id_, job)
                 self._watch(job[2] + STALE, id_)
             elif event == "done" or (event == "fail" and (no_retry or job[0] == "cancelling")):
                 job[0], job[5] = ("cancelled" if job[0] == "cancelling" else "done" if event == "done" else "failed"), ms
-                self._put(id_, job)
+                self.jobs.put(id_, job)
                 self._watch(ms + KEPT, id_)
                 yield self._told(id_, ms, job, note or event)
             elif event == "fail":
@@ -263,19 +304,19 @@ class Queue(StatefulProcessor):
             ids = self.watched.getValue((now, part))[0]
             self.watched.removeKey((now, part))
             for id_ in ids:
-                if not self.jobs.containsKey((id_,)):
+                job = self.jobs.get(id_)
+                if job is None:
                     continue
-                job = list(self.jobs.getValue((id_,)))
                 if job[0] in ("running", "cancelling") and job[2] + STALE <= now:
                     if job[0] == "cancelling":
                         job[0], job[5] = "cancelled", now
-                        self._put(id_, job)
+                        self.jobs.put(id_, job)
                         self._watch(now + KEPT, id_)
                         yield self._told(id_, now, job, "stale")
                     else:
                         yield self._again(id_, job, now * 1000, now, "stale")
                 if job[5] is not None and job[5] + KEPT <= seen:
-                    self.jobs.removeKey((id_,))
+                    self.jobs.remove(id_)
 
 
 def _events(part: pd.DataFrame) -> Iterator[tuple]:
