@@ -277,7 +277,7 @@ def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def islands(df: DataFrame, group: str, start: str, end: str, gap: Column) -> DataFrame:
     """Adds island, from 0 in each group: a row that starts more than `gap` beyond all ends before it begins a new one."""
-    order = Window.partitionBy(group).orderBy(start, end)
+    order = Window.partitionBy(group).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col(start) - reached > gap, 1).otherwise(0)
     return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
